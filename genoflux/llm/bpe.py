@@ -9,8 +9,7 @@ positions and enters the pairs it makes with the two neighbours.
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,79 +27,99 @@ def read_ranks(lines) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-class _Pairs(dict):
-    """Rank of the token that two tokens form, or -1; filled on demand."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks, self.names = ranks, {v: k for k, v in ranks.items()}
-
-    def __missing__(self, key: int) -> int:
-        self[key] = rank = self.ranks.get(self.names[key >> 32] + self.names[key & 0xFFFFFFFF], -1)
-        return rank
-
-
 class MergeReplay:
     """Encodes many pieces at once; each must be non-empty bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.pairs = ranks, _Pairs(ranks)
+        self.ranks = ranks
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        keys, made = [], []
+        for name, rank in ranks.items():
+            for i in range(1, len(name)):
+                left, right = ranks.get(name[:i]), ranks.get(name[i:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    made.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], 2**62)
+        self.made = np.append(np.array(made, np.int64)[order], -1)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair forms, -1 for none; tokens below 0 form none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of tokens of each word, and the ids in a row."""
-        whole = [self.ranks.get(w, -1) for w in words]
-        rest = [w for w, r in zip(words, whole, strict=True) if r < 0]
+        known = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        rest = [w for w, r in zip(words, known.tolist(), strict=True) if r < 0]
         counts = np.ones(len(words), np.int64)
-        known = np.array(whole, np.int64)
         if not rest:
             return counts, known.astype(np.uint32)
         made_counts, made = self._replay(rest)
         counts[known < 0] = made_counts
-        ends = np.cumsum(counts)
-        out = np.empty(int(ends[-1]), np.uint32)
+        out = np.empty(int(counts.sum()), np.uint32)
         is_made = np.repeat(known < 0, counts)
         out[is_made] = made
         out[~is_made] = known[known >= 0]
         return counts, out
 
     def _replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # token -1 stands before, between and after the words
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1)
-        line = np.full(int(ends[-1]) + 1, -1, np.int64)
-        inner = np.ones(len(line), bool)
+        # token -1 stands before, between and after the words, -2 where one was merged away
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        tokens = np.full(int(ends[-1]) + 1, -1, np.int64)
+        inner = np.ones(len(tokens), bool)
         inner[0] = False
         inner[ends] = False
-        line[inner] = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        tokens = line.tolist()
-        after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
-        pairs, where = self.pairs, defaultdict(list)
-        for i in np.flatnonzero(inner[:-1] & inner[1:]).tolist():
-            rank = pairs[tokens[i] << 32 | tokens[i + 1]]
-            if rank >= 0:
-                where[rank].append(i)
-        heap = list(where)
-        heapify(heap)
+        tokens[inner] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        after, before = np.arange(1, len(tokens) + 1), np.arange(-1, len(tokens) - 1)
+        where: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(positions, ranks):
+            found = ranks >= 0
+            positions, ranks = positions[found], ranks[found]
+            order = np.argsort(ranks, kind="stable")
+            positions, ranks = positions[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            bounds = [0, *cuts.tolist(), len(ranks)]
+            if len(ranks):
+                for rank, a, b in zip(ranks[bounds[:-1]].tolist(), bounds, bounds[1:], strict=False):
+                    if rank not in where:
+                        where[rank] = []
+                        heappush(heap, rank)
+                    where[rank].append(positions[a:b])
+
+        enter(np.arange(len(tokens) - 1), self.pair_ranks(tokens[:-1], tokens[1:]))
         while heap:
             rank = heappop(heap)
-            for i in sorted(where.pop(rank)):
-                left, j = tokens[i], after[i]
-                if left < 0 or tokens[j] < 0 or pairs[left << 32 | tokens[j]] != rank:
-                    continue  # a neighbour has changed meanwhile
-                k = after[j]
-                tokens[i], tokens[j] = rank, -2
-                after[i], before[k] = k, i
-                h = before[i]
-                for at, a, b in ((h, tokens[h], rank), (i, rank, tokens[k])):
-                    if a >= 0 and b >= 0 and (made := pairs[a << 32 | b]) >= 0:
-                        if made not in where:
-                            heappush(heap, made)
-                        where[made].append(at)
-        line = np.array(tokens, np.int64)
-        alive = np.concatenate([[0], np.cumsum(line >= 0)])
+            lists = where.pop(rank)
+            at = lists[0]
+            if len(lists) > 1 or not (at[1:] > at[:-1]).all():
+                at = np.unique(np.concatenate(lists))
+            left, j = tokens[at], after[at]
+            stands = self.pair_ranks(left, tokens[j]) == rank  # a neighbour may have changed
+            if not stands.all():
+                at, j = at[stands], j[stands]
+            if not len(at):
+                continue
+            if len(at) > 1 and (j[:-1] == at[1:]).any():  # overlapping pairs: the leftmost wins
+                keep, taken = [], -1
+                for i, k in zip(at.tolist(), j.tolist(), strict=True):
+                    if i != taken:
+                        keep.append(i)
+                        taken = k
+                at = np.array(keep)
+                j = after[at]
+            k, h = after[j], before[at]
+            tokens[at], tokens[j] = rank, -2
+            after[at], before[k] = k, at
+            rows = np.concatenate([h, at])
+            enter(rows, self.pair_ranks(tokens[rows], tokens[after[rows]]))
+        alive = np.concatenate([[0], np.cumsum(tokens >= 0)])
         bounds = alive[np.concatenate([[0], ends])]
-        return np.diff(bounds), line[line >= 0].astype(np.uint32)
+        return np.diff(bounds), tokens[tokens >= 0].astype(np.uint32)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -119,13 +138,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         table = PieceTable(pattern, lambda words: replay([w.encode() for w in words]))
         for batch in batches:
             raw, bounds = flat_utf8(batch["text"])
-            for a, b in slices(bounds, 1 << 20):
-                texts = [raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)]
-                ids, counts = table.ids(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a).cast(pa.int64()), pa.array(counts, pa.int64()), binary_rows(ids.astype("<u4"), counts * 4)],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+            for first, last in slices(bounds, 16 << 20):
+                parts = [(first + a, first + b) for a, b in slices(bounds[first : last + 1], 1 << 20)]
+                texts = ([raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)] for a, b in parts)
+                for (a, b), (ids, counts) in zip(parts, table.blocks(texts), strict=True):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["doc_id"].slice(a, b - a).cast(pa.int64()), pa.array(counts, pa.int64()), binary_rows(ids.astype("<u4"), counts * 4)],
+                        ["doc_id", "n_tokens", "ids"],
+                    )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ENCODED)
 
