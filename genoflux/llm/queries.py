@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_store
+from . import bpe, exact_dedup, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_store, topk
 from .common import shared_folder
 
 
@@ -63,6 +63,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -85,12 +90,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_top_k": op7_top_k,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_top_k": """
+        with w as (
+          select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+          from embeddings
+          where embedding is not null and vec_id is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (
+          select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+          from w q, w c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+        r as (
+          select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+          from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
     "op8_exact_dedup": r"""
         with t as (
           select doc_id, length(coalesce(text, '')) as n,
