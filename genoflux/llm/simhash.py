@@ -26,7 +26,7 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LANES = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 3, step: int = 1 << 17) -> int:
+def fingerprint(text: bytes, width: int = 3, seed: int = SEED, step: int = 1 << 17) -> int:
     """64-bit SimHash of the shingles of one text (UTF-8), repeats included.
 
     Bit i is set if more than half of the shingles' XXH64 have it set.  Fewer
@@ -42,21 +42,23 @@ def fingerprint(text: bytes, width: int = 3, step: int = 1 << 17) -> int:
     for a in range(0, n, step):
         b = min(n, a + step)
         first, last = starts[a:b].tolist(), ends[min(a + width, len(words)) - 1 :][: b - a].tolist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[s:e] for s, e in zip(first, last, strict=True)], repeat(SEED)), np.uint64, b - a)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[s:e] for s, e in zip(first, last, strict=True)], repeat(seed)), np.uint64, b - a)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (a signed 64-bit integer) of each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, width: int = 3, second: bool = False) -> DataFrame:
+    """doc_id, fp and other (signed 64-bit integers) of each row; null texts count as
+    empty.  ``other`` is a second fingerprint, with another seed, or 0."""
 
     def run(batches):
         for batch in batches:
             raw, bounds = flat_utf8(batch["text"])
-            found = [fingerprint(raw[a:b].tobytes(), width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
+            texts = [raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            found = [[fingerprint(t, width) for t in texts], [fingerprint(t, width, SEED + 1) for t in texts] if second else [0] * len(texts)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in found)], ["doc_id", "fp", "other"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, other long")
 
 
 class Counter:
@@ -134,14 +136,18 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return found
 
 
-def _forest(values: np.ndarray, radius: int, block: int = 256) -> list[tuple[int, int]]:
+def _forest(values: np.ndarray, others: np.ndarray, radius: int, other_radius: int | None, block: int = 256) -> list[tuple[int, int]]:
     """Edges that connect what is connected within the radius, at most n - 1."""
     n, edges = len(values), []
     label, sliced = np.arange(n), planes(values)
     for a in range(0, n, block):
         close = close_to(values[a : a + block], values, radius, sliced)
-        for i, row in enumerate(close, a):
-            near = np.flatnonzero(row)
+        if other_radius is not None:
+            i, j = np.nonzero(close)
+            far = ~close_pairs(others[i + a], others[j], other_radius)
+            close[i[far], j[far]] = False
+        for i in (np.flatnonzero(close.sum(1) > 1) + a).tolist():
+            near = np.flatnonzero(close[i - a])
             labels = np.unique(label[near])
             if len(labels) > 1:
                 edges += [(i, int(near[np.argmax(label[near] == x)])) for x in labels if x != label[i]]
@@ -149,27 +155,28 @@ def _forest(values: np.ndarray, radius: int, block: int = 256) -> list[tuple[int
     return edges
 
 
-def _link(bucket: np.ndarray, values: np.ndarray, radius: int, small: int = 48):
-    """Pairs of linked values within runs of equal bucket numbers (sorted)."""
+def _link(bucket: np.ndarray, values: np.ndarray, others: np.ndarray, radius: int, other_radius: int | None, small: int = 48):
+    """Indexes of pairs of linked values within runs of equal bucket numbers (sorted)."""
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     sizes = np.diff(np.append(starts, len(bucket)))
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for size in np.unique(sizes[(sizes > 1) & (sizes <= small)]).tolist():  # pairs of all small buckets as lanes
         first = starts[sizes == size]
         i, j = np.triu_indices(size, 1)
         for a in range(0, len(first), max(1, _LANES // len(i))):
             own = first[a : a + max(1, _LANES // len(i)), None]
-            x, y = values[(own + i).ravel()], values[(own + j).ravel()]
-            close = close_pairs(x, y, radius)
-            left.append(x[close])
-            right.append(y[close])
+            x, y = (own + i).ravel(), (own + j).ravel()
+            close = close_pairs(values[x], values[y], radius)
+            x, y = x[close], y[close]
+            if other_radius is not None:
+                close = close_pairs(others[x], others[y], other_radius)
+                x, y = x[close], y[close]
+            left.append(x)
+            right.append(y)
     for s, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        own = values[s : s + size]
-        pairs = np.array(_forest(own, radius), np.int64).reshape(-1, 2)
-        left.append(own[pairs[:, 0]])
-        right.append(own[pairs[:, 1]])
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        pairs = np.array(_forest(values[s : s + size], others[s : s + size], radius, other_radius), np.int64).reshape(-1, 2) + s
+        left.append(pairs[:, 0])
+        right.append(pairs[:, 1])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -182,69 +189,74 @@ def block_keys(fp, blocks: int, agree: int):
     return F.array(*[F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
 
 
-def links(fps: DataFrame, radius: int = 2, blocks: int = 4, tile: int = 4096) -> DataFrame:
-    """Edges a, b between distinct fingerprints (column fp) that connect all those
-    within ``radius`` bits of each other, directly or over others.
+def links(nodes: DataFrame, radius: int = 2, blocks: int = 4, other_radius: int | None = None, tile: int = 4096) -> DataFrame:
+    """Edges a, b between nodes (columns node, fp, other; node names a distinct pair of
+    fp and other) that connect all those whose fp differ in at most ``radius`` bits, and
+    whose other differ in at most ``other_radius``, directly or over others.
 
     Every pair within the radius shares a bucket of one of the tables (blocks
-    choose blocks - radius).  A bucket of more than ``tile`` fingerprints is dealt
-    over tiles, and each pair of tiles is compared by a task of its own, so no
-    task holds more than two tiles.  A bucket gives a spanning forest, or the
-    close pairs of at most 48 fingerprints, never all pairs.
+    choose blocks - radius); how many blocks there are changes the work only.  A
+    bucket of more than ``tile`` nodes is dealt over tiles, and each pair of tiles
+    is compared by a task of its own, so no task holds more than two tiles.  A
+    bucket gives a spanning forest, or the close pairs of at most 48 nodes, never
+    all pairs.
     """
     if radius >= blocks:
         raise ValueError("more blocks than differing bits are needed")
-    rows = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, blocks - radius)).alias("x")).select("fp", "x.t", "x.key")
+    rows = nodes.select("node", "fp", "other", F.explode(block_keys(F.col("fp"), blocks, blocks - radius)).alias("x")).select("node", "fp", "other", "x.t", "x.key")
     counts = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(counts, ["t", "key"])
     parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.select("fp", "t", "key", "own", other.alias("other")).select("fp", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    bucket = F.xxhash64("t", "key", "i", "j")
-    rows = rows.select("fp", bucket.alias("bucket"))
+    rows = rows.select("node", "fp", "other", "t", "key", "own", other.alias("next"))
+    bucket = F.xxhash64("t", "key", F.least("own", "next"), F.greatest("own", "next"))
+    rows = rows.select("node", "fp", "other", bucket.alias("bucket"))
 
     def run(batches):
-        bucket, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        bucket, node, fp, other = (np.zeros(0, np.int64) for _ in range(4))
 
-        def made(b, v):
-            x, y = _link(b, v, radius)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+        def made(end):
+            x, y = _link(bucket[:end], fp[:end].view(np.uint64), other[:end].view(np.uint64), radius, other_radius)
+            return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
         for batch in batches:
-            bucket = np.concatenate([bucket, batch["bucket"].to_numpy()])
-            values = np.concatenate([values, batch["fp"].to_numpy().view(np.uint64)])
+            bucket, node, fp, other = (np.concatenate([x, batch[k].to_numpy()]) for x, k in ((bucket, "bucket"), (node, "node"), (fp, "fp"), (other, "other")))
             whole = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last may go on
             if whole > 10_000:
-                yield made(bucket[:whole], values[:whole])
-                bucket, values = bucket[whole:], values[whole:]
+                yield made(whole)
+                bucket, node, fp, other = (x[whole:] for x in (bucket, node, fp, other))
         if len(bucket):
-            yield made(bucket, values)
+            yield made(len(bucket))
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def classes(prints: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
-    """doc_id, fp and component_id of rows of doc_id and fp.
+def classes(prints: DataFrame, radius: int = 2, blocks: int = 4, other_radius: int | None = None) -> DataFrame:
+    """doc_id, fp and component_id of rows of doc_id, fp and other.
 
-    component_id is the smallest doc_id that can be reached over links of at most
-    ``radius`` differing bits, a document's own included (null only if no document
-    of the component has an id).  Equal fingerprints are one node, so copies are
-    never paired.
+    component_id is the smallest doc_id that can be reached over links (see
+    ``links``), a document's own included (null only if no document of the component
+    has an id).  Equal fingerprints are one node, so copies are never paired.
     """
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), radius, blocks))
-    nodes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(nodes.join(least, "root").select("fp", "component_id"), "fp")
+    node = F.col("fp") if other_radius is None else F.xxhash64("fp", "other")
+    prints = prints.withColumn("node", node)
+    distinct = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("other").alias("other")))
+    roots = components(links(distinct.select("node", "fp", "other"), radius, blocks, other_radius))
+    owners = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = owners.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(owners.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 4, other_radius: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp, component_id (see ``classes``).
 
     Words are lower-cased in A-Z only.  Texts without words (null, empty, blank)
-    have fingerprint 0 and link like any other.  Only doc_id and text are read.
+    have fingerprint 0 and link like any other.  A larger radius finds weaker
+    copies but also meets chance, which grows with the corpus; ``other_radius``
+    bounds the difference of a second fingerprint as well.  Only doc_id and text
+    are read.
     """
-    return classes(cut(fingerprints(docs, width)), radius, blocks)
+    return classes(cut(fingerprints(docs, width, other_radius is not None)), radius, blocks, other_radius)
