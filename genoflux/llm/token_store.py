@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, flat_utf8, shares, slices, text_bytes
+from .common import NO_ID, cut, flat_utf8, shares, slices, text_bytes
 from .pieces import PieceTable
 
 WIDTH = 8
 BLOCK = 512
+#: Rows (of 24 bytes) up to which the starts of segments are broadcast.
+MOST_BROADCAST = 200_000
 _LEVEL = "struct<chunks:binary,more:binary,ranks:binary>"
 _SEGMENT = f"part long, seq long, n_tokens long, doc_ids binary, no_ids binary, ends binary, levels array<{_LEVEL}>"
 _ARROW_LEVELS = pa.list_(pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())]))
@@ -88,6 +90,42 @@ class Codes:
         return values
 
 
+class LibraryPieces:
+    """Counts and flat ids of pieces, by the tokenizers library.
+
+    Pieces of a blank and letters split the same when they stand in a row, so the
+    library gets them by the hundred; a token with a leading blank begins a piece."""
+
+    def __init__(self, library, row: int = 256, batch: int = 64):
+        self.library, self.row, self.batch = library, row, batch
+        names = library.get_vocab()
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        call = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        return [np.array(x.ids, np.uint32) for s in range(0, len(texts), self.batch) for x in call(texts[s : s + self.batch], add_special_tokens=False)]
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        chained = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
+        counts = np.zeros(len(words), np.int64)
+        own = [w for w, c in zip(words, chained.tolist(), strict=True) if c]
+        rows = self._encode(["".join(own[a : a + self.row]) for a in range(0, len(own), self.row)])
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+        first = np.flatnonzero(self.begins[flat])
+        if len(first) != len(own) or len(own) and first[0]:
+            chained[:] = False  # a vocabulary that does not split so
+            flat, first = flat[:0], first[:0]
+        counts[chained] = np.diff(np.append(first, len(flat)))
+        found = [x for s in range(0, len(words), 4096) for x in self._encode([w for w, c in zip(words[s : s + 4096], chained[s : s + 4096].tolist(), strict=True) if not c])]
+        counts[~chained] = np.fromiter(map(len, found), np.int64, len(found))
+        out = np.empty(int(counts.sum()), np.uint32)
+        is_chained = np.repeat(chained, counts)
+        out[is_chained] = flat
+        out[~is_chained] = np.concatenate(found) if found else []
+        return counts, out
+
+
 def _segments(docs, table: PieceTable, part: int, end_id: int, most: int):
     """Rows of the table for documents in order: (doc_ids, texts) batches in."""
     names, counts, ids, held, seq = [], [], [], 0, 0
@@ -115,7 +153,7 @@ def _segments(docs, table: PieceTable, part: int, end_id: int, most: int):
         yield row()
 
 
-def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id: int = 0, part_bytes: int = 32 << 20, segment_tokens: int = 1 << 21) -> None:
+def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id: int = 0, part_bytes: int = 32 << 20, segment_tokens: int = 1 << 19) -> None:
     """Encodes the texts with the tokenizers library and writes segments to ``path``.
 
     Documents stand in ascending order of doc_id (null last), those that share
@@ -131,23 +169,20 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
         library = Tokenizer.from_file(tokenizer_path)
         library.encode_special_tokens = True  # their strings are ordinary text
 
-        def encode(words):
-            found = [x.ids for s in range(0, len(words), 10_000) for x in library.encode_batch(words[s : s + 10_000], add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            return counts, np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
+        encode = LibraryPieces(library)
 
         def blocks():
             for batch in batches:
                 raw, bounds = flat_utf8(batch["text"])
                 own = batch["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                for a, b in slices(bounds, 4 << 20):
+                for a, b in slices(bounds, 1 << 20):
                     yield own[a:b], [raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)]
 
         yield from _segments(blocks(), PieceTable(pattern, encode), TaskContext.get().partitionId(), end_id, segment_tokens)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order).mapInArrow(run, _SEGMENT).write.parquet(path)
+    rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order).mapInArrow(run, _SEGMENT).write.option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
@@ -159,8 +194,9 @@ def with_starts(segments: DataFrame) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     within = Window.partitionBy("part").orderBy("seq")
     inner = sizes.select("part", "seq", (F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("inner"))
-    starts = inner.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("start"))
-    return segments.join(starts, ["part", "seq"])
+    starts = cut(inner.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("start")))
+    # a row a segment: small enough to go to the segments, up to a bound
+    return segments.join(F.broadcast(starts) if starts.count() <= MOST_BROADCAST else starts, ["part", "seq"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -169,13 +205,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 codes, ends = Codes(row["levels"]), np.frombuffer(row["ends"], "<i8")
                 names = np.frombuffer(row["doc_ids"], "<i8")
                 blank = np.unpackbits(np.frombuffer(row["no_ids"], np.uint8), bitorder="little")[: len(names)].astype(bool)
                 starts = np.concatenate([[0], ends[:-1]])
-                for a in range(0, len(names), 1000):
-                    b = min(len(names), a + 1000)
+                for a in range(0, len(names), 256):
+                    b = min(len(names), a + 256)
                     cells = [codes.between(int(s), int(e)).astype("<u4").tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names[a:b], pa.int64(), mask=blank[a:b]), pa.array(starts[a:b] + row["start"], pa.int64()), pa.array((ends - starts)[a:b], pa.int64()), pa.array(cells, pa.binary())],
