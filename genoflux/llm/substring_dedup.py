@@ -125,7 +125,7 @@ class Sketch:
         return np.flatnonzero(keep)
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 20, gram: int = 8, group_bytes: int = 16 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 20, gram: int = 8, group_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept (the other
     words, joined by one blank, UTF-8).
 

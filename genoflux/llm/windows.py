@@ -36,7 +36,9 @@ _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = 1 << 17
 MESSAGE = "b int, g long, kind int, n long, body binary"
 _FIELDS = pa.schema([("b", pa.int32()), ("g", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
-DUP, FINE = 1, 2
+#: What a group is told of a span: repeated as a whole; windows that reach ``half`` tokens
+#: before, or behind, its anchor may be.
+DUP, LEFT, RIGHT = 1, 2, 4
 
 
 def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -73,6 +75,7 @@ class Spans:
     more: np.ndarray  # windows after the first
     anchor: np.ndarray  # hash of the anchor, 48 bits
     span: np.ndarray  # hash of the content, 48 bits
+    offset: np.ndarray  # of the anchor in the first window
     left: np.ndarray  # digest of half a window's rest, before the anchor
     right: np.ndarray  # and behind it
 
@@ -135,10 +138,10 @@ def find_spans(tokens: Callable[[int, int], np.ndarray], ends: np.ndarray, shape
         left = np.where(clear, rest[np.maximum(a - half, 0)], inner)
         clear = a + k + half + first <= ends[text]
         right = np.where(clear, rest[np.minimum(a + k, len(rest) - 1)], inner * _C2)
-        parts.append((low + s, more, grams[k][a] & _LOW48, inner >> np.uint64(16), (left >> np.uint64(48)).astype(np.uint16), (right >> np.uint64(48)).astype(np.uint16)))
+        parts.append((low + s, more, grams[k][a] & _LOW48, inner >> np.uint64(16), (a - at - low).astype(np.int16), (left >> np.uint64(48)).astype(np.uint16), (right >> np.uint64(48)).astype(np.uint16)))
     if not parts:
         none = np.zeros(0, np.int64)
-        return Spans(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint16), none.astype(np.uint16))
+        return Spans(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.int16), none.astype(np.uint16), none.astype(np.uint16))
     return Spans(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -208,7 +211,7 @@ def by_bucket(bucket: np.ndarray, buckets: int):
         yield b, order[cuts[b] : cuts[b + 1]]
 
 
-def send_spans(group: Group, g: int, buckets: int, which: np.ndarray | None = None) -> pa.Table:
+def send_spans(group: Group, g: int, shape: Shape, buckets: int, which: np.ndarray | None = None) -> pa.Table:
     """Pass 1, out: each distinct span of the group (or those of ``which``) once."""
     at = np.arange(len(group.first)) if which is None else which
     rows = []
@@ -216,18 +219,18 @@ def send_spans(group: Group, g: int, buckets: int, which: np.ndarray | None = No
         i = at[own]
         f = group.first[i]
         x = group.spans
-        body = pack(steps(i), (x.anchor[f] | x.span[f] << np.uint64(48)), (x.span[f] >> np.uint64(16)).astype(np.uint32), x.left[f], x.right[f], group.doc[f], group.place[f].astype(np.uint32))
+        body = pack(steps(i), (x.anchor[f] | x.span[f] << np.uint64(48)), (x.span[f] >> np.uint64(16)).astype(np.uint32), x.left[f], x.right[f], group.doc[f], *([group.place[f].astype(np.uint32)] if shape.by_place else []))
         rows.append((b, g, 0, len(i), body))
     return table(rows)
 
 
-def meet_spans(messages: pa.Table) -> pa.Table:
+def meet_spans(messages: pa.Table, shape: Shape) -> pa.Table:
     """Pass 1, in: for every group, which of its distinct spans occur earlier
-    elsewhere (DUP), and which need comparing window by window (FINE)."""
+    elsewhere (DUP), and which need comparing window by window (LEFT, RIGHT)."""
     cols, owner, gs = [], [], []
     for row, (g, n, body) in enumerate(zip(messages["g"].to_pylist(), messages["n"].to_pylist(), messages["body"].to_pylist(), strict=True)):
-        step, low, high, left, right, doc, place = unpack(body, n, np.uint32, np.uint64, np.uint32, np.uint16, np.uint16, np.int64, np.uint32)
-        cols.append((np.cumsum(step.astype(np.int64)), low & _LOW48, low >> np.uint64(48) | high.astype(np.uint64) << np.uint64(16), left, right, doc, place))
+        step, low, high, left, right, doc, *place = unpack(body, n, np.uint32, np.uint64, np.uint32, np.uint16, np.uint16, np.int64, *_places(shape))
+        cols.append((np.cumsum(step.astype(np.int64)), low & _LOW48, low >> np.uint64(48) | high.astype(np.uint64) << np.uint64(16), left, right, doc, place[0] if place else np.zeros(n, np.uint32)))
         owner.append(np.full(n, row))
         gs.append(g)
     at, anchor, span, left, right, doc, place = (np.concatenate(x) for x in zip(*cols, strict=True))
@@ -239,17 +242,21 @@ def meet_spans(messages: pa.Table) -> pa.Table:
     flag = np.zeros(len(order), np.uint8)
     flag[order[~new]] = DUP
     first = order[new]
-    shared = np.zeros(len(first), bool)
-    for digest in (left, right):  # another span with this anchor and this half
+    shared = np.zeros(len(first), np.uint8)
+    for side, digest in ((LEFT, left), (RIGHT, right)):  # another span with this anchor and this half
         key = anchor[first] << np.uint64(16) | digest[first].astype(np.uint64)
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
-        shared[by[1:][same]] = True
-        shared[by[:-1][same]] = True
-    flag[first[shared]] = FINE
+        shared[by[1:][same]] |= side
+        shared[by[:-1][same]] |= side  # no index twice within either list
+    flag[first] |= shared
     return _answers(gs, owner, at, flag)
 
 
+def _places(shape: Shape) -> list:
+    return [np.uint32] if shape.by_place else []
+
+
 def _answers(gs: list[int], owner: np.ndarray, at: np.ndarray, flag: np.ndarray, kind: int = 1) -> pa.Table:
     told = np.flatnonzero(flag)
     rows = []
@@ -277,16 +284,20 @@ def _windows(low: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return low[owner] + np.arange(int(ends[-1]) if len(ends) else 0) - (ends - counts)[owner], owner
 
 
-def _fine(group: Group, flag: np.ndarray):
-    entries = np.flatnonzero(flag == FINE)
+def _fine(group: Group, flag: np.ndarray, shape: Shape):
+    """The spans to compare by windows, and those windows: where, of which span."""
+    entries = np.flatnonzero(flag > DUP)
     f = group.first[entries]
     at, owner = _windows(group.spans.low[f], group.spans.more[f])
-    return entries, f, at, owner
+    before = group.spans.offset[f][owner] - (at - group.spans.low[f][owner])
+    side = flag[entries][owner]
+    use = ((before >= shape.half) & (side & LEFT > 0)) | ((shape.window - shape.gram - before >= shape.half) & (side & RIGHT > 0))
+    return entries, f, at[use], owner[use]
 
 
 def send_windows(group: Group, g: int, answers: pa.Table, shape: Shape, buckets: int) -> pa.Table:
     """Pass 2, out: the windows of the spans that need it."""
-    _, f, at, owner = _fine(group, _read_answers(answers, 1, len(group.first)))
+    _, f, at, owner = _fine(group, _read_answers(answers, 1, len(group.first)), shape)
     if not len(at):
         return table([])
     hashes = np.empty(len(at), np.uint64)
@@ -302,16 +313,16 @@ def send_windows(group: Group, g: int, answers: pa.Table, shape: Shape, buckets:
     place = group.place[f][owner] + at - group.spans.low[f][owner]
     rows = []
     for b, own in by_bucket(bucket_of(anchor, buckets), buckets):
-        rows.append((b, g, 0, len(own), pack(steps(own), anchor[own], hashes[own], doc[own], place[own].astype(np.uint32))))
+        rows.append((b, g, 0, len(own), pack(steps(own), anchor[own], hashes[own], doc[own], *([place[own].astype(np.uint32)] if shape.by_place else []))))
     return table(rows)
 
 
-def meet_windows(messages: pa.Table) -> pa.Table:
+def meet_windows(messages: pa.Table, shape: Shape) -> pa.Table:
     """Pass 2, in: which of these windows occur earlier."""
     cols, owner, gs = [], [], []
     for row, (g, n, body) in enumerate(zip(messages["g"].to_pylist(), messages["n"].to_pylist(), messages["body"].to_pylist(), strict=True)):
-        step, anchor, own, doc, place = unpack(body, n, np.uint32, np.uint64, np.uint64, np.int64, np.uint32)
-        cols.append((np.cumsum(step.astype(np.int64)), anchor, own, doc, place))
+        step, anchor, own, doc, *place = unpack(body, n, np.uint32, np.uint64, np.uint64, np.int64, *_places(shape))
+        cols.append((np.cumsum(step.astype(np.int64)), anchor, own, doc, place[0] if place else np.zeros(n, np.uint32)))
         owner.append(np.full(n, row))
         gs.append(g)
     at, anchor, own, doc, place = (np.concatenate(x) for x in zip(*cols, strict=True))
@@ -331,7 +342,7 @@ def covered(group: Group, answers: pa.Table, shape: Shape) -> np.ndarray:
     w, spans = shape.window, group.spans
     n = int(group.ends[-1]) if len(group.ends) else 0
     flag = _read_answers(answers, 1, len(group.first))
-    entries, f, at, owner = _fine(group, flag)
+    entries, f, at, owner = _fine(group, flag, shape)
     told = _read_answers(answers, 2, len(at))
     told = told >= (1 if shape.by_place else 2)
     # whole spans: those after the first of their kind, and all of a DUP
@@ -346,8 +357,8 @@ def covered(group: Group, answers: pa.Table, shape: Shape) -> np.ndarray:
         else:  # every occurrence of the span in that document
             number = np.full(len(group.first), -1)
             number[entries] = np.arange(len(entries))
-            kin = group.order[same & (flag[group.entry] == FINE)]
-            mine = number[group.entry[same & (flag[group.entry] == FINE)]]
+            kin = group.order[same & (flag[group.entry] > DUP)]
+            mine = number[group.entry[same & (flag[group.entry] > DUP)]]
             sizes = np.bincount(owner[hit], minlength=len(entries))
             begin = np.cumsum(sizes) - sizes
             reps = np.repeat(np.arange(len(kin)), sizes[mine])
@@ -356,8 +367,14 @@ def covered(group: Group, answers: pa.Table, shape: Shape) -> np.ndarray:
             low.append(spans.low[kin][reps] + offset[begin[mine][reps] + inner])
         stop.append(low[1] + w)
     low, stop = np.concatenate(low), np.concatenate(stop)
-    depth = np.bincount(low, minlength=n + 1) - np.bincount(stop, minlength=n + 1)
-    return np.cumsum(depth[:n]) > 0
+    order = np.argsort(low)
+    low, stop = low[order], np.maximum.accumulate(stop[order])
+    head = np.ones(len(low), bool)
+    head[1:] = low[1:] > stop[:-1]
+    marks = np.zeros(n + 1, np.int8)
+    marks[low[head]] = 1
+    marks[stop[np.append(head[1:], True)] if len(head) else stop] = -1
+    return np.cumsum(marks[:n], dtype=np.int8).view(bool)
 
 
 def grouped(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, int, int]:
@@ -395,7 +412,7 @@ def repeated_windows(rows: DataFrame, buckets: int, shape: Shape, load, result,
 
         def out1(t: pa.Table) -> pa.Table:
             t = in_order(t)
-            return send_spans(load(t), number(t), buckets)
+            return send_spans(load(t), number(t), shape, buckets)
 
         one = rows.groupBy("g").applyInArrow(out1, MESSAGE)
     else:
@@ -406,10 +423,10 @@ def repeated_windows(rows: DataFrame, buckets: int, shape: Shape, load, result,
                 return table([])
             t = in_order(t)
             group = load(t)
-            return send_spans(group, number(t), buckets, choose(group, m))
+            return send_spans(group, number(t), shape, buckets, choose(group, m))
 
         one = rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(out1_chosen, MESSAGE)
-    answers1 = one.groupBy("b").applyInArrow(meet_spans, MESSAGE)
+    answers1 = one.groupBy("b").applyInArrow(lambda m: meet_spans(m, shape), MESSAGE)
 
     def out2(t: pa.Table, m: pa.Table) -> pa.Table:
         if not t.num_rows or not m.num_rows:
@@ -418,7 +435,7 @@ def repeated_windows(rows: DataFrame, buckets: int, shape: Shape, load, result,
         return send_windows(load(t), number(t), m, shape, buckets)
 
     two = rows.groupBy("g").cogroup(answers1.groupBy("g")).applyInArrow(out2, MESSAGE)
-    answers2 = two.groupBy("b").applyInArrow(meet_windows, MESSAGE)
+    answers2 = two.groupBy("b").applyInArrow(lambda m: meet_windows(m, shape), MESSAGE)
 
     def out3(t: pa.Table, m: pa.Table) -> pa.Table:
         t = in_order(t)
