@@ -159,7 +159,7 @@ def mixture_sf(q: float, weights) -> float:
     w, q = w / scale, q / scale
     # the integrand falls as the product of (1 + w^2 u^2)^(1/4)
     top = 1.0
-    while 0.25 * np.log1p((w * top) ** 2).sum() + math.log(top) < 27 and top < 1e7:
+    while 0.25 * np.log1p((w * top) ** 2).sum() + math.log(top) < 15 and top < 1e7:
         top *= 1.5
     n = int(min(400_000, max(4000, 40 * top * (q + w.sum()) / math.pi)))
     u = (np.arange(n) + 0.5) * (top / n)
@@ -169,7 +169,7 @@ def mixture_sf(q: float, weights) -> float:
         x = np.outer(v, w)
         total += float((np.sin(0.5 * np.arctan(x).sum(1) - 0.5 * q * v) / (v * np.exp(0.25 * np.log1p(x * x).sum(1)))).sum())
     p = 0.5 + total * (top / n) / math.pi
-    return float(p) if 1e-7 < p < 1 else matched_sf(q, w)
+    return float(p) if 1e-5 < p < 1 else matched_sf(q, w)
 
 
 def matched_sf(q: float, weights) -> float:
