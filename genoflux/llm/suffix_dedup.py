@@ -58,12 +58,14 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 50, digit: int = 8, grou
     others and do not remove each other, nor do rows that share a doc_id.  Only
     doc_id and text are read.
     """
+    if not 2 <= digit < depth <= digit + 255:
+        raise ValueError("the depth must exceed the digit, by 255 at most")
     shape = Shape(depth, digit, False)
     rows, _, total = grouped(docs, group_bytes)
 
     def load(t: pa.Table) -> Group:
         raw, bounds = flat_utf8(t["text"])
-        return make_group(t["doc_id"].to_numpy(), bounds[1:], lambda a, b: _BYTES[raw[a:b]], shape)
+        return make_group(t["doc_id"].to_numpy(), bounds[1:], lambda a, b: _BYTES[raw[a:b]], shape, raw)
 
     def result(t: pa.Table, group: Group, gone: np.ndarray) -> pa.Table:
         raw, bounds = flat_utf8(t["text"])
@@ -77,4 +79,4 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 50, digit: int = 8, grou
             ["doc_id", "n_bytes", "n_removed", "removed", "kept"],
         )
 
-    return repeated_windows(rows, shares(total, bucket_bytes, 16), shape, load, result, _OUT)
+    return repeated_windows(rows, shares(total, bucket_bytes, 16), shape, load, result, _OUT, letters=_BYTES)

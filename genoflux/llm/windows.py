@@ -99,7 +99,6 @@ def find_spans(tokens: Callable[[int, int], np.ndarray], ends: np.ndarray, shape
     border may cut a span in two; that costs a comparison, never a match."""
     w, k, half = shape.window, shape.gram, shape.half
     total = int(ends[-1]) if len(ends) else 0
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     parts = []
     for s in range(0, total, _STEP):
         e = min(total, s + _STEP)
@@ -132,13 +131,12 @@ def find_spans(tokens: Callable[[int, int], np.ndarray], ends: np.ndarray, shape
         whole = grams[w]
         inner = join_hash(whole[low + at], whole[low + more + at])
         inner = join_hash(inner, (a - at - low).astype(np.uint64) * np.uint64(4096) + more.astype(np.uint64))
-        text = text[low]
-        rest = grams[half]
-        clear = a - half + first >= starts[text]
-        left = np.where(clear, rest[np.maximum(a - half, 0)], inner)
-        clear = a + k + half + first <= ends[text]
-        right = np.where(clear, rest[np.minimum(a + k, len(rest) - 1)], inner * _C2)
-        parts.append((low + s, more, grams[k][a] & _LOW48, inner >> np.uint64(16), (a - at - low).astype(np.int16), (left >> np.uint64(48)).astype(np.uint16), (right >> np.uint64(48)).astype(np.uint16)))
+        # a half counts only if a window of the span reaches so far; then it lies in the
+        # span, and the two digests are part of the span's identity
+        rest, offset = grams[half], a - at - low
+        left = np.where(offset >= half, rest[np.maximum(a - half, 0)], inner * _C1)
+        right = np.where(offset - more <= w - k - half, rest[np.minimum(a + k, len(rest) - 1)], inner * _C2)
+        parts.append((low + s, more, grams[k][a] & _LOW48, inner >> np.uint64(16), offset.astype(np.int16), (left >> np.uint64(48)).astype(np.uint16), (right >> np.uint64(48)).astype(np.uint16)))
     if not parts:
         none = np.zeros(0, np.int64)
         return Spans(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.int16), none.astype(np.uint16), none.astype(np.uint16))
@@ -158,9 +156,10 @@ class Group:
     order: np.ndarray  # spans sorted by content, then position
     entry: np.ndarray  # number of the distinct span, along order
     first: np.ndarray  # the earliest span of each distinct one
+    raw: np.ndarray | None = None  # the texts' bytes, where those are the tokens
 
 
-def make_group(ids: np.ndarray, ends: np.ndarray, tokens, shape: Shape) -> Group:
+def make_group(ids: np.ndarray, ends: np.ndarray, tokens, shape: Shape, raw: np.ndarray | None = None) -> Group:
     spans = find_spans(tokens, ends, shape)
     text = np.searchsorted(ends, spans.low, "right")
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -172,7 +171,7 @@ def make_group(ids: np.ndarray, ends: np.ndarray, tokens, shape: Shape) -> Group
     a, s = spans.anchor[order], spans.span[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-    return Group(ids, ends, tokens, spans, doc, place, order, np.cumsum(new) - 1, order[new])
+    return Group(ids, ends, tokens, spans, doc, place, order, np.cumsum(new) - 1, order[new], raw)
 
 
 # Message bodies: columns one after another, each as byte planes, which compress well.
@@ -235,6 +234,7 @@ def meet_spans(messages: pa.Table, shape: Shape) -> pa.Table:
         gs.append(g)
     at, anchor, span, left, right, doc, place = (np.concatenate(x) for x in zip(*cols, strict=True))
     owner = np.concatenate(owner)
+    span = span << np.uint64(16) | (left ^ (right * np.uint16(40503))).astype(np.uint64)
     order = np.lexsort((place, doc, span, anchor))
     a, s = anchor[order], span[order]
     new = np.ones(len(order), bool)
@@ -291,15 +291,32 @@ def _fine(group: Group, flag: np.ndarray, shape: Shape):
     at, owner = _windows(group.spans.low[f], group.spans.more[f])
     before = group.spans.offset[f][owner] - (at - group.spans.low[f][owner])
     side = flag[entries][owner]
-    use = ((before >= shape.half) & (side & LEFT > 0)) | ((shape.window - shape.gram - before >= shape.half) & (side & RIGHT > 0))
+    use = _used(before, side, shape)
     return entries, f, at[use], owner[use]
 
 
+def _used(before: np.ndarray, side: np.ndarray, shape: Shape) -> np.ndarray:
+    """Windows with ``before`` tokens ahead of the anchor that reach a shared half."""
+    return ((before >= shape.half) & (side & LEFT > 0)) | ((shape.window - shape.gram - before >= shape.half) & (side & RIGHT > 0))
+
+
 def send_windows(group: Group, g: int, answers: pa.Table, shape: Shape, buckets: int) -> pa.Table:
-    """Pass 2, out: the windows of the spans that need it."""
-    _, f, at, owner = _fine(group, _read_answers(answers, 1, len(group.first)), shape)
+    """Pass 2, out: the windows of the spans that need it, as hashes; or, where tokens
+    are bytes, the bytes of those spans, which are fewer than their windows' hashes."""
+    flag = _read_answers(answers, 1, len(group.first))
+    entries, f, at, owner = _fine(group, flag, shape)
     if not len(at):
         return table([])
+    x, rows = group.spans, []
+    if group.raw is not None:
+        base = np.searchsorted(owner, np.arange(len(entries)))
+        for b, own in by_bucket(bucket_of(x.anchor[f], buckets), buckets):
+            i = f[own]
+            size = x.more[i] + shape.window
+            stop = np.cumsum(size)
+            text = group.raw[np.repeat(x.low[i] - stop + size, size) + np.arange(int(stop[-1]))]
+            rows.append((b, g, 0, len(own), pack(steps(base[own]), x.more[i].astype(np.uint8), x.offset[i].astype(np.uint8), flag[entries[own]], group.doc[i]) + text.tobytes()))
+        return table(rows)
     hashes = np.empty(len(at), np.uint64)
     by = np.argsort(at, kind="stable")
     total, w = int(group.ends[-1]), shape.window
@@ -308,22 +325,40 @@ def send_windows(group: Group, g: int, answers: pa.Table, shape: Shape, buckets:
         if j > i:
             own = by[i:j]
             hashes[own] = Grams(group.tokens(s, min(total, s + _STEP + w)))[w][at[own] - s]
-    anchor = group.spans.anchor[f][owner]
+    anchor = x.anchor[f][owner]
     doc = group.doc[f][owner]
-    place = group.place[f][owner] + at - group.spans.low[f][owner]
-    rows = []
+    place = group.place[f][owner] + at - x.low[f][owner]
     for b, own in by_bucket(bucket_of(anchor, buckets), buckets):
-        rows.append((b, g, 0, len(own), pack(steps(own), anchor[own], hashes[own], doc[own], *([place[own].astype(np.uint32)] if shape.by_place else []))))
+        rows.append((b, g, 0, len(own), pack(steps(own), anchor[own], hashes[own], doc[own], place[own].astype(np.uint32))))
     return table(rows)
 
 
-def meet_windows(messages: pa.Table, shape: Shape) -> pa.Table:
-    """Pass 2, in: which of these windows occur earlier."""
+def _from_bytes(body: bytes, n: int, shape: Shape, letters: np.ndarray) -> list[np.ndarray]:
+    """Number, anchor, hash, doc_id and place (0) of each window of a message of bytes."""
+    step, more, offset, side, doc = unpack(body, n, np.uint32, np.uint8, np.uint8, np.uint8, np.int64)
+    base, more, offset = np.cumsum(step.astype(np.int64)), more.astype(np.int64), offset.astype(np.int64)
+    raw = np.frombuffer(body, np.uint8)[n * 15 :]
+    stop = np.cumsum(more + shape.window)
+    at, owner = _windows(stop - more - shape.window, more)
+    start = (stop - more - shape.window)[owner]
+    use = _used(offset[owner] - (at - start), side[owner], shape)
+    at, owner, start = at[use], owner[use], start[use]
+    grams = Grams(letters[raw])
+    number = base[owner] + np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return [number, grams[shape.gram][start + offset[owner]], grams[shape.window][at], doc[owner], np.zeros(len(at), np.uint32)]
+
+
+def meet_windows(messages: pa.Table, shape: Shape, letters: np.ndarray | None = None) -> pa.Table:
+    """Pass 2, in: which of these windows occur earlier.  ``letters``: tokens of bytes."""
     cols, owner, gs = [], [], []
     for row, (g, n, body) in enumerate(zip(messages["g"].to_pylist(), messages["n"].to_pylist(), messages["body"].to_pylist(), strict=True)):
-        step, anchor, own, doc, *place = unpack(body, n, np.uint32, np.uint64, np.uint64, np.int64, *_places(shape))
-        cols.append((np.cumsum(step.astype(np.int64)), anchor, own, doc, place[0] if place else np.zeros(n, np.uint32)))
-        owner.append(np.full(n, row))
+        if letters is not None:
+            own = _from_bytes(body, n, shape, letters)
+        else:
+            own = unpack(body, n, np.uint32, np.uint64, np.uint64, np.int64, np.uint32)
+            own[0] = np.cumsum(own[0].astype(np.int64))
+        cols.append(own)
+        owner.append(np.full(len(own[0]), row))
         gs.append(g)
     at, anchor, own, doc, place = (np.concatenate(x) for x in zip(*cols, strict=True))
     order = np.lexsort((place, doc, own, anchor))
@@ -397,12 +432,13 @@ def in_order(rows: pa.Table) -> pa.Table:
     return rows
 
 
-def repeated_windows(rows: DataFrame, buckets: int, shape: Shape, load, result, schema: str, first: tuple | None = None) -> DataFrame:
+def repeated_windows(rows: DataFrame, buckets: int, shape: Shape, load, result, schema: str, first: tuple | None = None, letters: np.ndarray | None = None) -> DataFrame:
     """The passes over grouped rows (see ``grouped``).
 
     ``load(table)``: a Group of a table in order; ``result(table, group, covered)``:
     the rows to return.  ``first``: (messages, choose) where messages go to the
     groups before pass 1 and ``choose(group, messages)`` names the spans that go on.
+    ``letters``: tokens of the 256 bytes, where groups hold their raw bytes.
     """
 
     def number(t: pa.Table) -> int:
@@ -435,7 +471,7 @@ def repeated_windows(rows: DataFrame, buckets: int, shape: Shape, load, result,
         return send_windows(load(t), number(t), m, shape, buckets)
 
     two = rows.groupBy("g").cogroup(answers1.groupBy("g")).applyInArrow(out2, MESSAGE)
-    answers2 = two.groupBy("b").applyInArrow(lambda m: meet_windows(m, shape), MESSAGE)
+    answers2 = two.groupBy("b").applyInArrow(lambda m: meet_windows(m, shape, letters), MESSAGE)
 
     def out3(t: pa.Table, m: pa.Table) -> pa.Table:
         t = in_order(t)
