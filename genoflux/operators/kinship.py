@@ -130,3 +130,13 @@ def rescale(k: np.ndarray) -> np.ndarray:
 def as_rows(spark, k: np.ndarray) -> DataFrame:
     i, j = np.indices(k.shape)
     return spark.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "k": k.ravel()}), "i long, j long, k double")
+
+
+def local_ibs(calls: DataFrame, width: int, scale: float = 2.0) -> DataFrame:
+    """``ibs`` of each half-overlapping tiling window: chr, start, i, j, k, n (i < j)."""
+    from .variants import in_tiling_windows
+
+    rows = in_tiling_windows(calls.where("dosage is not null"), width)
+    a = rows.select("chr", "start", "pos", F.col("sample_id").alias("i"), F.col("dosage").alias("a"))
+    b = rows.select("chr", "start", "pos", F.col("sample_id").alias("j"), F.col("dosage").alias("b"))
+    return a.join(b, ["chr", "start", "pos"]).where("i < j").groupBy("chr", "start", "i", "j").agg(F.avg(1 - F.abs(F.col("a") - F.col("b")) / scale).alias("k"), F.count("*").alias("n"))

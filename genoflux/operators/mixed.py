@@ -210,3 +210,192 @@ def trait_array(traits: DataFrame, n: int) -> np.ndarray:
     for r in traits.where(F.col("y").isNotNull()).collect():
         out[r["ordinal"]] = r["y"]
     return out
+
+
+def chosen_variants(variants: DataFrame, sites: list[tuple[int, int]], use: np.ndarray) -> np.ndarray:
+    """Genotypes of a few sites (at most 64), rows in their order, missing calls at the mean."""
+    if len(sites) > 64:
+        raise ValueError("more sites than a joint model should have")
+    at = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).cast("long").alias("p")) for c, p in sites])
+    rows = variants.where(F.array_contains(at, F.struct(F.col("chr").alias("c"), F.col("pos").cast("long").alias("p")))).select("chr", "pos", "g").collect()
+    found = {(r["chr"], r["pos"]): np.array([np.nan if v is None else v for v in r["g"]], float)[use] for r in rows}
+    missing = [s for s in sites if s not in found]
+    if missing:
+        raise ValueError(f"no variant at {missing[0]}")
+    g = np.array([found[s] for s in sites])
+    mean = np.nanmean(g, axis=1, keepdims=True)
+    return np.where(np.isnan(g), mean, g)
+
+
+def joint_model(variants: DataFrame, y: np.ndarray, k: np.ndarray, sites: list[tuple[int, int]]) -> dict:
+    """Joint fixed effects of a few variants under the null model's transformation: coef, se,
+    p in order of the intercept and the sites, sd_err, adj_r2."""
+    from .lm import least_squares
+
+    use, y, k = _aligned(y, k)
+    k = rescale(k)
+    fit = L.reml(y, np.ones((len(y), 1)), k)
+    t = L.decorrelation(k, fit.delta)
+    x = np.column_stack([t @ np.ones(len(y)), t @ chosen_variants(variants, sites, use).T])
+    b, se, sd, adj = least_squares(x, t @ y)
+    return {"n": len(y), "coef": b, "se": se, "p": t_two_sided(b / np.where(se > 0, se, np.nan), max(1, len(y) - x.shape[1])), "sd_err": sd, "adj_r2": adj}
+
+
+def forward_mixed(variants: DataFrame, y: np.ndarray, k: np.ndarray, rounds: int, p_limit: float = 1.0) -> DataFrame:
+    """Forward selection under the mixed model: round, chr, pos, adj_r2.
+
+    Each round is one pass: tasks return the variant that, with those chosen before,
+    explains most; only one row a task comes back."""
+    use, y, k = _aligned(y, k)
+    k = rescale(k)
+    t = L.decorrelation(k, L.reml(y, np.ones((len(y), 1)), k).delta)
+    spark, design, out = variants.sparkSession, [t @ np.ones(len(y))], []
+    t_y, n = t @ y, len(y)
+    schema = "chr int, pos long, adj_r2 double, p double, x array<double>"
+
+    for r in range(1, rounds + 1):
+        q, _ = np.linalg.qr(np.column_stack(design))
+        held = spark.sparkContext.broadcast((use, t, t_y - q @ (q.T @ t_y), q))
+        total = float(((t_y - design[0] * (design[0] @ t_y) / (design[0] @ design[0])) ** 2).sum())
+        df = n - len(design) - 1
+
+        def run(batches, held=held, total=total, df=df):
+            use, t, rest, q = held.value
+            best = None
+            for batch in batches:
+                g, varies, _ = _batch(batch, use)
+                x = g @ t.T
+                free = x - (x @ q) @ q.T
+                size = (free * free).sum(1)
+                ok = varies & (size > 1e-9 * (x * x).sum(1))
+                gain = np.where(ok, (free @ rest) ** 2 / np.where(ok, size, 1), -1)
+                i = int(np.argmax(gain)) if len(gain) else -1
+                if i >= 0 and gain[i] >= 0 and (best is None or gain[i] > best[0]):
+                    rss = max(float(rest @ rest) - gain[i], 1e-300)
+                    best = (gain[i], batch["chr"][i].as_py(), batch["pos"][i].as_py(), 1 - rss / total * (n - 1) / df, float(t_two_sided(np.sqrt(gain[i] / (rss / df)), df)), x[i].tolist())
+            if best:
+                yield pa.RecordBatch.from_pylist([dict(zip(("chr", "pos", "adj_r2", "p", "x"), best[1:], strict=True))], pa.schema([("chr", pa.int32()), ("pos", pa.int64()), ("adj_r2", pa.float64()), ("p", pa.float64()), ("x", pa.list_(pa.float64()))]))
+
+        top = variants.select("chr", "pos", "g").mapInArrow(run, schema).orderBy(F.desc("adj_r2"), "chr", "pos").first()
+        if top is None or top["p"] > p_limit:
+            break
+        out.append((r, top["chr"], top["pos"], top["adj_r2"]))
+        design.append(np.array(top["x"]))
+    return spark.createDataFrame(out, "round int, chr int, pos long, adj_r2 double")
+
+
+def low_rank_scan(variants: DataFrame, y: np.ndarray, terms: np.ndarray) -> DataFrame:
+    """Scan with K = terms terms' of low rank: delta is the null model's, and only the
+    singular vectors are rotated by: chr, pos, coef, t2, pvalue."""
+    use = np.flatnonzero(~np.isnan(y))
+    y, terms = y[use], terms[use]
+    one = np.ones((len(y), 1))
+    fit = L.low_rank_ml(y, one, terms)
+    u, s, _ = np.linalg.svd(terms, full_matrices=False)
+    keep = s > s.max(initial=0) * 1e-9
+    u, shrink = u[:, keep], 1 / np.sqrt(s[keep] ** 2 + fit.delta) - 1 / np.sqrt(fit.delta)
+    held = variants.sparkSession.sparkContext.broadcast((use, u, shrink, fit.delta, y))
+
+    def run(batches):
+        use, u, shrink, delta, y = held.value
+        turn = lambda m: m / np.sqrt(delta) + ((m @ u) * shrink) @ u.T
+        t_y, t_one = turn(y[None])[0], turn(np.ones((1, len(y))))[0]
+        for batch in batches:
+            g, varies, _ = _batch(batch, use)
+            r = transformed_ols(turn(g), t_one, t_y)
+            keep = np.flatnonzero(varies & r["ok"])
+            p = np.asarray(t_two_sided(np.sqrt(r["t2"][keep]), len(y) - 2), float)
+            yield pa.RecordBatch.from_arrays([batch["chr"].take(pa.array(keep)), batch["pos"].take(pa.array(keep)), pa.array(r["coef"][keep]), pa.array(r["t2"][keep]), pa.array(p)], ["chr", "pos", "coef", "t2", "pvalue"])
+
+    return variants.select("chr", "pos", "g").mapInArrow(run, "chr int, pos long, coef double, t2 double, pvalue double")
+
+
+def local_grid(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[str], step: float = 0.1) -> DataFrame:
+    """loglik and h2 of each window for each weight alpha of its own kinship beside K: by,
+    alpha, loglik, h2.  A grid of tenths, then hundredths around the best."""
+    use, y, k = _aligned(y, k)
+    held = sites.sparkSession.sparkContext.broadcast((use, y, rescale(k)))
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    keys = [(f.name, kinds[f.dataType.simpleString()]) for f in sites.select(*by).schema]
+    schema = pa.schema([*keys, ("alpha", pa.float64()), ("loglik", pa.float64()), ("h2", pa.float64())])
+
+    def run(key, rows):
+        use, y, k = held.value
+        g, varies, _ = _batch(rows.combine_chunks().to_batches()[0], use)
+        g = g[varies]
+        if len(g) < 2:
+            return schema.empty_table()
+        z = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True)
+        own = rescale(z.T @ z / len(z))
+        one = np.ones((len(y), 1))
+
+        def at(alpha):
+            values, vectors = L.descending(alpha * own + (1 - alpha) * k)
+            return L.ml(vectors.T @ y, vectors.T @ one, np.maximum(values, 0))
+
+        fits = {round(a, 4): at(a) for a in np.arange(0, 1 + step / 2, step)}
+        best = max(fits, key=lambda a: fits[a].loglik)
+        for i in range(-5, 6):
+            a = round(best + i * step / 10, 4)
+            if 0 <= a <= 1 and a not in fits:
+                fits[a] = at(a)
+        name = {f: v.as_py() for (f, _), v in zip(keys, key, strict=True)}
+        return pa.Table.from_pylist([{**name, "alpha": a, "loglik": f.loglik, "h2": f.h2} for a, f in sorted(fits.items())], schema)
+
+    text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sites.select(*by).schema)
+    return sites.select(*by, "g").groupBy(*by).applyInArrow(run, f"{text}, alpha double, loglik double, h2 double")
+
+
+def combined_blup(k: np.ndarray, local: list[np.ndarray], shares: list[float], y: np.ndarray, h2: float) -> dict[str, np.ndarray]:
+    """Predictions from the global kinship, each local one, their sum, one weighted kinship,
+    and a regression of the trait on all predictions (fitted on the known samples)."""
+    known = ~np.isnan(y)
+    whole = blup(k, y, h2)
+    parts = [blup(m, y, s) for m, s in zip(local, shares, strict=True)]
+    rest = max(0.0, 1 - sum(shares))
+    mixed = rest * k + sum(s * m for s, m in zip(shares, local, strict=True))
+    x = np.column_stack([np.ones(len(y)), whole, *parts])
+    b, *_ = np.linalg.lstsq(x[known], y[known], rcond=None)
+    return {"global": whole, "sum": whole + sum(p - y[known].mean() for p in parts), "weighted": blup(mixed, y, h2), "regression": x @ b}
+
+
+def predict_by_markers(variants: DataFrame, y: np.ndarray, sites: list[tuple[int, int]], seed: int = 3, test_share: float = 0.3) -> dict:
+    """Multiple regression on chosen variants, fitted on a hashed part of the samples;
+    predictions and their correlation with the trait on the rest."""
+    use = np.flatnonzero(~np.isnan(y))
+    g = chosen_variants(variants, sites, use)
+    test = np.random.default_rng(seed).random(len(use)) < test_share
+    x = np.column_stack([np.ones(len(use)), g.T])
+    b, *_ = np.linalg.lstsq(x[~test], y[use][~test], rcond=None)
+    predicted = x[test] @ b
+    r = float(np.corrcoef(predicted, y[use][test])[0, 1]) if test.sum() > 2 else float("nan")
+    return {"ordinal": use[test], "predicted": predicted, "r": r}
+
+
+def permutation_p_mixed(variants: DataFrame, y: np.ndarray, k: np.ndarray, rounds: int, seed: int = 1) -> DataFrame:
+    """chr, pos, p: share of permuted (transformed) traits with a t2 at least the observed
+    one.  All rounds of a batch are one matrix product."""
+    use, y, k = _aligned(y, k)
+    k = rescale(k)
+    t = L.decorrelation(k, L.reml(y, np.ones((len(y), 1)), k).delta)
+    t_one, t_y = t @ np.ones(len(y)), t @ y
+    rest = t_y - t_one * (t_one @ t_y) / (t_one @ t_one)
+    rng = np.random.default_rng(seed)
+    shuffled = np.stack([rest, *(rng.permutation(rest) for _ in range(rounds))])
+    held = variants.sparkSession.sparkContext.broadcast((use, t, t_one, shuffled))
+
+    def run(batches):
+        use, t, t_one, traits = held.value
+        base = t_one / np.sqrt(t_one @ t_one)
+        traits = traits - np.outer(traits @ base, base)
+        for batch in batches:
+            g, varies, _ = _batch(batch, use)
+            x = g @ t.T
+            x = x - np.outer(x @ base, base)
+            size = (x * x).sum(1)
+            keep = np.flatnonzero(varies & (size > 1e-12))
+            r2 = (x[keep] @ traits.T) ** 2 / size[keep, None] / (traits * traits).sum(1)
+            p = (r2[:, 1:] >= r2[:, :1]).mean(1)
+            yield pa.RecordBatch.from_arrays([batch["chr"].take(pa.array(keep)), batch["pos"].take(pa.array(keep)), pa.array(p)], ["chr", "pos", "p"])
+
+    return variants.select("chr", "pos", "g").mapInArrow(run, "chr int, pos long, p double")

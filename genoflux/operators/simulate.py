@@ -175,3 +175,44 @@ def paired_power(hits: DataFrame) -> DataFrame:
     per = hits.groupBy("round", "compound_id").agg(F.bool_or("hit").alias("e"), (F.bool_or(F.col("hit") & (F.col("part") == 1)) & F.bool_or(F.col("hit") & (F.col("part") == 2))).alias("b"))
     rounds = per.groupBy("round").agg(F.bool_or("e").alias("e"), F.bool_or("b").alias("b"))
     return rounds.agg(F.count("*").alias("n_rounds"), (F.count_if("e") / F.count("*")).alias("either"), (F.count_if("b") / F.count("*")).alias("both"))
+
+
+def effects(sites: DataFrame, kind: str, seed: int, decay: float = 0.95) -> DataFrame:
+    """chr, pos, effect of causal sites: normal (infinitesimal), decay (powers in the order of
+    a hash), signed (decay with a random sign)."""
+    if kind == "normal":
+        return sites.select("chr", "pos", normal(seed, "chr", "pos").alias("effect"))
+    turn = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(seed), "chr", "pos"), "chr", "pos")  # the causal sites
+    size = F.pow(F.lit(decay), F.row_number().over(turn) - 1)
+    sign = F.when(uniform(seed + 7, "chr", "pos") < 0.5, -1.0).otherwise(1.0) if kind == "signed" else F.lit(1.0)
+    return sites.select("chr", "pos", (size * sign).alias("effect"))
+
+
+def top_effects(models: DataFrame, n: int) -> DataFrame:
+    """The ``n`` variants with the largest absolute weight."""
+    return models.orderBy(F.desc(F.abs("weight")), "chr", "pos").limit(n)
+
+
+def evenly_spaced(sites: DataFrame, n: int) -> DataFrame:
+    """``n`` sites of each chromosome, evenly spread in order of position."""
+    order = Window.partitionBy("chr").orderBy("pos")
+    count = sites.groupBy("chr").agg(F.count("*").alias("_n"))
+    rows = sites.withColumn("_k", F.row_number().over(order) - 1).join(count, "chr")
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / n))
+    return rows.where((F.col("_k") % step == 0) & (F.col("_k") / step < n)).drop("_k", "_n")
+
+
+def draw_study(people: DataFrame, carriers: DataFrame, prevalence: float, penetrance: float, cases: int, controls: int, rounds: int, seed: int) -> DataFrame:
+    """round, id, is_case: a case-control draw of each round.
+
+    ``people``: id, family; ``carriers``: id of those who carry a causal mutation.  A
+    carrier is ill with ``penetrance``, others with ``prevalence``; one person a family
+    is drawn, in the order of a hash, until there are enough of either kind."""
+    own = people.join(carriers.select("id", F.lit(True).alias("carries")).distinct(), "id", "left")
+    tries = own.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    risk = F.when(F.col("carries"), penetrance).otherwise(prevalence)
+    tries = tries.withColumn("is_case", uniform(seed, "round", "id") < risk)
+    first = tries.groupBy("round", "family").agg(F.min_by(F.struct("id", "is_case"), F.xxhash64(F.lit(seed + 3), "round", "id")).alias("x")).select("round", "x.id", "x.is_case")
+    turn = Window.partitionBy("round", "is_case").orderBy(F.xxhash64(F.lit(seed + 5), "round", "id"), "id")
+    wanted = F.when(F.col("is_case"), cases).otherwise(controls)
+    return first.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= wanted).drop("k")

@@ -138,3 +138,38 @@ def clusters(rows: DataFrame, features: str, ks: list[int], seed: int = 1) -> Da
         worst = [max([(spread[i] + spread[j]) / max(math.dist(centres[i], centres[j]), 1e-300) for j in ids if j != i], default=0.0) for i in ids]
         out.append((k, float(np.mean(worst))))
     return rows.sparkSession.createDataFrame(out, "k int, dbi double")
+
+
+def best_transform(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with transformed: of log, exp, sqrt, square and the value itself, the one
+    closest to normal (smallest distance of ``ks_normal``); a shift makes values
+    positive where the smallest is not.  exp is of the standardised value."""
+    m = rows.agg(F.min(value).alias("lo"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).first()
+    shift = 0.0 if m["lo"] is None or m["lo"] > 0 else 1.0 - m["lo"]
+    v = F.col(value) + shift
+    z = (F.col(value) - (m["mean"] or 0.0)) / (m["sd"] or 1.0)
+    choices = {"none": F.col(value), "log": F.log(v), "exp": F.exp(z), "sqrt": F.sqrt(v), "square": v * v}
+    gaps = {k: ks_normal(rows.select(c.alias("_x")), "_x").first() for k, c in choices.items()}
+    best = min((k for k in choices if gaps[k] is not None and gaps[k]["d"] is not None), key=lambda k: gaps[k]["d"], default="none")
+    return rows.withColumn("transformed", choices[best]).withColumn("transform", F.lit(best))
+
+
+def normalized_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column divided by its sum (null where the sum is 0)."""
+    t = rows.agg(*[F.sum(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    return rows.join(F.broadcast(t)).withColumns({c: F.col(c) / F.nullif(F.col(f"_{i}"), F.lit(0.0)) for i, c in enumerate(columns)}).drop(*[f"_{i}" for i in range(len(columns))])  # one row
+
+
+def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
+    """bin, low, high, n of equal bins between the smallest and the largest value."""
+    t = rows.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    own = rows.where(F.col(value).isNotNull()).join(F.broadcast(t))  # one row
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / width))).otherwise(0)
+    return own.groupBy(at.cast("long").alias("bin"), (F.col("lo") + at * width).alias("low"), (F.col("lo") + (at + 1) * width).alias("high")).agg(F.count("*").alias("n"))
+
+
+def jackknife(rows: DataFrame, id_: str, rounds: int, share: float, seed: int = 2) -> DataFrame:
+    """``rows`` once for each round (column round), each without a hashed share of the ids."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), "round", id_), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    return rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).where(u >= share)

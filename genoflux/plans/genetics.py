@@ -722,3 +722,67 @@ def proximity_clusters(spark, sf_dir):
 
 
 
+
+
+@register("""q as (select chr, max(pos) as last from calls group by chr),
+w as (select chr, s from q, unnest(generate_series(cast(1 as bigint), last - 1, 100000)) as u(s)),
+c as (select w.chr, w.s, pos, sample_id, dosage from calls join w on w.chr = calls.chr and pos between s and s + 199999 where dosage is not null)
+select a.chr, a.s as "start", a.sample_id as i, b.sample_id as j, round(avg(1 - abs(a.dosage - b.dosage) / 2.0::double), 8) + 0.0 as k, count(*) as n
+from c a join c b on a.chr = b.chr and a.s = b.s and a.pos = b.pos and a.sample_id < b.sample_id group by 1, 2, 3, 4""")
+def window_ibs(spark, sf_dir):
+    return kinship.local_ibs(fx.calls(spark, sf_dir), 200_000).select("chr", "start", "i", "j", r("k", 8).alias("k"), "n")
+
+
+@register()
+def emmax_forward(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.forward_mixed(v, _array_trait(spark, sf_dir), kinship.gram(v), 3)
+
+
+@register()
+def low_rank_scan(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    values, vectors = np.linalg.eigh(kinship.gram(v))
+    return mixed.low_rank_scan(v, _array_trait(spark, sf_dir), vectors[:, -16:] * np.sqrt(np.maximum(values[-16:], 0)))
+
+
+@register()
+def local_alpha_grid(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    windows = variants.in_tiling_windows(v, 120_000)
+    return mixed.local_grid(windows, _array_trait(spark, sf_dir), kinship.gram(v), ["chr", "start"], 0.2)
+
+
+@register()
+def emmax_permutation(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.permutation_p_mixed(v, _array_trait(spark, sf_dir), kinship.gram(v), 200)
+
+
+@register()
+def trait_transform(spark, sf_dir):
+    return stats.best_transform(fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "transform", r("transformed", 4).alias("transformed"))
+
+
+@register("""q as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders)
+select cast(least(9, floor((o_totalprice - lo) / ((hi - lo) / 10))) as bigint) as bin, count(*) as n from orders, q group by 1""")
+def price_histogram(spark, sf_dir):
+    return stats.histogram(fx.table(spark, sf_dir, "orders"), "o_totalprice", 10).select("bin", "n")
+
+
+@register("""q as (select chr, pos, row_number() over (partition by chr order by pos) - 1 as k, count(*) over (partition by chr) as n from (select distinct chr, pos from calls))
+select chr, pos from q where k % greatest(1, n // 10) = 0 and k // greatest(1, n // 10) < 10""")
+def evenly_spaced(spark, sf_dir):
+    return simulate.evenly_spaced(fx.calls(spark, sf_dir).select("chr", "pos").distinct(), 10).select("chr", "pos")
+
+
+@register("select gene, chr, pos, weight from models order by abs(weight) desc, chr, pos limit 15")
+def top_effects(spark, sf_dir):
+    return simulate.top_effects(fx.models(spark, sf_dir), 15).select("gene", "chr", "pos", "weight")
+
+
+@register()
+def drawn_study(spark, sf_dir):
+    people = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).alias("family"))
+    carriers = fx.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
+    return simulate.draw_study(people, carriers, 0.02, 0.6, 50, 50, 5, 9)
