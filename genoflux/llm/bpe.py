@@ -131,7 +131,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     opens.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(_vocabulary(docs, ranks_path))
+    held = spark.sparkContext.broadcast(_vocabulary(ranks_path))
 
     def run(batches):
         replay = MergeReplay(held.value)
@@ -155,7 +155,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     Null ids decode to no bytes; an id without a token is an error."""
     spark = encoded.sparkSession
-    held = spark.sparkContext.broadcast(_vocabulary(encoded, ranks_path))
+    held = spark.sparkContext.broadcast(_vocabulary(ranks_path))
 
     def run(batches):
         names = sorted(held.value.items(), key=lambda x: x[1])
@@ -195,7 +195,7 @@ def binary_rows(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def _vocabulary(df: DataFrame, path: str) -> dict[bytes, int]:
+def _vocabulary(path: str) -> dict[bytes, int]:
     """The ranks; a vocabulary is of fixed size, whatever the corpus is."""
     with open(path, "rb") as f:
         return read_ranks(f)

@@ -104,6 +104,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        b as (select doc_id, p, substr(h, 2 * p + 1, 2) as byte, case when 2 * p + 100 <= length(h) then substr(h, 2 * p + 1, 100) end as w
+          from d, unnest(range(length(h) // 2)) as u(p)),
+        f as (select w, min(doc_id) as first_doc from b where w is not null group by w having count(*) > 1),
+        r as (select b.doc_id, b.p, b.byte, coalesce(f.first_doc < b.doc_id, false) as starts from b left join f on f.w = b.w),
+        c as (select doc_id, p, byte, max(starts) over (partition by doc_id order by p rows between 49 preceding and current row) as gone from r),
+        e as (select doc_id, p, byte, gone, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as head from c),
+        g as (select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where head) as n_spans,
+            coalesce(string_agg(byte, '' order by p) filter (where not gone), '') as kept from e group by doc_id)
+        select d.doc_id, length(d.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+        from d left join g on g.doc_id = d.doc_id""",
+    "op9_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        b as (select doc_id, p, words[p] as word, case when p + 19 <= len(words) then array_to_string(words[p:p + 19], ' ') end as w
+          from d, unnest(range(1, len(words) + 1)) as u(p)),
+        f as (select *, w is not null and row_number() over (partition by w order by doc_id, p) > 1 as starts from b),
+        c as (select doc_id, p, word, max(starts) over (partition by doc_id order by p rows between 19 preceding and current row) as gone from f),
+        g as (select doc_id, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by p) filter (where not gone), '') as kept from c group by doc_id)
+        select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from d left join g on g.doc_id = d.doc_id""",
     "op7_top_k": """
         with w as (
           select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v

@@ -26,37 +26,41 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LANES = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = SEED, step: int = 1 << 17) -> int:
-    """64-bit SimHash of the shingles of one text (UTF-8), repeats included.
+def fingerprint(text: bytes, width: int = 3, seeds: tuple[int, ...] = (SEED,), step: int = 1 << 17) -> list[int]:
+    """64-bit SimHash of the shingles of one text (UTF-8), repeats included, for each seed.
 
     Bit i is set if more than half of the shingles' XXH64 have it set.  Fewer
     words than ``width`` make one shingle; no words give 0."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((len(seeds), 64), np.int64)
     for a in range(0, n, step):
         b = min(n, a + step)
         first, last = starts[a:b].tolist(), ends[min(a + width, len(words)) - 1 :][: b - a].tolist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[s:e] for s, e in zip(first, last, strict=True)], repeat(seed)), np.uint64, b - a)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+        shingles = [joined[s:e] for s, e in zip(first, last, strict=True)]
+        for i, seed in enumerate(seeds):
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, b - a)
+            counts[i] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(c * 2 > n, bitorder="little").tobytes(), "little") for c in counts]
 
 
 def fingerprints(docs: DataFrame, width: int = 3, second: bool = False) -> DataFrame:
     """doc_id, fp and other (signed 64-bit integers) of each row; null texts count as
     empty.  ``other`` is a second fingerprint, with another seed, or 0."""
+    seeds = (SEED, SEED + 1) if second else (SEED,)
 
     def run(batches):
         for batch in batches:
             raw, bounds = flat_utf8(batch["text"])
-            texts = [raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            found = [[fingerprint(t, width) for t in texts], [fingerprint(t, width, SEED + 1) for t in texts] if second else [0] * len(texts)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in found)], ["doc_id", "fp", "other"])
+            made = [fingerprint(raw[a:b].tobytes(), width, seeds) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            found = np.array(made, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            other = found[:, 1] if second else np.zeros(len(found), np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found[:, 0].copy()), pa.array(other.copy())], ["doc_id", "fp", "other"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, other long")
 

@@ -161,12 +161,14 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
     Other columns are not read.  An empty table gives a table without rows.
     """
     parts = shares(text_bytes(docs), part_bytes)
+    with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary: of fixed size
+        held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(tokenizer_path)
+        library = Tokenizer.from_str(held.value)
         library.encode_special_tokens = True  # their strings are ordinary text
 
         encode = LibraryPieces(library)
