@@ -176,17 +176,22 @@ def read_pedigree(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+#: Non-coding elements that an annotation may name.
+NON_CODING = ("miRNA", "snRNA", "snoRNA", "rRNA", "lincRNA", "misc_RNA", "UTR", "PGENE", "TFPEAK", "TFMOTIF", "ENHANCER")
+
+
 def parse_annotation(rows: DataFrame, names: list[str]) -> DataFrame:
     """Typed annotation fields from tab-separated lines (column value), by column name.
 
     A field that does not parse is -1 (counts), null (frequencies) or * (text); a VA entry
     of fewer than five parts gives no gene."""
     cells = rows.select(F.split("value", "\t").alias("c"))
-    at = {n: i for i, n in enumerate(names)}
+    at = {n.lstrip("#"): i for i, n in enumerate(names)}
     get = lambda n: F.get("c", F.lit(at[n])) if n in at else F.lit(None).cast("string")
     text = lambda n: F.coalesce(F.nullif(get(n), F.lit("")), F.lit("*"))
     count = lambda n: F.coalesce(get(n).try_cast("int"), F.lit(-1))
     va = F.split(get("VA"), ":")
+    nac = F.split(get("NAC"), ",")[0]
     return cells.select(
         chromosome(get("CHROM")).alias("chr"),
         get("POS").try_cast("long").alias("pos"),
@@ -196,13 +201,20 @@ def parse_annotation(rows: DataFrame, names: list[str]) -> DataFrame:
         F.when(F.size(va) >= 5, F.get(va, F.lit(1))).alias("gene"),
         F.when(F.size(va) >= 5, F.get(va, F.lit(3))).alias("strand"),
         F.when(F.size(va) >= 5, F.get(va, F.lit(4))).alias("function"),
+        F.when(nac.isin(*NON_CODING), nac).otherwise("*").alias("nac"),
     )
 
 
+def functional(annotation: DataFrame) -> DataFrame:
+    """Adds functional: a coding change (a SNP whose function is known and not synonymous,
+    or an indel or structural variant in a gene), or a non-coding element."""
+    coding = (F.col("vt") == "SNP") & ~F.col("function").isin("synonymous", "*") | F.col("vt").isin("INDEL", "SV")
+    return annotation.withColumn("functional", F.coalesce(F.col("function").isNotNull() & coding, F.lit(False)) | (F.col("nac") != "*"))
+
+
 def functional_rare(annotation: DataFrame, rare: float) -> DataFrame:
-    """Variants below a frequency whose function changes the protein, or that are not SNPs."""
-    changed = F.col("function").isin("nonsynonymous", "prematureStop", "removedStop", "spliceOverlap", "startOverlap", "endOverlap")
-    return annotation.where((F.col("af") < rare) & (changed | ((F.col("vt") != "SNP") & (F.col("vt") != "*"))))
+    """Functional variants below a frequency."""
+    return functional(annotation).where((F.col("af") < rare) & F.col("functional")).drop("functional")
 
 
 def gene_extents(annotation: DataFrame) -> DataFrame:

@@ -92,11 +92,11 @@ def test_pedigree_markers_annotation(spark, write):
     points = spark.createDataFrame([(1, 150000)], "chr int, pos long")
     own = codes.withColumns({"parent_a": F.lit("e1"), "parent_b": F.lit("e2"), "code": F.coalesce("code", F.lit("A"))})
     assert {r.line: r.letter for r in crosses.from_founders(points, own, founders).collect()} == {"r1": "A", "r2": "A"}
-    names = ["CHROM", "POS", "REF", "ALT", "AF", "VT", "VA"]
-    notes = spark.createDataFrame([("1\t5\tA\tG\t0.001\tSNP\t1:G1:E:+:nonsynonymous",), ("1\t9\tA\tG\tx\tSNP\t1:G1",)], "value string")
-    a = tables.parse_annotation(notes, names)
-    assert tables.functional_rare(a, 0.01).count() == 1
-    assert tables.gene_extents(a).collect() == [("G1", 1, 4, 6)]
+    names = ["#CHROM", "POS", "REF", "ALT", "AF", "VT", "VA", "NAC"]
+    notes = ["1\t5\tA\tG\t0.001\tSNP\t1:G1:E:+:nonsynonymous\t*", "1\t9\tA\tG\tx\tSNP\t1:G1\t*", "1\t6\tA\tG\t0.001\tSNP\t1:G1:E:+:synonymous\t", "2\t6\tA\tG\t0.001\tSNP\t\tUTR,x"]
+    a = tables.parse_annotation(spark.createDataFrame([(x,) for x in notes], "value string"), names)
+    assert sorted(r.chr for r in tables.functional_rare(a, 0.01).collect()) == [1, 2]
+    assert tables.gene_extents(a).collect() == [("G1", 1, 4, 7)]
 
 
 def test_shipped_shapes(spark, write):
