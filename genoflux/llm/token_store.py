@@ -16,6 +16,7 @@ binary columns are little-endian: doc_ids and ends 8 bytes, ranks 4, chunks 1.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -153,7 +154,7 @@ def _segments(docs, table: PieceTable, part: int, end_id: int, most: int):
         yield row()
 
 
-def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id: int = 0, part_bytes: int = 32 << 20, segment_tokens: int = 1 << 19) -> None:
+def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id: int = 0, part_bytes: int = 12 << 20, segment_tokens: int = 1 << 19) -> None:
     """Encodes the texts with the tokenizers library and writes segments to ``path``.
 
     Documents stand in ascending order of doc_id (null last), those that share
@@ -168,6 +169,7 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads cost memory
         library = Tokenizer.from_str(held.value)
         library.encode_special_tokens = True  # their strings are ordinary text
 
@@ -180,7 +182,7 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
                 for a, b in slices(bounds, 1 << 20):
                     yield own[a:b], [raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)]
 
-        yield from _segments(blocks(), PieceTable(pattern, encode), TaskContext.get().partitionId(), end_id, segment_tokens)
+        yield from _segments(blocks(), PieceTable(pattern, encode, 250_000), TaskContext.get().partitionId(), end_id, segment_tokens)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
