@@ -81,3 +81,17 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined to one row a group (column ``on``, never null; ``size``: its rows).
+
+    Groups of more than one row in ``share`` are fewer than ``share``, so those, and
+    only those, are broadcast: their rows stay where they are, however many.  The
+    others are joined by a shuffle in which none is large.  Both tables are read
+    more than once, so they should be cut before.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > total / share)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(groups.where(F.col(size) <= total / share), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_groups
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One round: links the neighbours of each node u to the smallest of them and u.
 
     large: only the neighbours above u move; else only those below u, and u.
-    The minimum is aggregated before the join, so a hub is one row of sums and
-    its edges may be split over tasks.
+    The minimum is aggregated before the join, so a hub is one row of sums, and
+    that row goes to its edges.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+    joined = join_groups(both, least, "u", "n").drop("n")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     while True:
-        edges = cut(_stars(_stars(edges, True), False))
+        edges = cut(_stars(cut(_stars(edges, True)), False))
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

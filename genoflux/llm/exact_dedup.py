@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_utf8, kept_table, slices
+from .common import cut, flat_utf8, join_groups, kept_table, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,8 +120,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     0x0D; null counts as empty, and all empty texts are equal.  The row with the
     most code points stays, of those the one with the smallest doc_id (a null
     doc_id is larger than any).  Rows that repeat a doc_id and its text are
-    kept or dropped together.  A hot group meets in one row by partial sums; its
-    rows are joined to that row, which Spark may split.  Other columns of
+    kept or dropped together.  A hot group meets in one row by partial sums, and that
+    row is broadcast to its members.  Other columns of
     ``docs`` are not read.
     """
     found = kept_table(recipes(docs), "recipes")
@@ -131,4 +131,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = found.drop("proofs")
     order = F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"))
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"))
-    return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return join_groups(rows, cut(groups), "recipe", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

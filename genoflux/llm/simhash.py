@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat_utf8
+from .common import cut, flat_utf8, join_groups
 from .components import components
 
 SEED = 42
@@ -247,11 +247,12 @@ def classes(prints: DataFrame, radius: int = 2, blocks: int = 4, other_radius: i
     """
     node = F.col("fp") if other_radius is None else F.xxhash64("fp", "other")
     prints = prints.withColumn("node", node)
-    distinct = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("other").alias("other")))
+    distinct = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("other").alias("other"), F.count("*").alias("n")))
     roots = components(links(distinct.select("node", "fp", "other"), radius, blocks, other_radius))
-    owners = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    owners = distinct.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owners.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(owners.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    found = cut(owners.join(least, "root").select("node", "n", "component_id"))
+    return join_groups(prints, found, "node", "n").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 4, other_radius: int | None = None) -> DataFrame:
