@@ -106,10 +106,11 @@ def to_letters(bases: DataFrame) -> DataFrame:
     return bases.select(*SITE, "sample_id", to_iupac(F.col("a1"), F.col("a2")).alias("letter"))
 
 
-def letters_to_dosage(letters: DataFrame) -> DataFrame:
+def letters_to_dosage(letters: DataFrame, strict: bool = False) -> DataFrame:
     """chr, pos, sample_id, dosage: number of minor alleles; sites without exactly two
-    alleles go, unknown letters count as the major homozygote.  Of two alleles as
-    frequent as each other the alphabetically first is major."""
+    alleles go.  Unknown letters count as the major homozygote, or with ``strict`` take
+    their site with them.  Of two alleles as frequent as each other the alphabetically
+    first is major."""
     from ..functions.alleles import from_iupac
 
     pair = from_iupac(F.col("letter"))
@@ -117,5 +118,7 @@ def letters_to_dosage(letters: DataFrame) -> DataFrame:
     alleles = rows.where("pair is not null").select(*SITE, F.explode(F.array(F.substring("pair", 1, 1), F.substring("pair", 2, 1))).alias("allele"))
     counts = alleles.groupBy(*SITE, "allele").agg(F.count("*").alias("n"))
     sites = counts.groupBy(SITE).agg(F.count("*").alias("kinds"), F.min(F.struct((-F.col("n")).alias("n"), "allele")).alias("major")).where("kinds = 2")
+    if strict:
+        sites = sites.join(rows.where("pair is null").select(*SITE).distinct(), SITE, "left_anti")
     dosage = F.when(F.col("pair").isNull(), 0.0).otherwise((F.substring("pair", 1, 1) != F.col("major.allele")).cast("double") + (F.substring("pair", 2, 1) != F.col("major.allele")).cast("double"))
     return rows.join(sites, SITE).select(*SITE, "sample_id", dosage.alias("dosage"))

@@ -536,10 +536,10 @@ def emmax_scan(spark, sf_dir):
 
 
 @register("""q as (select chr, pos, count(*) as n, regr_slope(y, dosage) as coef, regr_r2(y, dosage) as r2, regr_sxx(y, dosage) as sxx from acalls join atrait on ordinal = sample_id group by chr, pos)
-select chr, pos, n, round(coef, 5) + 0.0 as coef, round(r2 / (1 - r2) * (n - 2), 4) + 0.0 as t2 from q where sxx > 0 and r2 < 1""")
+select chr, pos, n, round(coef + 1e-7, 4) + 0.0 as coef, round(r2 / (1 - r2) * (n - 2) + 1e-7, 4) + 0.0 as t2 from q where sxx > 0 and r2 < 1""")
 def emmax_identity_kinship(spark, sf_dir):
     found = mixed.emmax(fx.variants(spark, sf_dir), _array_trait(spark, sf_dir), np.eye(64))
-    return found.select("chr", "pos", "n", r("coef", 5).alias("coef"), r("t2", 4).alias("t2"))
+    return found.select("chr", "pos", "n", r(F.col("coef") + 1e-7, 4).alias("coef"), r(F.col("t2") + 1e-7, 4).alias("t2"))
 
 
 @register()

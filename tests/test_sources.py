@@ -116,3 +116,11 @@ def test_simulated_trait_is_found_again(spark):
     assert joint["coef"][1] == pytest.approx(1, abs=0.2)
     p = {r.pos: r.p for r in lm.permutation_p(calls, trait, 30, 1).collect()}
     assert p[7] == 0
+
+
+def test_letters_strict_and_not(spark):
+    rows = [(1, 5, "a", "A"), (1, 5, "b", "R"), (1, 5, "c", "A"), (1, 6, "a", "C"), (1, 6, "b", "N"), (1, 6, "c", "Y"), (1, 7, "a", "A"), (1, 7, "b", "A")]
+    letters = spark.createDataFrame(rows, "chr int, pos long, sample_id string, letter string")
+    loose = {(r.pos, r.sample_id): r.dosage for r in variants.letters_to_dosage(letters).collect()}
+    assert loose == {(5, "a"): 0, (5, "b"): 1, (5, "c"): 0, (6, "a"): 0, (6, "b"): 0, (6, "c"): 1}
+    assert {r.pos for r in variants.letters_to_dosage(letters, True).collect()} == {5}
