@@ -154,7 +154,7 @@ def _segments(docs, table: PieceTable, part: int, end_id: int, most: int):
         yield row()
 
 
-def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id: int = 0, part_bytes: int = 12 << 20, segment_tokens: int = 1 << 19) -> None:
+def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id: int = 0, part_bytes: int = 20 << 20, segment_tokens: int = 1 << 19) -> None:
     """Encodes the texts with the tokenizers library and writes segments to ``path``.
 
     Documents stand in ascending order of doc_id (null last), those that share
