@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators, each over all that the one before has kept.
 
-quality classifier, exact dedup, SimHash near-dedup, source mixing, BPE encoding.
+quality classifier, exact dedup, near-dedup (SimHash proposes, shingles decide), source mixing, BPE encoding.
 """
 
 from __future__ import annotations
@@ -8,13 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoflux.llm import bpe, exact_dedup, mixing, quality, simhash
+from genoflux.llm import bpe, exact_dedup, mixing, near, quality
 from genoflux.llm.common import kept_table
 from genoflux.llm.queries import splitting_pattern, tokenizer_path
 
-#: Near copies: five-word shingles; at a similarity of 0.8 a bit differs with
-#: probability 0.15, so 10 of 64 bits, and 14 of a second 64 against chance.
-NEAR = {"width": 5, "radius": 10, "blocks": 12, "other_radius": 14}
+#: Near copies: five-word shingles of a similarity of 4 / 5 or more.
+NEAR = {"width": 5, "share": (4, 5)}
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -33,10 +32,16 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The table, written with a number ``_row`` of its own for each row."""
+    return kept_table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs, **NEAR)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")))
+    rows = _numbered(docs)
+    surplus = near.surplus(rows.select(F.col("_row").alias("row"), "doc_id", "text"), **NEAR).withColumnRenamed("row", "_row")
+    return rows.join(near.few(surplus), "_row", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
