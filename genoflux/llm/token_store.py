@@ -16,7 +16,9 @@ binary columns are little-endian: doc_ids and ends 8 bytes, ranks 4, chunks 1.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -127,7 +129,45 @@ class LibraryPieces:
         return counts, out
 
 
-def _segments(docs, table: PieceTable, part: int, end_id: int, most: int):
+class AddedTokens:
+    """The vocabulary's added tokens, which the library takes out of a text before it
+    splits it: the longest of those that begin first, not normalized ones before others."""
+
+    def __init__(self, vocabulary: dict):
+        added = [x for x in vocabulary.get("added_tokens") or [] if x["content"]]
+        if added and any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] and vocabulary.get("normalizer") for x in added):
+            raise ValueError("added tokens that depend on what surrounds them, or on a normalizer, are not supported")
+        self.ids = {x["content"]: x["id"] for x in added}
+        turns = [sorted((x["content"] for x in added if x["normalized"] is late), key=len, reverse=True) for late in (False, True)]
+        self.turns = [re.compile(f"({'|'.join(map(re.escape, names))})") for names in turns if names]
+
+    def cut(self, text: str) -> tuple[list[str], list[int]]:
+        """The texts between added tokens, and the ids of these, one fewer."""
+        parts, ids = [text], []
+        for turn in self.turns:
+            between, ids, old = [], [], ids
+            for i, part in enumerate(parts):
+                found = turn.split(part)
+                between += found[::2]
+                ids += [self.ids[x] for x in found[1::2]] + old[i : i + 1]
+            parts = between
+        return parts, ids
+
+    def blocks(self, table: PieceTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each text."""
+        own = [self.cut(x) for x in texts]
+        ((flat, sizes),) = table.blocks([[x for parts, _ in own for x in parts]])
+        ids = np.fromiter((i for _, found in own for i in found), np.uint32)
+        if not len(ids):
+            return flat, sizes
+        n = np.fromiter((len(parts) for parts, _ in own), np.int64, len(own))
+        last = np.zeros(len(sizes), bool)
+        last[np.cumsum(n) - 1] = True  # an id follows every part but a text's last
+        flat = np.insert(flat, np.cumsum(sizes)[~last], ids)
+        return flat, np.add.reduceat(sizes, np.cumsum(n) - n) + n - 1
+
+
+def _segments(docs, table: PieceTable, added: AddedTokens, part: int, end_id: int, most: int):
     """Rows of the table for documents in order: (doc_ids, texts) batches in."""
     names, counts, ids, held, seq = [], [], [], 0, 0
 
@@ -141,12 +181,12 @@ def _segments(docs, table: PieceTable, part: int, end_id: int, most: int):
         )
 
     for own, texts in docs:
-        for flat, sizes in table.blocks([texts]):
-            ends = np.cumsum(sizes)
-            names.append(own)
-            counts.append(sizes + 1)
-            ids.append(np.insert(flat, ends, end_id))
-            held += len(flat) + len(sizes)
+        flat, sizes = added.blocks(table, texts)
+        ends = np.cumsum(sizes)
+        names.append(own)
+        counts.append(sizes + 1)
+        ids.append(np.insert(flat, ends, end_id))
+        held += len(flat) + len(sizes)
         if held >= most:
             yield row()
             names, counts, ids, held, seq = [], [], [], 0, seq + 1
@@ -159,11 +199,15 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
 
     Documents stand in ascending order of doc_id (null last), those that share
     one by text; each is followed by ``end_id``.  A null text counts as empty.
+    The vocabulary's added tokens keep their ids, as the library gives them.
     Other columns are not read.  An empty table gives a table without rows.
     """
     parts = shares(text_bytes(docs), part_bytes)
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary: of fixed size
-        held = docs.sparkSession.sparkContext.broadcast(f.read())
+        vocabulary = json.load(f)
+    added = AddedTokens(vocabulary)
+    # these are cut out of the texts; pieces must not be searched for them again
+    held = docs.sparkSession.sparkContext.broadcast(json.dumps(vocabulary | {"added_tokens": []}))
 
     def run(batches):
         from pyspark import TaskContext
@@ -171,8 +215,6 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads cost memory
         library = Tokenizer.from_str(held.value)
-        library.encode_special_tokens = True  # their strings are ordinary text
-
         encode = LibraryPieces(library)
 
         def blocks():
@@ -182,7 +224,7 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
                 for a, b in slices(bounds, 1 << 20):
                     yield own[a:b], [raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)]
 
-        yield from _segments(blocks(), PieceTable(pattern, encode, 250_000), TaskContext.get().partitionId(), end_id, segment_tokens)
+        yield from _segments(blocks(), PieceTable(pattern, encode, 250_000), added, TaskContext.get().partitionId(), end_id, segment_tokens)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
