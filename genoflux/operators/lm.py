@@ -91,13 +91,15 @@ def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def selected_model(calls: DataFrame, phenotypes: DataFrame, sites: DataFrame) -> dict:
-    """Joint model of a few chosen variants; only their calls come to the driver.
+    """Joint model of a few chosen variants (at most 64); only their calls come to the driver.
 
     Missing calls take the variant's mean.  coef, se and p are in order of chr, pos
     behind the intercept."""
     from ..functions.special import t_two_sided
 
-    chosen = sites.select(*SITE).distinct().orderBy(*SITE).limit(64)
+    chosen = sites.select(*SITE).distinct().orderBy(*SITE).limit(65)
+    if chosen.count() > 64:
+        raise ValueError("more sites than a joint model should have")
     rows = matched(calls, phenotypes).join(F.broadcast(chosen), SITE).select(*SITE, "sample_id", "dosage", "y").toPandas()
     wide = rows.pivot_table(index="sample_id", columns=SITE, values="dosage")
     y = rows.groupby("sample_id").y.first().loc[wide.index].to_numpy()
