@@ -1,4 +1,7 @@
-"""Suffix-array dedup: repeated byte strings by a depth-limited radix sort.
+"""Repeated byte strings by grouping spans around anchors by hash.
+
+This replaces the dealt order of suffixes (see README): the digits named here are
+compared by hash, no suffix is sorted by its bytes.
 
 A full suffix array orders suffixes to their ends; for strings of at least 50
 bytes an order down to 50 bytes is enough, since equal groups at that depth are
