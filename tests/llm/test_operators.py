@@ -321,15 +321,6 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(topk.whole_vectors(vectors.where("false")), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_pivots_save_work():
-    rng = np.random.default_rng(6)
-    centres = rng.normal(size=(20, 16)) * 200
-    v = np.rint(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16)) * 5)
-    own = topk.PivotTable(np.arange(4000), v, centres)
-    own.search(np.arange(0, 4000, 100), v[::100], 5, 64)
-    assert own.evaluated < 0.5 * 40 * 4000
-
-
 # --- exact dedup ---
 
 
