@@ -1,13 +1,12 @@
 """Substring dedup: repeated word windows behind a count-min prefilter.
 
 Every group of documents makes a sparse count-min sketch, rows of counters
-addressed by hashes of its windows' anchors; the sketches are merged, a range of
-counters at a time.  A window occurs at most as often as its anchor, and a
-counter is at least what it counts, so windows whose counters all stay below two
-are unique.  The others, and no repeated window is missing, are grouped exactly
-(see ``windows``).  The merged sketch is a table of counter ranges that grows with
-the corpus; a group gets back one bit for each counter it has used, so nothing is
-broadcast.
+addressed by hashes of its windows; the sketches are merged, a range of counters at
+a time.  A counter is at least what it counts, so windows of which one counter says
+less than two are unique.  The others, and no repeated window is missing, are grouped
+exactly, word by word (see ``windows``).  The merged sketch is a table of counter
+ranges that grows with the corpus; a group gets back one bit for each counter it has
+used, so nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import binary_rows
 from .common import NO_ID, flat_utf8, shares, slices
-from .windows import MESSAGE, Grams, Group, Shape, grouped, in_order, join_hash, make_group, pack, repeated_windows, steps, table, unpack
+from .windows import Grams, Group, Shape, Sketch, Texts, grouped, join_hash, make_group, repeated_windows
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -66,63 +65,31 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
     return out
 
 
-class Sketch:
-    """Addresses of a count-min sketch of ``rows`` rows of 2 ** bits counters.
-
-    The counters of a row are dealt into ranges; a message is one range of one row."""
-
-    def __init__(self, bits: int, ranges: int, rows: int = 2):
-        self.bits, self.rows = bits, rows
-        self.width = -(-(1 << bits) // ranges)
-        self.ranges = -(-(1 << bits) // self.width)
-
-    def cells(self, anchors: np.ndarray, row: int) -> np.ndarray:
-        seed = np.full(len(anchors), 0x51ED270B + 0x1F123BB5 * row, np.uint64)
-        return (join_hash(seed, anchors) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def parts(self, anchors: np.ndarray, row: int):
-        """Distinct counters of each range that has some: range, cells from its start."""
-        cells = np.unique(self.cells(anchors, row))
-        cuts = np.searchsorted(cells, np.arange(self.ranges + 1) * self.width)
-        for part in np.flatnonzero(np.diff(cuts)).tolist():
-            yield part, cells[cuts[part] : cuts[part + 1]]
-
-    def send(self, group: Group, g: int) -> pa.Table:
-        """The group's own sketch: its counters, and which are above one."""
-        anchors, counts = np.unique(group.spans.anchor, return_counts=True)
-        rows = []
-        for row in range(self.rows):
-            cells = self.cells(anchors, row)
-            again = np.unique(cells[counts > 1])
-            several, n = np.unique(cells, return_counts=True)
-            again = np.union1d(again, several[n > 1])
-            for part, own in self.parts(anchors, row):
-                rows.append((row * self.ranges + part, g, row * self.ranges + part, len(own), pack(steps(own - part * self.width), np.isin(own, again).astype(np.uint8))))
-        return table(rows)
-
-    def merge(self, messages: pa.Table) -> pa.Table:
-        """Adds the sketches of one range; tells each group which of its counters are above one."""
-        total = np.zeros(self.width, np.uint8)
-        told = []
-        for g, kind, n, body in zip(messages["g"].to_pylist(), messages["kind"].to_pylist(), messages["n"].to_pylist(), messages["body"].to_pylist(), strict=True):
-            step, again = unpack(body, n, np.uint32, np.uint8)
-            at = np.cumsum(step.astype(np.int64))
-            total[at] = np.minimum(total[at] + 1 + again, 2)
-            told.append((g, kind, at))
-        return table([(0, g, kind, len(at), np.packbits(total[at] > 1).tobytes()) for g, kind, at in told])
-
-    def choose(self, group: Group, messages: pa.Table) -> np.ndarray:
-        """Distinct spans of the group whose anchors all counters call repeated."""
-        bits = {k: np.unpackbits(np.frombuffer(body, np.uint8))[:n].astype(bool) for k, n, body in zip(messages["kind"].to_pylist(), messages["n"].to_pylist(), messages["body"].to_pylist(), strict=True)}
-        anchors = group.spans.anchor[group.first]
-        keep = np.ones(len(anchors), bool)
-        for row in range(self.rows):
-            repeated = [own[bits[row * self.ranges + part]] for part, own in self.parts(group.spans.anchor, row)]
-            repeated = np.concatenate(repeated) if repeated else np.zeros(0, np.int64)
-            cells = self.cells(anchors, row)
-            at = np.minimum(np.searchsorted(repeated, cells), max(0, len(repeated) - 1))
-            keep &= repeated[at] == cells if len(repeated) else False
-        return np.flatnonzero(keep)
+def normal_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with one blank behind each word and no other white space; start and end
+    of each word there; where the words of each text end."""
+    starts, ends, stops = word_bounds(raw, bounds)
+    size = ends - starts
+    fresh = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    inside = ~_SPACE[raw]
+    at = np.ones(len(out), bool)
+    at[fresh + size] = False
+    out[at] = raw[inside]
+    return out, fresh, fresh + size, stops
+
+
+def window_hashes(group: Group, shape: Shape, step: int = 1 << 17) -> np.ndarray:
+    """Hash of each window of the group, span by span."""
+    spans, total = group.spans, int(group.texts.ends[-1]) if len(group.texts.ends) else 0
+    stops = np.cumsum(spans.more + 1)
+    at = np.repeat(spans.low - stops + spans.more + 1, spans.more + 1) + np.arange(int(stops[-1]) if len(stops) else 0)
+    out = np.empty(len(at), np.uint64)
+    for s in range(0, total, step):
+        i, j = np.searchsorted(at, [s, s + step])
+        if j > i:
+            out[i:j] = Grams(group.texts.tokens(s, min(total, s + step + shape.window)))[shape.window][at[i:j] - s]
+    return out
 
 
 def remove_repeated_words(docs: DataFrame, window: int = 20, gram: int = 8, group_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
@@ -133,26 +100,35 @@ def remove_repeated_words(docs: DataFrame, window: int = 20, gram: int = 8, grou
     words that covers it has also started earlier: in a document with a smaller
     doc_id, or before it in the same document.  Null texts have no words; shorter
     texts stay whole.  Rows without a doc_id come after all others; rows that share
-    a doc_id follow each other by text.  Only doc_id and text are read.
+    a doc_id follow each other by the XXH64 of their texts (signed), then by text.
+    Only doc_id and text are read.
     """
-    shape = Shape(window, gram, True)
+    shape = Shape(window, gram, True, False)
     rows, _, total = grouped(docs, group_bytes)
-    # about eight counters in a row for each anchor: one in about (window - gram + 2) / 2 words
-    sketch = Sketch(max(16, (total // 5).bit_length()), shares(total, bucket_bytes, 16))
+    # about eight counters in a row for each window, as many as words
+    bits = max(16, (total * 8 // 6).bit_length())
+    sketch = Sketch(bits, shares(1 << bits, 8 << 20, 16))
 
     def load(t: pa.Table) -> Group:
-        raw, bounds = flat_utf8(t["text"])
-        starts, ends, stops = word_bounds(raw, bounds)
+        raw, starts, ends, stops = normal_words(*flat_utf8(t["text"]))
         words = word_hashes(raw, starts, ends)
-        return make_group(t["doc_id"].to_numpy(), stops, lambda a, b: words[a:b], shape)
-
-    def sketched(t: pa.Table) -> pa.Table:
-        g = t["g"][0].as_py()
-        return sketch.send(load(in_order(t)), g)
+        return make_group(Texts(t["doc_id"].to_numpy(), t["sub"].to_numpy(), stops, lambda a, b: words[a:b], raw, starts, ends), shape)
+
+    def choose(group: Group, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct spans with windows that may be repeated; the first and last of these."""
+        counts = group.spans.more + 1
+        if not len(counts):
+            return (np.zeros(0, np.int64),) * 3
+        begin = np.cumsum(counts) - counts
+        at = np.arange(len(keep)) - np.repeat(begin, counts)
+        low = np.minimum.reduceat(np.where(keep, at, 1 << 30), begin)[group.first]
+        high = np.maximum.reduceat(np.where(keep, at, -1), begin)[group.first]
+        which = np.flatnonzero(high >= 0)
+        return which, low[which], high[which]
 
     def result(t: pa.Table, group: Group, gone: np.ndarray) -> pa.Table:
-        raw, bounds = flat_utf8(t["text"])
-        starts, ends, stops = word_bounds(raw, bounds)
+        raw, starts, ends, stops = group.texts.raw, group.texts.starts, group.texts.stops, group.texts.ends
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], stops])]
         firsts = np.concatenate([[0], stops[:-1]])
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.concatenate([[0], stops])])
         cells = []
@@ -168,9 +144,8 @@ def remove_repeated_words(docs: DataFrame, window: int = 20, gram: int = 8, grou
             cells += [text[x : max(x, y - 1)].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         sizes = np.fromiter(map(len, cells), np.int64, len(cells))
         return pa.Table.from_arrays(
-            [pa.array(group.ids, mask=group.ids == NO_ID), pa.array(stops - firsts), pa.array(removed), binary_rows(np.frombuffer(b"".join(cells), np.uint8), sizes)],
+            [pa.array(group.texts.ids, mask=group.texts.ids == NO_ID), pa.array(stops - firsts), pa.array(removed), binary_rows(np.frombuffer(b"".join(cells), np.uint8), sizes)],
             ["doc_id", "n_words", "n_removed", "kept"],
         )
 
-    told = rows.groupBy("g").applyInArrow(sketched, MESSAGE).groupBy("b").applyInArrow(lambda m: sketch.merge(m), MESSAGE)
-    return repeated_windows(rows, shares(total, bucket_bytes, 16), shape, load, result, _OUT, (told, sketch.choose))
+    return repeated_windows(rows, shares(total, bucket_bytes, 16), shape, load, lambda group: window_hashes(group, shape), choose, sketch, result, _OUT)
