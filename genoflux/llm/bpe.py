@@ -1,23 +1,30 @@
-"""Byte-level BPE encoding and decoding by merge replay.
+"""Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pieces of a task's share of the corpus form one long token
-sequence.  An inverted index gives, for each merge, the positions where its pair
-stands.  The merges are replayed in rank order; each one visits only its own
-positions and enters the pairs it makes with the two neighbours.
+The distinct pieces of the corpus are counted by a Spark aggregation.  Those of a
+partition form one long token sequence; an inverted index gives, for each token pair,
+the positions where it stands.  The merges are replayed in rank order; each one visits
+only its own positions and enters the pairs it makes with the two neighbours.  So a
+piece is replayed once, whatever the number of documents and tasks that hold it.
+
+The ids go back to the tasks that assemble documents as a broadcast table of bounded
+size: all pieces of the corpus or, beyond the bound, the most frequent ones.  The
+others are then replayed, in the same way, by the tasks that meet them.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_utf8, slices
-from .pieces import PieceTable
+from .common import cut, flat_utf8, slices
+from .pieces import PieceTable, Splitter
 
 _ENCODED = "doc_id long, n_tokens long, ids binary"
 
@@ -74,27 +81,32 @@ class MergeReplay:
         inner[ends] = False
         tokens[inner] = self.single[np.frombuffer(b"".join(words), np.uint8)]
         after, before = np.arange(1, len(tokens) + 1), np.arange(-1, len(tokens) - 1)
-        where: dict[int, list[np.ndarray]] = {}
+        where: dict[int, list[np.ndarray]] = {}  # positions of a token pair
+        pairs: dict[int, list[int]] = {}  # those that a rank merges: equal ranks take turns from the left
         heap: list[int] = []
 
         def enter(positions, ranks):
             found = ranks >= 0
             positions, ranks = positions[found], ranks[found]
-            order = np.argsort(ranks, kind="stable")
-            positions, ranks = positions[order], ranks[order]
-            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-            bounds = [0, *cuts.tolist(), len(ranks)]
-            if len(ranks):
-                for rank, a, b in zip(ranks[bounds[:-1]].tolist(), bounds, bounds[1:], strict=False):
-                    if rank not in where:
-                        where[rank] = []
+            if not len(positions):
+                return
+            pair = tokens[positions] << 32 | tokens[after[positions]]
+            order = np.argsort(pair, kind="stable")
+            positions, ranks, pair = positions[order], ranks[order], pair[order]
+            bounds = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
+            for key, rank, a, b in zip(pair[bounds[:-1]].tolist(), ranks[bounds[:-1]].tolist(), bounds, bounds[1:], strict=False):
+                if key not in where:
+                    where[key] = []
+                    if rank not in pairs:
+                        pairs[rank] = []
                         heappush(heap, rank)
-                    where[rank].append(positions[a:b])
+                    pairs[rank].append(key)
+                where[key].append(positions[a:b])
 
         enter(np.arange(len(tokens) - 1), self.pair_ranks(tokens[:-1], tokens[1:]))
         while heap:
             rank = heappop(heap)
-            lists = where.pop(rank)
+            lists = [x for key in pairs.pop(rank) for x in where.pop(key)]
             at = lists[0]
             if len(lists) > 1 or not (at[1:] > at[:-1]).all():
                 at = np.unique(np.concatenate(lists))
@@ -122,20 +134,68 @@ class MergeReplay:
         return np.diff(bounds), tokens[tokens >= 0].astype(np.uint32)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def distinct_pieces(docs: DataFrame, pattern: str, most: int = 400_000) -> DataFrame:
+    """piece and n: the distinct matches of the pattern in all texts, and how often each
+    occurs; counted within tasks first, at most ``most`` at a time."""
+
+    def run(batches):
+        split, found = Splitter(pattern), Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["piece", "n"])
+
+        for batch in batches:
+            raw, bounds = flat_utf8(batch["text"])
+            for a, b in slices(bounds, 1 << 20):
+                found.update(split([raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)])[0])
+                if len(found) > most:
+                    yield rows()
+                    found.clear()
+        yield rows()
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def replayed(pieces: DataFrame, held) -> DataFrame:
+    """piece, n and ids (little-endian unsigned 32-bit) of a table of distinct pieces."""
+
+    def run(batches):
+        replay = None
+        for batch in batches:
+            replay = replay or MergeReplay(held.value)
+            counts, flat = replay(pc.cast(batch["piece"], pa.binary()).to_pylist()) if batch.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+            yield pa.RecordBatch.from_arrays([batch["piece"], batch["n"], binary_rows(flat.astype("<u4"), counts * 4)], ["piece", "n", "ids"])
+
+    return pieces.mapInArrow(run, "piece string, n long, ids binary")
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, most: int = 300_000) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each row's text.
 
     Null and empty texts have no ids.  Rows keep their doc_id, null or repeated;
-    other columns are not read.  Documents never leave their task, so nothing is
-    shuffled; ``ranks_path`` is a vocabulary file of fixed size that the driver
-    opens.
+    other columns are not read.  Documents never leave their task, so only distinct
+    pieces are shuffled; ``ranks_path`` is a vocabulary file of fixed size that the
+    driver opens.  At most ``most`` pieces are broadcast with their ids; that changes
+    the work, never the result.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(_vocabulary(ranks_path))
+    found = cut(replayed(distinct_pieces(docs, pattern), held))
+    if found.count() > most:
+        found = found.orderBy(F.desc("n"), "piece").limit(most)
+    rows = found.select("piece", "ids").toArrow()
+    ids, bounds = flat_binary(rows["ids"])
+    common = spark.sparkContext.broadcast((rows["piece"].to_pylist(), np.diff(bounds) // 4, ids.view("<u4").astype(np.uint32)))
 
     def run(batches):
-        replay = MergeReplay(held.value)
-        table = PieceTable(pattern, lambda words: replay([w.encode() for w in words]))
+        replay = None
+
+        def others(words):
+            nonlocal replay
+            replay = replay or MergeReplay(held.value)
+            return replay([w.encode() for w in words])
+
+        table = PieceTable(pattern, others, known=common.value)
         for batch in batches:
             raw, bounds = flat_utf8(batch["text"])
             for first, last in slices(bounds, 16 << 20):
@@ -195,6 +255,12 @@ def binary_rows(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def flat_binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column and the row bounds in them."""
+    cells = column.to_pylist()
+    return np.frombuffer(b"".join(cells), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, cells), np.int64, len(cells)))])
+
+
 def _vocabulary(path: str) -> dict[bytes, int]:
     """The ranks; a vocabulary is of fixed size, whatever the corpus is."""
     with open(path, "rb") as f:

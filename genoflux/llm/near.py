@@ -2,12 +2,17 @@
 
 A row's distinct shingles give 256 SimHash bits.  At a similarity of 0.8 a bit differs
 with probability 0.15, so one of many samples of bits very likely agrees: each sample is
-a table of buckets, and pairs of one bucket within a wide radius are proposed.  Every
+a table of buckets, and pairs of one bucket within a wide radius, by the bit-sliced
+counters of ``simhash``, are proposed.  Keys take about a bit less than the logarithm of
+the rows, so buckets keep their size as the corpus grows, and there are more tables
+instead: work grows with the power 1.24 of the rows, not with their square.  Every
 proposed pair is then decided by the shingles of its two texts, before components.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, flat_utf8, kept_table
 from .components import components
+from .simhash import all_planes, close_pairs, close_to
 
 WORDS = 4
-#: Tables of buckets and bits of a key: a pair at 0.8 (39 of 256 bits) shares none of them
-#: once in 20,000, one with 50 bits once in 100.
-TABLES, BITS = 96, 14
+#: Bits of a key at least; rows to a bucket of random keys; the share of pairs at 0.8 that
+#: may meet in no table (for very short texts, which differ in more bits, some 100 times that).
+LEAST_BITS, PER_BUCKET, MISSED = 14, 8, 1e-4
 #: Bits of 256; at 0.8 the mean is 39 and the deviation 6, for very short texts 48 and 6.
 RADIUS = 64
 #: Buckets of more nodes in which each is close to more than four on average are dense.
@@ -77,23 +83,30 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
 
 
-def _samples() -> np.ndarray:
+def tables_for(rows: int) -> tuple[int, int]:
+    """Number of tables and bits of a key for so many rows."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 1) / PER_BUCKET)))
+    agree = (1 - math.acos(8 / 9) / math.pi) ** bits  # sets of one size at 0.8: a cosine of 8 / 9
+    return math.ceil(math.log(MISSED) / math.log1p(-agree)), bits
+
+
+def _samples(tables: int, bits: int) -> np.ndarray:
     """Places of the bits of each table's key; all bits are used about equally often."""
-    rng, per = np.random.default_rng(11), 64 * WORDS // BITS
-    dealt = [rng.permutation(64 * WORDS)[: per * BITS].reshape(per, BITS) for _ in range(-(-TABLES // per))]
-    return np.concatenate(dealt)[:TABLES]
+    rng, per = np.random.default_rng(11), 64 * WORDS // bits
+    dealt = [rng.permutation(64 * WORDS)[: per * bits].reshape(per, bits) for _ in range(-(-tables // per))]
+    return np.concatenate(dealt)[:tables]
 
 
-def bucket_numbers(bits: np.ndarray) -> np.ndarray:
+def bucket_numbers(words: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """Bucket of each row of words in each table; the table is its upper part."""
-    flat = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), -1), axis=1, bitorder="little")
-    out = np.empty((len(bits), TABLES), np.int64)
-    for t, places in enumerate(_samples()):
-        out[:, t] = flat[:, places] @ (1 << np.arange(BITS, dtype=np.int64)) + (t << BITS)
+    flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    out = np.empty((len(words), tables), np.int64)
+    for t, places in enumerate(_samples(tables, bits)):
+        out[:, t] = flat[:, places] @ (1 << np.arange(bits, dtype=np.int64)) + (t << bits)
     return out
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
+def _entries(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
     """Each node in the bucket of every table: bucket, node, root, n and the bits."""
     names = ["node", "root", "n", *(f"f{i}" for i in range(WORDS))]
 
@@ -101,24 +114,24 @@ def _entries(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                bits = np.column_stack([part[f"f{i}"].to_numpy() for i in range(WORDS)])
-                bucket = bucket_numbers(bits)
-                columns = [pa.array(np.repeat(part[k].to_numpy(), TABLES)) for k in names]
+                bucket = bucket_numbers(np.column_stack([part[f"f{i}"].to_numpy() for i in range(WORDS)]), tables, bits)
+                columns = [pa.array(np.repeat(part[k].to_numpy(), tables)) for k in names]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), *columns], ["bucket", *names])
 
     return nodes.select(names).mapInArrow(run, "bucket long, node long, root long, n int, " + ", ".join(f"f{i} long" for i in range(WORDS)))
 
 
-def _close(bits, n, x, y, share) -> np.ndarray:
-    far = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.uint16) for w in bits)
-    return (far <= RADIUS) & (np.minimum(n[x], n[y]).astype(np.int64) * share[1] >= np.maximum(n[x], n[y]).astype(np.int64) * share[0])
+def _like_sized(n, x, y, share) -> np.ndarray:
+    """Do the sizes of two sets allow the similarity?"""
+    a, b = n[x].astype(np.int64), n[y].astype(np.int64)
+    return np.minimum(a, b) * share[1] >= np.maximum(a, b) * share[0]
 
 
-def _pairs(bucket, node, root, n, bits, share, every: bool):
+def _pairs(bucket, connects, node, root, n, bits, share, every: bool):
     """Arrays of ends of proposed pairs, and the dense buckets.
 
-    Of a dense bucket, pairs that connect what is close (those of a sixth of the tables);
-    with ``every``, all pairs whose roots differ."""
+    Of a dense bucket, pairs that connect what is close (where ``connects``); with
+    ``every``, all pairs whose roots differ."""
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     sizes = np.diff(np.append(starts, len(bucket)))
     left, right, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
@@ -128,20 +141,23 @@ def _pairs(bucket, node, root, n, bits, share, every: bool):
         each = max(1, (1 << 16) // len(i))
         for a in range(0, len(first), each):
             x, y = (first[a : a + each, None] + i).ravel(), (first[a : a + each, None] + j).ravel()
-            own = _close(bits, n, x, y, share) & (root[x] != root[y])
+            own = _like_sized(n, x, y, share) & (root[x] != root[y])
+            x, y = x[own], y[own]
+            own = close_pairs(bits[x], bits[y], RADIUS)
             left.append(x[own])
             right.append(y[own])
     for s, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
         label, found, forest, total = np.arange(size), [], [], 0
-        connects = bucket[s] >> (32 + BITS) < TABLES // 6
+        sliced = all_planes(bits[s : s + size])
         for a in range(0, size, 128):
             x, y = np.arange(a, min(size, a + 128))[:, None] + s, np.arange(size)[None, :] + s
-            close = _close(bits, n, x, y, share) & (x < y) & (root[x] != root[y])
+            close = close_to(bits[s + a : s + a + 128][: size - a], bits[s : s + size], RADIUS, sliced)
+            close &= _like_sized(n, x, y, share) & (x < y) & (root[x] != root[y])
             i, j = np.nonzero(close)
             total += len(i)
             if every or total <= 4 * size:
                 found.append((i + a, j))
-            if connects and not every:
+            if connects[s] and not every:
                 for p in np.unique(i).tolist():
                     near = j[i == p]
                     labels, at = np.unique(label[near], return_index=True)
@@ -166,32 +182,34 @@ def proposals(nodes: DataFrame, share: tuple[int, int], only: DataFrame | None =
 
     With ``only`` (dense buckets), all close pairs of different roots in these.  A bucket
     of more than ``tile`` nodes is dealt over pairs of tiles, a task each."""
-    rows = _entries(nodes)
+    tables, bits = tables_for(nodes.count())
+    rows = _entries(nodes, tables, bits)
     hot = cut(rows.groupBy("bucket").count().where(F.col("count") > tile))
     parts = F.coalesce(F.ceil(F.col("count") / F.lit(tile)), F.lit(1)).cast("int")
     rows = rows.join(F.broadcast(hot), "bucket", "left").withColumn("parts", parts)  # at most tables * nodes / tile
     own, other = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     kept = ["node", "root", "n", *(f"f{i}" for i in range(WORDS))]
     rows = rows.withColumn("own", own).select("bucket", "own", *kept, other.alias("next"))
-    bucket = F.shiftleft("bucket", 32) + F.shiftleft(F.least("own", "next").cast("long"), 16) + F.greatest("own", "next")
-    rows = rows.select(bucket.alias("bucket"), *kept)
+    # buckets whose names clash are compared together, which finds no less
+    bucket = F.when(F.least("own", "next") + F.greatest("own", "next") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "next"), F.greatest("own", "next")))
+    rows = rows.select(bucket.alias("bucket"), (F.col("bucket") < F.lit((tables // 6) << bits)).alias("connects"), *kept)
     if only is not None:
         rows = rows.join(only, "bucket", "left_semi")
     every = only is not None
 
     def run(batches):
-        names = ["bucket", *kept]
-        held = {k: np.zeros(0, np.int32 if k == "n" else np.int64) for k in names}
+        names = ["bucket", "connects", *kept]
+        held = {k: np.zeros(0, {"n": np.int32, "connects": bool}.get(k, np.int64)) for k in names}
 
         def made(end):
-            bits = [held[f"f{i}"][:end].view(np.uint64) for i in range(WORDS)]
-            a, b, dense = _pairs(held["bucket"][:end], held["node"][:end], held["root"][:end], held["n"][:end], bits, share, every)
+            bits = np.column_stack([held[f"f{i}"][:end].view(np.uint64) for i in range(WORDS)])
+            a, b, dense = _pairs(*(held[k][:end] for k in ("bucket", "connects", "node", "root", "n")), bits, share, every)
             ends = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
             left = pa.array(np.concatenate([ends[:, 0], np.zeros(len(dense), np.int64)]), mask=np.arange(len(ends) + len(dense)) >= len(ends))
             return pa.RecordBatch.from_arrays([left, pa.array(np.concatenate([ends[:, 1], dense]))], ["a", "b"])
 
         for batch in batches:
-            held = {k: np.concatenate([held[k], batch[k].to_numpy()]) for k in names}
+            held = {k: np.concatenate([held[k], batch[k].to_numpy(zero_copy_only=False)]) for k in names}
             whole = int(np.searchsorted(held["bucket"], held["bucket"][-1])) if len(held["bucket"]) else 0
             if whole > 50_000:
                 yield made(whole)

@@ -78,35 +78,48 @@ class _Numbered(dict):
         return number
 
 
+class Splitter:
+    """Cuts texts into the matches of a pattern."""
+
+    def __init__(self, pattern: str):
+        self.by_array = pattern == ARRAY_PATTERN
+        self.split = regex.compile(pattern).findall
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of all texts in a row; how many each text has."""
+        if not self.by_array:
+            lists = [self.split(t) for t in texts]
+            return [p for x in lists for p in x], np.fromiter(map(len, lists), np.int64, len(lists))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        joined = "".join(texts)
+        starts = split_bounds(np.frombuffer(joined.encode("utf-32-le"), np.uint32), ends)
+        bounds = [*starts.tolist(), len(joined)]
+        return [joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+
+
 class PieceTable:
     """Ids of the distinct pieces a task has met.
 
-    ``encode`` maps a list of new pieces to (counts, flat ids).  The table is
-    emptied when it holds more than ``most`` pieces, so its memory is bounded;
-    that changes time, never results.
+    ``encode`` maps a list of new pieces to (counts, flat ids); ``known`` are pieces,
+    counts and flat ids to begin with.  The table goes back to those when it holds more
+    than ``most`` others, so its memory is bounded; that changes time, never results.
     """
 
-    def __init__(self, pattern: str, encode, most: int = 400_000):
-        self.by_array = pattern == ARRAY_PATTERN
-        self.split = regex.compile(pattern).findall
-        self.encode, self.most = encode, most
+    def __init__(self, pattern: str, encode, most: int = 400_000, known: tuple[list[str], np.ndarray, np.ndarray] | None = None):
+        self.split, self.encode = Splitter(pattern), encode
+        self.known = known or ([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        self.most = most + len(self.known[0])
         self._clear()
 
     def _clear(self):
-        self.index = _Numbered()
-        self.counts, self.flat, self.starts = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        names, self.counts, self.flat = self.known
+        self.index = _Numbered(zip(names, range(len(names)), strict=True))
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts in a row; how many each text has."""
-        if not self.by_array:
-            lists = [self.split(t) for t in texts]
-            return np.fromiter((self.index[p] for x in lists for p in x), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        joined = "".join(texts)
-        starts = split_bounds(np.frombuffer(joined.encode("utf-32-le"), np.uint32), ends)
-        bounds = [*starts.tolist(), len(joined)]
-        found = np.fromiter(map(self.index.__getitem__, [joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), np.int32, len(starts))
-        return found, np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+        found, sizes = self.split(texts)
+        return np.fromiter(map(self.index.__getitem__, found), np.int32, len(found)), sizes
 
     def blocks(self, groups):
         """For each group of texts: ids of all its texts in a row, and the number

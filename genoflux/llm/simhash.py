@@ -94,6 +94,10 @@ class Counter:
         self.digits = [d[rows] for d in self.digits]
         self.over = self.over[rows]
 
+    def pick(self, lanes: np.ndarray, n: int) -> None:
+        """Of a row of n lanes, those named, close together."""
+        *self.digits, self.over = (_packed(_lanes(d[None, :], n)[0][lanes]) for d in (*self.digits, self.over))
+
 
 def planes(values: np.ndarray) -> np.ndarray:
     """64 bit planes of 64-bit values; lane i of a plane is value i."""
@@ -103,17 +107,30 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    padded = np.zeros(-(-len(bits) // 64) * 64, bool)
+    padded[: len(bits)] = bits
+    return np.packbits(padded, bitorder="little").view(np.uint64)
+
+
 def _lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, :n].astype(bool)
 
 
+def all_planes(values: np.ndarray) -> np.ndarray:
+    """Bit planes of rows of 64-bit words, one word after another."""
+    return np.concatenate([planes(values[:, i]) for i in range(values.shape[1])])
+
+
 def close_to(queries: np.ndarray, values: np.ndarray, radius: int, sliced: np.ndarray | None = None) -> np.ndarray:
-    """Boolean matrix: which values are within ``radius`` bits of each query."""
-    sliced = planes(values) if sliced is None else sliced
+    """Boolean matrix: which values are within ``radius`` bits of each query.  Both are
+    64-bit values or rows of them."""
+    queries, values = queries.reshape(len(queries), -1), values.reshape(len(values), -1)
+    sliced = all_planes(values) if sliced is None else sliced
     close = np.zeros((len(queries), len(values)), bool)
     rows, counter = np.arange(len(queries)), Counter((len(queries), sliced.shape[1]), radius)
-    for bit in range(64):
-        flip = np.where(queries[rows] >> np.uint64(bit) & np.uint64(1), _FULL, np.uint64(0))
+    for bit in range(len(sliced)):
+        flip = np.where(queries[rows, bit // 64] >> np.uint64(bit % 64) & np.uint64(1), _FULL, np.uint64(0))
         counter.add(sliced[bit][None, :] ^ flip[:, None])
         if bit % 8 == 7:
             alive = ~(counter.passed() == _FULL).all(1)
@@ -127,16 +144,23 @@ def close_to(queries: np.ndarray, values: np.ndarray, radius: int, sliced: np.nd
 
 
 def close_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """For pairs of values, lane by lane: are they within ``radius`` bits?"""
+    """For pairs of values (or rows of them), lane by lane: are they within ``radius`` bits?
+    Lanes that have passed it after a word are given up."""
+    left, right = left.reshape(len(left), -1), right.reshape(len(right), -1)
     found = np.zeros(len(left), bool)
     for a in range(0, len(left), _LANES):
-        sliced = planes(left[a : a + _LANES] ^ right[a : a + _LANES])
-        sliced = sliced.reshape(64, -1)
-        counter = Counter(sliced.shape[1], radius)
-        for plane in sliced:
-            counter.add(plane)
-        n = min(_LANES, len(left) - a)
-        found[a : a + n] = ~_lanes(counter.passed()[None, :], n)[0]
+        alive = np.arange(a, min(a + _LANES, len(left)))
+        counter = Counter(-(-len(alive) // 64), radius)
+        for word in range(left.shape[1]):
+            for plane in planes(left[alive, word] ^ right[alive, word]):
+                counter.add(plane)
+            near = ~_lanes(counter.passed()[None, :], len(alive))[0]
+            if not near.all():
+                counter.pick(near, len(alive))
+                alive = alive[near]
+            if not len(alive):
+                break
+        found[alive] = True
     return found
 
 

@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from genoflux.llm import near
+from genoflux.llm.common import cut
 
 from .cases import words
 
@@ -73,6 +74,28 @@ def test_dense_buckets_are_brute_force(spark, small):
 def test_tiles_find_the_same_pairs(spark):
     rows = [(i, i, t) for i, t in corpus()]
     made = near.sketches(spark.createDataFrame(rows, "row long, doc_id long, text string"), 5)
-    nodes = made.withColumn("root", made["node"]).localCheckpoint()
+    nodes = cut(made.withColumn("root", made["node"]))
     found = [{(r.a, r.b) for r in near.proposals(nodes, (4, 5), tile=t).collect()} for t in (4096, 3)]
     assert found[0] and found[0] == found[1]
+
+
+def test_bit_slices_count_rows_of_words():
+    from genoflux.llm.simhash import close_pairs, close_to
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, (200, near.WORDS), dtype=np.uint64)
+    other = base.copy()
+    for i in range(200):
+        for at in rng.choice(256, int(rng.integers(0, 140)), replace=False).tolist():
+            other[i, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    far = np.bitwise_count(base ^ other).sum(1)
+    assert (close_pairs(base, other, near.RADIUS) == (far <= near.RADIUS)).all() and 20 < (far <= near.RADIUS).sum() < 180
+    whole = np.bitwise_count(base[:70, None] ^ other[None]).sum(2)
+    assert (close_to(base[:70], other, near.RADIUS) == (whole <= near.RADIUS)).all()
+
+
+def test_keys_grow_with_the_rows():
+    assert near.tables_for(0)[1] == near.LEAST_BITS
+    for rows in (10**5, 10**7, 10**9):
+        tables, bits = near.tables_for(rows)
+        assert rows / 2**bits <= near.PER_BUCKET and tables < 6 * rows**0.25
