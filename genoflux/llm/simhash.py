@@ -117,6 +117,10 @@ def _lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, :n].astype(bool)
 
 
+def _rows(values: np.ndarray) -> np.ndarray:
+    return values if values.ndim == 2 else values[:, None]
+
+
 def all_planes(values: np.ndarray) -> np.ndarray:
     """Bit planes of rows of 64-bit words, one word after another."""
     return np.concatenate([planes(values[:, i]) for i in range(values.shape[1])])
@@ -125,7 +129,7 @@ def all_planes(values: np.ndarray) -> np.ndarray:
 def close_to(queries: np.ndarray, values: np.ndarray, radius: int, sliced: np.ndarray | None = None) -> np.ndarray:
     """Boolean matrix: which values are within ``radius`` bits of each query.  Both are
     64-bit values or rows of them."""
-    queries, values = queries.reshape(len(queries), -1), values.reshape(len(values), -1)
+    queries, values = _rows(queries), _rows(values)
     sliced = all_planes(values) if sliced is None else sliced
     close = np.zeros((len(queries), len(values)), bool)
     rows, counter = np.arange(len(queries)), Counter((len(queries), sliced.shape[1]), radius)
@@ -146,7 +150,7 @@ def close_to(queries: np.ndarray, values: np.ndarray, radius: int, sliced: np.nd
 def close_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     """For pairs of values (or rows of them), lane by lane: are they within ``radius`` bits?
     Lanes that have passed it after a word are given up."""
-    left, right = left.reshape(len(left), -1), right.reshape(len(right), -1)
+    left, right = _rows(left), _rows(right)
     found = np.zeros(len(left), bool)
     for a in range(0, len(left), _LANES):
         alive = np.arange(a, min(a + _LANES, len(left)))

@@ -88,6 +88,7 @@ def test_bit_slices_count_rows_of_words():
     for i in range(200):
         for at in rng.choice(256, int(rng.integers(0, 140)), replace=False).tolist():
             other[i, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    assert not len(close_pairs(base[:0], other[:0], near.RADIUS)) and close_to(base[:0], other, 3).shape == (0, 200)
     far = np.bitwise_count(base ^ other).sum(1)
     assert (close_pairs(base, other, near.RADIUS) == (far <= near.RADIUS)).all() and 20 < (far <= near.RADIUS).sum() < 180
     whole = np.bitwise_count(base[:70, None] ^ other[None]).sum(2)
