@@ -2,11 +2,15 @@
 
 A row's distinct shingles give 256 SimHash bits.  At a similarity of 0.8 a bit differs
 with probability 0.15, so one of many samples of bits very likely agrees: each sample is
-a table of buckets, and pairs of one bucket within a wide radius, by the bit-sliced
-counters of ``simhash``, are proposed.  Keys take about a bit less than the logarithm of
-the rows, so buckets keep their size as the corpus grows, and there are more tables
-instead: work grows with the power 1.24 of the rows, not with their square.  Every
-proposed pair is then decided by the shingles of its two texts, before components.
+a table of buckets.  Pairs of one bucket within a wide radius, by the bit-sliced counters
+of ``simhash``, are close; a bucket gives edges that connect what is close in it, never
+all pairs.  Keys take a few bits less than the logarithm of the rows, so buckets keep
+their size as the corpus grows, and there are more tables instead: work grows with the
+power 1.24 of the rows, not with their square.
+
+Components of these edges are clusters: no pair at 0.8 that shares a bucket lies in two
+of them.  Within a cluster all close pairs are decided by their sets of shingles, as
+64-bit hashes, in tasks that hold two tiles of it; they too give edges that connect.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ WORDS = 4
 LEAST_BITS, PER_BUCKET, MISSED = 14, 8, 1e-4
 #: Bits of 256; at 0.8 the mean is 39 and the deviation 6, for very short texts 48 and 6.
 RADIUS = 64
-#: Buckets of more nodes in which each is close to more than four on average are dense.
 _SMALL = 32
+#: Nodes, and shingles, of a tile of a cluster.
+TILE, TILE_SHINGLES = 1024, 1 << 20
 #: Rows (of 8 bytes) up to which a list of rows is broadcast.
 MOST_BROADCAST = 1_000_000
 _STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -43,10 +48,10 @@ def shingles(text: bytes, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def similar(a: set[bytes], b: set[bytes], share: tuple[int, int]) -> bool:
-    """Is the Jaccard similarity at least share[0] / share[1]?"""
-    both = len(a & b)
-    return both * share[1] >= share[0] * (len(a) + len(b) - both)
+def hashed(text: bytes, width: int) -> np.ndarray:
+    """Ascending hashes of the distinct shingles."""
+    found = shingles(text, width)
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -57,15 +62,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def sketch(text: bytes, width: int, step: int = 1 << 15) -> tuple[int, int, np.ndarray]:
     """Name of the set of shingles, its size, and its SimHash bits as words."""
-    found = shingles(text, width)
-    hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
+    hashes = hashed(text, width)
     counts = np.zeros((WORDS, 64), np.int64)
     for a in range(0, len(hashes), step):
         for i in range(WORDS):
             own = _mixed(hashes[a : a + step] + _STEPS[i])
             counts[i] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     bits = np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
-    return xxhash.xxh64_intdigest(hashes.tobytes()), len(found), bits
+    return xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes), bits
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
@@ -107,8 +111,8 @@ def bucket_numbers(words: np.ndarray, tables: int, bits: int) -> np.ndarray:
 
 
 def _entries(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """Each node in the bucket of every table: bucket, node, root, n and the bits."""
-    names = ["node", "root", "n", *(f"f{i}" for i in range(WORDS))]
+    """Each node in the bucket of every table: bucket, node, n and the bits."""
+    names = ["node", "n", *(f"f{i}" for i in range(WORDS))]
 
     def run(batches):
         for batch in batches:
@@ -118,7 +122,7 @@ def _entries(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
                 columns = [pa.array(np.repeat(part[k].to_numpy(), tables)) for k in names]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), *columns], ["bucket", *names])
 
-    return nodes.select(names).mapInArrow(run, "bucket long, node long, root long, n int, " + ", ".join(f"f{i} long" for i in range(WORDS)))
+    return nodes.select(names).mapInArrow(run, "bucket long, node long, n int, " + ", ".join(f"f{i} long" for i in range(WORDS)))
 
 
 def _like_sized(n, x, y, share) -> np.ndarray:
@@ -127,98 +131,99 @@ def _like_sized(n, x, y, share) -> np.ndarray:
     return np.minimum(a, b) * share[1] >= np.maximum(a, b) * share[0]
 
 
-def _pairs(bucket, connects, node, root, n, bits, share, every: bool):
-    """Arrays of ends of proposed pairs, and the dense buckets.
-
-    Of a dense bucket, pairs that connect what is close (where ``connects``); with
-    ``every``, all pairs whose roots differ."""
+def connect(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the labels of the ends of edges, in place; a label is the smallest index."""
+    while True:
+        own = label[x] != label[y]
+        x, y = x[own], y[own]
+        if not len(x):
+            return
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _linked(bucket, node, n, bits, share):
+    """Edges that connect the close pairs of each bucket (sorted), over all its nodes."""
+    names, at = np.unique(node, return_inverse=True)
+    label = np.arange(len(names))
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     sizes = np.diff(np.append(starts, len(bucket)))
-    left, right, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+
+    def join(x, y):
+        own = _like_sized(n, x, y, share) & (label[at[x]] != label[at[y]])
+        x, y = x[own], y[own]
+        near = close_pairs(bits[x], bits[y], RADIUS)
+        connect(label, at[x[near]], at[y[near]])
+
     for size in np.unique(sizes[(sizes > 1) & (sizes <= _SMALL)]).tolist():
         first = starts[sizes == size]
         i, j = np.triu_indices(size, 1)
         each = max(1, (1 << 16) // len(i))
         for a in range(0, len(first), each):
-            x, y = (first[a : a + each, None] + i).ravel(), (first[a : a + each, None] + j).ravel()
-            own = _like_sized(n, x, y, share) & (root[x] != root[y])
-            x, y = x[own], y[own]
-            own = close_pairs(bits[x], bits[y], RADIUS)
-            left.append(x[own])
-            right.append(y[own])
+            join((first[a : a + each, None] + i).ravel(), (first[a : a + each, None] + j).ravel())
     for s, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-        label, found, forest, total = np.arange(size), [], [], 0
         sliced = all_planes(bits[s : s + size])
         for a in range(0, size, 128):
-            x, y = np.arange(a, min(size, a + 128))[:, None] + s, np.arange(size)[None, :] + s
-            close = close_to(bits[s + a : s + a + 128][: size - a], bits[s : s + size], RADIUS, sliced)
-            close &= _like_sized(n, x, y, share) & (x < y) & (root[x] != root[y])
-            i, j = np.nonzero(close)
-            total += len(i)
-            if every or total <= 4 * size:
-                found.append((i + a, j))
-            if connects[s] and not every:
-                for p in np.unique(i).tolist():
-                    near = j[i == p]
-                    labels, at = np.unique(label[near], return_index=True)
-                    ends = near[at][labels != label[p + a]]
-                    if len(ends):
-                        forest.append((np.full(len(ends), p + a), ends))
-                        own = label[p + a]
-                        label[np.isin(label, labels)] = own
-        if total > 4 * size and not every:
-            dense.append(int(bucket[s]))
-            found = forest
-        for x, y in found:
-            left.append(x + s)
-            right.append(y + s)
-    x, y = np.concatenate(left), np.concatenate(right)
-    return node[x], node[y], np.array(dense, np.int64)
-
-
-def proposals(nodes: DataFrame, share: tuple[int, int], only: DataFrame | None = None, tile: int = 4096) -> DataFrame:
-    """Pairs a, b of nodes that share a bucket and are close; a dense bucket is a row
-    with b only (null a) and the pairs that connect it.
-
-    With ``only`` (dense buckets), all close pairs of different roots in these.  A bucket
-    of more than ``tile`` nodes is dealt over pairs of tiles, a task each."""
+            i, j = np.nonzero(close_to(bits[s + a : s + min(size, a + 128)], bits[s : s + size], RADIUS, sliced))
+            x, y = s + a + i, s + j
+            own = (x < y) & _like_sized(n, x, y, share)
+            connect(label, at[x[own]], at[y[own]])
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return names[label[moved]], names[moved]
+
+
+def _in_groups(batches, key: str, made, most: int, kinds: dict):
+    """Results of ``made`` for whole runs of equal keys, some ``most`` rows at a time."""
+    held = {k: [np.zeros(0, kind)] for k, kind in kinds.items()}
+    rows = 0
+    for batch in batches:
+        for k in kinds:
+            held[k].append(batch[k].to_numpy(zero_copy_only=False))
+        rows += batch.num_rows
+        if rows > most:
+            held = {k: [np.concatenate(v)] for k, v in held.items()}
+            own = held[key][0]
+            whole = int(np.flatnonzero(own == own[-1])[0])
+            if whole:
+                yield from made({k: v[0][:whole] for k, v in held.items()})
+                held = {k: [v[0][whole:]] for k, v in held.items()}
+                rows -= whole
+    if rows:
+        yield from made({k: np.concatenate(v) for k, v in held.items()})
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def proposals(nodes: DataFrame, share: tuple[int, int], tile: int = 4096) -> DataFrame:
+    """Edges a, b that connect nodes (node, n and bits) that share a bucket and are close.
+
+    A bucket of more than ``tile`` nodes is dealt over pairs of tiles, a task each."""
     tables, bits = tables_for(nodes.count())
     rows = _entries(nodes, tables, bits)
     hot = cut(rows.groupBy("bucket").count().where(F.col("count") > tile))
     parts = F.coalesce(F.ceil(F.col("count") / F.lit(tile)), F.lit(1)).cast("int")
     rows = rows.join(F.broadcast(hot), "bucket", "left").withColumn("parts", parts)  # at most tables * nodes / tile
     own, other = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    kept = ["node", "root", "n", *(f"f{i}" for i in range(WORDS))]
-    rows = rows.withColumn("own", own).select("bucket", "own", *kept, other.alias("next"))
+    kept = ["node", "n", *(f"f{i}" for i in range(WORDS))]
+    rows = rows.withColumn("own", own).select("bucket", "own", "parts", *kept, other.alias("next"))
     # buckets whose names clash are compared together, which finds no less
-    bucket = F.when(F.least("own", "next") + F.greatest("own", "next") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "next"), F.greatest("own", "next")))
-    rows = rows.select(bucket.alias("bucket"), (F.col("bucket") < F.lit((tables // 6) << bits)).alias("connects"), *kept)
-    if only is not None:
-        rows = rows.join(only, "bucket", "left_semi")
-    every = only is not None
+    bucket = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "next"), F.greatest("own", "next")))
+    rows = rows.select(bucket.alias("bucket"), *kept)
 
     def run(batches):
-        names = ["bucket", "connects", *kept]
-        held = {k: np.zeros(0, {"n": np.int32, "connects": bool}.get(k, np.int64)) for k in names}
-
-        def made(end):
-            bits = np.column_stack([held[f"f{i}"][:end].view(np.uint64) for i in range(WORDS)])
-            a, b, dense = _pairs(*(held[k][:end] for k in ("bucket", "connects", "node", "root", "n")), bits, share, every)
-            ends = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-            left = pa.array(np.concatenate([ends[:, 0], np.zeros(len(dense), np.int64)]), mask=np.arange(len(ends) + len(dense)) >= len(ends))
-            return pa.RecordBatch.from_arrays([left, pa.array(np.concatenate([ends[:, 1], dense]))], ["a", "b"])
+        def made(held):
+            bits = np.column_stack([held[f"f{i}"].view(np.uint64) for i in range(WORDS)])
+            yield _edges(*_linked(held["bucket"], held["node"], held["n"], bits, share))
 
-        for batch in batches:
-            held = {k: np.concatenate([held[k], batch[k].to_numpy(zero_copy_only=False)]) for k in names}
-            whole = int(np.searchsorted(held["bucket"], held["bucket"][-1])) if len(held["bucket"]) else 0
-            if whole > 50_000:
-                yield made(whole)
-                held = {k: v[whole:] for k, v in held.items()}
-        if len(held["bucket"]):
-            yield made(len(held["bucket"]))
+        yield from _in_groups(batches, "bucket", made, 50_000, {k: np.int32 if k == "n" else np.int64 for k in ("bucket", *kept)})
 
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -226,23 +231,84 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """Those pairs a, b whose texts (of node and text) have the similarity."""
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets: bits of the shingles that several hold."""
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = np.bincount(at, minlength=len(names)) > 1
+    column = np.cumsum(several) - 1
+    use = several[at]
+    owner, at = owner[use], column[at[use]]
+    total, out = int(several.sum()), np.zeros(len(x), np.int64)
+    for s in range(0, total, 1 << 12):  # bits of so many shingles at a time
+        own = (at >= s) & (at < s + (1 << 12))
+        held = np.zeros((len(sets), 1 << 12), bool)
+        held[owner[own], at[own] - s] = True
+        words = np.packbits(held, axis=1).view(np.uint64)
+        words = words[:, : -(-(min(total - s, 1 << 12)) // 64)]
+        for a in range(0, len(x), 1 << 14):
+            i, j = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
+            out[a : a + (1 << 14)] += np.bitwise_count(words[i] & words[j]).sum(1, dtype=np.int64)
+    return out
 
-    def run(batches):
-        name, first = None, set()
+
+def _decided(node, tile, bits, sets, share):
+    """Edges that connect the similar pairs of a group: of one tile, or between two."""
+    n, label, two = np.array([len(s) for s in sets]), np.arange(len(node)), tile.min() != tile.max()
+    step = max(1, (1 << 18) // len(node))
+    for a in range(0, len(node), step):
+        x, y = np.nonzero(close_to(bits[a : a + step], bits, RADIUS))
+        x += a
+        own = (x < y) & _like_sized(n, x, y, share) & (label[x] != label[y])
+        if two:
+            own &= tile[x] != tile[y]
+        x, y = x[own], y[own]
+        if len(x):
+            both = _common(sets, x, y)
+            similar = both * share[1] >= share[0] * (n[x] + n[y] - both)
+            connect(label, x[similar], y[similar])
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return node[label[moved]], node[moved]
+
+
+def decided(members: DataFrame, width: int, share: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """Edges a, b that connect nodes of one cluster whose texts have the similarity.
+
+    ``members``: cluster, node, n, text and the bits.  A cluster of more than ``tile``
+    nodes, or many shingles, is dealt over pairs of tiles, so a task holds two tiles."""
+    counts = members.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    large = cut(counts.where((F.col("k") > tile) | (F.col("s") > TILE_SHINGLES)))
+    parts = F.greatest(F.ceil(F.col("k") / tile), F.ceil(F.col("s") / TILE_SHINGLES), F.lit(1)).cast("int")
+    large = large.select("cluster", F.least(parts, F.col("k")).cast("int").alias("parts"))
+    rows = members.join(F.broadcast(large), "cluster", "left")  # at most the nodes over a tile's size
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    bits = [f"f{i}" for i in range(WORDS)]
+
+    def sets(batches):
         for batch in batches:
-            a, (left, at), (right, to) = batch["a"].to_numpy(), flat_utf8(batch["left"]), flat_utf8(batch["right"])
-            keep = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if a[i] != name:
-                    name, first = a[i], shingles(left[at[i] : at[i + 1]].tobytes(), width)
-                keep[i] = similar(first, shingles(right[to[i] : to[i + 1]].tobytes(), width), share)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            raw, bounds = flat_utf8(batch["text"])
+            found = [hashed(raw[a:b].tobytes(), width).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("cluster", "node", "parts", *bits)), pa.array(found, pa.binary())], ["cluster", "node", "parts", *bits, "set"])
+
+    typed = "cluster long, node long, parts int, " + ", ".join(f"{f} long" for f in bits) + ", set binary"
+    rows = rows.select("cluster", "node", "parts", *bits, "text").mapInArrow(sets, typed)
+    own, other = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("own", own).withColumn("next", other)
+    group = F.xxhash64("cluster", F.least("own", "next"), F.greatest("own", "next"))
+    rows = rows.select(group.alias("group"), "own", "node", *bits, "set")
+
+    def run(batches):
+        def made(held):
+            words = np.column_stack([held[f].view(np.uint64) for f in bits])
+            starts = np.flatnonzero(np.concatenate([[True], held["group"][1:] != held["group"][:-1]]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)], strict=True):
+                found = [np.frombuffer(x, np.uint64) for x in held["set"][a:b]]
+                yield _edges(*_decided(held["node"][a:b], held["own"][a:b], words[a:b], found, share))
+
+        yield from _in_groups(batches, "group", made, 2048, {"group": np.int64, "own": np.int32, "node": np.int64, **{f: np.int64 for f in bits}, "set": object})
 
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    return both.select("a", "b", "left", "right").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
 def surplus(rows: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -251,28 +317,17 @@ def surplus(rows: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5)) ->
 
     Rows are linked if their sets of shingles have a Jaccard similarity of ``share`` or
     more; those without words are equal.  The smallest doc_id of a component stays, null
-    last, of its rows the one with the smallest row.  Pairs within a component that is
-    already known need no decision, so dense buckets first give pairs that connect them,
-    and then all pairs between the components found.
+    last, of its rows the one with the smallest row.  No step makes a row for each pair.
     """
     made = kept_table(sketches(rows, width), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    nodes = cut(made.groupBy("node").agg(F.min(order).alias("best"), F.first("n").alias("n"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(WORDS))))
-
-    def decided(pairs):
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        named = cut(nodes.select("node", F.col("best.row").alias("row")).join(ends, "node"))
-        texts = kept_table(rows.select("row", "text").join(few(named), "row").select("node", "text"), "texts")
-        return cut(verified(pairs, texts, width, share))
-
-    found = cut(proposals(nodes.withColumn("root", F.col("node")), share))
-    edges = decided(cut(found.where("a is not null").distinct()))
-    roots = components(edges)
-    dense = cut(found.where("a is null").select(F.col("b").alias("bucket")).distinct())
-    if dense.limit(1).count():
-        known = cut(nodes.drop("best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        more = cut(proposals(known, share, only=few(dense)).distinct())
-        roots = components(cut(edges.unionByName(decided(more))))
+    bits = [f"f{i}" for i in range(WORDS)]
+    nodes = cut(made.groupBy("node").agg(F.min(order).alias("best"), F.first("n").alias("n"), *(F.first(f).alias(f) for f in bits)))
+    clusters = components(cut(proposals(nodes, share).distinct())).withColumnRenamed("root", "cluster")
+    named = cut(nodes.select("node", "n", *bits, F.col("best.row").alias("row")).join(clusters, "node"))
+    chosen = few(named.select("row"))
+    members = kept_table(rows.select("row", "text").join(chosen, "row", "left_semi").join(named, "row"), "members")
+    roots = components(decided(members, width, share))
     owners = nodes.select("node", "best").join(roots, "node", "left")
     kept = owners.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
     return cut(made.select("row").join(kept, "row", "left_anti"))

@@ -132,6 +132,8 @@ def close_to(queries: np.ndarray, values: np.ndarray, radius: int, sliced: np.nd
     queries, values = _rows(queries), _rows(values)
     sliced = all_planes(values) if sliced is None else sliced
     close = np.zeros((len(queries), len(values)), bool)
+    if not close.size:
+        return close
     rows, counter = np.arange(len(queries)), Counter((len(queries), sliced.shape[1]), radius)
     for bit in range(len(sliced)):
         flip = np.where(queries[rows, bit // 64] >> np.uint64(bit % 64) & np.uint64(1), _FULL, np.uint64(0))

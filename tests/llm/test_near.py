@@ -2,9 +2,12 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from genoflux.llm import near
 from genoflux.llm.common import cut
+from genoflux.llm.components import components
 
 from .cases import words
 
@@ -71,11 +74,18 @@ def test_dense_buckets_are_brute_force(spark, small):
     assert got == {rows[i][0] for i in brute(rows)}
 
 
-def test_tiles_find_the_same_pairs(spark):
+def test_tiles_connect_the_same(spark):
     rows = [(i, i, t) for i, t in corpus()]
-    made = near.sketches(spark.createDataFrame(rows, "row long, doc_id long, text string"), 5)
-    nodes = cut(made.withColumn("root", made["node"]))
-    found = [{(r.a, r.b) for r in near.proposals(nodes, (4, 5), tile=t).collect()} for t in (4096, 3)]
+    table = spark.createDataFrame(rows, "row long, doc_id long, text string")
+    nodes = cut(near.sketches(table, 5))
+
+    def groups(edges):
+        return {(r.node, r.root) for r in components(edges).collect()}
+
+    found = [groups(near.proposals(nodes, (4, 5), tile=t)) for t in (4096, 3)]
+    assert found[0] and found[0] == found[1]
+    members = cut(nodes.join(table.select("row", "text"), "row").withColumn("cluster", F.lit(1).cast("long")))
+    found = [groups(near.decided(members, 5, (4, 5), tile=t)) for t in (1024, 20)]
     assert found[0] and found[0] == found[1]
 
 
