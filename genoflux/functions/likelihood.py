@@ -105,13 +105,19 @@ def ml(y: np.ndarray, x: np.ndarray, values: np.ndarray) -> Fit:
     return Fit(delta, float(vg[0]), float(vg[0]) * delta, best)
 
 
-def low_rank_ml(y: np.ndarray, x: np.ndarray, terms: np.ndarray) -> Fit:
-    """The same with K = terms terms' of low rank: what lies outside its column space
-    has variance delta alone.  Works on the singular vectors, never on K."""
-    n = len(y)
+def low_rank_basis(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular vectors of ``terms`` and the eigenvalues of terms terms'."""
     u, s, _ = np.linalg.svd(terms, full_matrices=False)
     keep = s > s.max(initial=0) * 1e-9
-    u, values = u[:, keep], s[keep] ** 2
+    return u[:, keep], s[keep] ** 2
+
+
+def low_rank_ml(y: np.ndarray, x: np.ndarray, terms: np.ndarray | None = None, basis: tuple[np.ndarray, np.ndarray] | None = None) -> Fit:
+    """The same with K = terms terms' of low rank: what lies outside its column space
+    has variance delta alone.  Works on the singular vectors (or a ``basis`` made
+    before), never on K."""
+    n = len(y)
+    u, values = low_rank_basis(terms) if basis is None else basis
     r = len(values)
     uy, ux = u.T @ y, u.T @ x
     yy, xy, xx = float(y @ y - uy @ uy), x.T @ y - ux.T @ uy, x.T @ x - ux.T @ ux

@@ -34,7 +34,7 @@ def gene_p(sites: DataFrame, y: np.ndarray, binary: bool = False) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         use, e, v = held.value
         rows = rows.combine_chunks()
-        g, _, _ = _batch(rows.to_batches()[0], use)
+        g, _, _ = _batch(rows, use)
         w = rows["weight"].to_numpy()
         q = float(((w * (g @ e)) ** 2).sum())
         z = (g - g.mean(1, keepdims=True)) * w[:, None]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,19 +110,52 @@ def selected_model(calls: DataFrame, phenotypes: DataFrame, sites: DataFrame) ->
     return {"n": len(y), "coef": b, "se": se, "p": t_two_sided(b / np.where(se > 0, se, np.nan), max(1, len(y) - x.shape[1])), "sd_err": sd, "adj_r2": adj}
 
 
+def joint_scan(rows: DataFrame, held: list[str]) -> DataFrame:
+    """adj_r2 of the model of ``held`` columns and each variant's dosage together: chr, pos, n,
+    adj_r2.  Variants that the others explain, and perfect fits, have no row.
+
+    Sums of products are aggregated, a row a variant; the small systems are solved behind."""
+    names = ["dosage", *held, "y"]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = rows.groupBy(SITE).agg(F.count("*").alias("n"), *((F.covar_pop(names[i], names[j]) * F.count("*")).alias(f"s{i}_{j}") for i, j in pairs))
+    k = len(names) - 1
+
+    def run(batches):
+        for batch in batches:
+            m = np.zeros((batch.num_rows, k + 1, k + 1))
+            for i, j in pairs:
+                m[:, i, j] = m[:, j, i] = batch[f"s{i}_{j}"].to_numpy(zero_copy_only=False)
+            n = batch["n"].to_numpy().astype(float)
+            xx, w, yy = m[:, 0, 0], m[:, 1:k, 1:k], m[:, k, k]
+            turned = np.linalg.pinv(w) if k > 1 else np.zeros((len(n), 0, 0))
+            # what the held columns leave of the variant and of the trait (Frisch and Waugh)
+            left = lambda u, v: m[:, u, v] - np.einsum("ni,nij,nj->n", m[:, u, 1:k], turned, m[:, 1:k, v])
+            free, cross, rest = left(0, 0), left(0, k), left(k, k)
+            ok = (n > k + 1) & (xx > 0) & (yy > 0) & (free > 1e-9 * xx)
+            rss = rest - cross**2 / np.where(ok, free, 1)
+            ok &= rss > 1e-9 * yy
+            adj = 1 - rss / np.where(ok, yy, 1) * (n - 1) / np.where(ok, n - k - 1, 1)
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch["chr"].take(keep), batch["pos"].take(keep), batch["n"].take(keep), pa.array(adj[ok])], [*SITE, "n", "adj_r2"])
+
+    return sums.mapInArrow(run, "chr int, pos long, n long, adj_r2 double")
+
+
 def forward(calls: DataFrame, phenotypes: DataFrame, rounds: int) -> DataFrame:
-    """Greedy selection: round, chr, pos, adj_r2.  Each round is one pass over the
-    residuals of the markers chosen so far."""
-    spark = calls.sparkSession
-    trait, out = phenotypes.select("sample_id", "y"), []
+    """Greedy selection by joint models: round, chr, pos, n, adj_r2 of the model of all chosen
+    so far.  A round compares, for each variant, the joint fit with those chosen before,
+    over samples whose calls of all of them are known."""
+    rows, held, out = matched(calls, phenotypes), [], []
     for r in range(1, rounds + 1):
-        best = best_marker(scan(matched(calls, trait))).first()
+        best = joint_scan(rows, held).orderBy(F.desc(F.round("adj_r2", 9)), *SITE).first()
         if best is None:
             break
-        out.append((r, int(best["chr"]), int(best["pos"]), float(best["adj_r2"])))
-        at = matched(calls, trait).where((F.col("chr") == best["chr"]) & (F.col("pos") == best["pos"])).select("sample_id", F.col("dosage").alias("w"))
-        trait = residuals(trait.where("y is not null").join(at, "sample_id", "left"), "y", "w").select("sample_id", F.col("resid").alias("y"))
-    return spark.createDataFrame(out, "round int, chr int, pos long, adj_r2 double")
+        out.append((r, int(best["chr"]), int(best["pos"]), int(best["n"]), float(best["adj_r2"])))
+        here = (F.col("chr") == best["chr"]) & (F.col("pos") == best["pos"])
+        held.append(f"w{r}")
+        own = calls.where(here & F.col("dosage").isNotNull()).select("sample_id", F.col("dosage").alias(held[-1]))
+        rows = rows.where(~here).join(own, "sample_id")
+    return calls.sparkSession.createDataFrame(out, "round int, chr int, pos long, n long, adj_r2 double")
 
 
 def permutation_p(calls: DataFrame, phenotypes: DataFrame, rounds: int, seed: int) -> DataFrame:

@@ -26,16 +26,20 @@ def _aligned(y: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return use, y[use], k[np.ix_(use, use)]
 
 
-def _batch(batch: pa.RecordBatch, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matrix of a batch (missing calls are the variant's mean), which rows vary, mafc."""
-    g = np.asarray(batch["g"].flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)[:, use]
+def _batch(batch: pa.RecordBatch | pa.Table, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrix of a batch, or of all of a table (missing calls are the variant's mean), which
+    rows vary, mafc (counted as ``variants.test_minor_counts`` does)."""
+    chunks = batch["g"].chunks if isinstance(batch, pa.Table) else [batch["g"]]
+    flat = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), float) for c in chunks]
+    g = np.concatenate(flat or [np.zeros(0)]).reshape(batch.num_rows, -1)[:, use]
     known = ~np.isnan(g)
     count = known.sum(1)
     mean = np.where(known, g, 0).sum(1) / np.maximum(count, 1)
     low, high = np.where(known, g, np.inf).min(1), np.where(known, g, -np.inf).max(1)
     code = np.where(known, np.floor(np.where(known, g, 0) + 0.5), -1)
-    alleles = (2 * (code == 2) + (code == 1)).sum(1)
-    mafc = np.minimum(alleles, 2 * count - alleles)
+    a, b, c = ((code == v).sum(1) for v in (0, 1, 2))
+    cases = [(a > 0) & (b > 0) & (c > 0), (a > 0) & (b > 0), (a > 0) & (c > 0), (b > 0) & (c > 0)]
+    mafc = np.select(cases, [np.minimum(2 * a + b, 2 * c + b), np.where(a <= b, 2 * a, b), 2 * np.minimum(a, c), np.where(b <= c, b, 2 * c)], -1)
     return np.where(known, g, mean[:, None]), (count > 0) & (low < high), mafc
 
 
@@ -165,8 +169,7 @@ def local_components(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[st
 
     def run(key, rows):
         use, t, t_y, t_one, base, h2 = held.value
-        batch = rows.combine_chunks().to_batches()[0]
-        g, varies, _ = _batch(batch, use)
+        g, varies, _ = _batch(rows, use)
         g = g[varies]
         if len(g) < least:
             return schema.empty_table()
@@ -285,29 +288,29 @@ def forward_mixed(variants: DataFrame, y: np.ndarray, k: np.ndarray, rounds: int
 
 
 def low_rank_scan(variants: DataFrame, y: np.ndarray, terms: np.ndarray) -> DataFrame:
-    """Scan with K = terms terms' of low rank: delta is the null model's, and only the
-    singular vectors are rotated by: chr, pos, coef, t2, pvalue."""
+    """Scan with K = terms terms' of low rank: delta is fitted anew for each variant, and the
+    likelihood compared with the null model's: chr, pos, coef, delta, loglik, pvalue."""
     use = np.flatnonzero(~np.isnan(y))
     y, terms = y[use], terms[use]
-    one = np.ones((len(y), 1))
-    fit = L.low_rank_ml(y, one, terms)
-    u, s, _ = np.linalg.svd(terms, full_matrices=False)
-    keep = s > s.max(initial=0) * 1e-9
-    u, shrink = u[:, keep], 1 / np.sqrt(s[keep] ** 2 + fit.delta) - 1 / np.sqrt(fit.delta)
-    held = variants.sparkSession.sparkContext.broadcast((use, u, shrink, fit.delta, y))
+    basis = L.low_rank_basis(terms)
+    null = L.low_rank_ml(y, np.ones((len(y), 1)), basis=basis).loglik
+    held = variants.sparkSession.sparkContext.broadcast((use, basis, y, null))
 
     def run(batches):
-        use, u, shrink, delta, y = held.value
-        turn = lambda m: m / np.sqrt(delta) + ((m @ u) * shrink) @ u.T
-        t_y, t_one = turn(y[None])[0], turn(np.ones((1, len(y))))[0]
+        use, (u, values), y, null = held.value
         for batch in batches:
             g, varies, _ = _batch(batch, use)
-            r = transformed_ols(turn(g), t_one, t_y)
-            keep = np.flatnonzero(varies & r["ok"])
-            p = np.asarray(t_two_sided(np.sqrt(r["t2"][keep]), len(y) - 2), float)
-            yield pa.RecordBatch.from_arrays([batch["chr"].take(pa.array(keep)), batch["pos"].take(pa.array(keep)), pa.array(r["coef"][keep]), pa.array(r["t2"][keep]), pa.array(p)], ["chr", "pos", "coef", "t2", "pvalue"])
+            keep, rows = np.flatnonzero(varies), []
+            for i in keep.tolist():
+                x = np.column_stack([np.ones(len(y)), g[i]])
+                fit = L.low_rank_ml(y, x, basis=(u, values))
+                turned = x / fit.delta + u @ ((1 / (values + fit.delta) - 1 / fit.delta)[:, None] * (u.T @ x))
+                rows.append((np.linalg.lstsq(turned.T @ x, turned.T @ y, rcond=None)[0][1], fit.delta, fit.loglik))
+            coef, delta, loglik = np.array(rows, float).reshape(-1, 3).T
+            p = np.asarray(chi2_sf(np.maximum(2 * (loglik - null), 0), 1), float)
+            yield pa.RecordBatch.from_arrays([batch["chr"].take(pa.array(keep)), batch["pos"].take(pa.array(keep)), *(pa.array(v.copy()) for v in (coef, delta, loglik, p))], ["chr", "pos", "coef", "delta", "loglik", "pvalue"])
 
-    return variants.select("chr", "pos", "g").mapInArrow(run, "chr int, pos long, coef double, t2 double, pvalue double")
+    return variants.select("chr", "pos", "g").mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, pvalue double")
 
 
 def local_grid(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[str], step: float = 0.1) -> DataFrame:
@@ -321,7 +324,7 @@ def local_grid(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[str], st
 
     def run(key, rows):
         use, y, k = held.value
-        g, varies, _ = _batch(rows.combine_chunks().to_batches()[0], use)
+        g, varies, _ = _batch(rows, use)
         g = g[varies]
         if len(g) < 2:
             return schema.empty_table()

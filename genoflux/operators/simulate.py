@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import running_before
+
 
 def uniform(seed: int, *keys) -> Column:
     """Uniform in (0, 1) from a seed and columns."""
@@ -147,8 +149,11 @@ def standings(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     The order is over the table of distinct scores."""
     keys = by or []
     counts = scores.groupBy(*keys, "score").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("standing", F.coalesce(F.sum("_n").over(order), F.lit(0)) + 1).drop("_n")
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("standing", F.coalesce(F.sum("_n").over(order), F.lit(0)) + 1).drop("_n")
+    else:
+        counts = running_before(counts.withColumn("_v", -F.col("score")), "_v", "_n", "_b").withColumn("standing", F.col("_b") + 1).drop("_n", "_v", "_b")
     return scores.join(counts, [*keys, "score"])
 
 

@@ -11,6 +11,28 @@ from pyspark.sql import functions as F
 from ..functions import special
 
 
+def running_before(counts: DataFrame, value: str, n: str, out: str, parts: int = 64) -> DataFrame:
+    """Adds the sum of ``n`` over all smaller values of a numeric column.
+
+    Rows are dealt into ranges by approximate quantiles; each range sums on its own behind
+    the sum of those before, so no task holds more than about a range."""
+    splits = sorted({float(v) for v in counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.002)})
+    part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col(value))) if splits else F.lit(0)
+    own = counts.withColumn("_part", F.coalesce(part, F.lit(0)))
+    sums = {r["_part"]: r["s"] for r in own.groupBy("_part").agg(F.sum(n).alias("s")).collect()}  # at most ``parts`` rows
+    offsets = [sum(v for k, v in sums.items() if k < i) for i in range(len(splits) + 1)]
+    order = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.array(*[F.lit(v).cast("long") for v in offsets]), F.col("_part") + 1)
+    return own.withColumn(out, base + F.coalesce(F.sum(n).over(order), F.lit(0))).drop("_part")
+
+
+def ecdf(rows: DataFrame, value: str) -> DataFrame:
+    """value and share (of known values at most this one) of each distinct value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_t"))
+    return running_before(counts, "value", "_n", "_b").join(F.broadcast(total)).select("value", ((F.col("_b") + F.col("_n")) / F.col("_t")).alias("share"))  # one row
+
+
 def average_ranks(rows: DataFrame, value: str, by: str | None = None, out: str = "rank") -> DataFrame:
     """Adds the rank of ``value`` in ascending order, ties sharing their mean rank.
 
@@ -18,9 +40,12 @@ def average_ranks(rows: DataFrame, value: str, by: str | None = None, out: str =
     aggregated first; that table is ordered within each ``by`` group."""
     keys = [by] if by else []
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(order), F.lit(0))
-    counts = counts.withColumn(out, before + (F.col("_n") + 1) / 2).drop("_n")
+    if by:
+        order = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_b", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    else:
+        counts = running_before(counts, value, "_n", "_b")
+    counts = counts.withColumn(out, F.col("_b") + (F.col("_n") + 1) / 2).drop("_n", "_b")
     return rows.join(counts, [*keys, value])
 
 
@@ -53,8 +78,7 @@ def ks_normal(rows: DataFrame, value: str) -> DataFrame:
     own = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     moments = own.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum(F.col("v") * F.col("v") * F.col("c")).alias("ss"))
     sd = F.sqrt((F.col("ss") - F.col("n") * F.col("mean") ** 2) / (F.col("n") - 1))
-    order = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    steps = own.withColumn("up", F.sum("c").over(order)).join(moments)
+    steps = running_before(own, "v", "c", "_b").withColumn("up", F.col("_b") + F.col("c")).join(moments)
     tail = special.normal_tail((F.col("v") - F.col("mean")) / sd)
     steps = steps.withColumn("cdf", 1 - tail)
     gap = F.greatest(F.abs(F.col("up") / F.col("n") - F.col("cdf")), F.abs((F.col("up") - F.col("c")) / F.col("n") - F.col("cdf")))

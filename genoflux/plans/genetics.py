@@ -282,6 +282,22 @@ def lm_stepwise_round2(spark, sf_dir):
     return lm.second_marker(calls, pheno, best).select("chr", "pos", "n", r("adj_r2", 5).alias("adj_r2"))
 
 
+_FREE = "xx * ww - xw * xw > 1e-9::double * xx * ww and xx > 0 and yy > 0 and n > 3"
+
+
+@register(_LM + """, b as (select chr, pos, n, adj_r2 from s where sd_err * sd_err * (n - 2) > 1e-9::double * (select max(syy) from q q2 where q2.chr = s.chr and q2.pos = s.pos) order by round(adj_r2, 9) desc, chr, pos limit 1),
+h as (select c.sample_id, c.dosage as w from calls c join b using (chr, pos) where c.dosage is not null),
+m as (select c.chr, c.pos, count(*) as n, covar_pop(c.dosage, c.dosage) * count(*) as xx, covar_pop(h.w, h.w) * count(*) as ww, covar_pop(c.dosage, h.w) * count(*) as xw,
+  covar_pop(c.dosage, p.y) * count(*) as xy, covar_pop(h.w, p.y) * count(*) as wy, covar_pop(p.y, p.y) * count(*) as yy
+  from calls c join pheno p using (sample_id) join h using (sample_id) where c.dosage is not null and p.y is not null
+  and not exists (select 1 from b where b.chr = c.chr and b.pos = c.pos) group by c.chr, c.pos),
+f as (select *, (yy - (ww * xy - xw * wy) / (xx * ww - xw * xw) * xy - (xx * wy - xw * xy) / (xx * ww - xw * xw) * wy) / yy as left_over from m where {free}),
+t as (select chr, pos, n, 1 - left_over * (n - 1) / (n - 3) as adj_r2 from f where left_over > 1e-9::double order by round(1 - left_over * (n - 1) / (n - 3), 9) desc, chr, pos limit 1)
+select cast(1 as integer) as round, chr, pos, n, round(adj_r2, 5) + 0.0 as adj_r2 from b union all select cast(2 as integer), chr, pos, n, round(adj_r2, 5) + 0.0 from t""".format(free=_FREE))
+def lm_forward_two(spark, sf_dir):
+    return lm.forward(fx.calls(spark, sf_dir), fx.phenotypes(spark, sf_dir), 2).select("round", "chr", "pos", "n", r("adj_r2", 5).alias("adj_r2"))
+
+
 @register()
 def lm_forward(spark, sf_dir):
     return lm.forward(fx.calls(spark, sf_dir), fx.phenotypes(spark, sf_dir), 3)
@@ -381,11 +397,10 @@ def chi_square_table(spark, sf_dir):
     return stats.contingency(fx.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus").select(r("chi2").alias("chi2"), r("lr").alias("lr"), "df")
 
 
-@register("""q as (select c_acctbal as v, count(*) as c from customer group by 1), t as (select sum(c) as n, sum(v * c) / sum(c) as m, sum(v * v * c) as ss from q),
-s as (select v, c, sum(c) over (order by v) as up, n from q, t) select count(*) as n_steps, cast(max(up) as bigint) as n from s""")
+@register("""q as (select c_acctbal as value, count(*) as c from customer where c_acctbal is not null group by 1)
+select value, sum(c) over (order by value) / cast(sum(c) over () as double) as share from q""")
 def ks_ecdf(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "customer").groupBy("c_acctbal").agg(F.count("*").alias("c"))
-    return rows.agg(F.count("*").alias("n_steps"), F.sum("c").alias("n"))
+    return stats.ecdf(fx.table(spark, sf_dir, "customer"), "c_acctbal")
 
 
 @register()

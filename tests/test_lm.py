@@ -1,5 +1,6 @@
-"""The joint linear model takes all its sites or none."""
+"""Joint linear models against numpy."""
 
+import numpy as np
 import pytest
 
 from genoflux.operators import lm
@@ -11,3 +12,19 @@ def test_too_many_sites_raise(spark):
     with pytest.raises(ValueError, match="more sites"):
         lm.selected_model(calls, traits, calls)
     assert len(lm.selected_model(calls, traits, calls.where("pos < 64"))["coef"]) == 65
+
+
+def test_forward_fits_jointly(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 3, (60, 3)).astype(float)
+    g = np.column_stack([base, base[:, :1] + rng.integers(0, 2, (60, 1)), rng.integers(0, 3, (60, 6))])  # correlated markers
+    y = 2 * g[:, 0] - 1.5 * g[:, 1] + g[:, 3] + rng.normal(size=60)
+    calls = spark.createDataFrame([(1, p, s, float(g[s, p])) for p in range(10) for s in range(60)], "chr int, pos long, sample_id long, dosage double")
+    traits = spark.createDataFrame([(s, float(y[s])) for s in range(60)], "sample_id long, y double")
+    chosen = []
+    for r in lm.forward(calls, traits, 4).orderBy("round").collect():
+        fits = {p: lm.least_squares(np.column_stack([np.ones(60), g[:, [*chosen, p]]]), y)[3] for p in range(10) if p not in chosen}
+        best = max(fits, key=fits.get)
+        assert r.pos == best and abs(r.adj_r2 - fits[best]) < 1e-9
+        chosen.append(best)
+    assert len(chosen) == 4
