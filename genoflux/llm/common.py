@@ -54,8 +54,8 @@ def shares(total: int, each: int, least: int = 1) -> int:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see.
 
-    Where that is unset (local tests) a temporary folder becomes the checkpoint
-    folder.
+    Where that is unset a local session takes a temporary folder; on a cluster that is
+    an error.
     """
     return f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -64,7 +64,12 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='genoflux-')}"
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = f"file://{tempfile.mkdtemp(prefix='genoflux-')}"
+        else:  # a folder of this machine is none of the executors'
+            raise ValueError("spark.checkpoint.dir is not set")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base

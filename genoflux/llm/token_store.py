@@ -11,7 +11,9 @@ Segments are rows of a Parquet table, so that any store Spark can write holds
 them.  Columns: part, seq (order of the segments), n_tokens, doc_ids (bitmap of
 null ids in no_ids), ends (token position behind each document), and levels, a
 list of structs of chunks, more (continuation bitmap) and ranks.  All numbers in
-binary columns are little-endian: doc_ids and ends 8 bytes, ranks 4, chunks 1.
+binary columns are little-endian: doc_ids and ends 8 bytes, ranks 4, chunks 1.  Pages
+are not compressed; the codes are small, and a token needs no decompression.
+``token_at`` looks tokens up by their positions in the whole store.
 """
 
 from __future__ import annotations
@@ -228,7 +230,7 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order).mapInArrow(run, _SEGMENT).write.option("parquet.block.size", 16 << 20).parquet(path)
+    rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order).mapInArrow(run, _SEGMENT).write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
@@ -245,6 +247,39 @@ def with_starts(segments: DataFrame) -> DataFrame:
     return segments.join(F.broadcast(starts) if starts.count() <= MOST_BROADCAST else starts, ["part", "seq"])
 
 
+def token_at(spark: SparkSession, path: str, positions: DataFrame, column: str = "position", run: int = 1 << 16, most_parts: int = 1000) -> DataFrame:
+    """position and id of tokens of a store, by their positions in the order of all tokens.
+
+    ``positions``: a table with the column; each distinct one gives a row, with a null id
+    if it is null or outside the store.  A position finds its segment by the segments'
+    starts; where few parts are asked for, only their files are read.  In a segment a
+    token is one directory entry and a popcount a level.  A segment's positions go to it
+    at most about ``run`` at a time, so no list is unbounded.
+    """
+    shift = 19
+    segments = spark.read.schema(_SEGMENT).parquet(path)
+    starts = cut(with_starts(segments.select("part", "seq", "n_tokens")).where("n_tokens > 0"))
+    end = F.col("start") + F.col("n_tokens") - 1
+    bins = starts.select("part", "seq", "start", end.alias("end"), F.explode(F.sequence(F.shiftright("start", shift), F.shiftright(end, shift))).alias("bin"))
+    asked = positions.select(F.col(column).cast("long").alias("position")).distinct()
+    found = asked.withColumn("bin", F.shiftright("position", shift)).join(bins, "bin").where("position between start and end")
+    found = cut(found.select("position", "part", "seq", (F.col("position") - F.col("start")).alias("at")))
+    turn = F.floor(F.pmod(F.xxhash64("position"), F.lit(1 << 40)) / F.lit((1 << 40) // max(1, (1 << shift) // run)))
+    lists = found.groupBy("part", "seq", turn.alias("turn")).agg(F.collect_list("position").alias("positions"), F.collect_list("at").alias("at"))
+    parts = [r["part"] for r in found.select("part").distinct().limit(most_parts + 1).collect()]
+    if len(parts) <= most_parts:
+        segments = segments.where(F.col("part").isin(parts))
+
+    def look(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, at = Codes(batch["levels"][i].as_py()), batch["at"][i].as_py()
+                yield pa.RecordBatch.from_arrays([batch["positions"][i].values, pa.array([codes[j] for j in at], pa.int64())], ["position", "id"])
+
+    ids = segments.select("part", "seq", "levels").join(lists, ["part", "seq"]).select("levels", "positions", "at").mapInArrow(look, "position long, id long")
+    return asked.join(ids, "position", "left")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of a token table: doc_id, start, n_tokens, ids
     (little-endian unsigned 32-bit, with the end id)."""

@@ -34,3 +34,17 @@ def test_the_longest_added_token(spark, tmp_path):
     path = str(tmp_path / "own.json")
     library.save(path)
     check(spark, library, path)
+
+
+def test_tokens_by_position(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{rng.integers(3000)}" for _ in range(int(rng.integers(0, 60))))) for i in range(120)]
+    docs, out = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/store"
+    token_store.write(docs, P.path("byte_bpe_50k.json"), P.PATTERN, out, part_bytes=4000, segment_tokens=200)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    flat = [x for _, text in rows for x in [*library.encode(text, add_special_tokens=False).ids, 0]]
+    asked = sorted({int(x) for x in rng.integers(0, len(flat), 300)} | {0, len(flat) - 1})
+    table = spark.createDataFrame([(x,) for x in [*asked, asked[0], len(flat), -1, None]], "position long")
+    for most in (1000, 2):
+        got = {r.position: r.id for r in token_store.token_at(spark, out, table, run=1 << 12, most_parts=most).collect()}
+        assert got == {**{x: flat[x] for x in asked}, len(flat): None, -1: None, None: None}
