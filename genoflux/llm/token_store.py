@@ -226,7 +226,7 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
                 for a, b in slices(bounds, 1 << 20):
                     yield own[a:b], [raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)]
 
-        yield from _segments(blocks(), PieceTable(pattern, encode, 250_000), added, TaskContext.get().partitionId(), end_id, segment_tokens)
+        yield from _segments(blocks(), PieceTable(pattern, encode, 450_000), added, TaskContext.get().partitionId(), end_id, segment_tokens)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
