@@ -146,6 +146,8 @@ class AddedTokens:
     def cut(self, text: str) -> tuple[list[str], list[int]]:
         """The texts between added tokens, and the ids of these, one fewer."""
         parts, ids = [text], []
+        if not any(name in text for name in self.ids):
+            return parts, ids
         for turn in self.turns:
             between, ids, old = [], [], ids
             for i, part in enumerate(parts):
@@ -293,7 +295,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 for a in range(0, len(names), 256):
                     b = min(len(names), a + 256)
-                    cells = [codes.between(int(s), int(e)).astype("<u4").tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
+                    whole = codes.between(int(starts[a]), int(ends[b - 1])).astype("<u4").tobytes()  # documents follow each other
+                    at = 4 * (np.append(starts[a:b], ends[b - 1]) - starts[a])
+                    cells = [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names[a:b], pa.int64(), mask=blank[a:b]), pa.array(starts[a:b] + row["start"], pa.int64()), pa.array((ends - starts)[a:b], pa.int64()), pa.array(cells, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
