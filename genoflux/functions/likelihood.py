@@ -84,8 +84,9 @@ def _ml_grid() -> np.ndarray:
     return np.arange(round((HIGH - LOW) / STEP) + 1) * STEP + LOW
 
 
-def ml(y: np.ndarray, x: np.ndarray, values: np.ndarray) -> Fit:
-    """Full-rank maximum likelihood of rotated y and x; values: eigenvalues of K."""
+def ml_profile(y: np.ndarray, x: np.ndarray, values: np.ndarray):
+    """Functions of log delta, all else at its best: (coefficients, vg, weights), and the
+    log-likelihood of rotated y and x; values: eigenvalues of K."""
     n = len(y)
 
     def parts(logs):
@@ -100,11 +101,26 @@ def ml(y: np.ndarray, x: np.ndarray, values: np.ndarray) -> Fit:
         _, vg, w = parts(logs)
         return -n / 2 * (math.log(2 * math.pi) + 1 + np.log(vg)) + 0.5 * np.log(w).sum(1)
 
+    return parts, loglik
+
+
+def ml(y: np.ndarray, x: np.ndarray, values: np.ndarray) -> Fit:
+    """Full-rank maximum likelihood of rotated y and x; values: eigenvalues of K."""
+    parts, loglik = ml_profile(y, x, values)
     delta, best = _peak(loglik, _ml_grid())
     _, vg, _ = parts(np.array([math.log(delta)]))
     return Fit(delta, float(vg[0]), float(vg[0]) * delta, best)
 
 
+def information(y: np.ndarray, x: np.ndarray, values: np.ndarray, h2: float, step: float = 1e-3) -> float:
+    """Observed Fisher information of h2: minus the second derivative of the profile
+    likelihood, by differences; next to 0 or 1 it is taken two steps inside."""
+    at = min(1 - 2 * step, max(2 * step, h2))
+    h = np.array([at - step, at, at + step])
+    a, b, c = ml_profile(y, x, values)[1](np.log(1 / h - 1))
+    return float(-(a - 2 * b + c) / step**2)
+
+
 def low_rank_basis(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Singular vectors of ``terms`` and the eigenvalues of terms terms'."""
     u, s, _ = np.linalg.svd(terms, full_matrices=False)

@@ -28,17 +28,22 @@ def gene_of_points(points: DataFrame, genes: DataFrame, width: int = BIN) -> Dat
     return rows.groupBy("chr", "pos").agg(F.max_by("region_id", "ord").alias("gene"))
 
 
-def flanking_markers(points: DataFrame, markers: DataFrame) -> DataFrame:
+def flanking_markers(points: DataFrame, markers: DataFrame, width: int = BIN) -> DataFrame:
     """chr, pos, left_pos (nearest marker before), right_pos (nearest at or behind).
 
-    One sort per chromosome over both sides; no range join."""
+    One sort within each bin of positions over both sides; what earlier and later bins
+    hold comes from a table of a row a bin.  No range join."""
     both = points.select("chr", "pos").distinct().withColumn("marker", F.lit(None).cast("long")).withColumn("kind", F.lit(1))
     both = both.unionByName(markers.select("chr", "pos").distinct().withColumn("marker", F.col("pos")).withColumn("kind", F.lit(2)))
-    order = Window.partitionBy("chr").orderBy("pos", "kind")
-    back = Window.partitionBy("chr").orderBy(F.desc("pos"), F.desc("kind"))
-    left = F.last("marker", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.last("marker", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    return both.withColumn("left_pos", left).withColumn("right_pos", right).where("kind = 1").select("chr", "pos", "left_pos", "right_pos")
+    both = both.withColumn("bin", F.floor(F.col("pos") / width))
+    before, behind = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    bins = Window.partitionBy("chr").orderBy("bin")
+    ends = both.groupBy("chr", "bin").agg(F.min("marker").alias("lo"), F.max("marker").alias("hi"))
+    ends = ends.select("chr", "bin", F.max("hi").over(bins.rowsBetween(*before)).alias("from_left"), F.min("lo").over(bins.rowsBetween(*behind)).alias("from_right"))
+    order = Window.partitionBy("chr", "bin").orderBy("pos", "kind")
+    left, right = F.max("marker").over(order.rowsBetween(*before)), F.min("marker").over(order.rowsBetween(*behind))
+    rows = both.select("chr", "pos", "bin", "kind", left.alias("left_pos"), right.alias("right_pos")).where("kind = 1").join(ends, ["chr", "bin"])
+    return rows.select("chr", "pos", F.coalesce("left_pos", "from_left").alias("left_pos"), F.coalesce("right_pos", "from_right").alias("right_pos"))
 
 
 def first_per_site(rows: DataFrame, order: str) -> DataFrame:

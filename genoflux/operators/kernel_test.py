@@ -45,6 +45,15 @@ def gene_p(sites: DataFrame, y: np.ndarray, binary: bool = False) -> DataFrame:
     return sites.select("gene", "weight", "g").groupBy("gene").applyInArrow(run, "gene string, n_variants long, q double, pvalue double")
 
 
+def with_default_weights(rows: DataFrame) -> DataFrame:
+    """``rows`` with the weight that ``beta_weight`` gives each variant at its folded frequency
+    among them (0 where no call is known)."""
+    freq = F.avg("dosage") / 2
+    maf = rows.select("chr", "pos", "sample_id", "dosage").distinct().groupBy("chr", "pos").agg(freq.alias("_f"))
+    maf = maf.select("chr", "pos", F.coalesce(beta_weight(F.least("_f", 1 - F.col("_f"))), F.lit(0.0)).alias("weight"))
+    return rows.drop("weight").join(maf, ["chr", "pos"])
+
+
 def beta_weight(maf, a: float = 1.0, b: float = 25.0):
     """Default weight of an unweighted model: the beta(a, b) density at the frequency."""
     import math

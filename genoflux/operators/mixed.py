@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import likelihood as L
 from ..functions.special import chi2_sf, t_two_sided
+from .joins import in_regions
 from .kinship import MOST_SAMPLES, rescale
 
-_SCAN = "chr int, pos long, n long, coef double, sd_err double, adj_r2 double, t2 double, pvalue double, mafc long"
+_SCAN = "n long, coef double, sd_err double, adj_r2 double, t2 double, pvalue double, mafc long"
 
 
 def _aligned(y: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,9 +61,10 @@ def transformed_ols(t_x: np.ndarray, t_one: np.ndarray, t_y: np.ndarray) -> dict
     return {"coef": b1, "sd_err": np.sqrt(s2), "adj_r2": adj, "t2": t2, "ok": (det > 1e-10 * uu * vv) & (s2 > 0)}
 
 
-def emmax(variants: DataFrame, y: np.ndarray, k: np.ndarray, fit: L.Fit | None = None) -> DataFrame:
-    """Scan with variance components of the null model: one row for each variant that
-    varies.  One matrix product a batch, then three dot products a variant."""
+def emmax(variants: DataFrame, y: np.ndarray, k: np.ndarray, fit: L.Fit | None = None, by: tuple[str, ...] = ("chr", "pos")) -> DataFrame:
+    """Scan with variance components of the null model: one row (``by`` and the results)
+    for each variant that varies.  One matrix product a batch, then three dot products a
+    variant."""
     use, y, k = _aligned(y, k)
     k = rescale(k)
     fit = fit or L.reml(y, np.ones((len(y), 1)), k)
@@ -78,11 +80,54 @@ def emmax(variants: DataFrame, y: np.ndarray, k: np.ndarray, fit: L.Fit | None =
             n = len(t_y)
             p = t_two_sided(np.sqrt(r["t2"][keep]), n - 2)
             yield pa.RecordBatch.from_arrays(
-                [batch["chr"].take(pa.array(keep)), batch["pos"].take(pa.array(keep)), pa.array(np.full(len(keep), n)), *(pa.array(r[c][keep]) for c in ("coef", "sd_err", "adj_r2", "t2")), pa.array(np.asarray(p, float)), pa.array(mafc[keep].astype(np.int64))],
-                ["chr", "pos", "n", "coef", "sd_err", "adj_r2", "t2", "pvalue", "mafc"],
+                [*(batch[c].take(pa.array(keep)) for c in by), pa.array(np.full(len(keep), n)), *(pa.array(r[c][keep]) for c in ("coef", "sd_err", "adj_r2", "t2")), pa.array(np.asarray(p, float)), pa.array(mafc[keep].astype(np.int64))],
+                [*by, "n", "coef", "sd_err", "adj_r2", "t2", "pvalue", "mafc"],
             )
 
-    return variants.select("chr", "pos", "g").mapInArrow(run, _SCAN)
+    rows = variants.select(*by, "g")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("g").schema)
+    return rows.mapInArrow(run, f"{keys}, {_SCAN}")
+
+
+def emmax_regions(variants: DataFrame, regions: DataFrame, y: np.ndarray, k: np.ndarray, threshold: float = 1.0) -> DataFrame:
+    """The scan of variants within regions (region_id, chr, start, end) alone, those with a p
+    of at most ``threshold`` over the number of all variants; a variant of several regions has
+    a row in each."""
+    limit = variants.agg((F.lit(threshold) / F.count("*")).alias("_limit"))
+    found = emmax(in_regions(variants, regions), y, k, by=("region_id", "chr", "pos"))
+    return found.join(F.broadcast(limit)).where("pvalue <= _limit").drop("_limit")  # one row
+
+
+def burden_arrays(variants: DataFrame, regions: DataFrame, n: int, rare: float, carrier: float = 2.0) -> DataFrame:
+    """region_id, chr, start, g: for each region that holds a variant, ``carrier`` for samples that
+    carry the minor code of one of its rare variants, else 0.
+
+    Rare: fewer than int(2 n rare) minor alleles, counted as ``variants.test_minor_counts``
+    does.  The minor code of two is that of the smaller class (the lower of equal ones); of
+    three, 0 or else 1.  Partial maxima are combined before the shuffle: a row a region and
+    sample and task."""
+    code = F.transform("g", lambda x: F.floor(x + 0.5).cast("int"))
+    rows = in_regions(variants.withColumn("_c", code), regions)
+    sized = lambda v: F.size(F.filter("_c", lambda x: x == v))
+    n0, n1, n2 = map(sized, range(3))
+    clean = n0 + n1 + n2 == F.size(F.filter("_c", lambda x: x.isNotNull()))
+    first, second = F.when(n0 > 0, 0).otherwise(1), F.when(n2 > 0, 2).otherwise(1)
+    of = lambda c: F.when(c == 0, n0).when(c == 1, n1).otherwise(n2)
+    low = F.when(of(first) <= of(second), first).otherwise(second)
+    classes = sum((x > 0).cast("int") for x in (n0, n1, n2))
+    zeros, others = 2 * n0 + n1, 2 * n2 + n1
+    minor = F.when(clean & (classes == 2), low).when(clean & (classes == 3), F.when(zeros < others, 0).otherwise(1))
+    count = F.when(classes == 2, of(low) * F.when(low == 1, 1).otherwise(2)).otherwise(F.least(zeros, others))
+    minor = F.when(count < int(rare * n * 2), minor)
+    cells = rows.select("region_id", "chr", "start", minor.alias("_m"), "_c").select("region_id", "chr", "start", "_m", F.posexplode("_c").alias("_i", "_x"))
+    most = cells.groupBy("region_id", "chr", "start", "_i").agg(F.max(F.when(F.col("_x") == F.col("_m"), carrier).otherwise(0.0)).alias("_b"))
+    return most.groupBy("region_id", "chr", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_b"))), lambda s: s["_b"]).alias("g"))
+
+
+def burden_emmax(variants: DataFrame, regions: DataFrame, y: np.ndarray, k: np.ndarray, rare: float) -> DataFrame:
+    """The mixed scan of regions' burdens: region_id, chr, start and the results."""
+    rows = burden_arrays(variants, regions, int((~np.isnan(y)).sum()), rare)
+    return emmax(rows, y, k, by=("region_id", "chr", "start"))
 
 
 def fastlmm(variants: DataFrame, y: np.ndarray, k: np.ndarray) -> DataFrame:
@@ -110,22 +155,65 @@ def fastlmm(variants: DataFrame, y: np.ndarray, k: np.ndarray) -> DataFrame:
     return variants.select("chr", "pos", "g").mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, pvalue double")
 
 
-def heritability(traits: DataFrame, k: np.ndarray) -> DataFrame:
-    """trait, n, delta, vg, ve, h2, loglik for each trait (trait, y array); REML."""
-    held = traits.sparkSession.sparkContext.broadcast(k)
+def _by_trait(traits: DataFrame, fit, names: list[str]) -> DataFrame:
+    """trait, n and the numbers that ``fit``(y, known ordinals) gives for each trait (trait, y
+    array) of three known values or more."""
+    schema = pa.schema([("trait", pa.string()), ("n", pa.int64()), *[(c, pa.float64()) for c in names]])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for name, y in zip(batch["trait"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                use, own, kk = _aligned(np.array([np.nan if v is None else v for v in y], float), held.value)
-                if len(use) < 3:
-                    continue
-                fit = L.reml(own, np.ones((len(own), 1)), rescale(kk))
-                rows.append((name, len(own), fit.delta, fit.vg, fit.ve, fit.h2, fit.loglik))
-            yield pa.RecordBatch.from_pylist([dict(zip(("trait", "n", "delta", "vg", "ve", "h2", "loglik"), r, strict=True)) for r in rows], pa.schema([("trait", pa.string()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("delta", "vg", "ve", "h2", "loglik")]]))
-
-    return traits.select("trait", "y").mapInArrow(run, "trait string, n long, delta double, vg double, ve double, h2 double, loglik double")
+            for name, values in zip(batch["trait"].to_pylist(), batch["y"].to_pylist(), strict=True):
+                y = np.array([np.nan if v is None else v for v in values], float)
+                use = np.flatnonzero(~np.isnan(y))
+                if len(use) >= 3:
+                    rows.append(dict(zip(schema.names, (name, len(use), *fit(y[use], use)), strict=True)))
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return traits.select("trait", "y").mapInArrow(run, "trait string, n long, " + ", ".join(f"{c} double" for c in names))
+
+
+def heritability(traits: DataFrame, k: np.ndarray) -> DataFrame:
+    """trait, n, delta, vg, ve, h2, loglik (maximum likelihood), information (observed, of h2),
+    low and high (h2 +- 1.96 / sqrt(information), null where that is not positive).
+
+    A task decomposes K again only where another set of samples is known.  A K of centred
+    variants has no variance along the mean, where this likelihood is unbounded and h2 runs
+    to 1: IBS has not that fault."""
+    if len(k) > MOST_SAMPLES:
+        raise ValueError(f"{len(k)} samples; dense matrices stop at {MOST_SAMPLES}")
+    held, last = traits.sparkSession.sparkContext.broadcast(k), {}
+
+    def fit(y, use):
+        key = use.tobytes()
+        if key not in last:
+            last.clear()
+            values, vectors = L.descending(rescale(held.value[np.ix_(use, use)]))
+            last[key] = np.maximum(values, 0), vectors, vectors.T @ np.ones((len(use), 1))
+        values, vectors, one = last[key]
+        found = L.ml(vectors.T @ y, one, values)
+        info = L.information(vectors.T @ y, one, values, found.h2)
+        half = 1.96 / np.sqrt(info) if info > 0 else None
+        return found.delta, found.vg, found.ve, found.h2, found.loglik, info, *((found.h2 - half, found.h2 + half) if half else (None, None))
+
+    return _by_trait(traits, fit, ["delta", "vg", "ve", "h2", "loglik", "information", "low", "high"])
+
+
+def heritability_low_rank(traits: DataFrame, terms: np.ndarray) -> DataFrame:
+    """trait, n, delta, vg, ve, h2, loglik with K = terms terms' (a row a sample), never formed."""
+    held = traits.sparkSession.sparkContext.broadcast(terms)
+
+    def fit(y, use):
+        found = L.low_rank_ml(y, np.ones((len(y), 1)), held.value[use])
+        return found.delta, found.vg, found.ve, found.h2, found.loglik
+
+    return _by_trait(traits, fit, ["delta", "vg", "ve", "h2", "loglik"])
+
+
+def compare_kinships(traits: DataFrame, k1: np.ndarray, k2: np.ndarray) -> DataFrame:
+    """trait, n, and h2 and loglik under each of two kinships (h2_1, loglik_1, h2_2, loglik_2)."""
+    one, two = (heritability(traits, k).select("trait", "n", F.col("h2").alias(f"h2_{i}"), F.col("loglik").alias(f"loglik_{i}")) for i, k in ((1, k1), (2, k2)))
+    return one.join(two.drop("n"), "trait")
 
 
 def two_kinships(y: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[float, L.Fit]:

@@ -50,14 +50,19 @@ def average_ranks(rows: DataFrame, value: str, by: str | None = None, out: str =
 
 
 def pearson(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """n and r over rows where both are known."""
-    return pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    """n, r and its two-sided p over rows where both are known."""
+    return _with_p(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")))
+
+
+def _with_p(found: DataFrame) -> DataFrame:
+    t = F.sqrt(F.col("r") ** 2 / (1 - F.col("r") ** 2) * (F.col("n") - 2))
+    return found.withColumn("p", special.t_pvalue(t, (F.col("n") - 2).cast("double")))
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     rows = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     rows = average_ranks(average_ranks(rows, x, out="_rx"), y, out="_ry")
-    return rows.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("r"))
+    return _with_p(rows.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("r")))
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,8 +78,8 @@ def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ks_normal(rows: DataFrame, value: str) -> DataFrame:
-    """n, d: largest distance of the empirical to the fitted normal distribution, both
-    sides of each step."""
+    """n, d, p: largest distance of the empirical to the fitted normal distribution, both
+    sides of each step, and its p as if the normal were not fitted."""
     own = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
     moments = own.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum(F.col("v") * F.col("v") * F.col("c")).alias("ss"))
     sd = F.sqrt((F.col("ss") - F.col("n") * F.col("mean") ** 2) / (F.col("n") - 1))
@@ -82,7 +87,7 @@ def ks_normal(rows: DataFrame, value: str) -> DataFrame:
     tail = special.normal_tail((F.col("v") - F.col("mean")) / sd)
     steps = steps.withColumn("cdf", 1 - tail)
     gap = F.greatest(F.abs(F.col("up") / F.col("n") - F.col("cdf")), F.abs((F.col("up") - F.col("c")) / F.col("n") - F.col("cdf")))
-    return steps.groupBy("n").agg(F.max(gap).alias("d"))
+    return steps.groupBy("n").agg(F.max(gap).alias("d")).withColumn("p", special.ks_pvalue("d", "n"))
 
 
 def null_log_likelihood(rows: DataFrame, value: str) -> DataFrame:
@@ -118,19 +123,22 @@ def empirical_p(observed: DataFrame, null: DataFrame, by: list[str], value: str,
     return rows.groupBy(by).agg((F.count_if(hit) / F.count("*")).alias("p"), F.count("*").alias("n_null"))
 
 
-def distance_correlation(rows: DataFrame, id_: str, x: str, y: str) -> DataFrame:
+def distance_correlation(rows: DataFrame, id_: str, x: str, y: str, block: int = 1024) -> DataFrame:
     """Distance correlation of two array columns, from sums over pairs of rows.
 
-    All pairs of rows are compared, so this is for the sample axis, which is small.
-    The doubly centred products reduce to three sums: mean(ab), mean(a) mean(b) and
+    All pairs of rows are compared, so this is for the sample axis.  Rows are dealt into
+    blocks of about ``block``, and pairs of blocks to tasks; pairs of rows are summed
+    where they are made.  The doubly centred products reduce to three sums: mean(ab), mean(a) mean(b) and
     the mean of products of row means."""
 
     def gap(u: str, v: str) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(u, v, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
 
-    left = rows.select(F.lit(1).alias("k"), F.col(id_).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    right = rows.select(F.lit(1).alias("k"), F.col(id_).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    pairs = left.join(right, "k").select("i", gap("x1", "x2").alias("a"), gap("y1", "y2").alias("b"))
+    blocks = -(-rows.count() // block) or 1
+    own, every = F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select(own.alias("u"), every.alias("v"), F.col(id_).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1"))
+    right = rows.select(every.alias("u"), own.alias("v"), F.col(id_).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
+    pairs = left.join(right, ["u", "v"]).select("i", gap("x1", "x2").alias("a"), gap("y1", "y2").alias("b"))
     per = pairs.groupBy("i").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") ** 2).alias("aa"), F.sum(F.col("b") ** 2).alias("bb"), F.count("*").alias("n"))
     t = per.agg(F.count("*").alias("n"), F.avg("ma").alias("A"), F.avg("mb").alias("B"), F.sum("ab").alias("ab"), F.sum("aa").alias("aa"), F.sum("bb").alias("bb"), F.avg(F.col("ma") * F.col("mb")).alias("mab"), F.avg(F.col("ma") ** 2).alias("maa"), F.avg(F.col("mb") ** 2).alias("mbb"))
 

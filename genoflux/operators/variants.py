@@ -24,10 +24,12 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
 
 
-def import_minor_counts(calls: DataFrame) -> DataFrame:
-    """chr, pos, mafc: the smaller of the number of zeros and of ones and twos, rounding down after + 0.1."""
+def import_minor_counts(calls: DataFrame, known: str | None = None) -> DataFrame:
+    """chr, pos, mafc: the smaller of the number of zeros and of ones and twos, rounding down
+    after + 0.1; and the number of known calls, if ``known`` names its column."""
     code = F.floor(F.col("dosage") + 0.1)
-    return calls.groupBy(SITE).agg(F.least(_count(code == 0), _count(code.isin(1, 2))).alias("mafc"))
+    more = [_count(F.col("dosage").isNotNull()).alias(known)] if known else []
+    return calls.groupBy(SITE).agg(F.least(_count(code == 0), _count(code.isin(1, 2))).alias("mafc"), *more)
 
 
 def test_minor_counts(calls: DataFrame) -> DataFrame:

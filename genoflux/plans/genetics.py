@@ -35,6 +35,16 @@ def r(c, digits: int = 6):
     return F.round(c, digits) + F.lit(0.0)
 
 
+def _t_p(t2: str, n: str) -> str:
+    """SQL of P(|T| > t) with n - 2 degrees of freedom, a whole number: the finite series
+    in cos of atan(t / sqrt(df)), one for even and one for odd degrees."""
+    df, c2 = f"({n} - 2)", f"({n} - 2) / ({n} - 2 + {t2})"
+    even = f"coalesce(list_sum(list_transform(range(0, {df} // 2), lambda k: exp(lgamma(k + 0.5::double) - lgamma(k + 1.0::double)) / sqrt(pi()) * pow({c2}, k))), 0)"
+    odd = f"coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: exp(lgamma(k + 1.0::double) - lgamma(k + 1.5::double)) * sqrt(pi()) / 2 * pow({c2}, k))), 0)"
+    s = f"sqrt({t2} / ({df} + {t2}))"
+    return f"(case when {df} % 2 = 0 then 1 - {s} * {even} else 1 - 2 / pi() * (atan(sqrt({t2} / {df})) + {s} * sqrt({c2}) * {odd}) end)"
+
+
 # --- scans, filters, allele statistics ---
 
 
@@ -83,8 +93,8 @@ def freq_above_below(spark, sf_dir):
 select chr, pos, mafc from q where n > 0 and mafc / (2.0::double * n) between 0.05 and 0.15""")
 def maf_range(spark, sf_dir):
     calls = fx.calls(spark, sf_dir)
-    rows = variants.import_minor_counts(calls).join(variants.frequencies(calls).select("chr", "pos", "n"), ["chr", "pos"])
-    return rows.where((F.col("mafc") / (2.0 * F.col("n"))).between(0.05, 0.15)).select("chr", "pos", "mafc")
+    rows = variants.import_minor_counts(calls, known="n")
+    return rows.where((F.col("n") > 0) & (F.col("mafc") / (2.0 * F.col("n"))).between(0.05, 0.15)).select("chr", "pos", "mafc")
 
 
 @register("select chr, pos from calls group by chr, pos having min(dosage) < max(dosage)")
@@ -253,9 +263,11 @@ def lm_scan(spark, sf_dir):
     return _scanned(spark, sf_dir).select("chr", "pos", "n", r(F.col("coef") + 1e-8).alias("coef"), r("sd_err", 4).alias("sd_err"), r("adj_r2").alias("adj_r2"), r("t2").alias("t2"))
 
 
-@register()
+@register(_LM + f""", p as (select chr, pos, n, coef, adj_r2, t2, {_t_p("t2", "n")} as pvalue from s)
+select chr, pos, n, round(coef + 1e-8, 6) + 0.0 as coef, round(adj_r2, 6) + 0.0 as adj_r2, round(pvalue + 1e-8, 6) + 0.0 as pvalue from p where pvalue <= 1000.0::double / (select count(*) from p)""")
 def lm_scan_bonferroni(spark, sf_dir):
-    return lm.bonferroni(lm.with_p(_scanned(spark, sf_dir)), 1000.0)
+    found = lm.bonferroni(lm.with_p(_scanned(spark, sf_dir)), 1000.0)
+    return found.select("chr", "pos", "n", r(F.col("coef") + 1e-8).alias("coef"), r("adj_r2").alias("adj_r2"), r(F.col("pvalue") + 1e-8).alias("pvalue"))
 
 
 @register(_LM + "select chr, pos, n, round(adj_r2, 6) + 0.0 as adj_r2 from s order by adj_r2 desc, chr, pos limit 1")
@@ -365,23 +377,29 @@ def relation_matrix(spark, sf_dir):
     return kinship.relation(rows.where("cc = 1").drop("cc"), rows.where("cc = 2").drop("cc")).select("obs_id", "pred_id", r("k").alias("k"))
 
 
-@register("select cast(0 as bigint) as n_asymmetric")
+@register("q as (select 1)," + _RRM.format(c="calls") + """, k as (select a.sample_id as i, b.sample_id as j from z a join z b on a.chr = b.chr and a.pos = b.pos group by 1, 2)
+select cast(count(*) as bigint) as n_pairs, cast(count(*) filter (where not exists (select 1 from k t where t.i = k.j and t.j = k.i)) as bigint) as n_asymmetric from k""")
 def kinship_symmetry(spark, sf_dir):
-    return kinship.asymmetries(kinship.rrm(fx.calls(spark, sf_dir))).agg(F.count("*").alias("n_asymmetric"))
+    k = kinship.rrm(fx.calls(spark, sf_dir))
+    return k.agg(F.count("*").alias("n_pairs")).join(kinship.asymmetries(k).agg(F.count("*").alias("n_asymmetric")))  # a row each
 
 
 # --- table statistics ---
 
 
-@register("select count(*) as n, round(corr(y, w), 8) + 0.0 as r from pheno where y is not null and w is not null")
+_R_P = _t_p("(r * r / (1 - r * r) * (n - 2))", "n")
+
+
+@register(f"""q as (select count(*) as n, corr(y, w) as r from pheno where y is not null and w is not null)
+select n, round(r, 8) + 0.0 as r, round({_R_P}, 6) + 0.0 as p from q""")
 def trait_corr_pearson(spark, sf_dir):
-    return stats.pearson(fx.phenotypes(spark, sf_dir), "y", "w").select("n", r("r", 8).alias("r"))
+    return stats.pearson(fx.phenotypes(spark, sf_dir), "y", "w").select("n", r("r", 8).alias("r"), r("p").alias("p"))
 
 
-@register("""q as (select rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0::double as a, rank() over (order by w) + (count(*) over (partition by w) - 1) / 2.0::double as b from pheno where y is not null and w is not null)
-select count(*) as n, round(corr(a, b), 8) + 0.0 as r from q""")
+@register(f"""q as (select rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0::double as a, rank() over (order by w) + (count(*) over (partition by w) - 1) / 2.0::double as b from pheno where y is not null and w is not null),
+c as (select count(*) as n, corr(a, b) as r from q) select n, round(r, 8) + 0.0 as r, round({_R_P}, 6) + 0.0 as p from c""")
 def trait_corr_spearman(spark, sf_dir):
-    return stats.spearman(fx.phenotypes(spark, sf_dir), "y", "w").select("n", r("r", 8).alias("r"))
+    return stats.spearman(fx.phenotypes(spark, sf_dir), "y", "w").select("n", r("r", 8).alias("r"), r("p").alias("p"))
 
 
 @register("select o_orderkey, cast(rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0::double as double) as rank from orders")
@@ -405,7 +423,7 @@ def ks_ecdf(spark, sf_dir):
 
 @register()
 def ks_normality(spark, sf_dir):
-    return stats.ks_normal(fx.table(spark, sf_dir, "customer"), "c_acctbal").select("n", r("d").alias("d"))
+    return stats.ks_normal(fx.table(spark, sf_dir, "customer"), "c_acctbal").select("n", r("d").alias("d"), r("p").alias("p"))
 
 
 @register("select count(y) as n, round(-count(y) / 2.0::double * (ln(2 * pi()) + 1 + ln(var_pop(y))), 4) + 0.0 as logl from pheno")
@@ -441,14 +459,14 @@ def empirical_pvalue(spark, sf_dir):
     return found.select("o_custkey", F.round("p", 6).alias("p"), "n_null")
 
 
-@register("""x as (select n_nationkey as i, cast(n_nationkey % 7 as double) as a, cast(n_regionkey as double) as b from nation),
+@register("""x as (select s_suppkey as i, cast(s_acctbal as double) as a, cast(s_nationkey as double) as b from supplier),
 p as (select l.i, abs(l.a - r.a) as a, abs(l.b - r.b) as b from x l, x r),
 ra as (select i, avg(a) as ma, avg(b) as mb from p group by i), g as (select avg(a) as ga, avg(b) as gb from p), j as (select l.i, r.i as j, abs(l.a - r.a) as a, abs(l.b - r.b) as b from x l, x r),
 c as (select j.a - u.ma - v.ma + ga as a, j.b - u.mb - v.mb + gb as b from j join ra u on u.i = j.i join ra v on v.i = j.j, g)
 select count(distinct i) as n, round((select sqrt(avg(a * b) / sqrt(avg(a * a) * avg(b * b))) from c), 6) + 0.0 as dcor from ra""".replace("x as", "q as (select 1), x as", 1))
 def distance_correlation(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "nation").select("n_nationkey", F.array((F.col("n_nationkey") % 7).cast("double")).alias("a"), F.array(F.col("n_regionkey").cast("double")).alias("b"))
-    return stats.distance_correlation(rows, "n_nationkey", "a", "b").select("n", r("dcor").alias("dcor"))
+    rows = fx.table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.col("s_acctbal").cast("double")).alias("a"), F.array(F.col("s_nationkey").cast("double")).alias("b"))
+    return stats.distance_correlation(rows, "s_suppkey", "a", "b").select("n", r("dcor").alias("dcor"))
 
 
 @register()
@@ -513,25 +531,36 @@ def _gene_rows(spark, sf_dir):
     return calls.join(fx.models(spark, sf_dir).where("origin = 'EN'").select("gene", "chr", "pos", "weight"), ["chr", "pos"])
 
 
-_Q = """x as (select m.gene, {w} as weight, c.chr, c.pos, c.sample_id, c.dosage, p.y from calls c join pheno p using (sample_id) join models m on m.chr = c.chr and m.pos = c.pos where m.origin = 'EN' and p.y is not null),
+_S = """x as (select m.gene, {w} as weight, c.chr, c.pos, c.sample_id, c.dosage, p.y from calls c join pheno p using (sample_id) join models m on m.chr = c.chr and m.pos = c.pos {j} where m.origin = 'EN' and p.y is not null),
 mu as (select avg(y) as m from (select sample_id, min(y) as y from x group by sample_id)),
 v as (select gene, weight, chr, pos, avg(dosage) as mg from x group by 1, 2, 3, 4),
-s as (select x.gene, x.weight, x.chr, x.pos, sum(coalesce(x.dosage, v.mg, 0) * (x.y - mu.m)) as s from x join v using (gene, weight, chr, pos), mu group by 1, 2, 3, 4)
-select gene, count(*) as n_variants, round(sum(weight * weight * s * s), 2) + 0.0 as q from s group by gene"""
+s as (select x.gene, x.weight, x.chr, x.pos, sum(coalesce(x.dosage, v.mg, 0) * (x.y - mu.m)) as s from x join v using (gene, weight, chr, pos), mu group by 1, 2, 3, 4) """
+_Q = _S + "select gene, count(*) as n_variants, round(sum(weight * weight * s * s), 2) + 0.0 as q from s group by gene"
 
 
-@register("q as (select 1), " + _Q.format(w="m.weight"))
+@register("q as (select 1), " + _Q.format(w="m.weight", j=""))
 def gene_score_q(spark, sf_dir):
     return kernel_test.score_q(_gene_rows(spark, sf_dir)).select("gene", "n_variants", r("q", 2).alias("q"))
 
 
-@register("q as (select 1), " + _Q.format(w="cast(1 as double)"))
+@register("q as (select 1), " + _Q.format(w="cast(1 as double)", j=""))
 def gene_score_q_unweighted(spark, sf_dir):
     return kernel_test.score_q(_gene_rows(spark, sf_dir).withColumn("weight", F.lit(1.0))).select("gene", "n_variants", r("q", 2).alias("q"))
 
 
+@register("""q as (select chr, pos, avg(dosage) / 2 as f from calls join pheno using (sample_id) where y is not null group by chr, pos), """ + _S.format(w="coalesce(25 * pow(1 - least(q.f, 1 - q.f), 24), 0)", j="join q on q.chr = c.chr and q.pos = c.pos") + """select gene, count(*) as n_variants, round(ln(sum(weight * weight * s * s) + 1), 6) + 0.0 as log_q from s group by gene""")
+def gene_score_q_default(spark, sf_dir):
+    found = kernel_test.score_q(kernel_test.with_default_weights(_gene_rows(spark, sf_dir)))
+    return found.select("gene", "n_variants", r(F.log(F.col("q") + 1)).alias("log_q"))
+
+
+def _samples(spark, sf_dir) -> int:
+    """Length of the sample axis of the array store."""
+    return fx.table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
 def _array_trait(spark, sf_dir):
-    return mixed.trait_array(fx.array_trait(spark, sf_dir), 64)
+    return mixed.trait_array(fx.array_trait(spark, sf_dir), _samples(spark, sf_dir))
 
 
 @register()
@@ -553,22 +582,72 @@ def emmax_scan(spark, sf_dir):
 @register("""q as (select chr, pos, count(*) as n, regr_slope(y, dosage) as coef, regr_r2(y, dosage) as r2, regr_sxx(y, dosage) as sxx from acalls join atrait on ordinal = sample_id group by chr, pos)
 select chr, pos, n, round(coef + 1e-7, 4) + 0.0 as coef, round(r2 / (1 - r2) * (n - 2) + 1e-7, 4) + 0.0 as t2 from q where sxx > 0 and r2 < 1""")
 def emmax_identity_kinship(spark, sf_dir):
-    found = mixed.emmax(fx.variants(spark, sf_dir), _array_trait(spark, sf_dir), np.eye(64))
+    y = _array_trait(spark, sf_dir)
+    found = mixed.emmax(fx.variants(spark, sf_dir), y, np.eye(len(y)))
     return found.select("chr", "pos", "n", r(F.col("coef") + 1e-7, 4).alias("coef"), r(F.col("t2") + 1e-7, 4).alias("t2"))
 
 
+@register()
+def emmax_regions(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.emmax_regions(v, fx.regions(spark, sf_dir), _array_trait(spark, sf_dir), kinship.gram(v), 100.0)
+
+
+@register(f"""q as (select chr, pos, count(*) as n, regr_slope(y, dosage) as coef, regr_r2(y, dosage) as r2, regr_sxx(y, dosage) as sxx from acalls join atrait on ordinal = sample_id group by chr, pos),
+s as (select chr, pos, n, coef, r2 / (1 - r2) * (n - 2) as t2 from q where sxx > 0 and r2 < 1), p as (select *, {_t_p("t2", "n")} as pvalue from s)
+select region_id, p.chr, p.pos, round(coef + 1e-7, 4) + 0.0 as coef, round(pvalue, 5) + 0.0 as pvalue from p join regions g on g.chr = p.chr and p.pos between g."start" and g."end" where pvalue <= 100.0::double / (select count(*) from q)""")
+def emmax_regions_identity(spark, sf_dir):
+    y = _array_trait(spark, sf_dir)
+    found = mixed.emmax_regions(fx.variants(spark, sf_dir), fx.regions(spark, sf_dir), y, np.eye(len(y)), 100.0)
+    return found.select("region_id", "chr", "pos", r(F.col("coef") + 1e-7, 4).alias("coef"), r("pvalue", 5).alias("pvalue"))
+
+
+@register()
+def burden_emmax(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.burden_emmax(v, fx.regions(spark, sf_dir), _array_trait(spark, sf_dir), kinship.gram(v), 0.3)
+
+
+@register("""q as (select chr, pos, count(*) filter (where dosage = 0) as a, count(*) filter (where dosage = 1) as b, count(*) filter (where dosage = 2) as c, count(*) as n from acalls group by chr, pos),
+m as (select chr, pos, n, case when a > 0 and b > 0 and c > 0 then case when 2 * a + b < 2 * c + b then 0 else 1 end
+   when a > 0 and b > 0 then case when a <= b then 0 else 1 end when a > 0 and c > 0 then case when a <= c then 0 else 2 end when b > 0 and c > 0 then case when b <= c then 1 else 2 end end as code,
+  case when a > 0 and b > 0 and c > 0 then least(2 * a + b, 2 * c + b) when a > 0 and b > 0 then case when a <= b then 2 * a else b end when a > 0 and c > 0 then 2 * least(a, c) when b > 0 and c > 0 then case when b <= c then b else 2 * c end end as mafc from q),
+u as (select region_id, sample_id, max(case when dosage = code and mafc < floor(n * 0.6::double) then 2.0::double else 0.0::double end) as burden from acalls join m using (chr, pos) join regions g on g.chr = acalls.chr and acalls.pos between g."start" and g."end" group by 1, 2),
+s as (select region_id, count(*) as n, regr_slope(y, burden) as coef, regr_r2(y, burden) as r2, regr_sxx(y, burden) as sxx from u join atrait on ordinal = sample_id group by region_id)
+select region_id, n, round(coef + 1e-7, 4) + 0.0 as coef, round(r2 / (1 - r2) * (n - 2) + 1e-7, 4) + 0.0 as t2 from s where sxx > 0 and r2 < 1""")
+def burden_emmax_identity(spark, sf_dir):
+    y = _array_trait(spark, sf_dir)
+    found = mixed.burden_emmax(fx.variants(spark, sf_dir), fx.regions(spark, sf_dir), y, np.eye(len(y)), 0.3)
+    return found.select("region_id", "n", r(F.col("coef") + 1e-7, 4).alias("coef"), r(F.col("t2") + 1e-7, 4).alias("t2"))
+
+
 @register()
 def fastlmm_scan(spark, sf_dir):
     v = fx.variants(spark, sf_dir)
     return mixed.fastlmm(v, _array_trait(spark, sf_dir), kinship.gram(v))
 
 
+def _label_traits(spark, sf_dir):
+    """trait, y: the mean vector of each label."""
+    traits = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("trait"), F.posexplode("embedding").alias("o", "x"))
+    return traits.groupBy("trait", "o").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("trait").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m"))), lambda s: s["m"]).alias("y"))
+
+
 @register()
 def heritability(spark, sf_dir):
+    return mixed.heritability(_label_traits(spark, sf_dir), kinship.gram(fx.variants(spark, sf_dir), "ibs"))
+
+
+@register()
+def heritability_low_rank(spark, sf_dir):
+    values, vectors = np.linalg.eigh(kinship.gram(fx.variants(spark, sf_dir)))
+    return mixed.heritability_low_rank(_label_traits(spark, sf_dir), vectors[:, -16:] * np.sqrt(np.maximum(values[-16:], 0)))
+
+
+@register()
+def kinships_compared(spark, sf_dir):
     v = fx.variants(spark, sf_dir)
-    traits = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("trait"), F.posexplode("embedding").alias("o", "x"))
-    traits = traits.groupBy("trait", "o").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("trait").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m"))), lambda s: s["m"]).alias("y"))
-    return mixed.heritability(traits, kinship.gram(v))
+    return mixed.compare_kinships(_label_traits(spark, sf_dir), kinship.gram(v), kinship.gram(v, "ibs"))
 
 
 @register()
@@ -582,10 +661,16 @@ def local_vc(spark, sf_dir):
 @register()
 def compound_vc(spark, sf_dir):
     v = fx.variants(spark, sf_dir)
-    compounds = v.withColumn("compound_id", F.floor(F.col("pos") / 40000))
+    compounds = joins.in_regions(v, fx.regions(spark, sf_dir)).withColumn("compound_id", F.split("region_id", ":")[1].cast("long"))
     return mixed.local_components(compounds, _array_trait(spark, sf_dir), kinship.gram(v), ["compound_id"])
 
 
+@register()
+def region_vc(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.local_components(joins.in_regions(v, fx.regions(spark, sf_dir)), _array_trait(spark, sf_dir), kinship.gram(v), ["region_id"])
+
+
 @register()
 def gblup_predict(spark, sf_dir):
     v = fx.variants(spark, sf_dir)
@@ -597,12 +682,6 @@ def gblup_predict(spark, sf_dir):
 # --- simulated traits ---
 
 
-def _sites(spark, sf_dir, n):
-    return simulate.pick(fx.calls(spark, sf_dir).select("chr", "pos").distinct(), n, 3)
-
-
-
-
 @register("""q as (select 1), e as (select chr, pos, weight from models where origin = 'EN')
 select sample_id, round(sum(coalesce(dosage, 0) * weight), 6) + 0.0 as value from calls join e using (chr, pos) group by sample_id""")
 def sim_additive(spark, sf_dir):

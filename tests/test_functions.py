@@ -19,8 +19,9 @@ def test_tails_against_the_jvm(spark):
     assert S.normal_sf(1.96) == pytest.approx(0.0249979, rel=1e-5)
     assert S.chi2_sf(-1, 3) == 1 and S.t_two_sided(40, 200) > 0
     ks = spark.sparkContext._jvm.org.apache.commons.math3.stat.inference.KolmogorovSmirnovTest()
-    for gap, n in ((0.2, 20), (0.1, 100), (0.05, 500)):
+    for gap, n in ((0.2, 20), (0.1, 100), (0.05, 500), (0.3, 50), (0.5, 20), (0.03, 4000)):
         assert S.ks_sf(gap, n) == pytest.approx(1 - ks.cdf(gap, n), rel=1e-6, abs=1e-10)
+    assert 0 < S.ks_sf(0.3, 1500) < 1e-100 and 0 < S.ks_sf(0.02, 20_000) < 1e-6 and S.ks_sf(1.0, 9) == 0
 
 
 def test_mixture_tail():

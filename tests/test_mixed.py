@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoflux.functions import likelihood as L
-from genoflux.operators import kernel_test, kinship, lm, mixed, simulate, stats
+from genoflux.operators import joins, kernel_test, kinship, lm, mixed, simulate, stats
 
 N = 80
 
@@ -117,6 +117,80 @@ def test_heritability_of_noise_and_of_structure(spark, world):
     assert [r.trait for r in rows] == ["g"] and rows[0].h2 > 0.5
 
 
+def test_heritability_by_brute_force(spark, world):
+    _, y, v = world
+    k = kinship.gram(v, "ibs")
+    traits = spark.createDataFrame([("a", [None if np.isnan(t) else float(t) for t in y]), ("b", [float(i % 7) for i in range(N)])], "trait string, y array<double>")
+    rows = {r.trait: r for r in mixed.heritability(traits, k).collect()}
+    use = ~np.isnan(y)
+    own, kk = y[use], kinship.rescale(k[np.ix_(use, use)])
+
+    def at(h):
+        cov = h * kk + (1 - h) * np.eye(len(own))
+        inv, one = np.linalg.inv(cov), np.ones(len(own))
+        r = own - (one @ inv @ own) / (one @ inv @ one)
+        return -len(own) / 2 * (np.log(2 * np.pi * (r @ inv @ r) / len(own)) + 1) - np.linalg.slogdet(cov)[1] / 2
+
+    grid = np.linspace(0.001, 0.999, 999)
+    best = grid[int(np.argmax([at(h) for h in grid]))]
+    got = rows["a"]
+    assert got.n == N - 1 and got.h2 == pytest.approx(best, abs=2e-3) and got.loglik == pytest.approx(at(got.h2), abs=1e-6)
+    h = min(0.98, max(0.02, got.h2))
+    assert L.information(*_rotated(own, kk), h) == pytest.approx(-(at(h + 1e-3) - 2 * at(h) + at(h - 1e-3)) / 1e-6, rel=1e-3, abs=1e-2)
+    assert got.low is None or got.high - got.low == pytest.approx(2 * 1.96 / np.sqrt(got.information))
+    values, vectors = np.linalg.eigh(kinship.rescale(k))
+    low = {r.trait: r for r in mixed.heritability_low_rank(traits, vectors * np.sqrt(np.maximum(values, 0))).collect()}
+    assert low["b"].h2 == pytest.approx(rows["b"].h2, abs=1e-4)
+    both = {r.trait: r for r in mixed.compare_kinships(traits, k, np.eye(N)).collect()}
+    assert both["a"].loglik_1 == pytest.approx(got.loglik) and both["a"].n == N - 1
+
+
+def _rotated(y, k):
+    values, vectors = L.descending(k)
+    return vectors.T @ y, vectors.T @ np.ones((len(y), 1)), np.maximum(values, 0)
+
+
+def test_regions_and_burdens(spark, world):
+    g, y, v = world
+    k = kinship.gram(v)
+    regions = spark.createDataFrame([("r", 1, 1, 20000), ("s", 1, 15000, 30000), ("empty", 9, 1, 5)], "region_id string, chr int, start long, end long")
+    scan = {(r.chr, r.pos): r for r in mixed.emmax(v, y, k).collect()}
+    found = mixed.emmax_regions(v, regions, y, k, 120.0).collect()  # a limit of 1
+    inside = {(name, c, p) for c, p in scan for name, a, b in (("r", 1, 20000), ("s", 15000, 30000)) if c == 1 and a <= p <= b}
+    assert {(r.region_id, r.chr, r.pos) for r in found} == inside
+    assert all(r.pvalue == pytest.approx(scan[r.chr, r.pos].pvalue, rel=1e-6) for r in found)
+    few = mixed.emmax_regions(v, regions, y, k, 6.0).collect()
+    assert {(r.region_id, r.pos) for r in few} == {(r.region_id, r.pos) for r in found if r.pvalue <= 0.05}
+    rare = spark.createDataFrame([(1, 10, [0.0, 0.0, 0.0, 2.0, 0.0, None]), (1, 20, [2.0, 2.0, 1.0, 2.0, 2.0, 2.0]), (1, 30, [0.0, 2.0, 0.0, 2.0, 0.0, 2.0]), (1, 40, [1.0, 0.0, 2.0, 0.0, 0.0, 0.0])], "chr int, pos long, g array<double>")
+    got = {r.region_id: (r.start, r.g) for r in mixed.burden_arrays(rare, regions, 6, 0.4).collect()}
+    # 10: code 2 twice; 20: code 1 once; 30: six of six, common; 40: three codes, fewer twos, so code 1
+    assert got == {"r": (1, [2.0, 0.0, 2.0, 2.0, 0.0, 0.0])}
+
+
+def test_default_weights(spark):
+    rows = spark.createDataFrame([("a", 1, 5, s, d) for s, d in enumerate([0.0, 1.0, None, 2.0, 2.0])] + [("a", 1, 6, 0, None)], "gene string, chr int, pos long, sample_id long, dosage double")
+    w = {r.pos: r.weight for r in kernel_test.with_default_weights(rows).collect()}
+    assert w[5] == pytest.approx(25 * (1 - 0.375) ** 24) and w[6] == 0
+
+
+def test_pairs_of_blocks_give_the_same_distance_correlation(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((70, 2))
+    z = x[:, :1] ** 2 + 0.1 * rng.standard_normal((70, 1))
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, z, strict=True))], "id long, a array<double>, b array<double>")
+    one, many = (stats.distance_correlation(rows, "id", "a", "b", n).first() for n in (1000, 9))
+    assert one.n == many.n == 70 and one.dcor == pytest.approx(many.dcor, rel=1e-9)
+
+
+def test_flanking_markers_across_bins(spark):
+    rng = np.random.default_rng(7)
+    points, marks = ([(int(c), int(p)) for c, p in zip(rng.integers(1, 4, n), rng.integers(1, 5000, n), strict=True)] for n in (150, 25))
+    marks = [m for m in marks if m[0] != 3]
+    got = joins.flanking_markers(spark.createDataFrame(points, "chr int, pos long"), spark.createDataFrame(marks, "chr int, pos long"), 300).collect()
+    want = {(c, p): (max((m for d, m in marks if d == c and m < p), default=None), min((m for d, m in marks if d == c and m >= p), default=None)) for c, p in points}
+    assert {(r.chr, r.pos): (r.left_pos, r.right_pos) for r in got} == want and len(got) == len(want)
+
+
 def test_small_tools(spark):
     rows = spark.createDataFrame([(i, float(np.exp(x))) for i, x in enumerate(np.random.default_rng(3).standard_normal(400))], "id long, v double")
     assert stats.best_transform(rows, "v").first()["transform"] == "log"
