@@ -1,6 +1,6 @@
 """Relationship matrices between samples.
 
-Long form: (i, j, k) from calls.  Array form: ``variants`` with g in order of sample
+Long form: (i, j, k) from calls, a site's calls in one row.  Array form: ``variants`` with g in order of sample
 ordinals; each task adds up Gram matrices of its variants, and those meet in a tree
 of sums, so what is shuffled depends on the number of samples alone.
 """
@@ -10,51 +10,138 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import standardized
-
 #: Samples beyond which a dense matrix does not belong on a driver.
 MOST_SAMPLES = 10_000
 
 
-def _pairs(rows: DataFrame, value: str) -> DataFrame:
-    a = rows.select("chr", "pos", F.col("sample_id").alias("i"), F.col(value).alias("a"))
-    b = rows.select("chr", "pos", F.col("sample_id").alias("j"), F.col(value).alias("b"))
-    return a.join(b, ["chr", "pos"])
+#: Pairs that a task forms at once.
+PAIRS = 1 << 21
+
+
+def _by_site(calls: DataFrame, name: str = "a") -> DataFrame:
+    """chr, pos and the known calls of the site as an array ``name``: a site has at most as
+    many as there are samples.  Calls of no sample are left out."""
+    own = F.collect_list(F.when(F.col("dosage").isNotNull() & F.col("sample_id").isNotNull(), F.struct("sample_id", F.col("dosage").cast("double").alias("v"))))
+    return calls.groupBy("chr", "pos").agg(own.alias(name)).where(F.size(name) > 0)
+
+
+def _spread(x: np.ndarray, site: np.ndarray, n: int) -> np.ndarray:
+    """(x - mean) / sd (n - 1) within sites; NaN where a site has one value only."""
+    count = np.bincount(site, minlength=n)
+    low, high = np.full(n, np.inf), np.full(n, -np.inf)
+    np.minimum.at(low, site, x)
+    np.maximum.at(high, site, x)
+    with np.errstate(all="ignore"):
+        c = x - (np.bincount(site, x, n) / count)[site]
+        sd = np.sqrt(np.bincount(site, c * c, n) / (count - 1))
+        return np.where((low < high)[site], c / sd[site], np.nan)
+
+
+def _side(column: pa.Array, kind: str):
+    """Sample values (dictionary), and for each call: code, value, site; sorted by site and code."""
+    site = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    calls = column.flatten()
+    coded = calls.field("sample_id").dictionary_encode()
+    up = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(up), np.int64)
+    rank[up.to_numpy()] = np.arange(len(up))
+    code = rank[coded.indices.to_numpy()] if len(up) else np.zeros(0, np.int64)
+    x = calls.field("v").to_numpy(zero_copy_only=False)
+    if kind == "rrm":
+        x = _spread(x, site, len(column))
+        use = ~np.isnan(x)
+        code, x, site = code[use], x[use], site[use]
+    turn = np.lexsort((code, site))
+    return coded.dictionary.take(up), code[turn], x[turn], site[turn]
+
+
+def _pair_means(sites: DataFrame, by: list[str], kind: str, scale: float = 2.0, pairs: int = PAIRS) -> DataFrame:
+    """by, i, j, k, n: mean over shared calls of 1 - |difference| / scale (``ibs``, i < j) or
+    of the product of standardised calls (``rrm``; i <= j, or all i of column a with all j of
+    column b where there is one).
+
+    A site is one row, so no calls are joined; a task forms at most about ``pairs`` pairs at
+    once and adds them up by (by, i, j) before they are shuffled."""
+    two = "b" in sites.columns
+    keys = sites.select(*by).schema
+    sample = sites.schema["a"].dataType.elementType["sample_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            left_ids, code, x, site = _side(batch["a"], kind)
+            right_ids, r_code, r_x, r_site = _side(batch["b"], kind) if two else (left_ids, code, x, site)
+            if not len(code) or not len(r_code):
+                continue
+            ends = np.searchsorted(r_site, np.arange(batch.num_rows), "right")
+            first = np.searchsorted(r_site, site, "left") if two else np.arange(len(code))
+            many = ends[site] - first
+            if by:
+                # the first row of each group stands for its key
+                _, row_of, group = np.unique(np.array([str(k) for k in zip(*(batch[c].to_pylist() for c in by), strict=True)]), return_index=True, return_inverse=True)
+            else:
+                row_of, group = np.zeros(1, np.int64), np.zeros(batch.num_rows, np.int64)
+            n_left, n_right = len(left_ids), len(right_ids)
+            total = np.cumsum(many)
+            a = 0
+            while a < len(code):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + pairs, "right")))
+                own = many[a:b]
+                p = np.repeat(np.arange(a, b), own)
+                q = np.repeat(first[a:b] - np.cumsum(own) + own, own) + np.arange(len(p))
+                if kind == "ibs":
+                    apart = code[p] != r_code[q]
+                    p, q = p[apart], q[apart]
+                    value, weight = 1 - np.abs(x[p] - r_x[q]) / scale, np.ones(len(p))
+                else:
+                    # two calls of one sample at a site meet in both orders
+                    weight = np.where((code[p] == r_code[q]) & (p != q), 2.0, 1.0) if not two else np.ones(len(p))
+                    value = x[p] * r_x[q] * weight
+                key, at = np.unique((group[site[p]] * n_left + code[p]) * n_right + r_code[q], return_inverse=True)
+                a = b
+                if not len(key):
+                    continue
+                rows = pa.array(row_of[key // (n_left * n_right)])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[c].take(rows) for c in by), left_ids.take(pa.array(key // n_right % n_left)), right_ids.take(pa.array(key % n_right)), pa.array(np.bincount(at, value, len(key))), pa.array(np.bincount(at, weight, len(key)).astype(np.int64))],
+                    [*by, "i", "j", "s", "n"],
+                )
+
+    text = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
+    sums = sites.select(*by, *(["a", "b"] if two else ["a"])).mapInArrow(run, f"{text}i {sample}, j {sample}, s double, n long")
+    return sums.groupBy(*by, "i", "j").agg((F.sum("s") / F.sum("n")).alias("k"), F.sum("n").alias("n"))
+
+
+def _square(upper: DataFrame, by: list[str]) -> DataFrame:
+    """Both triangles of a symmetric matrix given by the upper one."""
+    mirror = F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
+    return upper.select(*by, mirror.alias("x"), "k").select(*by, "x.i", "x.j", "k")
 
 
 def ibs(calls: DataFrame, scale: float = 2.0) -> DataFrame:
     """i, j, k for i < j: mean of 1 - |difference| / scale over shared known calls; n."""
-    rows = calls.where("dosage is not null")
-    return _pairs(rows, "dosage").where("i < j").groupBy("i", "j").agg(F.avg(1 - F.abs(F.col("a") - F.col("b")) / scale).alias("k"), F.count("*").alias("n"))
+    return _pair_means(_by_site(calls), [], "ibs", scale)
 
 
 def rrm(calls: DataFrame) -> DataFrame:
     """i, j, k: mean product of standardised dosages over shared known calls."""
-    z = standardized(calls.where("dosage is not null"), "dosage", ["chr", "pos"]).where("z is not null")
-    return _pairs(z, "z").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("k"))
+    return _square(_pair_means(_by_site(calls), [], "rrm"), [])
 
 
 def relation(observed: DataFrame, predicted: DataFrame) -> DataFrame:
     """Rectangular form of ``rrm``: obs_id, pred_id, k over variants in both stores."""
-    zo = standardized(observed.where("dosage is not null"), "dosage", ["chr", "pos"]).where("z is not null")
-    zp = standardized(predicted.where("dosage is not null"), "dosage", ["chr", "pos"]).where("z is not null")
-    a = zo.select("chr", "pos", F.col("sample_id").alias("obs_id"), F.col("z").alias("a"))
-    b = zp.select("chr", "pos", F.col("sample_id").alias("pred_id"), F.col("z").alias("b"))
-    return a.join(b, ["chr", "pos"]).groupBy("obs_id", "pred_id").agg(F.avg(F.col("a") * F.col("b")).alias("k"))
+    sites = _by_site(observed).join(_by_site(predicted, "b"), ["chr", "pos"])
+    return _pair_means(sites, [], "rrm").select(F.col("i").alias("obs_id"), F.col("j").alias("pred_id"), "k")
 
 
 def local_rrm(calls: DataFrame, regions: DataFrame) -> DataFrame:
     """``rrm`` of each region: region_id, i, j, k."""
     from .joins import in_regions
 
-    z = standardized(calls.where("dosage is not null"), "dosage", ["chr", "pos"]).where("z is not null")
-    z = in_regions(z, regions)
-    a = z.select("region_id", "chr", "pos", F.col("sample_id").alias("i"), F.col("z").alias("a"))
-    b = z.select("region_id", "chr", "pos", F.col("sample_id").alias("j"), F.col("z").alias("b"))
-    return a.join(b, ["region_id", "chr", "pos"]).groupBy("region_id", "i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("k"))
+    return _square(_pair_means(in_regions(_by_site(calls), regions), ["region_id"], "rrm"), ["region_id"])
 
 
 def rescaled(kinship: DataFrame) -> DataFrame:
@@ -85,11 +172,19 @@ def gram(variants: DataFrame, kind: str = "rrm", scale: float = 2.0) -> np.ndarr
             g = np.asarray(batch["g"].flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, n)
             known = ~np.isnan(g)
             if kind == "ibs":
-                for row, ok in zip(g, known, strict=True):
-                    x = np.where(ok, row, 0)
-                    both = np.outer(ok, ok)
-                    top += np.where(both, 1 - np.abs(x[:, None] - x[None, :]) / scale, 0)
-                    bottom += both
+                k = known.astype(float)
+                bottom += k.T @ k
+                top += k.T @ k
+                values = np.unique(g[known])
+                if len(values) <= 8:
+                    # |a - b| is the sum of the gaps between neighbouring values that lie between a and b
+                    for low, gap in zip(values[:-1], np.diff(values), strict=True):
+                        above = (known & (g > low)).astype(float)
+                        apart = above.T @ (k - above)
+                        top -= (apart + apart.T) * (gap / scale)
+                else:
+                    for row, ok in zip(np.where(known, g, 0), known, strict=True):
+                        top -= np.where(np.outer(ok, ok), np.abs(row[:, None] - row[None, :]), 0) / scale
             else:
                 m = known.sum(1)
                 mean = np.where(known, g, 0).sum(1) / np.maximum(m, 1)
@@ -136,7 +231,4 @@ def local_ibs(calls: DataFrame, width: int, scale: float = 2.0) -> DataFrame:
     """``ibs`` of each half-overlapping tiling window: chr, start, i, j, k, n (i < j)."""
     from .variants import in_tiling_windows
 
-    rows = in_tiling_windows(calls.where("dosage is not null"), width)
-    a = rows.select("chr", "start", "pos", F.col("sample_id").alias("i"), F.col("dosage").alias("a"))
-    b = rows.select("chr", "start", "pos", F.col("sample_id").alias("j"), F.col("dosage").alias("b"))
-    return a.join(b, ["chr", "start", "pos"]).where("i < j").groupBy("chr", "start", "i", "j").agg(F.avg(1 - F.abs(F.col("a") - F.col("b")) / scale).alias("k"), F.count("*").alias("n"))
+    return _pair_means(in_tiling_windows(_by_site(calls), width), ["chr", "start"], "ibs", scale)

@@ -31,6 +31,51 @@ def test_gram_is_the_long_form(spark, world):
     assert scaled[3, 4] == pytest.approx(kinship.rescale(kinship.gram(few))[3, 4])
 
 
+@pytest.mark.parametrize("pairs", [5, 1 << 20])
+def test_pair_means_are_brute_force(spark, pairs):
+    rng = np.random.default_rng(3)
+    rows = [(1 + p % 2, p, f"s{s}", None if rng.random() < 0.1 else float(rng.integers(0, 3))) for p in range(1, 31) for s in range(9) if rng.random() < 0.6]
+    rows += [(1, 3, "s2", 1.0), (1, 3, "s2", 2.0), (1, 5, None, 1.0), *((2, 50, f"s{s}", 0.1) for s in range(3)), (2, 51, "s0", 2.0)]
+    calls = spark.createDataFrame(rows, "chr int, pos long, sample_id string, dosage double")
+    regions = spark.createDataFrame([("x", 1, 1, 12), ("y", 1, 8, 40), ("z", 2, 1, 9), ("none", 3, 1, 9)], "region_id string, chr int, start long, end long")
+    known = {}
+    for c, p, s, d in rows:
+        if s is not None and d is not None:
+            known.setdefault((c, p), []).append((s, d))
+    ibs, rrm, local = {}, {}, {}
+    for (c, p), site in known.items():
+        x = np.array([d for _, d in site])
+        z = (x - x.mean()) / x.std(ddof=1) if len(set(x)) > 1 else None
+        inside = [r.region_id for r in regions.collect() if r.chr == c and r.start <= p <= r.end]
+        for m, (i, a) in enumerate(site):
+            for n, (j, b) in enumerate(site):
+                if i < j:
+                    ibs.setdefault((i, j), []).append(1 - abs(a - b) / 2)
+                if z is not None:
+                    rrm.setdefault((i, j), []).append(z[m] * z[n])
+                    for g in inside:
+                        local.setdefault((g, i, j), []).append(z[m] * z[n])
+    sites = kinship._by_site(calls)
+    found = {(r.i, r.j): (r.k, r.n) for r in kinship._pair_means(sites, [], "ibs", pairs=pairs).collect()}
+    assert found == {k: (pytest.approx(np.mean(v)), len(v)) for k, v in ibs.items()}
+    found = {(r.i, r.j): (r.k, r.n) for r in kinship._pair_means(sites, [], "rrm", pairs=pairs).collect()}
+    assert found == {k: (pytest.approx(np.mean(v), abs=1e-12), len(v)) for k, v in rrm.items() if k[0] <= k[1]}
+    assert {(r.i, r.j): r.k for r in kinship.rrm(calls).collect()} == {k: pytest.approx(np.mean(v), abs=1e-12) for k, v in rrm.items()}
+    found = {(r.region_id, r.i, r.j): r.k for r in kinship.local_rrm(calls, regions).collect()}
+    assert found == {k: pytest.approx(np.mean(v), abs=1e-12) for k, v in local.items()}
+    assert kinship.ibs(calls.where("pos < 0")).count() == 0
+
+
+def test_dense_ibs_of_fractional_dosages(spark):
+    g = np.random.default_rng(4).random((20, 6)) * 2
+    g[3, 2] = g[7, 0] = np.nan
+    v = spark.createDataFrame([(1, i, [None if np.isnan(x) else float(x) for x in row]) for i, row in enumerate(g)], "chr int, pos long, g array<double>").coalesce(1)
+    for few in (g, np.round(g)):
+        rows = v if few is g else v.withColumn("g", F.transform("g", lambda x: F.rint(x)))
+        want = np.nanmean(1 - np.abs(few[:, :, None] - few[:, None, :]) / 2, axis=0)
+        assert kinship.gram(rows, "ibs") == pytest.approx(want)
+
+
 def test_identity_kinship_is_the_linear_scan(spark, world):
     _, y, v = world
     found = {(r.chr, r.pos): r for r in mixed.emmax(v, y, np.eye(N)).collect()}
