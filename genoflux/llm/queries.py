@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_store, topk
+from . import bpe, exact_dedup, line_dedup, middle, mixing, pii, quality, simhash, spelling, substring_dedup, suffix_dedup, token_store, topk
 from .common import shared_folder
 
 
@@ -83,6 +83,21 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    text = middle.restored(F.col("form"), F.col("output"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_store": op10_token_store,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
@@ -148,4 +166,40 @@ ORACLE_SQL: dict[str, str] = {
           from t group by body)
         select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.body) as text_sha256
         from t join g using (body)""",
+    "op11_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        e as (select *, cast(len(u) as bigint) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+            cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+        f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from e),
+        g as (select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:n], '') as suffix from f)
+        select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+          sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+          sha256(t) as restored_sha256 from g""",
+    "op12_line_dedup": r"""
+        with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as u from documents),
+        l as (select doc_id, p, u[p] as line, translate(regexp_replace(regexp_replace(u[p], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+          from d, unnest(range(1, len(u) + 1)) as x(p)),
+        r as (select k, max(doc_id) as top from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+        m as (select l.doc_id, p, line, coalesce(l.doc_id <> r.top, false) as gone from l left join r on l.k = r.k)
+        select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by p) filter (where not gone), '')) as kept_sha256
+        from m group by doc_id""",
+    # crc32 by half bytes; near words meet in a pattern with one letter starred, or in the longer word without one
+    "op13_spelling": r"""
+        with recursive r as (
+          select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents),
+        q as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from r group by all),
+        b as (select run, n, list_transform(string_split(regexp_replace(hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)), '(..)', '\1 ', 'g')[:-2], ' '), lambda x: cast('0x' || x as bigint)) as bytes from q),
+        z as (select [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108] as t),
+        c as (select run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(xor(xor(c, x) >> 4, t[(xor(c, x) & 15) + 1]) >> 4, t[(xor(xor(c, x) >> 4, t[(xor(c, x) & 15) + 1]) & 15) + 1])), 4294967295) as h from b, z),
+        s as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from c),
+        w as (select word, cast(sum(n) as bigint) as n from s where length(word) >= 6 group by word having sum(n) >= 5),
+        p as (select word, n, substr(word, 1, i) || '*' || substr(word, i + 2) as k, substr(word, 1, i) || substr(word, i + 2) as d from w, unnest(range(length(word))) as x(i)),
+        e as (select a.word, b.word as other, b.n as other_n from p a join p b on a.k = b.k and a.word <> b.word
+              union select w.word, p.word, p.n from w join p on w.word = p.d union select p.word, w.word, w.n from w join p on w.word = p.d),
+        f as (select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from e group by word),
+        g as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * w.n then other end as form, case when other_n >= 5 * w.n then other_n end as form_n from w left join f on f.word = w.word),
+        o as (select word, word as root, form as ahead from g union all select o.word, g.word, g.form from o join g on g.word = o.ahead)
+        select g.word, form, root, n, n_near, form_n from g join (select word, root from o where ahead is null) as x on x.word = g.word""",
 }
