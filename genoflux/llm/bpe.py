@@ -134,9 +134,10 @@ class MergeReplay:
         return np.diff(bounds), tokens[tokens >= 0].astype(np.uint32)
 
 
-def distinct_pieces(docs: DataFrame, pattern: str, most: int = 400_000) -> DataFrame:
-    """piece and n: the distinct matches of the pattern in all texts, and how often each
-    occurs; counted within tasks first, at most ``most`` at a time."""
+def distinct_pieces(docs: DataFrame, pattern: str, most: int = 400_000, longest: int | None = None) -> DataFrame:
+    """piece and n: the distinct matches of the pattern in all texts (of ``longest`` code
+    points at most), and how often each occurs; counted within tasks first, at most
+    ``most`` at a time."""
 
     def run(batches):
         split, found = Splitter(pattern), Counter()
@@ -147,7 +148,8 @@ def distinct_pieces(docs: DataFrame, pattern: str, most: int = 400_000) -> DataF
         for batch in batches:
             raw, bounds = flat_utf8(batch["text"])
             for a, b in slices(bounds, 1 << 20):
-                found.update(split([raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)])[0])
+                pieces = split([raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)])[0]
+                found.update(pieces if longest is None else (p for p in pieces if len(p) <= longest))
                 if len(found) > most:
                     yield rows()
                     found.clear()
@@ -169,18 +171,20 @@ def replayed(pieces: DataFrame, held) -> DataFrame:
     return pieces.mapInArrow(run, "piece string, n long, ids binary")
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, most: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, most: int = 300_000, longest: int = 128) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each row's text.
 
     Null and empty texts have no ids.  Rows keep their doc_id, null or repeated;
     other columns are not read.  Documents never leave their task, so only distinct
     pieces are shuffled; ``ranks_path`` is a vocabulary file of fixed size that the
-    driver opens.  At most ``most`` pieces are broadcast with their ids; that changes
-    the work, never the result.
+    driver opens.  At most ``most`` pieces of ``longest`` bytes or less are broadcast with
+    their ids, so their bytes are bounded too; longer ones, a text without a break among
+    them, are replayed where they stand.  That changes the work, never the result.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(_vocabulary(ranks_path))
-    found = cut(replayed(distinct_pieces(docs, pattern), held))
+    found = cut(replayed(distinct_pieces(docs, pattern, longest=longest), held))
+    found = found.where(F.octet_length("piece") <= longest)
     if found.count() > most:
         found = found.orderBy(F.desc("n"), "piece").limit(most)
     rows = found.select("piece", "ids").toArrow()

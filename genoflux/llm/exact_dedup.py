@@ -24,7 +24,7 @@ from .common import cut, flat_utf8, join_groups, kept_table, slices
 WHITE = b" \t\n\x0b\x0c\r"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
-_RECIPES = "doc_id long, n_points long, text_sha256 string, recipe binary, proofs array<binary>"
+_RECIPES = "row long, doc_id long, n_points long, text_sha256 string, recipe binary, proofs array<binary>"
 _ENTRY = 12
 
 
@@ -63,8 +63,8 @@ def _recipe(text: bytes, average: int, least: int, most: int) -> tuple[str, byte
     return hashlib.sha256(text).hexdigest(), b"".join(entries), proofs
 
 
-def recipes(docs: DataFrame, average: int = 1024, least: int = 256, most: int = 8192) -> DataFrame:
-    """doc_id, n_points (code points of the text), text_sha256 (of the text
+def recipes(docs: DataFrame, row: str | None = None, average: int = 1024, least: int = 256, most: int = 8192) -> DataFrame:
+    """row (the column of that name, else 0), doc_id, n_points (code points of the text), text_sha256 (of the text
     without white space), recipe (12 bytes a chunk) and proofs (SHA-256 of each
     chunk).  A null text counts as empty: an empty recipe."""
 
@@ -76,11 +76,12 @@ def recipes(docs: DataFrame, average: int = 1024, least: int = 256, most: int =
                 made = [_recipe(raw[bounds[i] : bounds[i + 1]].tobytes().translate(None, WHITE), average, least, most) for i in range(a, b)]
                 sha, entries, proofs = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a).cast(pa.int64()), points.slice(a, b - a).cast(pa.int64()), pa.array(sha, pa.string()), pa.array(entries, pa.binary()), pa.array(proofs, pa.list_(pa.binary()))],
-                    ["doc_id", "n_points", "text_sha256", "recipe", "proofs"],
+                    [batch["row"].slice(a, b - a), batch["doc_id"].slice(a, b - a).cast(pa.int64()), points.slice(a, b - a).cast(pa.int64()), pa.array(sha, pa.string()), pa.array(entries, pa.binary()), pa.array(proofs, pa.list_(pa.binary()))],
+                    ["row", "doc_id", "n_points", "text_sha256", "recipe", "proofs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RECIPES)
+    number = F.lit(0) if row is None else F.col(row)
+    return docs.select(number.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RECIPES)
 
 
 def colliding(found: DataFrame) -> DataFrame:
@@ -103,19 +104,22 @@ def verified(found: DataFrame, clashes: DataFrame) -> DataFrame:
     entry can be taken for it (a chunk of no bytes never occurs)."""
     at = F.posexplode_outer("proofs").alias("k", "proof")
     entry = F.substring("recipe", F.col("k") * _ENTRY + 1, F.lit(_ENTRY))
-    rows = found.withColumn("row", F.monotonically_increasing_id())
+    rows = found.withColumn("number", F.monotonically_increasing_id())
     rows = kept_table(rows, "recipes")
-    parts = rows.select("row", "recipe", at).select("row", "k", "proof", entry.alias("entry"))
+    parts = rows.select("number", "recipe", at).select("number", "k", "proof", entry.alias("entry"))
     parts = parts.join(clashes.withColumn("clash", F.lit(True)), "entry", "left")
     named = F.when(F.col("clash"), F.concat(F.lit(b"\x00" * _ENTRY), F.col("proof"))).otherwise(F.col("entry"))
-    lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", named.alias("name")))).alias("list"))
+    lists = parts.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("k", named.alias("name")))).alias("list"))
     joined = F.aggregate("list", F.lit(b""), lambda s, x: F.concat(s, F.coalesce(x["name"], F.lit(b""))))
-    return rows.drop("recipe").join(lists.select("row", joined.alias("recipe")), "row").drop("row")
+    return rows.drop("recipe").join(lists.select("number", joined.alias("recipe")), "number").drop("number")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
+    With ``row``, the name of a column of unique numbers, also row; then just one row of
+    a group is kept, of those that would be kept the one with the smallest number.
+
     Texts are equal when they are so without the characters space and 0x09 to
     0x0D; null counts as empty, and all empty texts are equal.  The row with the
     most code points stays, of those the one with the smallest doc_id (a null
@@ -124,11 +128,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     row is broadcast to its members.  Other columns of
     ``docs`` are not read.
     """
-    found = kept_table(recipes(docs), "recipes")
+    found = kept_table(recipes(docs, row), "recipes")
     clashes = colliding(found)
     if clashes.limit(1).count():
         found = verified(found, clashes)
     rows = found.drop("proofs")
-    order = F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"))
-    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"))
-    return join_groups(rows, cut(groups), "recipe", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    extra = [] if row is None else ["row"]
+    order = F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))
+    return join_groups(rows, cut(groups), "recipe", "group_size").select(*extra, "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

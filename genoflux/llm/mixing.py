@@ -120,14 +120,15 @@ def pivotal_rounding(rows: DataFrame, seed: int = 17, fan: int = 128) -> DataFra
         level += 1
 
 
-def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, source, row, size, source_size, target, copies of each row of ``docs``.
+def copies(docs: DataFrame, seed: int = 17, carry: str | None = None) -> DataFrame:
+    """doc_id, source, row, size, source_size, target, copies of each row of ``docs``, and
+    ``carried``, its column ``carry``, if one is named.
 
     Null texts have size 0; documents of size 0 and sources of size 0 get no
     copies.  ``row`` numbers rows that share source, doc_id and size, so repeated
     rows are rounded on their own.  Only doc_id, source and text are read.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), *([] if carry is None else [F.col(carry).alias("carried")]))
     same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
     sized = cut(sized.withColumn("row", F.row_number().over(same).cast("long")))
     targets = cut(source_targets(sized))
@@ -140,4 +141,4 @@ def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
     on = F.col("doc_id").eqNullSafe(F.col("r_doc")) & F.col("source").eqNullSafe(F.col("r_source")) & (F.col("row") == F.col("r_row")) & (F.col("size") == F.col("r_size"))
     joined = rows.join(rounded, on, "left")
     count = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("r_row").isNotNull().cast("long"))
-    return joined.select("doc_id", "source", "row", "size", "source_size", "target", count.cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "row", "size", "source_size", "target", count.cast("long").alias("copies"), *([] if carry is None else ["carried"]))

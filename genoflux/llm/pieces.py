@@ -102,17 +102,19 @@ class PieceTable:
 
     ``encode`` maps a list of new pieces to (counts, flat ids); ``known`` are pieces,
     counts and flat ids to begin with.  The table goes back to those when it holds more
-    than ``most`` others, so its memory is bounded; that changes time, never results.
+    than ``most`` others, or ``most_points`` code points of them, so its memory is bounded;
+    that changes time, never results.
     """
 
-    def __init__(self, pattern: str, encode, most: int = 400_000, known: tuple[list[str], np.ndarray, np.ndarray] | None = None):
-        self.split, self.encode = Splitter(pattern), encode
+    def __init__(self, pattern: str, encode, most: int = 400_000, known: tuple[list[str], np.ndarray, np.ndarray] | None = None, most_points: int = 1 << 25):
+        self.split, self.encode, self.most_points = Splitter(pattern), encode, most_points
         self.known = known or ([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
         self.most = most + len(self.known[0])
         self._clear()
 
     def _clear(self):
         names, self.counts, self.flat = self.known
+        self.points = 0
         self.index = _Numbered(zip(names, range(len(names)), strict=True))
         self.starts = np.cumsum(self.counts) - self.counts
 
@@ -124,12 +126,13 @@ class PieceTable:
     def blocks(self, groups):
         """For each group of texts: ids of all its texts in a row, and the number
         of each text.  New pieces of all groups are encoded together."""
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.points > self.most_points:
             self._clear()
         old = len(self.index)
         numbers = [self._numbers(texts) for texts in groups]
         if len(self.index) > old:
             new = list(self.index)[old:]
+            self.points += sum(map(len, new))
             counts, flat = self.encode(new)
             self.counts = np.concatenate([self.counts, counts])
             self.flat = np.concatenate([self.flat, flat])

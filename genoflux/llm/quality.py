@@ -199,8 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, trees: int = 1
     """Trees fitted on at most ``most`` labelled rows that are not held out.
 
     The sample is the rows with the smallest hash of doc_id, so it is the same in
-    every run; ``most`` also bounds what is broadcast and what the driver holds.
-    Labels other than 0 and 1, and null ids, are not used.
+    every run; ``most`` bounds the labels that are broadcast and, once more, the rows that
+    have them (a doc_id may repeat), so also what the driver holds.  Labels other than 0
+    and 1, and null ids, are not used.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -212,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, trees: int = 1
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     rows = _texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
-    rows = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").collect()
+    rows = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(most).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)
     return fit(x, np.array([r["quality"] for r in rows], float), trees, depth)

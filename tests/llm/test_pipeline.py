@@ -69,7 +69,46 @@ def test_awkward_rows_pass(spark, small):
         docs.collect()
 
 
+def with_ids_missing(spark):
+    """60 documents of ten words, a third without an id, some repeated; a column named like an inner one."""
+    rows = [(None if i % 3 == 0 else i // 2, " ".join(f"w{i}x{k}" for k in range(10)), "a" if i % 6 < 3 else "b", f"own {i}") for i in range(60)]
+    return spark.createDataFrame(rows + rows[:4], "doc_id long, text string, source string, _row string").repartition(3)
+
+
+def test_rows_without_ids_keep_to_their_targets(spark, small):
+    docs = with_ids_missing(spark)
+    found = corpus_pipeline.mixed(spark, docs, small)
+    assert found.columns == docs.columns
+    rows = found.collect()
+    taken = Counter(r.source for r in rows)
+    size = Counter(r.source for r in docs.collect())
+    want = {r.source: r.target for r in corpus_pipeline.mixing.source_targets(docs.selectExpr("source", "10L as size")).collect()}
+    assert all(abs(10 * taken[s] - want[s]) <= 10 for s in size), (taken, want)
+    per, have = Counter(r._row for r in rows), Counter(r._row for r in docs.collect())
+    assert set(per) <= set(have) and all(n <= 3 * have[k] for k, n in per.items())
+
+
+def test_one_row_of_equal_texts_whatever_the_ids(spark, small):
+    docs = with_ids_missing(spark)
+    found = corpus_pipeline.distinct(spark, docs, small).collect()
+    assert len(found) == 60 and len({r.text for r in found}) == 60
+    assert all(r._row == f"own {int(r.text.split('x')[0][1:])}" for r in found)
+    near = corpus_pipeline.unlike(spark, docs, small).collect()
+    assert len(near) == 60 and {r._row for r in near} == {f"own {i}" for i in range(60)}
+
+
+def test_long_pieces_are_not_broadcast(spark):
+    """A text of five million letters is one piece; it is encoded where it stands."""
+    from genoflux.llm import bpe
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "ab" * 2_500_000), (2, "ab ab"), (3, "x" * 129)], "doc_id long, text string")
+    assert bpe.distinct_pieces(docs, P.PATTERN, longest=128).agg({"n": "sum"}).first()[0] == 2
+    found = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, path, P.PATTERN), path).collect()}
+    assert bytes(found[1].decoded) == b"ab" * 2_500_000 and bytes(found[3].decoded) == b"x" * 129
+
+
 def test_registered(spark, small):
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in queries.QUERIES}
     assert queries.QUERIES["pipeline"](spark, small).count() > 0
