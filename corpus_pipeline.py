@@ -16,9 +16,13 @@ from genoflux.llm.queries import splitting_pattern, tokenizer_path
 NEAR = {"width": 5, "share": (4, 5)}
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null or not) is in ``ids`` (column kept_id)."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table, written with a number of its own for each row, and that column's name, which
+    is none of its own: an id may be null or repeat, a number not."""
+    name = "_row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return kept_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,28 +32,27 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one document.  Rows that share a doc_id stay or go together."""
-    return _only(docs, exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")))
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The table, written with a number ``_row`` of its own for each row."""
-    return kept_table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """Of equal texts, one row, though ids be null or repeat."""
+    rows, number = _numbered(docs)
+    kept = exact_dedup.exact_duplicates(rows, number).where("kept").select(F.col("row").alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id."""
-    rows = _numbered(docs)
-    surplus = near.surplus(rows.select(F.col("_row").alias("row"), "doc_id", "text"), **NEAR).withColumnRenamed("row", "_row")
-    return rows.join(near.few(surplus), "_row", "left_anti").select(*docs.columns)
+    rows, number = _numbered(docs)
+    surplus = near.surplus(rows.select(F.col(number).alias("row"), "doc_id", "text"), **NEAR).withColumnRenamed("row", number)
+    return rows.join(near.few(surplus), number, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, not at all included."""
-    taken = mixing.copies(docs).where("copies > 0").groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("copies").alias("n_taken"))
-    names = [docs[c] for c in docs.columns]
-    times = F.explode(F.sequence(F.lit(1), F.col("n_taken").cast("int")))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["kept_id"])).select(*names, times.alias("copy_number")).select(*names)
+    """Each row as often as the mix takes it, not at all included; rows that share an id, or
+    have none, are taken one by one, so each source keeps to its target."""
+    rows, number = _numbered(docs)
+    taken = mixing.copies(rows, carry=number).where("copies > 0").select(F.col("carried").alias(number), "copies")
+    found = rows.join(taken.withColumnRenamed("copies", number + "n"), number)
+    times = F.explode(F.sequence(F.lit(1), F.col(number + "n").cast("int")))
+    return found.select(*docs.columns, times.alias(number + "n")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
