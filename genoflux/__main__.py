@@ -51,7 +51,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         return genotypes.write_store(own, names, args.out)
     v, samples = genotypes.read_store(spark, args.store)
     if args.command == "kinship":
-        dense = kinship.as_rows(spark, kinship.rescale(kinship.gram(v, args.kind)))
+        dense = kinship.tile_cells(kinship.rescaled_tiles(kinship.gram_tiles(v, args.kind)))
         a, b = samples.select(F.col("ordinal").alias("i"), F.col("sample_id").alias("x")), samples.select(F.col("ordinal").alias("j"), F.col("sample_id").alias("y"))
         return tables.write_kinship(dense.join(a, "i").join(b, "j").select(F.col("x").alias("i"), F.col("y").alias("j"), "k"), args.out)
     k = _matrix(spark, args.kinship, samples) if getattr(args, "kinship", None) else None

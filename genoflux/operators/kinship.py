@@ -1,14 +1,13 @@
 """Relationship matrices between samples.
 
 Long form: (i, j, k) from calls, a site's calls in one row.  Array form: ``variants`` with g in order of sample
-ordinals; each task adds up Gram matrices of its variants, and those meet in a tree
-of sums, so what is shuffled depends on the number of samples alone.
+ordinals; tasks add up tiles of the matrix over their variants, and tiles of one place
+meet by a shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -157,63 +156,154 @@ def asymmetries(kinship: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return kinship.join(mirror, ["i", "j"], "left").where(F.col("m").isNull() | (F.abs(F.col("k") - F.col("m")) > tolerance))
 
 
-def gram(variants: DataFrame, kind: str = "rrm", scale: float = 2.0) -> np.ndarray:
-    """Dense IBS or RRM matrix of an array store; missing calls are left out pair by pair.
-
-    Each Arrow batch becomes one pair of small matrices, summed by position (row of
-    the upper level of a tree) before anything reaches the driver."""
+class _Kernel:
+    """Sums over the variants of a chunk (a row each, NaN: missing) for any two slices of samples."""
+
+    def __init__(self, g: np.ndarray, kind: str, scale: float):
+        self.kind, self.scale = kind, scale
+        known = ~np.isnan(g)
+        if kind == "rrm":
+            m = known.sum(1)
+            mean = np.where(known, g, 0).sum(1) / np.maximum(m, 1)
+            c = np.where(known, g - mean[:, None], 0)
+            sd = np.sqrt((c * c).sum(1) / np.maximum(m - 1, 1))
+            use = sd > 0
+            self.x, known = c[use] / sd[use, None], known[use]
+        else:
+            self.x = np.where(known, g, 0)
+            self.values = np.unique(g[known])
+        self.rows = len(known)
+        self.known = None if known.all() else known.astype(float)
+
+    def between(self, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray | None]:
+        """Sum of similarities and, where calls are missing, numbers of variants known in both."""
+        x, y = self.x[:, a], self.x[:, b]
+        both = None if self.known is None else self.known[:, a].T @ self.known[:, b]
+        if self.kind == "rrm":
+            return x.T @ y, both
+        top = np.full((x.shape[1], y.shape[1]), float(self.rows)) if both is None else both.copy()
+        k, l = (np.ones_like(x), np.ones_like(y)) if self.known is None else (self.known[:, a], self.known[:, b])
+        if len(self.values) <= 8:
+            # |a - b| is the sum of the gaps between neighbouring values that lie between a and b
+            for low, gap in zip(self.values[:-1], np.diff(self.values), strict=True):
+                u, v = k * (x > low), l * (y > low)
+                top -= (u.T @ (l - v) + (k - u).T @ v) * (gap / self.scale)
+        else:
+            for i in range(self.rows):
+                top -= np.where(np.outer(k[i], l[i]) > 0, np.abs(x[i][:, None] - y[i][None, :]), 0) / self.scale
+        return top, both
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """A list column of the rows of a matrix, over its own buffer."""
+    bounds = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def gram_tiles(variants: DataFrame, kind: str = "rrm", scale: float = 2.0, tile: int = 256, chunk_bytes: int = 128 << 20) -> DataFrame:
+    """IBS or RRM matrix of an array store in tiles: i, bj, first, k, the cells of row i in block
+    column bj, which begins at column ``first``; from the block of the diagonal on to the right.
+
+    Missing calls are left out pair by pair.  A task holds a chunk of its variants and the two
+    sums (of similarities and of known pairs) of one tile at a time; tiles of one place meet by
+    a shuffle and are added up row by row as they stream in.  What is shuffled is the matrix once
+    for each chunk, and nothing of its size is ever in one place, so the samples are not
+    bounded by what the driver or a task can hold.
+    """
     n = variants.select(F.max(F.size("g"))).first()[0] or 0
-    if n > MOST_SAMPLES:
-        raise ValueError(f"{n} samples; use the long form")
 
     def run(batches):
-        top, bottom, seen = np.zeros((n, n)), np.zeros((n, n)), False
+        def tiles(held):
+            kernel = _Kernel(np.concatenate(held), kind, scale)
+            if not kernel.rows:
+                return
+            for a in range(0, n, tile):
+                for b in range(a, n, tile):
+                    top, both = kernel.between(slice(a, a + tile), slice(b, b + tile))
+                    rows, size = len(top), pa.array(np.full(len(top), kernel.rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + rows)), pa.array(np.full(rows, b // tile, np.int32)), size, _lists(top), pa.nulls(rows, pa.list_(pa.float64())) if both is None else _lists(both)], ["i", "bj", "n", "top", "both"])
+
+        held, size = [], 0
         for batch in batches:
             g = np.asarray(batch["g"].flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, n)
-            known = ~np.isnan(g)
-            if kind == "ibs":
-                k = known.astype(float)
-                bottom += k.T @ k
-                top += k.T @ k
-                values = np.unique(g[known])
-                if len(values) <= 8:
-                    # |a - b| is the sum of the gaps between neighbouring values that lie between a and b
-                    for low, gap in zip(values[:-1], np.diff(values), strict=True):
-                        above = (known & (g > low)).astype(float)
-                        apart = above.T @ (k - above)
-                        top -= (apart + apart.T) * (gap / scale)
-                else:
-                    for row, ok in zip(np.where(known, g, 0), known, strict=True):
-                        top -= np.where(np.outer(ok, ok), np.abs(row[:, None] - row[None, :]), 0) / scale
-            else:
-                m = known.sum(1)
-                mean = np.where(known, g, 0).sum(1) / np.maximum(m, 1)
-                c = np.where(known, g - mean[:, None], 0)
-                sd = np.sqrt((c * c).sum(1) / np.maximum(m - 1, 1))
-                use = sd > 0
-                z = c[use] / sd[use, None]
-                top += z.T @ z
-                k = known[use].astype(float)
-                bottom += k.T @ k
-            seen = True
-        if seen:
-            rows = np.arange(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(top.tolist(), pa.list_(pa.float64())), pa.array(bottom.tolist(), pa.list_(pa.float64()))], ["r", "top", "bottom"])
-
-    parts = variants.select("g").mapInArrow(run, "r long, top array<double>, bottom array<double>")
-
-    def add(t: pa.Table) -> pa.Table:
-        sums = [np.asarray(t[c].combine_chunks().flatten(), float).reshape(t.num_rows, -1).sum(0).tolist() for c in ("top", "bottom")]
-        return pa.table({"r": pa.array([t["r"][0].as_py()]), "top": pa.array([sums[0]], pa.list_(pa.float64())), "bottom": pa.array([sums[1]], pa.list_(pa.float64()))})
-
-    summed = parts.groupBy("r").applyInArrow(add, "r long, top array<double>, bottom array<double>").orderBy("r").toPandas()
-    if summed.empty:
+            held.append(g)
+            size += g.nbytes
+            if size > chunk_bytes:
+                yield from tiles(held)
+                held, size = [], 0
+        if size:
+            yield from tiles(held)
+
+    def add(batches):
+        """Adds up rows of the same place, which follow each other."""
+        place, top, both = None, None, None
+
+        def row():
+            with np.errstate(all="ignore"):
+                k = np.where(both > 0, top / both, 0)
+            i, bj = place
+            if kind == "ibs" and bj * tile <= i < bj * tile + len(k):
+                k[i - bj * tile] = 1
+            return pa.RecordBatch.from_arrays([pa.array([i]), pa.array([bj], pa.int32()), pa.array([bj * tile]), _lists(k[None, :])], ["i", "bj", "first", "k"])
+
+        for batch in batches:
+            i, bj, n_rows = (batch[c].to_numpy() for c in ("i", "bj", "n"))
+            at, flat = batch["top"].offsets.to_numpy(), batch["top"].values.to_numpy()
+            known_at, known = batch["both"].offsets.to_numpy(), batch["both"].values.to_numpy()
+            done = []
+            for r in range(batch.num_rows):
+                own = flat[at[r] : at[r + 1]]
+                pairs = known[known_at[r] : known_at[r + 1]] if known_at[r + 1] > known_at[r] else float(n_rows[r])
+                if place == (i[r], bj[r]):
+                    top, both = top + own, both + pairs
+                    continue
+                if place is not None:
+                    done.append(row())
+                place, top, both = (int(i[r]), int(bj[r])), own.copy(), np.zeros(len(own)) + pairs
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if place is not None:
+            yield row()
+
+    parts = variants.select("g").mapInArrow(run, "i long, bj int, n long, top array<double>, both array<double>")
+    return parts.repartition("i", "bj").sortWithinPartitions("i", "bj").mapInArrow(add, "i long, bj int, first long, k array<double>")
+
+
+def _diagonal():
+    return F.when((F.col("i") >= F.col("first")) & (F.col("i") < F.col("first") + F.size("k")), F.element_at("k", (F.col("i") - F.col("first") + 1).cast("int")))
+
+
+def rescaled_tiles(tiles: DataFrame) -> DataFrame:
+    """``rescaled`` of a matrix in tiles: the diagonal and the sum of all cells are added up
+    where the tiles are; those right of the diagonal's block stand for two."""
+    whole = F.aggregate("k", F.lit(0.0), lambda s, x: s + x) * F.when(_diagonal().isNull(), 2).otherwise(1)
+    t = tiles.agg(F.sum(_diagonal()).alias("d"), F.sum(whole).alias("s"), F.count(_diagonal()).alias("n"))
+    factor = (F.col("n") - 1) / (F.col("d") - F.col("s") / F.col("n"))
+    return tiles.join(F.broadcast(t)).select("i", "bj", "first", F.transform("k", lambda x: x * factor).alias("k"))  # one row
+
+
+def tile_cells(tiles: DataFrame) -> DataFrame:
+    """i, j, k of the full square."""
+    cells = tiles.select("i", _diagonal().isNull().alias("apart"), "first", F.posexplode("k").alias("c", "k")).select("i", (F.col("first") + F.col("c")).alias("j"), "apart", "k")
+    both = F.explode(F.when(F.col("apart"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j"))))
+    return cells.select(both.alias("x"), "k").select("x.i", "x.j", "k")
+
+
+def gram(variants: DataFrame, kind: str = "rrm", scale: float = 2.0) -> np.ndarray:
+    """The matrix of ``gram_tiles`` as one array, for dense algebra on the driver."""
+    n = variants.select(F.max(F.size("g"))).first()[0] or 0
+    if n > MOST_SAMPLES:
+        raise ValueError(f"{n} samples; use gram_tiles or the long form")
+    rows, out = gram_tiles(variants, kind, scale, 1024).toArrow(), np.zeros((n, n))
+    if not rows.num_rows:
         return np.eye(n)
-    top, bottom = np.array(summed.top.tolist()), np.array(summed.bottom.tolist())
-    with np.errstate(all="ignore"):
-        out = np.where(bottom > 0, top / bottom, 0)
-    if kind == "ibs":
-        np.fill_diagonal(out, 1)
+    at = 0
+    flat = rows["k"].combine_chunks().flatten().to_numpy()
+    for i, first, size in zip(rows["i"].to_pylist(), rows["first"].to_pylist(), pc.list_value_length(rows["k"]).to_pylist(), strict=True):
+        out[i, first : first + size] = flat[at : at + size]
+        at += size
+    for a in range(0, n, 1024):  # what lies below the diagonal blocks was not sent
+        out[a + 1024 :, a : a + 1024] = out[a : a + 1024, a + 1024 :].T
     return out
 
 
@@ -222,11 +312,6 @@ def rescale(k: np.ndarray) -> np.ndarray:
     return k * (n - 1) / (np.trace(k) - k.sum() / n)
 
 
-def as_rows(spark, k: np.ndarray) -> DataFrame:
-    i, j = np.indices(k.shape)
-    return spark.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "k": k.ravel()}), "i long, j long, k double")
-
-
 def local_ibs(calls: DataFrame, width: int, scale: float = 2.0) -> DataFrame:
     """``ibs`` of each half-overlapping tiling window: chr, start, i, j, k, n (i < j).
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import likelihood as L
 from ..functions.special import chi2_sf, t_two_sided
 from .joins import in_regions
-from .kinship import MOST_SAMPLES, rescale
+from .kinship import MOST_SAMPLES, _lists, rescale
+from .scratch import cut
 
 _SCAN = "n long, coef double, sd_err double, adj_r2 double, t2 double, pvalue double, mafc long"
 
@@ -216,21 +217,54 @@ def compare_kinships(traits: DataFrame, k1: np.ndarray, k2: np.ndarray) -> DataF
     return one.join(two.drop("n"), "trait")
 
 
-def two_kinships(y: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[float, L.Fit]:
-    """Weight alpha of k1 in alpha k1 + (1 - alpha) k2 with the best likelihood: a grid of
-    tenths, then hundredths around the best."""
-    use, y, k1 = _aligned(y, k1)
-    k2 = k2[np.ix_(use, use)]
-    one = np.ones((len(y), 1))
-
-    def at(alpha: float) -> L.Fit:
-        values, vectors = L.descending(rescale(alpha * k1 + (1 - alpha) * k2))
-        return L.ml(vectors.T @ y, vectors.T @ one, np.maximum(values, 0))
-
-    best = max((i / 10 for i in range(11)), key=lambda a: at(a).loglik)
-    fine = [min(1.0, max(0.0, best + i / 100)) for i in range(-9, 10)]
-    best = max(fine, key=lambda a: at(a).loglik)
-    return best, at(best)
+def kinship_weights(traits: DataFrame, k1: np.ndarray, k2: np.ndarray) -> DataFrame:
+    """trait, n, alpha, h2, loglik, h2_1, h2_2 with the kinship alpha k1 + (1 - alpha) k2 of the
+    best likelihood: a grid of tenths from 0 to 1, then the hundredths within 0.09 of the best;
+    ties go to the smaller alpha.  h2_1 and h2_2 are those of each kinship alone.
+
+    Traits are standardised and their means are centred in the likelihood.  A task takes a
+    weight and up to some 500 traits with the same known samples, decomposes that mixture once
+    and fits them all; the second grid is made of the weights that some trait needs.
+    Kinships are dense."""
+    if len(k1) > MOST_SAMPLES:
+        raise ValueError(f"{len(k1)} samples; dense matrices stop at {MOST_SAMPLES}")
+    held = traits.sparkSession.sparkContext.broadcast((k1, k2))
+    known = F.transform("y", lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = traits.select("trait", F.transform("y", lambda x: x.cast("double")).alias("y"), F.sha2(F.array_join(known.cast("array<string>"), ""), 256).alias("set"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("trait"), F.lit(1 + traits.count() // 500)))
+    schema = pa.schema([("trait", pa.string()), ("n", pa.int64()), ("percent", pa.int32()), ("h2", pa.float64()), ("loglik", pa.float64())])
+
+    def fit(key, t):
+        spectrum, out = None, []
+        for name, values in zip(t["trait"].to_pylist(), t["y"].to_pylist(), strict=True):
+            y = np.array([np.nan if v is None else v for v in values], float)
+            use = np.flatnonzero(~np.isnan(y))
+            own = y[use]
+            if len(use) < 3 or not own.std() > 0:
+                continue
+            if spectrum is None:
+                a, b = (k[np.ix_(use, use)] for k in held.value)
+                alpha = key[0].as_py() / 100
+                values, vectors = L.descending(rescale(alpha * a + (1 - alpha) * b))
+                spectrum = vectors, vectors.T @ np.ones((len(use), 1)), np.maximum(values, 0)
+            vectors, one, weights = spectrum
+            found = L.ml(vectors.T @ ((own - own.mean()) / own.std(ddof=1)), one, weights)
+            out.append({"trait": name, "n": len(use), "percent": key[0].as_py(), "h2": found.h2, "loglik": found.loglik})
+        return pa.Table.from_pylist(out, schema)
+
+    kind = "trait string, n long, percent int, h2 double, loglik double"
+    best = F.max_by(F.struct("n", "percent", "h2", "loglik"), F.struct(F.round("loglik", 9), -F.col("percent"))).alias("b")
+
+    def fitted(grid):
+        return grid.groupBy("percent", "set", "part").applyInArrow(fit, kind)
+
+    coarse = cut(fitted(rows.withColumn("percent", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(10))))))
+    at = coarse.groupBy("trait").agg(best).select("trait", F.col("b.percent").alias("at"))
+    near = F.explode(F.filter(F.sequence(F.col("at") - 9, F.col("at") + 9), lambda x: (x >= 0) & (x <= 100) & (x % 10 != 0)))
+    fine = fitted(rows.join(at, "trait").withColumn("percent", near).drop("at"))
+    alone = lambda p: F.max(F.when(F.col("percent") == p, F.col("h2")))
+    found = coarse.unionByName(fine).groupBy("trait").agg(best, alone(100).alias("h2_1"), alone(0).alias("h2_2"))
+    return found.select("trait", "b.n", (F.col("b.percent") / 100).alias("alpha"), "b.h2", "b.loglik", "h2_1", "h2_2")
 
 
 def local_components(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[str], least: int = 2) -> DataFrame:
@@ -360,8 +394,12 @@ def forward_mixed(variants: DataFrame, y: np.ndarray, k: np.ndarray, rounds: int
                 size = (free * free).sum(1)
                 ok = varies & (size > 1e-9 * (x * x).sum(1))
                 gain = np.where(ok, (free @ rest) ** 2 / np.where(ok, size, 1), -1)
-                i = int(np.argmax(gain)) if len(gain) else -1
-                if i >= 0 and gain[i] >= 0 and (best is None or gain[i] > best[0]):
+                if not len(gain) or gain.max() < 0:
+                    continue
+                # equal gains, within a task as across tasks, go to the first position
+                top = np.flatnonzero(gain == gain.max())
+                i = min(top.tolist(), key=lambda i: (batch["chr"][i].as_py(), batch["pos"][i].as_py()))
+                if best is None or gain[i] > best[0] or (gain[i] == best[0] and (batch["chr"][i].as_py(), batch["pos"][i].as_py()) < best[1:3]):
                     rss = max(float(rest @ rest) - gain[i], 1e-300)
                     best = (gain[i], batch["chr"][i].as_py(), batch["pos"][i].as_py(), 1 - rss / total * (n - 1) / df, float(t_two_sided(np.sqrt(gain[i] / (rss / df)), df)), x[i].tolist())
             if best:
@@ -375,6 +413,76 @@ def forward_mixed(variants: DataFrame, y: np.ndarray, k: np.ndarray, rounds: int
     return spark.createDataFrame(out, "round int, chr int, pos long, adj_r2 double")
 
 
+def _forward_steps(x: np.ndarray, order: np.ndarray, t_one: np.ndarray, t_y: np.ndarray, rounds: int):
+    """Steps of forward selection among rows of x (transformed variants): index, adj_r2, p.
+
+    What is chosen is projected out of all candidates and of the trait, so a round is one
+    product; ``order`` ranks candidates of equal gain (the smallest first)."""
+    n = len(t_y)
+    base = t_one / np.sqrt(t_one @ t_one)
+    free, rest = x - np.outer(x @ base, base), t_y - base * (base @ t_y)
+    size0, total, chosen = (x * x).sum(1), float(rest @ rest), np.zeros(len(x), bool)
+    for r in range(1, rounds + 1):
+        df = n - r - 1
+        size = (free * free).sum(1)
+        ok = ~chosen & (size > 1e-9 * size0)
+        if df < 1 or not ok.any() or not total > 0:
+            return
+        gain = np.where(ok, (free @ rest) ** 2 / np.where(ok, size, 1), -1.0)
+        ties = np.flatnonzero(gain >= gain.max() - 1e-10 * total)
+        i = int(ties[np.argmin(order[ties])])
+        rss = max(float(rest @ rest) - gain[i], 1e-300)
+        yield i, 1 - rss / total * (n - 1) / df, float(t_two_sided(np.sqrt(gain[i] / (rss / df)), df))
+        q = free[i] / np.sqrt(size[i])
+        chosen[i] = True
+        free, rest = free - np.outer(free @ q, q), rest - q * (q @ rest)
+
+
+def forward_regions(variants: DataFrame, regions: DataFrame, y: np.ndarray, k: np.ndarray, rounds: int, p_limit: float = 1.0) -> DataFrame:
+    """Forward selection under the mixed model within every region (region_id, chr, start, end) at
+    once: region_id, round, chr, pos, adj_r2, pvalue (of the step's variant among those chosen).
+
+    Variants are transformed where they lie, each once, whatever the number of its regions; a
+    region then is one group, bounded by its width, that keeps its candidates freed of those
+    chosen, so all rounds of all regions are one pass and no round returns to the driver.  Of
+    variants that explain the same (to 1e-10 of the trait), the one first by chr and pos is
+    taken.  A region stops before ``rounds`` where nothing is left to add or a step's p is
+    above ``p_limit``; one without a varying variant has no row."""
+    use, y, k = _aligned(y, k)
+    k = rescale(k)
+    t = L.decorrelation(k, L.reml(y, np.ones((len(y), 1)), k).delta)
+    held = variants.sparkSession.sparkContext.broadcast((use, t, t @ np.ones(len(y)), t @ y))
+
+    def transform(batches):
+        use, t, _, _ = held.value
+        for batch in batches:
+            g, varies, _ = _batch(batch, use)
+            keep = pa.array(np.flatnonzero(varies))
+            yield pa.RecordBatch.from_arrays([batch["chr"].take(keep), batch["pos"].take(keep), _lists(g[varies] @ t.T)], ["chr", "pos", "x"])
+
+    schema = pa.schema([("region_id", pa.string()), ("round", pa.int32()), ("chr", pa.int32()), ("pos", pa.int64()), ("adj_r2", pa.float64()), ("pvalue", pa.float64())])
+
+    def run(key, rows):
+        _, _, t_one, t_y = held.value
+        at, where = rows["chr"].to_numpy(), rows["pos"].to_numpy()
+        x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        order = np.empty(len(at), np.int64)
+        order[np.lexsort((where, at))] = np.arange(len(at))
+        out = []
+        for r, (i, adj, p) in enumerate(_forward_steps(x, order, t_one, t_y, rounds), 1):
+            if p > p_limit:
+                break
+            out.append({"region_id": key[0].as_py(), "round": r, "chr": int(at[i]), "pos": int(where[i]), "adj_r2": adj, "pvalue": p})
+        return pa.Table.from_pylist(out, schema)
+
+    # only variants of some region are transformed, and once each
+    inside = in_regions(variants.select("chr", "pos"), regions).select("region_id", "chr", "pos")
+    sites = inside.select("chr", "pos").distinct()
+    moved = variants.select("chr", "pos", "g").join(sites, ["chr", "pos"], "left_semi").mapInArrow(transform, "chr int, pos long, x array<double>")
+    rows = inside.withColumn("region_id", F.col("region_id").cast("string")).join(moved, ["chr", "pos"])
+    return rows.groupBy("region_id").applyInArrow(run, "region_id string, round int, chr int, pos long, adj_r2 double, pvalue double")
+
+
 def low_rank_scan(variants: DataFrame, y: np.ndarray, terms: np.ndarray) -> DataFrame:
     """Scan with K = terms terms' of low rank: delta is fitted anew for each variant, and the
     likelihood compared with the null model's: chr, pos, coef, delta, loglik, pvalue."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles
-from ..operators import crosses, joins, kernel_test, kinship, lm, mixed, simulate, stats, variants
+from ..operators import crosses, joins, kernel_test, kinship, lm, mixed, prediction, simulate, stats, variants
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,13 +353,13 @@ def rrm_kinship(spark, sf_dir):
 
 @register("q as (select 1)," + _RRM.format(c="acalls") + ", k as (select a.sample_id as i, b.sample_id as j, avg(a.z * b.z) as k from z a join z b on a.chr = b.chr and a.pos = b.pos group by a.sample_id, b.sample_id), t as (select sum(case when i = j then k end) as d, sum(k) as s, count(*) filter (where i = j) as n from k) select i, j, round(k * (n - 1) / (d - s / n), 6) + 0.0 as k from k, t")
 def kinship_rescale(spark, sf_dir):
-    dense = kinship.rescale(kinship.gram(fx.variants(spark, sf_dir)))
-    return kinship.as_rows(spark, dense).select("i", "j", r("k").alias("k"))
+    tiles = kinship.rescaled_tiles(kinship.gram_tiles(fx.variants(spark, sf_dir)))
+    return kinship.tile_cells(tiles).select("i", "j", r("k").alias("k"))
 
 
 @register("""select a.sample_id as i, b.sample_id as j, round(avg(1 - abs(a.dosage - b.dosage) / 2.0::double), 8) + 0.0 as k from acalls a join acalls b on a.chr = b.chr and a.pos = b.pos group by a.sample_id, b.sample_id""")
 def ibs_dense(spark, sf_dir):
-    return kinship.as_rows(spark, kinship.gram(fx.variants(spark, sf_dir), "ibs")).select("i", "j", r("k", 8).alias("k"))
+    return kinship.tile_cells(kinship.gram_tiles(fx.variants(spark, sf_dir), "ibs")).select("i", "j", r("k", 8).alias("k"))
 
 
 @register("q as (select 1)," + _RRM.format(c="calls") + """select region_id, a.sample_id as i, b.sample_id as j, round(avg(a.z * b.z), 6) + 0.0 as k from z a join z b on a.chr = b.chr and a.pos = b.pos
@@ -570,6 +570,17 @@ def gene_kernel_p(spark, sf_dir):
     return found.select("gene", "n_variants", r("q", 3).alias("q"), r("pvalue", 5).alias("pvalue"))
 
 
+# one variant a gene: q over its scale is a chi-square of one degree, whose tail is that of the normal
+# distribution, here by the series of erf
+@register("""q as (select cast(cast(floor(pos / 1000) as bigint) as varchar) as gene, chr, pos, count(*) as n, sum(dosage * (y - m)) as s, var_pop(dosage) * count(*) as d from acalls join atrait on ordinal = sample_id, (select avg(y) as m from atrait) group by chr, pos),
+z as (select gene, pow(s, 2) as q, pow(s, 2) / d / (select var_samp(y) from atrait) / 2 as h from q where d > 0)
+select gene, round(q, 3) + 0.0 as q, round(case when h > 16 then 0 else 1 - exp(-h) * list_sum(list_transform(range(0, 120), lambda k: pow(h, k + 0.5::double) / exp(lgamma(k + 1.5::double)))) end, 6) + 0.0 as pvalue from z""")
+def gene_kernel_p_single(spark, sf_dir):
+    rows = fx.variants(spark, sf_dir).select(F.floor(F.col("pos") / 1000).cast("long").cast("string").alias("gene"), F.lit(1.0).alias("weight"), "g")
+    found = kernel_test.gene_p(rows, _array_trait(spark, sf_dir)).where("pvalue < 1 or q > 1e-9")
+    return found.select("gene", r("q", 3).alias("q"), r("pvalue").alias("pvalue"))
+
+
 # --- mixed models ---
 
 
@@ -679,6 +690,46 @@ def gblup_predict(spark, sf_dir):
     return mixed.leave_one_out(spark, k, y, 0.5)
 
 
+@register()
+def gblup_held_out(spark, sf_dir):
+    y = _array_trait(spark, sf_dir)
+    y[1::4] = np.nan  # held out
+    found = prediction.predict_held_out(fx.variants(spark, sf_dir), {"weighted": y})
+    return found.select("trait", "ordinal", "known", r("h2").alias("h2"), r("predicted", 4).alias("predicted"))
+
+
+@register()
+def kinship_weights(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    odd, even = (kinship.gram(v.where(F.col("chr") % 2 == i), "ibs") for i in (1, 0))
+    return mixed.kinship_weights(_label_traits(spark, sf_dir), odd, even)
+
+
+@register()
+def forward_by_region(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.forward_regions(v, fx.regions(spark, sf_dir), _array_trait(spark, sf_dir), kinship.gram(v), 3)
+
+
+# the joint model of two variants by its sums; what the first explains is projected out of the second
+@register(f"""q as (select region_id, chr, pos from (select distinct chr, pos from acalls) v join regions g using (chr) where pos between g."start" and g."end"),
+c as (select chr, pos, count(*) as n, corr(dosage, y) as r from acalls join atrait on ordinal = sample_id group by chr, pos having var_pop(dosage) > 0),
+f1 as (select region_id, chr, pos, n, r * r as r2, row_number() over (partition by region_id order by round(r * r, 9) desc, chr, pos) as turn from q join c using (chr, pos)),
+a1 as (select * from f1 where turn = 1),
+x as (select q.region_id, q.chr, q.pos, a.dosage as x, w.dosage as w, t.y as y from q join a1 on a1.region_id = q.region_id and (a1.chr <> q.chr or a1.pos <> q.pos)
+  join acalls a on a.chr = q.chr and a.pos = q.pos join acalls w on w.chr = a1.chr and w.pos = a1.pos and w.sample_id = a.sample_id join atrait t on t.ordinal = a.sample_id),
+m as (select region_id, chr, pos, count(*) as n, var_pop(x) as xx, var_pop(w) as ww, covar_pop(x, w) as xw, covar_pop(x, y) as xy, covar_pop(w, y) as wy, var_pop(y) as yy from x group by 1, 2, 3),
+g2 as (select *, pow(xy - xw * wy / ww, 2) / (xx - xw * xw / ww) as gain, yy - wy * wy / ww as rest from m where xx - xw * xw / ww > 1e-9 * xx),
+f2 as (select *, row_number() over (partition by region_id order by round(gain / yy, 9) desc, chr, pos) as turn from g2),
+o as (select region_id, 1 as round, chr, pos, n, 1 - (1 - r2) * (n - 1) / (n - 2) as adj, r2 / (1 - r2) * (n - 2) as t2 from a1
+  union all select region_id, 2, chr, pos, n - 1, 1 - (rest - gain) / yy * (n - 1) / (n - 3), gain / (rest - gain) * (n - 3) from f2 where turn = 1)
+select region_id, cast(round as integer) as round, chr, pos, round(adj, 6) + 0.0 as adj_r2, round({_t_p("t2", "n")}, 6) + 0.0 as pvalue from o""")
+def forward_by_region_identity(spark, sf_dir):
+    y = _array_trait(spark, sf_dir)
+    found = mixed.forward_regions(fx.variants(spark, sf_dir), fx.regions(spark, sf_dir), y, np.eye(len(y)), 2)
+    return found.select("region_id", "round", "chr", "pos", r("adj_r2").alias("adj_r2"), r("pvalue").alias("pvalue"))
+
+
 # --- simulated traits ---
 
 

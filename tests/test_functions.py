@@ -25,13 +25,58 @@ def test_tails_against_the_jvm(spark):
 
 
 def test_mixture_tail():
-    assert S.mixture_sf(5.0, [1, 1]) == pytest.approx(math.exp(-2.5), rel=1e-3)
     assert S.mixture_sf(9.0, [2.0]) == pytest.approx(float(S.chi2_sf(4.5, 1)), rel=1e-9)
     rng = np.random.default_rng(1)
     w = np.array([3, 1, 0.5, 0.2])
     draws = (rng.standard_normal((400_000, 4)) ** 2) @ w
     assert S.mixture_sf(10.0, w) == pytest.approx((draws > 10).mean(), rel=0.02)
-    assert S.matched_sf(10.0, w) == pytest.approx((draws > 10).mean(), rel=0.1)
+    assert S.mixture_sf(0.0, w) == 1 and S.mixture_sf(5.0, []) == 1 and S.mixture_sf(1e-18, w) == 1
+    assert S.mixture_sf(30 * 7.0, 7 * w) == pytest.approx(S.mixture_sf(30.0, w), rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 40, 900])
+@pytest.mark.parametrize("times", [0.2, 1, 1.4, 3, 9])
+def test_mixture_tail_of_equal_weights(n, times):
+    want = float(S.chi2_sf(n * times, n))
+    assert S.mixture_sf(n * times, np.ones(n)) == pytest.approx(want, rel=1e-10, abs=1e-300)
+
+
+def by_quadrature(q, second, third=0.0):
+    """Two weights, 1 and ``second``, or three: the tail of the first over the density of the others."""
+    x, weight = np.polynomial.legendre.leggauss(1500)
+
+    def two(q):
+        top = math.sqrt(q / second)
+        t = (x + 1) / 2 * top
+        dens = 2 * np.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return float((weight * top / 2 * dens * 2 * S.normal_sf(np.sqrt(np.maximum(q - second * t * t, 0)))).sum() + S.chi2_sf(q / second, 1))
+
+    if not third:
+        return two(q)
+    x2, weight2 = np.polynomial.legendre.leggauss(150)
+    top = math.sqrt(q / third)
+    t = (x2 + 1) / 2 * top
+    dens = 2 * np.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    return sum(w * top / 2 * d * two(max(q - third * v * v, 1e-9)) for w, d, v in zip(weight2, dens, t, strict=True)) + float(S.chi2_sf(q / third, 1))
+
+
+@pytest.mark.parametrize("weights", [(0.5,), (0.1,), (0.999,), (1e-3,), (0.5, 0.25), (0.8, 0.05)])
+@pytest.mark.parametrize("q", [0.3, 4, 9, 15, 22, 30, 40, 55, 200])
+def test_mixture_tail_is_the_quadrature(weights, q):
+    """p from 0.9 down to 1e-44."""
+    assert S.mixture_sf(q, [1, *weights]) == pytest.approx(by_quadrature(q, *weights), rel=1e-6)
+
+
+def test_mixture_tail_of_a_decaying_spectrum():
+    """p from 1e-2 to 1e-10 against importance sampling: draws under exponential tilting, weighted back."""
+    w, rng = 0.7 ** np.arange(25), np.random.default_rng(3)
+    for q in (14.0, 22.0, 32.0, 50.0):
+        s = min((k / 1000 for k in range(1, 500)), key=lambda s: abs((w / (1 - 2 * s * w)).sum() - q))  # tilted to a mean of q
+        tilted = w / (1 - 2 * s * w)
+        draws = (rng.standard_normal((400_000, 25)) ** 2) @ tilted
+        back = np.exp(-s * draws - 0.5 * np.log1p(-2 * s * w).sum()) * (draws > q)
+        assert back.std() / back.mean() / math.sqrt(400_000) < 0.01
+        assert S.mixture_sf(q, w) == pytest.approx(back.mean(), rel=0.03)
 
 
 def _data(n=60, seed=2):
