@@ -69,6 +69,29 @@ def reml(y: np.ndarray, x: np.ndarray, k: np.ndarray) -> Fit:
     return Fit(delta, vg, delta * vg, best)
 
 
+def reml_low_rank(y: np.ndarray, z: np.ndarray, x: np.ndarray) -> tuple[Fit, float]:
+    """``reml`` of K = z z' with one covariate x, to which the columns of z are orthogonal; and the
+    likelihood without K.
+
+    K has the squares of z's singular values as eigenvalues and 0 for all else that is orthogonal to
+    x, of which only the sum of squares counts, so neither K nor a basis of that is
+    formed."""
+    n = len(y)
+    u, values = low_rank_basis(z)
+    own = y - x * (x @ y) / (x @ x)
+    eta2 = (u.T @ own) ** 2
+    rest, m, zeros = max(float(own @ own - eta2.sum()), 0.0), n - 1, n - 1 - len(values)
+
+    def loglik(logs):
+        delta = np.exp(np.atleast_1d(logs))
+        d = np.maximum(values[None, :] + delta[:, None], 1e-300)
+        return 0.5 * (m * (math.log(m / (2 * math.pi)) - 1 - np.log((eta2 / d).sum(1) + rest / delta)) - np.log(d).sum(1) - zeros * np.log(delta))
+
+    delta, best = _peak(loglik, np.linspace(LOW, HIGH, CELLS + 1))
+    vg = float(((eta2 / (values + delta)).sum() + rest / delta) / m)
+    return Fit(delta, vg, delta * vg, best), 0.5 * m * (math.log(m / (2 * math.pi)) - 1 - math.log(max(float(own @ own), 1e-300)))
+
+
 def _peak(loglik, grid: np.ndarray) -> tuple[float, float]:
     at = loglik(grid)
     peaks = np.flatnonzero((at[1:-1] >= at[:-2]) & (at[1:-1] >= at[2:])) + 1

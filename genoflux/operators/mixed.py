@@ -267,7 +267,7 @@ def kinship_weights(traits: DataFrame, k1: np.ndarray, k2: np.ndarray) -> DataFr
     return found.select("trait", "b.n", (F.col("b.percent") / 100).alias("alpha"), "b.h2", "b.loglik", "h2_1", "h2_2")
 
 
-def local_components(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[str], least: int = 2) -> DataFrame:
+def local_components(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[str], least: int = 2, restricted: bool = False) -> DataFrame:
     """Variance that the variants of each window, region or compound explain beyond K.
 
     ``sites``: keys ``by`` and g.  The trait is first freed of K by the null model's
@@ -275,11 +275,14 @@ def local_components(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[st
     Returns by, n_variants, loglik, pvalue (half of a chi-square of one degree),
     v_local, v_global, v_error (shares).  Windows with fewer than ``least`` varying
     variants have no row.  A window is one group: its size is bounded by its width.
+
+    ``restricted``: all by restricted likelihood (loglik is then of that kind); the transformed
+    intercept is the covariate, and the transformed variants are freed of it and standardised.
     """
     use, y, k = _aligned(y, k)
     values, vectors = L.descending(rescale(k))
     one = np.ones((len(y), 1))
-    null = L.ml(vectors.T @ y, vectors.T @ one, np.maximum(values, 0))
+    null = L.reml(y, one, rescale(k)) if restricted else L.ml(vectors.T @ y, vectors.T @ one, np.maximum(values, 0))
     t = L.decorrelation(rescale(k), null.delta)
     t_y, t_one = t @ y, t @ one
     base = L.null_loglik(t_y, t_one)
@@ -295,8 +298,14 @@ def local_components(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[st
         g = g[varies]
         if len(g) < least:
             return schema.empty_table()
-        z = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True) / np.sqrt(len(g))
-        fit = L.low_rank_ml(t_y, t_one, t @ z.T)
+        if restricted:
+            x, c = g @ t.T, t_one[:, 0]
+            x -= np.outer(x @ c / (c @ c), c)
+            size = np.sqrt((x * x).sum(1, keepdims=True) / (len(t_y) - 1))
+            fit, base = L.reml_low_rank(t_y, (x / size / np.sqrt(len(g))).T, c)
+        else:
+            z = (g - g.mean(1, keepdims=True)) / g.std(1, keepdims=True) / np.sqrt(len(g))
+            fit = L.low_rank_ml(t_y, t_one, t @ z.T)
         p = float(chi2_sf(max(0.0, 2 * (fit.loglik - base)), 1)) / 2
         rest = 1 - fit.h2
         row = {**{f: k.as_py() for (f, _), k in zip(keys, key, strict=True)}, "n_variants": len(g), "loglik": fit.loglik, "pvalue": p, "v_local": fit.h2, "v_global": rest * h2, "v_error": rest * (1 - h2)}

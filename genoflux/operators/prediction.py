@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kinship import _lists
+from .kinship import MOST_SAMPLES, _lists, rescale
 from .mixed import _batch
 
 #: Samples of a block of sums.
@@ -161,3 +161,88 @@ def predict_held_out(variants: DataFrame, traits: dict[str, np.ndarray], h2: flo
         parts.append(pa.table({"trait": pa.array([name] * n), "ordinal": pa.array(np.arange(n)), "known": pa.array(~np.isnan(y)), "h2": pa.array(np.full(n, share)), "predicted": pa.array(found)}))
     empty = pa.schema([("trait", pa.string()), ("ordinal", pa.int64()), ("known", pa.bool_()), ("h2", pa.float64()), ("predicted", pa.float64())]).empty_table()
     return spark.createDataFrame(pa.concat_tables(parts) if parts else empty)
+
+
+# --- global and local kernels together ---
+
+
+def _left_out(inverse_times, diagonal: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Predictions of each sample from all others, the mean being theirs too, from the inverse over
+    all: without sample i a vector w is predicted at i as w_i - (P w)_i / P_ii."""
+    n = len(y)
+    found = np.column_stack([y, np.ones(n)])
+    found = found - inverse_times(found) / diagonal[:, None]
+    mean = (y.sum() - y) / (n - 1)
+    return mean + found[:, 0] - mean * found[:, 1]
+
+
+def _terms(inverse_times, diagonal, cross, y: np.ndarray, h2: float) -> np.ndarray:
+    """Term of each sample: known ones left out, the others predicted from all known.
+
+    ``cross``: times K between the others and the known samples."""
+    known = ~np.isnan(y)
+    own = y[known]
+    out = np.empty(len(y))
+    out[known] = _left_out(inverse_times, diagonal, own)
+    out[~known] = own.mean() + h2 * cross(inverse_times((own - own.mean())[:, None]))[:, 0]
+    return out
+
+
+def global_term(spark, k: np.ndarray, y: np.ndarray, h2: float, kernel: str = "global") -> DataFrame:
+    """kernel, ordinal, term for a dense kinship of all samples (y: NaN where to be predicted)."""
+    if len(k) > MOST_SAMPLES:
+        raise ValueError(f"{len(k)} samples; dense matrices stop at {MOST_SAMPLES}")
+    known = ~np.isnan(y)
+    inverse = np.linalg.inv(h2 * k[np.ix_(known, known)] + (1 - h2) * np.eye(int(known.sum())))
+    found = _terms(lambda v: inverse @ v, np.diag(inverse), lambda v: k[np.ix_(~known, known)] @ v, y, h2)
+    return spark.createDataFrame(pa.table({"kernel": pa.array([kernel] * len(y)), "ordinal": pa.array(np.arange(len(y))), "term": pa.array(found)}))
+
+
+def local_terms(sites: DataFrame, y: np.ndarray, shares: DataFrame) -> DataFrame:
+    """kernel, ordinal, term of the kinship that each region's variants make: ``sites`` has kernel
+    and g, ``shares`` kernel and h2 (of at least 0 and below 1).
+
+    A region is one group, bounded by its width; its kinship has at most as many ranks as variants,
+    so all samples are left out by products with its thin singular vectors, no matrix between
+    samples is inverted or formed.  Regions without a varying variant have no rows."""
+    held = sites.sparkSession.sparkContext.broadcast(y)
+    schema = pa.schema([("kernel", pa.string()), ("ordinal", pa.int64()), ("term", pa.float64())])
+
+    def run(key, rows):
+        y, h2 = held.value, rows["h2"][0].as_py()
+        n = len(y)
+        g, varies, _ = _batch(rows.combine_chunks(), np.arange(n))
+        z = g[varies]
+        if not len(z):
+            return schema.empty_table()
+        z = ((z - z.mean(1, keepdims=True)) / z.std(1, ddof=1, keepdims=True)).T
+        # columns are centred, so the trace of the centred kinship is that of z z'
+        z = z * np.sqrt((n - 1) / (z * z).sum())
+        known = ~np.isnan(y)
+        u, s, _ = np.linalg.svd(z[known], full_matrices=False)
+        # (h2 z z' + (1 - h2) I)^-1 by Woodbury's identity
+        shrink = h2 * s * s / (h2 * s * s + 1 - h2)
+        times = lambda v: (v - u @ (shrink[:, None] * (u.T @ v))) / (1 - h2)
+        diagonal = (1 - (u * u) @ shrink) / (1 - h2)
+        found = _terms(times, diagonal, lambda v: z[~known] @ (z[known].T @ v), y, h2)
+        return pa.table({"kernel": pa.array([key[0].as_py()] * n), "ordinal": pa.array(np.arange(n)), "term": pa.array(found)})
+
+    rows = sites.select(F.col("kernel").cast("string").alias("kernel"), "g").join(shares.select(F.col("kernel").cast("string").alias("kernel"), F.col("h2").cast("double").alias("h2")), "kernel")
+    return rows.groupBy("kernel").applyInArrow(run, "kernel string, ordinal long, term double")
+
+
+def combined_prediction(terms: DataFrame, y: np.ndarray, most: int = 200) -> tuple[DataFrame, dict[str, float]]:
+    """ordinal, known, predicted, and the weights (by kernel, and "" for the intercept): the trait
+    regressed on the terms of its known samples, each of which was left out of its own, and those
+    weights applied to every sample.  At most ``most`` kernels, fewer than known samples."""
+    names = [r["kernel"] for r in terms.select("kernel").distinct().orderBy("kernel").limit(most + 1).collect()]
+    known = ~np.isnan(y)
+    if len(names) > most or len(names) >= known.sum():
+        raise ValueError("more kernels than a joint model should have")
+    wide = terms.groupBy("ordinal").pivot("kernel", names).agg(F.first("term")).orderBy("ordinal").toArrow()
+    x = np.column_stack([np.ones(len(y)), *(wide[c].to_numpy() for c in names)])
+    b, *_ = np.linalg.lstsq(x[known], y[known], rcond=None)
+    held = F.create_map(*[F.lit(v) for pair in zip(names, b[1:].tolist(), strict=True) for v in pair])
+    found = terms.groupBy("ordinal").agg((F.sum(F.col("term") * held[F.col("kernel")]) + float(b[0])).alias("predicted"))
+    flags = F.array(*[F.lit(bool(v)) for v in known])
+    return found.select("ordinal", F.element_at(flags, (F.col("ordinal") + 1).cast("int")).alias("known"), "predicted"), dict(zip(["", *names], b.tolist(), strict=True))

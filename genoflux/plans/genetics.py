@@ -698,6 +698,24 @@ def gblup_held_out(spark, sf_dir):
     return found.select("trait", "ordinal", "known", r("h2").alias("h2"), r("predicted", 4).alias("predicted"))
 
 
+@register()
+def local_vc_reml(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    windows = variants.in_tiling_windows(v, 60_000)
+    return mixed.local_components(windows, _array_trait(spark, sf_dir), kinship.gram(v), ["chr", "start"], restricted=True)
+
+
+@register()
+def gblup_with_local(spark, sf_dir):
+    v, y = fx.variants(spark, sf_dir), _array_trait(spark, sf_dir)
+    y[2::5] = np.nan  # to be predicted
+    local = v.withColumn("kernel", F.concat(F.lit("chr"), F.col("chr").cast("string")))
+    shares = local.select("kernel").distinct().withColumn("h2", F.lit(0.3))
+    terms = prediction.global_term(spark, kinship.rescale(kinship.gram(v)), y, 0.5).unionByName(prediction.local_terms(local, y, shares))
+    found, _ = prediction.combined_prediction(terms, y)
+    return found.select("ordinal", "known", r("predicted", 4).alias("predicted"))
+
+
 @register()
 def kinship_weights(spark, sf_dir):
     v = fx.variants(spark, sf_dir)

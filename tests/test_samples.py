@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoflux.functions import likelihood as L
-from genoflux.functions.special import t_two_sided
+from genoflux.functions.special import chi2_sf, t_two_sided
 from genoflux.operators import kinship, mixed, prediction
 
 
@@ -131,6 +131,77 @@ def test_moments_find_h2(spark, herd):
         prediction.solve(k, use, 0.9, own[:, None], most=1)
 
 
+def refitted(k, y, h2):
+    """Each known sample predicted by a model without it, the others by all known."""
+    out = mixed.blup(k, y, h2)
+    for i in np.flatnonzero(~np.isnan(y)):
+        less = y.copy()
+        less[i] = np.nan
+        out[i] = mixed.blup(k, less, h2)[i]
+    return out
+
+
+def test_terms_are_refitted_models(spark, herd):
+    g, z, y, _ = herd
+    y = y.copy()
+    y[1::6] = np.nan
+    kernel = ["a" if i < 100 else "b" if i < 112 else "wide" for i in range(300)]
+    flat = np.ones(90)
+    rows = [(n, [float(x) for x in r]) for n, r in zip(kernel, g, strict=True)] + [("flat", flat.tolist()), ("no share", g[0].tolist())]
+    sites = spark.createDataFrame(rows, "kernel string, g array<double>")
+    shares = {"a": 0.2, "b": 0.7, "wide": 0.0, "flat": 0.5}
+    table = spark.createDataFrame(list(shares.items()), "kernel string, h2 double")
+    dense = {n: kinship.rescale(z[[i for i in range(300) if kernel[i] == n]].T @ z[[i for i in range(300) if kernel[i] == n]]) for n in ("a", "b", "wide")}
+    dense["global"] = kinship.rescale(z.T @ z / 300)
+    want = {n: refitted(k, y, {**shares, "global": 0.4}[n]) for n, k in dense.items()}
+    terms = prediction.global_term(spark, dense["global"], y, 0.4).unionByName(prediction.local_terms(sites, y, table)).cache()
+    found = {(r.kernel, r.ordinal): r.term for r in terms.collect()}
+    assert set(found) == {(n, i) for n in want for i in range(90)}
+    assert all(found[n, i] == pytest.approx(want[n][i], abs=1e-8) for n, i in found)
+    three = terms.where("kernel <> 'wide'")  # which is the mean alone
+    predicted, weights = prediction.combined_prediction(three, y)
+    x = np.column_stack([np.ones(90), want["a"], want["b"], want["global"]])
+    known = ~np.isnan(y)
+    b, *_ = np.linalg.lstsq(x[known], y[known], rcond=None)
+    assert np.allclose([weights[n] for n in ("", "a", "b", "global")], b, atol=1e-6)
+    rows = sorted(predicted.collect())
+    assert [r.known for r in rows] == known.tolist() and np.allclose([r.predicted for r in rows], x @ b, atol=1e-6)
+    with pytest.raises(ValueError):
+        prediction.combined_prediction(three, y, most=2)
+
+
+# --- windows by restricted likelihood ---
+
+
+def test_local_reml_is_dense_reml(spark):
+    rng = np.random.default_rng(15)
+    n, m = 60, 120
+    g = rng.integers(0, 3, (m, n)).astype(float)
+    g[9] = 2.0
+    y = g[30:34].sum(0) + rng.normal(size=n) * 2
+    y[8] = np.nan
+    v = store(spark, g)
+    k = kinship.gram(v)
+    windows = v.withColumn("w", F.floor(F.col("pos") / 6000))
+    found = {r.w: r for r in mixed.local_components(windows, y, k, ["w"], restricted=True).collect()}
+    assert len(found) == 20
+    use = np.flatnonzero(~np.isnan(y))
+    own, scaled, one = y[use], kinship.rescale(k[np.ix_(use, use)]), np.ones((len(use), 1))
+    t = L.decorrelation(scaled, L.reml(own, one, scaled).delta)
+    t_y, t_one = t @ own, t @ one[:, 0]
+    for w, r in found.items():
+        rows = [i for i in range(m) if (1000 * i + 1) // 6000 == w and i != 9]
+        x = g[rows][:, use] @ t.T
+        x = x - np.outer(x @ t_one, t_one) / (t_one @ t_one)
+        x = x / np.sqrt((x * x).sum(1, keepdims=True) / (len(use) - 1))
+        fit = L.reml(t_y, t_one[:, None], x.T @ x / len(rows))
+        assert r.n_variants == len(rows) and r.loglik == pytest.approx(fit.loglik, abs=1e-6)
+        assert r.v_local == pytest.approx(fit.h2, abs=1e-4)
+        flat = L.reml(t_y, t_one[:, None], np.zeros((len(use), len(use)))).loglik
+        assert r.pvalue == pytest.approx(float(chi2_sf(max(0.0, 2 * (fit.loglik - flat)), 1)) / 2, abs=1e-5)
+    assert min(found.values(), key=lambda r: r.pvalue).w == 5
+
+
 # --- regions ---
 
 
