@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +67,30 @@ def import_minor_count(g: Column) -> Column:
     codes = F.transform(known(g), lambda x: F.floor(x + 0.1))
     zeros = F.size(F.filter(codes, lambda x: x == 0))
     return F.least(zeros, F.size(F.filter(codes, lambda x: (x == 1) | (x == 2)))).cast("long")
+
+
+# --- packed calls: four to a byte, the first in its lowest bits ---
+
+#: Code of a missing call.
+UNKNOWN = 3
+
+
+def packed(g: np.ndarray) -> np.ndarray:
+    """Bytes of rows of calls (0, 1, 2, or NaN for missing), two bits a call; the last byte of a row
+    is filled up with missing ones.  Other values are an error."""
+    code = np.where(np.isnan(g), UNKNOWN, g)
+    if not np.isin(code, (0, 1, 2, UNKNOWN)).all() or (g == UNKNOWN).any():
+        raise ValueError("only the calls 0, 1, 2 and missing can be packed")
+    wide = np.full((len(g), -(-g.shape[1] // 4) * 4), UNKNOWN, np.uint8)
+    wide[:, : g.shape[1]] = code
+    four = wide.reshape(len(g), -1, 4)
+    return four[:, :, 0] | four[:, :, 1] << 2 | four[:, :, 2] << 4 | four[:, :, 3] << 6
+
+
+_CALLS = np.array([[(b >> s) & 3 for s in (0, 2, 4, 6)] for b in range(256)], float)
+_CALLS[_CALLS == UNKNOWN] = np.nan
+
+
+def unpacked(codes: np.ndarray) -> np.ndarray:
+    """Calls of rows of packed bytes (NaN: missing), with what the last byte was filled up with."""
+    return _CALLS[codes].reshape(len(codes), -1)

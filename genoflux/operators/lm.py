@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import t_pvalue
+from ..functions.special import t_pvalue, t_two_sided
 
 SITE = ["chr", "pos"]
 
@@ -96,8 +96,6 @@ def selected_model(calls: DataFrame, phenotypes: DataFrame, sites: DataFrame) ->
 
     Missing calls take the variant's mean.  coef, se and p are in order of chr, pos
     behind the intercept."""
-    from ..functions.special import t_two_sided
-
     chosen = sites.select(*SITE).distinct().orderBy(*SITE).limit(65)
     if chosen.count() > 64:
         raise ValueError("more sites than a joint model should have")
@@ -111,8 +109,8 @@ def selected_model(calls: DataFrame, phenotypes: DataFrame, sites: DataFrame) ->
 
 
 def joint_scan(rows: DataFrame, held: list[str]) -> DataFrame:
-    """adj_r2 of the model of ``held`` columns and each variant's dosage together: chr, pos, n,
-    adj_r2.  Variants that the others explain, and perfect fits, have no row.
+    """adj_r2 of the model of ``held`` columns and each variant's dosage together, and the p of the
+    variant in it: chr, pos, n, adj_r2, pvalue.  Variants that the others explain, and perfect fits, have no row.
 
     Sums of products are aggregated, a row a variant; the small systems are solved behind."""
     names = ["dosage", *held, "y"]
@@ -136,26 +134,71 @@ def joint_scan(rows: DataFrame, held: list[str]) -> DataFrame:
             ok &= rss > 1e-9 * yy
             adj = 1 - rss / np.where(ok, yy, 1) * (n - 1) / np.where(ok, n - k - 1, 1)
             keep = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch["chr"].take(keep), batch["pos"].take(keep), batch["n"].take(keep), pa.array(adj[ok])], [*SITE, "n", "adj_r2"])
+            df = n[ok] - k - 1
+            p = t_two_sided(np.sqrt(cross[ok] ** 2 / free[ok] / (rss[ok] / df)), df)
+            yield pa.RecordBatch.from_arrays([batch["chr"].take(keep), batch["pos"].take(keep), batch["n"].take(keep), pa.array(adj[ok]), pa.array(np.asarray(p, float))], [*SITE, "n", "adj_r2", "pvalue"])
+
+    return sums.mapInArrow(run, "chr int, pos long, n long, adj_r2 double, pvalue double")
+
+
+def candidates(calls: DataFrame, phenotypes: DataFrame, threshold: float, maf: float = 0.0) -> DataFrame:
+    """chr, pos of variants whose own p is at most ``threshold`` over the number of variants, and
+    whose folded frequency (of all calls) is at least ``maf``."""
+    from .variants import frequencies
 
-    return sums.mapInArrow(run, "chr int, pos long, n long, adj_r2 double")
+    passed = bonferroni(with_p(scan(matched(calls, phenotypes))), threshold).select(*SITE)
+    return passed.join(frequencies(calls).where(F.col("maf") >= maf).select(*SITE), SITE, "left_semi") if maf > 0 else passed
 
 
-def forward(calls: DataFrame, phenotypes: DataFrame, rounds: int) -> DataFrame:
+def forward(calls: DataFrame, phenotypes: DataFrame, rounds: int, among: DataFrame | None = None) -> DataFrame:
     """Greedy selection by joint models: round, chr, pos, n, adj_r2 of the model of all chosen
-    so far.  A round compares, for each variant, the joint fit with those chosen before,
-    over samples whose calls of all of them are known."""
+    so far, pvalue of the round's variant in it.  A round compares, for each variant (of
+    ``among``, if given: chr, pos), the joint fit with those chosen before, over samples whose
+    calls of all of them are known."""
     rows, held, out = matched(calls, phenotypes), [], []
+    if among is not None:
+        rows = rows.join(among, SITE, "left_semi")
     for r in range(1, rounds + 1):
         best = joint_scan(rows, held).orderBy(F.desc(F.round("adj_r2", 9)), *SITE).first()
         if best is None:
             break
-        out.append((r, int(best["chr"]), int(best["pos"]), int(best["n"]), float(best["adj_r2"])))
+        out.append((r, int(best["chr"]), int(best["pos"]), int(best["n"]), float(best["adj_r2"]), float(best["pvalue"])))
         here = (F.col("chr") == best["chr"]) & (F.col("pos") == best["pos"])
         held.append(f"w{r}")
         own = calls.where(here & F.col("dosage").isNotNull()).select("sample_id", F.col("dosage").alias(held[-1]))
         rows = rows.where(~here).join(own, "sample_id")
-    return calls.sparkSession.createDataFrame(out, "round int, chr int, pos long, n long, adj_r2 double")
+    return calls.sparkSession.createDataFrame(out, "round int, chr int, pos long, n long, adj_r2 double, pvalue double")
+
+
+def final_coefficients(calls: DataFrame, phenotypes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """round (0: the intercept), chr, pos, n, coef, se, pvalue of the joint model of ``chosen`` (round,
+    chr, pos; at most 64), over samples whose calls of all of them are known.
+
+    Spark adds up the products; the driver solves one small system."""
+    sites = [(r["round"], r["chr"], r["pos"]) for r in chosen.select("round", *SITE).orderBy("round").limit(65).collect()]
+    if len(sites) > 64:
+        raise ValueError("more sites than a joint model should have")
+    names = [f"x{r}" for r, _, _ in sites]
+    rows = phenotypes.where("y is not null").select("sample_id", F.col("y").cast("double").alias("y"))
+    for name, (_, c, p) in zip(names, sites, strict=True):
+        rows = rows.join(calls.where((F.col("chr") == c) & (F.col("pos") == p) & F.col("dosage").isNotNull()).select("sample_id", F.col("dosage").alias(name)), "sample_id")
+    both = [*names, "y"]
+    pairs = [(a, b) for i, a in enumerate(both) for b in both[i:]]
+    got = rows.agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m{i}") for i, a in enumerate(both)), *((F.covar_pop(a, b) * F.count("*")).alias(f"s{i}") for i, (a, b) in enumerate(pairs))).first()
+    n, k, out = got["n"], len(names), []
+    if n > k + 1:
+        s = np.zeros((k + 1, k + 1))
+        for i, (a, b) in enumerate(pairs):
+            s[both.index(a), both.index(b)] = s[both.index(b), both.index(a)] = got[f"s{i}"]
+        mean = np.array([got[f"m{i}"] for i in range(k + 1)], float)
+        inverse = np.linalg.pinv(s[:k, :k])
+        b = inverse @ s[:k, k]
+        s2 = max(float(s[k, k] - b @ s[:k, k]), 0.0) / (n - k - 1)
+        se = np.sqrt(np.append(1 / n + mean[:k] @ inverse @ mean[:k], np.diag(inverse)) * s2)
+        coef = np.append(mean[k] - b @ mean[:k], b)
+        p = np.asarray(t_two_sided(coef / np.where(se > 0, se, np.nan), n - k - 1), float)
+        out = [(r, c, x, n, *map(float, v)) for (r, c, x), *v in zip([(0, None, None), *sites], coef, se, p, strict=True)]
+    return calls.sparkSession.createDataFrame(out, "round int, chr int, pos long, n long, coef double, se double, pvalue double")
 
 
 def permutation_p(calls: DataFrame, phenotypes: DataFrame, rounds: int, seed: int) -> DataFrame:

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import likelihood as L
+from ..functions.alleles import unpacked
 from ..functions.special import chi2_sf, t_two_sided
 from .joins import in_regions
 from .kinship import MOST_SAMPLES, _lists, rescale
 from .scratch import cut
+from .variants import rare_code
 
 _SCAN = "n long, coef double, sd_err double, adj_r2 double, t2 double, pvalue double, mafc long"
 
@@ -31,9 +33,14 @@ def _aligned(y: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def _batch(batch: pa.RecordBatch | pa.Table, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matrix of a batch, or of all of a table (missing calls are the variant's mean), which
     rows vary, mafc (counted as ``variants.test_minor_counts`` does)."""
-    chunks = batch["g"].chunks if isinstance(batch, pa.Table) else [batch["g"]]
-    flat = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), float) for c in chunks]
-    g = np.concatenate(flat or [np.zeros(0)]).reshape(batch.num_rows, -1)[:, use]
+    if "packed" in batch.schema.names:
+        cells = batch["packed"].to_pylist()
+        codes = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
+        g = (unpacked(codes) if codes.size else np.zeros((len(cells), len(use))))[:, use]
+    else:
+        chunks = batch["g"].chunks if isinstance(batch, pa.Table) else [batch["g"]]
+        flat = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), float) for c in chunks]
+        g = np.concatenate(flat or [np.zeros(0)]).reshape(batch.num_rows, -1)[:, use]
     known = ~np.isnan(g)
     count = known.sum(1)
     mean = np.where(known, g, 0).sum(1) / np.maximum(count, 1)
@@ -45,6 +52,11 @@ def _batch(batch: pa.RecordBatch | pa.Table, use: np.ndarray) -> tuple[np.ndarra
     return np.where(known, g, mean[:, None]), (count > 0) & (low < high), mafc
 
 
+def calls_of(variants: DataFrame) -> str:
+    """The column that holds the calls: ``packed`` of a packed store, which the kernels decode, or g."""
+    return "packed" if "packed" in variants.columns else "g"
+
+
 def transformed_ols(t_x: np.ndarray, t_one: np.ndarray, t_y: np.ndarray) -> dict[str, np.ndarray]:
     """Regression of t_y on (t_one, row of t_x) without another intercept, row by row."""
     n = len(t_y)
@@ -85,8 +97,8 @@ def emmax(variants: DataFrame, y: np.ndarray, k: np.ndarray, fit: L.Fit | None =
                 [*by, "n", "coef", "sd_err", "adj_r2", "t2", "pvalue", "mafc"],
             )
 
-    rows = variants.select(*by, "g")
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("g").schema)
+    rows = variants.select(*by, calls_of(variants))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.select(*by).schema)
     return rows.mapInArrow(run, f"{keys}, {_SCAN}")
 
 
@@ -95,8 +107,11 @@ def emmax_regions(variants: DataFrame, regions: DataFrame, y: np.ndarray, k: np.
     of at most ``threshold`` over the number of all variants; a variant of several regions has
     a row in each."""
     limit = variants.agg((F.lit(threshold) / F.count("*")).alias("_limit"))
-    found = emmax(in_regions(variants, regions), y, k, by=("region_id", "chr", "pos"))
-    return found.join(F.broadcast(limit)).where("pvalue <= _limit").drop("_limit")  # one row
+    # each variant is scanned once, whatever the number of its regions; regions meet thin results
+    inside = in_regions(variants.select("chr", "pos"), regions).select("region_id", "chr", "pos")
+    found = emmax(variants.join(inside.select("chr", "pos").distinct(), ["chr", "pos"], "left_semi"), y, k)
+    found = found.join(F.broadcast(limit)).where("pvalue <= _limit").drop("_limit")  # one row
+    return inside.join(found, ["chr", "pos"]).select("region_id", *found.columns)
 
 
 def burden_arrays(variants: DataFrame, regions: DataFrame, n: int, rare: float, carrier: float = 2.0) -> DataFrame:
@@ -110,16 +125,8 @@ def burden_arrays(variants: DataFrame, regions: DataFrame, n: int, rare: float,
     code = F.transform("g", lambda x: F.floor(x + 0.5).cast("int"))
     rows = in_regions(variants.withColumn("_c", code), regions)
     sized = lambda v: F.size(F.filter("_c", lambda x: x == v))
-    n0, n1, n2 = map(sized, range(3))
-    clean = n0 + n1 + n2 == F.size(F.filter("_c", lambda x: x.isNotNull()))
-    first, second = F.when(n0 > 0, 0).otherwise(1), F.when(n2 > 0, 2).otherwise(1)
-    of = lambda c: F.when(c == 0, n0).when(c == 1, n1).otherwise(n2)
-    low = F.when(of(first) <= of(second), first).otherwise(second)
-    classes = sum((x > 0).cast("int") for x in (n0, n1, n2))
-    zeros, others = 2 * n0 + n1, 2 * n2 + n1
-    minor = F.when(clean & (classes == 2), low).when(clean & (classes == 3), F.when(zeros < others, 0).otherwise(1))
-    count = F.when(classes == 2, of(low) * F.when(low == 1, 1).otherwise(2)).otherwise(F.least(zeros, others))
-    minor = F.when(count < int(rare * n * 2), minor)
+    known = F.size(F.filter("_c", lambda x: x.isNotNull()))
+    minor = rare_code(*map(sized, range(3)), known, F.lit(int(rare * n * 2)))
     cells = rows.select("region_id", "chr", "start", minor.alias("_m"), "_c").select("region_id", "chr", "start", "_m", F.posexplode("_c").alias("_i", "_x"))
     most = cells.groupBy("region_id", "chr", "start", "_i").agg(F.max(F.when(F.col("_x") == F.col("_m"), carrier).otherwise(0.0)).alias("_b"))
     return most.groupBy("region_id", "chr", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_b"))), lambda s: s["_b"]).alias("g"))
@@ -153,7 +160,7 @@ def fastlmm(variants: DataFrame, y: np.ndarray, k: np.ndarray) -> DataFrame:
                 p = chi2_sf(np.maximum(2 * (loglik - null), 0), 1)
                 yield pa.RecordBatch.from_arrays([own["chr"].take(pa.array(keep)), own["pos"].take(pa.array(keep)), *(pa.array(np.asarray(x, float)) for x in (b, delta, loglik, p))], ["chr", "pos", "coef", "delta", "loglik", "pvalue"])
 
-    return variants.select("chr", "pos", "g").mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, pvalue double")
+    return variants.select("chr", "pos", calls_of(variants)).mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, pvalue double")
 
 
 def _by_trait(traits: DataFrame, fit, names: list[str]) -> DataFrame:

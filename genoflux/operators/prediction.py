@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kinship import MOST_SAMPLES, _lists, rescale
-from .mixed import _batch
+from .mixed import _batch, calls_of
 
 #: Samples of a block of sums.
 BLOCK = 4096
@@ -61,7 +61,7 @@ def products(variants: DataFrame, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([m]), _lists(total[None, :])], ["block", "m", "sums"])
 
     kind = "block long, m long, sums array<double>"
-    rows = variants.select("g").mapInArrow(run, kind).repartition("block").sortWithinPartitions("block").mapInArrow(add, kind).toArrow()
+    rows = variants.select(calls_of(variants)).mapInArrow(run, kind).repartition("block").sortWithinPartitions("block").mapInArrow(add, kind).toArrow()
     held.unpersist()
     out = np.zeros((n, columns + 1))
     for b, own in zip(rows["block"].to_pylist(), rows["sums"], strict=True):

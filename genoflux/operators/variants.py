@@ -89,15 +89,34 @@ def in_tiling_windows(sites: DataFrame, width: int) -> DataFrame:
     return rows.join(last, "chr").where("start < last and pos between start and start + " + str(width - 1)).drop("last")
 
 
+def rare_code(n0: Column, n1: Column, n2: Column, known: Column, limit: Column) -> Column:
+    """The code whose carriers a burden counts, or null: of a variant with fewer than ``limit``
+    minor alleles, counted as ``test_minor_counts`` does, the code of the smaller class of two (the
+    lower of equal ones), and of three classes 0 or else 1.  n0 to n2: calls of each code."""
+    first, second = F.when(n0 > 0, 0).otherwise(1), F.when(n2 > 0, 2).otherwise(1)
+    of = lambda c: F.when(c == 0, n0).when(c == 1, n1).otherwise(n2)
+    low = F.when(of(first) <= of(second), first).otherwise(second)
+    classes = sum((x > 0).cast("int") for x in (n0, n1, n2))
+    zeros, others = 2 * n0 + n1, 2 * n2 + n1
+    clean = n0 + n1 + n2 == known
+    code = F.when(clean & (classes == 2), low).when(clean & (classes == 3), F.when(zeros < others, 0).otherwise(1))
+    count = F.when(classes == 2, of(low) * F.when(low == 1, 1).otherwise(2)).otherwise(F.least(zeros, others))
+    return F.when(count < limit, code)
+
+
 def burden(calls: DataFrame, regions: DataFrame, rare: float, carrier: float = 2.0) -> DataFrame:
-    """region_id, sample_id, burden: ``carrier`` if the sample carries a minor allele of a
-    rare variant (maf below ``rare``) of the region, else 0."""
+    """region_id, sample_id, burden: ``carrier`` if the sample has the minor code (see
+    ``rare_code``) of a rare variant of the region, else 0, for samples with a known call in it.
+
+    Rare: fewer than int(2 n rare) minor alleles of n known calls, the rule of the array form
+    (``mixed.burden_arrays``) too."""
     from .joins import in_regions
 
-    maf = frequencies(calls).where((F.col("maf") < rare) & (F.col("maf") > 0))
-    rows = calls.where("dosage is not null").join(maf, SITE)
-    carries = F.when(F.col("freq") < 0.5, F.col("dosage") > 0).otherwise(F.col("dosage") < 2)
-    rows = in_regions(rows.withColumn("carries", carries), regions)
+    code = F.floor(F.col("dosage") + 0.5)
+    counts = calls.groupBy(SITE).agg(*[_count(code == i).alias(f"n{i}") for i in range(3)], _count(F.col("dosage").isNotNull()).alias("n"))
+    n0, n1, n2, n = (F.col(c) for c in ("n0", "n1", "n2", "n"))
+    minor = counts.select(*SITE, rare_code(n0, n1, n2, n, F.floor(n * 2 * F.lit(rare))).alias("code"))
+    rows = in_regions(calls.where("dosage is not null").join(minor, SITE).withColumn("carries", F.coalesce(code == F.col("code"), F.lit(False))), regions)
     return rows.groupBy("region_id", "sample_id").agg(F.max(F.when(F.col("carries"), carrier).otherwise(0.0)).alias("burden"))
 
 

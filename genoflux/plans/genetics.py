@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles
-from ..operators import crosses, joins, kernel_test, kinship, lm, mixed, prediction, simulate, stats, variants
+from ..operators import crosses, joins, kernel_test, kinship, lm, mixed, prediction, scratch, simulate, stats, variants
+from ..sources import genotypes
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +54,9 @@ def region_scan(spark, sf_dir):
     return variants.in_region(fx.calls(spark, sf_dir), 2, 100_000, 900_000).select("chr", "pos", "sample_id", "dosage")
 
 
-@register("select chr, pos, sample_id, dosage from calls where chr = 3 and pos = 7578")
+@register("select chr, pos, sample_id, dosage from calls where chr = 3 and pos = 7599")
 def point_lookup(spark, sf_dir):
-    return variants.at_site(fx.calls(spark, sf_dir), 3, 7578).select("chr", "pos", "sample_id", "dosage")
+    return variants.at_site(fx.calls(spark, sf_dir), 3, 7599).select("chr", "pos", "sample_id", "dosage")
 
 
 @register("""select chr, pos, least(count(*) filter (where floor(dosage + cast(0.1 as double)) = 0), count(*) filter (where floor(dosage + cast(0.1 as double)) in (1, 2))) as mafc
@@ -223,9 +224,9 @@ def ids_intersect(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).intersect(fx.table(spark, sf_dir, "customer").select("c_custkey"))
 
 
-@register("select c_custkey as id from customer except select o_custkey from orders")
+@register("select c_custkey as id from customer except select o_custkey from orders where o_orderstatus = 'F'")
 def ids_except(spark, sf_dir):
-    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
+    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(fx.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
 
 
 @register("""select a.chr, a.pos, count(*) as n from calls a join models b on a.chr = b.chr and a.pos = b.pos where b.origin = 'EN' group by a.chr, a.pos""")
@@ -310,6 +311,31 @@ def lm_forward_two(spark, sf_dir):
     return lm.forward(fx.calls(spark, sf_dir), fx.phenotypes(spark, sf_dir), 2).select("round", "chr", "pos", "n", r("adj_r2", 5).alias("adj_r2"))
 
 
+# candidates by their own p and frequency, then two rounds with the p of each
+@register(_LM + f""", p0 as (select chr, pos, {_t_p("t2", "n")} as pvalue from s), f0 as (select chr, pos, sum(dosage) / 2 / count(dosage) as f from calls group by chr, pos having count(dosage) > 0),
+d as (select chr, pos from p0 join f0 using (chr, pos) where pvalue <= 300.0::double / (select count(*) from p0) and least(f, 1 - f) >= 0.1),
+b as (select s.chr, s.pos, s.n, s.adj_r2, t2 from s join d using (chr, pos) order by round(adj_r2, 9) desc, chr, pos limit 1),
+h as (select c.sample_id, c.dosage as w from calls c join b using (chr, pos) where c.dosage is not null),
+m as (select c.chr, c.pos, count(*) as n, covar_pop(c.dosage, c.dosage) * count(*) as xx, covar_pop(h.w, h.w) * count(*) as ww, covar_pop(c.dosage, h.w) * count(*) as xw,
+  covar_pop(c.dosage, p.y) * count(*) as xy, covar_pop(h.w, p.y) * count(*) as wy, covar_pop(p.y, p.y) * count(*) as yy
+  from calls c join d using (chr, pos) join pheno p using (sample_id) join h using (sample_id) where c.dosage is not null and p.y is not null
+  and not exists (select 1 from b where b.chr = c.chr and b.pos = c.pos) group by c.chr, c.pos),
+g as (select *, pow(xy - xw * wy / ww, 2) / (xx - xw * xw / ww) as gain, yy - wy * wy / ww as rest from m where {_FREE}),
+t as (select chr, pos, n, 1 - (rest - gain) / yy * (n - 1) / (n - 3) as adj_r2, gain / (rest - gain) * (n - 3) as t2 from g where rest - gain > 1e-9::double * yy order by round(1 - (rest - gain) / yy * (n - 1) / (n - 3), 9) desc, chr, pos limit 1),
+o as (select 1 as round, chr, pos, n, adj_r2, t2, n as m from b union all select 2, chr, pos, n, adj_r2, t2, n - 1 from t)
+select cast(round as integer) as round, chr, pos, n, round(adj_r2, 5) + 0.0 as adj_r2, round({_t_p("t2", "m")}, 6) + 0.0 as pvalue from o""")
+def lm_forward_gated(spark, sf_dir):
+    calls, pheno = fx.calls(spark, sf_dir), fx.phenotypes(spark, sf_dir)
+    found = lm.forward(calls, pheno, 2, lm.candidates(calls, pheno, 300.0, 0.1))
+    return found.select("round", "chr", "pos", "n", r("adj_r2", 5).alias("adj_r2"), r("pvalue").alias("pvalue"))
+
+
+@register()
+def lm_forward_coefficients(spark, sf_dir):
+    calls, pheno = fx.calls(spark, sf_dir), fx.phenotypes(spark, sf_dir)
+    return lm.final_coefficients(calls, pheno, lm.forward(calls, pheno, 2, lm.candidates(calls, pheno, 300.0, 0.1)))
+
+
 @register()
 def lm_forward(spark, sf_dir):
     return lm.forward(fx.calls(spark, sf_dir), fx.phenotypes(spark, sf_dir), 3)
@@ -509,9 +535,12 @@ def ril_gap_fill(spark, sf_dir):
 
 # --- rare variants and genes ---
 
-_BURDEN = """f as (select chr, pos, sum(dosage) / (2.0::double * count(dosage)) as f from calls group by chr, pos having count(dosage) > 0),
-rr as (select c.*, f.f from calls c join f using (chr, pos) where c.dosage is not null and least(f.f, 1 - f.f) < 0.15 and least(f.f, 1 - f.f) > 0),
-b as (select region_id, sample_id, max(case when (case when f < 0.5 then dosage > 0 else dosage < 2 end) then 2.0::double else 0.0::double end) as burden from rr join regions g on g.chr = rr.chr and rr.pos between g."start" and g."end" group by region_id, sample_id) """
+_CODES = """c as (select chr, pos, count(*) filter (where floor(dosage + 0.5) = 0) as n0, count(*) filter (where floor(dosage + 0.5) = 1) as n1, count(*) filter (where floor(dosage + 0.5) = 2) as n2, count(dosage) as n from calls group by chr, pos),
+k as (select chr, pos, n, case when n0 > 0 and n1 > 0 and n2 > 0 then case when 2 * n0 + n1 < 2 * n2 + n1 then 0 else 1 end
+   when n0 > 0 and n1 > 0 then case when n0 <= n1 then 0 else 1 end when n0 > 0 and n2 > 0 then case when n0 <= n2 then 0 else 2 end when n1 > 0 and n2 > 0 then case when n1 <= n2 then 1 else 2 end end as code,
+  case when n0 > 0 and n1 > 0 and n2 > 0 then least(2 * n0 + n1, 2 * n2 + n1) when n0 > 0 and n1 > 0 then case when n0 <= n1 then 2 * n0 else n1 end when n0 > 0 and n2 > 0 then 2 * least(n0, n2) when n1 > 0 and n2 > 0 then case when n1 <= n2 then n1 else 2 * n2 end end as minor from c),"""
+_BURDEN = _CODES + """b as (select region_id, sample_id, max(case when floor(dosage + 0.5) = code and minor < floor(n * 2 * 0.15::double) then 2.0::double else 0.0::double end) as burden
+  from calls join k using (chr, pos) join regions g on g.chr = calls.chr and calls.pos between g."start" and g."end" where dosage is not null group by region_id, sample_id) """
 
 
 @register("q as (select 1), " + _BURDEN + "select region_id, sample_id, burden from b")
@@ -598,6 +627,18 @@ def emmax_identity_kinship(spark, sf_dir):
     return found.select("chr", "pos", "n", r(F.col("coef") + 1e-7, 4).alias("coef"), r(F.col("t2") + 1e-7, 4).alias("t2"))
 
 
+# a packed store is written, and a region of it scanned: a folder and a few row groups
+@register("""q as (select chr, pos, count(*) as n, regr_slope(y, dosage) as coef, regr_r2(y, dosage) as r2, regr_sxx(y, dosage) as sxx from acalls join atrait on ordinal = sample_id where chr = 3 and pos between 50000 and 2000000 group by chr, pos)
+select chr, pos, n, round(coef + 1e-7, 4) + 0.0 as coef, round(r2 / (1 - r2) * (n - 2) + 1e-7, 4) + 0.0 as t2 from q where sxx > 0 and r2 < 1""")
+def packed_region_scan(spark, sf_dir):
+    y = _array_trait(spark, sf_dir)
+    path = scratch.folder(spark, "packed")
+    genotypes.write_packed(fx.variants(spark, sf_dir), [str(i) for i in range(len(y))], path)
+    v, _ = genotypes.read_store(spark, path)
+    found = mixed.emmax(variants.in_region(v, 3, 50_000, 2_000_000), y, np.eye(len(y)))
+    return found.select("chr", "pos", "n", r(F.col("coef") + 1e-7, 4).alias("coef"), r(F.col("t2") + 1e-7, 4).alias("t2"))
+
+
 @register()
 def emmax_regions(spark, sf_dir):
     v = fx.variants(spark, sf_dir)
