@@ -237,9 +237,9 @@ def links(nodes: DataFrame, radius: int = 2, blocks: int = 4, other_radius: int
     """
     if radius >= blocks:
         raise ValueError("more blocks than differing bits are needed")
-    rows = nodes.select("node", "fp", "other", F.explode(block_keys(F.col("fp"), blocks, blocks - radius)).alias("x")).select("node", "fp", "other", "x.t", "x.key")
-    counts = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(counts, ["t", "key"])
+    rows = cut(nodes.select("node", "fp", "other", F.explode(block_keys(F.col("fp"), blocks, blocks - radius)).alias("x")))
+    counts = cut(rows.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = join_groups(rows, counts, "x", "n").select("node", "fp", "other", "x.t", "x.key", "n")
     parts = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("own", own)
@@ -279,9 +279,9 @@ def classes(prints: DataFrame, radius: int = 2, blocks: int = 4, other_radius: i
     prints = prints.withColumn("node", node)
     distinct = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("other").alias("other"), F.count("*").alias("n")))
     roots = components(links(distinct.select("node", "fp", "other"), radius, blocks, other_radius))
-    owners = distinct.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = owners.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = cut(owners.join(least, "root").select("node", "n", "component_id"))
+    owners = cut(distinct.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = cut(owners.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    found = cut(join_groups(owners, least, "root", "members").select("node", "n", "component_id"))
     return join_groups(prints, found, "node", "n").select("doc_id", "fp", "component_id")
 
 
