@@ -158,15 +158,32 @@ def distinct_pieces(docs: DataFrame, pattern: str, most: int = 400_000, longest:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def replayed(pieces: DataFrame, held) -> DataFrame:
-    """piece, n and ids (little-endian unsigned 32-bit) of a table of distinct pieces."""
+def replayed(pieces: DataFrame, held, most_bytes: int = 4 << 20) -> DataFrame:
+    """piece, n and ids (little-endian unsigned 32-bit) of a table of distinct pieces.
+
+    The pieces of a partition are one sequence with one index, replayed once; where they are
+    more than ``most_bytes`` (an index takes some 50 times that), once for each so many."""
 
     def run(batches):
-        replay = None
-        for batch in batches:
+        replay, waiting, size = None, [], 0
+
+        def done():
+            nonlocal replay
             replay = replay or MergeReplay(held.value)
-            counts, flat = replay(pc.cast(batch["piece"], pa.binary()).to_pylist()) if batch.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-            yield pa.RecordBatch.from_arrays([batch["piece"], batch["n"], binary_rows(flat.astype("<u4"), counts * 4)], ["piece", "n", "ids"])
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            counts, flat = replay(pc.cast(table["piece"], pa.binary()).to_pylist())
+            made = table.append_column("ids", binary_rows(flat.astype("<u4"), counts * 4))
+            return made.to_batches(max_chunksize=10_000)
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch["piece"].nbytes
+            if size > most_bytes:
+                yield from done()
+                waiting, size = [], 0
+        if waiting:
+            yield from done()
 
     return pieces.mapInArrow(run, "piece string, n long, ids binary")
 
