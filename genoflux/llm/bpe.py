@@ -188,6 +188,21 @@ def replayed(pieces: DataFrame, held, most_bytes: int = 4 << 20) -> DataFrame:
     return pieces.mapInArrow(run, "piece string, n long, ids binary")
 
 
+def most_frequent(pieces: DataFrame, most: int) -> DataFrame:
+    """The rows of ``pieces`` (n: at least 1) above the least count that leaves at most ``most`` of them.
+
+    Counts are compared in steps of an eighth of a power of two, of which there are at most
+    some 500, so no rows are ordered in one place."""
+    step = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for row in sorted(pieces.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["step"]
+    return pieces.where(F.lit(False) if least is None else step >= least)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, most: int = 300_000, longest: int = 128) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each row's text.
 
@@ -202,8 +217,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, most: int = 300_000,
     held = spark.sparkContext.broadcast(_vocabulary(ranks_path))
     found = cut(replayed(distinct_pieces(docs, pattern, longest=longest), held))
     found = found.where(F.octet_length("piece") <= longest)
-    if found.count() > most:
-        found = found.orderBy(F.desc("n"), "piece").limit(most)
+    found = most_frequent(found, most)
     rows = found.select("piece", "ids").toArrow()
     ids, bounds = flat_binary(rows["ids"])
     common = spark.sparkContext.broadcast((rows["piece"].to_pylist(), np.diff(bounds) // 4, ids.view("<u4").astype(np.uint32)))

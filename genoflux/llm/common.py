@@ -81,10 +81,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
+def kept_table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Like ``cut``, as compressed Parquet, for wide binary rows."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -298,6 +298,16 @@ def test_bpe_is_the_library(spark):
     assert counts.sum() == len(flat)
 
 
+def test_frequent_pieces_are_bounded(spark):
+    counts = [1] * 50 + [2] * 20 + [7, 9, 100, 100, 5000]
+    pieces = spark.createDataFrame([(f"p{i}", n) for i, n in enumerate(counts)], "piece string, n long")
+    for most in (0, 1, 3, 5, 24, 25, 74, 75, 1000):
+        found = sorted((r.n for r in bpe.most_frequent(pieces, most).collect()), reverse=True)
+        assert len(found) <= most and found == sorted(counts, reverse=True)[: len(found)]
+        assert most not in (5, 25, 75) or len(found) == most
+    assert bpe.most_frequent(pieces.where("false"), 9).count() == 0
+
+
 # --- top-k ---
 
 
