@@ -22,7 +22,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     name = "_row"
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    return kept_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return kept_table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", "zstd"), name
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
