@@ -158,7 +158,7 @@ def distinct_pieces(docs: DataFrame, pattern: str, most: int = 400_000, longest:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def replayed(pieces: DataFrame, held, most_bytes: int = 4 << 20) -> DataFrame:
+def replayed(pieces: DataFrame, held, most_bytes: int = 1 << 20) -> DataFrame:
     """piece, n and ids (little-endian unsigned 32-bit) of a table of distinct pieces.
 
     The pieces of a partition are one sequence with one index, replayed once; where they are
