@@ -30,7 +30,8 @@ from .simhash import all_planes, close_pairs, close_to
 WORDS = 4
 #: Bits of a key at least; rows to a bucket of random keys; the share of pairs at 0.8 that
 #: would meet in no table if tables were independent.  They sample the same 256 bits, so more
-#: do: measured 0.002 at 10^5 rows, 0.009 at 10^7 and 0.024 at 10^9.
+#: do: of 12,000 pairs of 180 shingles 0.0013 at the tables of 10^5 rows, 0.0085 at those of 10^7
+#: and 0.0228 at those of 10^9.
 LEAST_BITS, PER_BUCKET, MISSED = 14, 8, 1e-4
 #: Bits of 256; at 0.8 the mean is 39 and the deviation 6, for very short texts 48 and 6.
 RADIUS = 64

@@ -110,3 +110,19 @@ def test_keys_grow_with_the_rows():
     for rows in (10**5, 10**7, 10**9):
         tables, bits = near.tables_for(rows)
         assert rows / 2**bits <= near.PER_BUCKET and tables < 6 * rows**0.25
+
+
+def test_share_of_pairs_that_meet_in_no_table():
+    """Pairs of sets of 180 shingles at exactly 0.8, at the tables of small and large corpora."""
+    rng, shared, own = np.random.default_rng(6), 160, 20
+    bits = []
+    for _ in range(1000):
+        h = rng.integers(0, 1 << 63, shared + 2 * own, dtype=np.uint64)
+        for part in (h[: shared + own], np.concatenate([h[:shared], h[shared + own :]])):
+            counts = [np.unpackbits(near._mixed(part + s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for s in near._STEPS]
+            bits.append(np.packbits(np.array(counts) * 2 > len(part), axis=1, bitorder="little").view(np.uint64).ravel())
+    words = np.array(bits)
+    for rows, most in ((10**5, 0.01), (10**7, 0.03), (10**9, 0.05)):
+        found = near.bucket_numbers(words, *near.tables_for(rows))
+        missed = 1 - (found[::2] == found[1::2]).any(1).mean()
+        assert missed < most
