@@ -85,3 +85,42 @@ def near_best_hits(hits: DataFrame, width: int) -> DataFrame:
         return t.select(["chr", "pos", "pvalue"]).take(pa.array(kept, pa.int64()))
 
     return hits.select("chr", "pos", "pvalue").groupBy("chr").applyInArrow(run, hits.select("chr", "pos", "pvalue").schema)
+
+
+def peaks(hits: DataFrame, width: int) -> DataFrame:
+    """chr, pos, pvalue of the peaks of ``hits``: taken in order of position, a hit nearer than
+    ``width`` to the last peak of its chromosome joins it, and moves it to itself where its p is
+    smaller; another begins a peak.  Of hits at one position the smallest p counts; a null p is
+    no hit.
+
+    A peak depends on those before it, so a chromosome is read in order by one task, which
+    holds no more than the last peak of it; meant for hits below a threshold."""
+    import pyarrow as pa
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            done = []
+            for hit in zip(*(batch[c].to_pylist() for c in ("chr", "pos", "pvalue")), strict=True):
+                if last is None or hit[0] != last[0] or hit[1] - last[1] >= width:
+                    done += [last] if last else []
+                    last = hit
+                elif hit[2] < last[2]:
+                    last = hit
+            if done:
+                yield rows(done)
+        if last:
+            yield rows([last])
+
+    def rows(found):
+        chrs, at, p = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(chrs, pa.int32()), pa.array(at, pa.int64()), pa.array(p, pa.float64())], ["chr", "pos", "pvalue"])
+
+    own = hits.where("pvalue is not null").groupBy(F.col("chr").cast("int").alias("chr"), F.col("pos").cast("long").alias("pos")).agg(F.min("pvalue").cast("double").alias("pvalue"))
+    return own.repartition("chr").sortWithinPartitions("chr", "pos").mapInArrow(run, "chr int, pos long, pvalue double")
+
+
+def peak_regions(found: DataFrame, width: int) -> DataFrame:
+    """region_id (chr:pos), chr, start, end, pvalue: ``width`` positions behind each peak, as
+    windows that are named by their start have it."""
+    return found.select(F.concat_ws(":", F.col("chr").cast("string"), F.col("pos").cast("string")).alias("region_id"), "chr", F.col("pos").alias("start"), (F.col("pos") + width).alias("end"), "pvalue")

@@ -200,20 +200,22 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
 
 
-def gram_tiles(variants: DataFrame, kind: str = "rrm", scale: float = 2.0, tile: int = 256, chunk_bytes: int = 128 << 20) -> DataFrame:
+def gram_tiles(variants: DataFrame, kind: str = "rrm", scale: float = 2.0, tile: int = 256, chunk_bytes: int = 128 << 20, by: str | None = None) -> DataFrame:
     """IBS or RRM matrix of an array store in tiles: i, bj, first, k, the cells of row i in block
     column bj, which begins at column ``first``; from the block of the diagonal on to the right.
+    With ``by`` (a column without nulls), one matrix for each of its values, in that column.
 
     Missing calls are left out pair by pair.  A task holds a chunk of its variants and the two
     sums (of similarities and of known pairs) of one tile at a time; tiles of one place meet by
     a shuffle and are added up row by row as they stream in.  What is shuffled is the matrix once
     for each chunk, and nothing of its size is ever in one place, so the samples are not
-    bounded by what the driver or a task can hold.
+    bounded by what the driver or a task can hold.  Variants with one value of ``by`` are not
+    brought together first, only sorted within their partitions: their sums meet.
     """
     n = variants.select(F.max(F.size("g"))).first()[0] or 0
 
     def run(batches):
-        def tiles(held):
+        def tiles(part, held):
             kernel = _Kernel(np.concatenate(held), kind, scale)
             if not kernel.rows:
                 return
@@ -221,18 +223,20 @@ def gram_tiles(variants: DataFrame, kind: str = "rrm", scale: float = 2.0, tile:
                 for b in range(a, n, tile):
                     top, both = kernel.between(slice(a, a + tile), slice(b, b + tile))
                     rows, size = len(top), pa.array(np.full(len(top), kernel.rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + rows)), pa.array(np.full(rows, b // tile, np.int32)), size, _lists(top), pa.nulls(rows, pa.list_(pa.float64())) if both is None else _lists(both)], ["i", "bj", "n", "top", "both"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * rows, pa.string()), pa.array(np.arange(a, a + rows)), pa.array(np.full(rows, b // tile, np.int32)), size, _lists(top), pa.nulls(rows, pa.list_(pa.float64())) if both is None else _lists(both)], ["part", "i", "bj", "n", "top", "both"])
 
-        held, size = [], 0
+        held, size, part = [], 0, None
         for batch in batches:
             g = np.asarray(batch["g"].flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, n)
-            held.append(g)
-            size += g.nbytes
-            if size > chunk_bytes:
-                yield from tiles(held)
-                held, size = [], 0
+            for own, first, last in _runs(batch["part"]):
+                if size and (own != part or size > chunk_bytes):
+                    yield from tiles(part, held)
+                    held, size = [], 0
+                part = own
+                held.append(g[first:last])
+                size += held[-1].nbytes
         if size:
-            yield from tiles(held)
+            yield from tiles(part, held)
 
     def add(batches):
         """Adds up rows of the same place, which follow each other."""
@@ -241,32 +245,54 @@ def gram_tiles(variants: DataFrame, kind: str = "rrm", scale: float = 2.0, tile:
         def row():
             with np.errstate(all="ignore"):
                 k = np.where(both > 0, top / both, 0)
-            i, bj = place
+            part, i, bj = place
             if kind == "ibs" and bj * tile <= i < bj * tile + len(k):
                 k[i - bj * tile] = 1
-            return pa.RecordBatch.from_arrays([pa.array([i]), pa.array([bj], pa.int32()), pa.array([bj * tile]), _lists(k[None, :])], ["i", "bj", "first", "k"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.string()), pa.array([i]), pa.array([bj], pa.int32()), pa.array([bj * tile]), _lists(k[None, :])], ["part", "i", "bj", "first", "k"])
 
         for batch in batches:
             i, bj, n_rows = (batch[c].to_numpy() for c in ("i", "bj", "n"))
+            parts = batch["part"].to_pylist()
             at, flat = batch["top"].offsets.to_numpy(), batch["top"].values.to_numpy()
             known_at, known = batch["both"].offsets.to_numpy(), batch["both"].values.to_numpy()
             done = []
             for r in range(batch.num_rows):
                 own = flat[at[r] : at[r + 1]]
                 pairs = known[known_at[r] : known_at[r + 1]] if known_at[r + 1] > known_at[r] else float(n_rows[r])
-                if place == (i[r], bj[r]):
+                if place == (parts[r], i[r], bj[r]):
                     top, both = top + own, both + pairs
                     continue
                 if place is not None:
                     done.append(row())
-                place, top, both = (int(i[r]), int(bj[r])), own.copy(), np.zeros(len(own)) + pairs
+                place, top, both = (parts[r], int(i[r]), int(bj[r])), own.copy(), np.zeros(len(own)) + pairs
             if done:
                 yield from pa.Table.from_batches(done).combine_chunks().to_batches()
         if place is not None:
             yield row()
 
-    parts = variants.select("g").mapInArrow(run, "i long, bj int, n long, top array<double>, both array<double>")
-    return parts.repartition("i", "bj").sortWithinPartitions("i", "bj").mapInArrow(add, "i long, bj int, first long, k array<double>")
+    rows = variants.select(F.lit("").alias("part") if by is None else F.col(by).cast("string").alias("part"), "g")
+    parts = (rows if by is None else rows.sortWithinPartitions("part")).mapInArrow(run, "part string, i long, bj int, n long, top array<double>, both array<double>")
+    place = ["i", "bj"] if by is None else ["part", "i", "bj"]
+    whole = parts.repartition(*place).sortWithinPartitions(*place).mapInArrow(add, "part string, i long, bj int, first long, k array<double>")
+    return whole.drop("part") if by is None else whole.withColumnRenamed("part", by)
+
+
+def _runs(parts: pa.Array) -> list[tuple[str, int, int]]:
+    """Value, first and end of each run of equal values."""
+    if not len(parts):
+        return []
+    starts = [0, *(np.flatnonzero(pc.not_equal(parts[1:], parts[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()]
+    return [(parts[a].as_py(), a, b) for a, b in zip(starts, [*starts[1:], len(parts)], strict=True)]
+
+
+def regional_tiles(variants: DataFrame, regions: DataFrame, kind: str = "rrm", scale: float = 2.0, tile: int = 256) -> DataFrame:
+    """The matrix of each closed region (region_id, chr, start, end) of an array store, as
+    ``gram_tiles`` gives it, in one job: region_id, i, bj, first, k.  A variant in several
+    regions counts in each; a region without variants has no rows."""
+    from .joins import in_regions
+
+    rows = in_regions(variants.select("chr", "pos", "g"), regions)
+    return gram_tiles(rows.select("region_id", "g"), kind, scale, tile, by="region_id")
 
 
 def _diagonal():
@@ -282,11 +308,11 @@ def rescaled_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.join(F.broadcast(t)).select("i", "bj", "first", F.transform("k", lambda x: x * factor).alias("k"))  # one row
 
 
-def tile_cells(tiles: DataFrame) -> DataFrame:
-    """i, j, k of the full square."""
-    cells = tiles.select("i", _diagonal().isNull().alias("apart"), "first", F.posexplode("k").alias("c", "k")).select("i", (F.col("first") + F.col("c")).alias("j"), "apart", "k")
+def tile_cells(tiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, k of the full square (of each value of ``by``)."""
+    cells = tiles.select(*by, "i", _diagonal().isNull().alias("apart"), "first", F.posexplode("k").alias("c", "k")).select(*by, "i", (F.col("first") + F.col("c")).alias("j"), "apart", "k")
     both = F.explode(F.when(F.col("apart"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j"))))
-    return cells.select(both.alias("x"), "k").select("x.i", "x.j", "k")
+    return cells.select(*by, both.alias("x"), "k").select(*by, "x.i", "x.j", "k")
 
 
 def gram(variants: DataFrame, kind: str = "rrm", scale: float = 2.0) -> np.ndarray:

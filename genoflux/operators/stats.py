@@ -172,6 +172,50 @@ def clusters(rows: DataFrame, features: str, ks: list[int], seed: int = 1) -> Da
     return rows.sparkSession.createDataFrame(out, "k int, dbi double")
 
 
+def _nearest(centres: str, features: str) -> Column:
+    """at, gap: place and distance of the nearest of an array of centres; ties to the first."""
+    gap = lambda c: F.sqrt(F.aggregate(F.zip_with(c, features, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(gap(c).alias("gap"), i.alias("at"))))
+
+
+def representatives(rows: DataFrame, id_: str, features: str, centres: list[list[float]], least: int = 1) -> DataFrame:
+    """cluster (place of its centre), representative (id of the nearest member, ties to the
+    smallest id), gap (its distance), size.
+
+    Rows belong to the nearest centre.  A centre with fewer than ``least`` rows is dissolved, and
+    its rows go to the nearest of the others; where none is left the result is empty.  Rows
+    without features take no part.  The centres go to the tasks as one row; nearest members
+    are found by partial minima, so the shuffle is of a row a cluster and task."""
+    spark = rows.sparkSession
+    own = rows.where(F.col(features).isNotNull()).select(F.col(id_).alias("_id"), F.col(features).alias("_x"))
+
+    def assigned(kept: list[int]) -> DataFrame:
+        table = spark.createDataFrame([([list(map(float, centres[i])) for i in kept], kept)], "_c array<array<double>>, _kept array<int>")
+        near = own.join(F.broadcast(table)).withColumn("_n", _nearest("_c", "_x"))  # one row, of the given centres
+        return near.select("_id", F.col("_n.gap").alias("gap"), F.get("_kept", F.col("_n.at")).alias("cluster"))
+
+    every = list(range(len(centres)))
+    if not every:
+        return spark.createDataFrame([], f"cluster int, representative {own.schema['_id'].dataType.simpleString()}, gap double, size long")
+    sizes = {r["cluster"]: r["count"] for r in assigned(every).groupBy("cluster").count().collect()}  # a row a centre
+    kept = [i for i in every if sizes.get(i, 0) >= least]
+    found = assigned(kept or every).groupBy("cluster").agg(F.min(F.struct("gap", "_id")).alias("m"), F.count("*").alias("size"))
+    return found.where(F.lit(bool(kept))).select("cluster", F.col("m._id").alias("representative"), "m.gap", "size")
+
+
+def best_clusters(rows: DataFrame, id_: str, features: str, ks: list[int], least: int = 1, seed: int = 1) -> DataFrame:
+    """k, dbi and ``representatives`` of the clustering with the smallest Davies-Bouldin index
+    among ``ks`` (ties to the fewest clusters)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    own = rows.where(F.col(features).isNotNull())
+    best = clusters(own, features, ks, seed).orderBy("dbi", "k").first()
+    model = KMeans(k=best["k"], seed=seed, featuresCol="f", predictionCol="c").fit(own.select(array_to_vector(features).alias("f")))
+    found = representatives(own, id_, features, [[float(v) for v in c] for c in model.clusterCenters()], least)
+    return found.select(F.lit(best["k"]).alias("k"), F.lit(best["dbi"]).alias("dbi"), *found.columns)
+
+
 def best_transform(rows: DataFrame, value: str) -> DataFrame:
     """``rows`` with transformed: of log, exp, sqrt, square and the value itself, the one
     closest to normal (smallest distance of ``ks_normal``); a shift makes values

@@ -501,6 +501,26 @@ def cluster_choice(spark, sf_dir):
     return stats.clusters(rows, "x", [2, 3, 4]).select("k", r("dbi", 4).alias("dbi"))
 
 
+# representatives of the clusters around the mean vectors of labels; clusters below 30 rows are dissolved
+@register("""q as (select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings),
+m as (select label, i, avg(x[i]) as v from q, unnest(range(1, len(x) + 1)) as u(i) group by label, i), c as (select label, list(v order by i) as c from m group by label),
+d as (select vec_id, c.label, sqrt(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))) as gap from q, c),
+f as (select vec_id, arg_min(label, (gap, label)) as label from d group by vec_id), k as (select label from f group by label having count(*) >= 30),
+g as (select vec_id, arg_min(label, (gap, label)) as cluster, min(gap) as gap from d where label in (from k) group by vec_id)
+select cast(cluster as int) as cluster, arg_min(vec_id, (gap, vec_id)) as representative, round(min(gap), 6) as gap, count(*) as size from g group by 1""")
+def cluster_representatives(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    means = rows.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))
+    centres = [[x["v"] for x in row["c"]] for row in means.orderBy("label").collect()]  # a row a label
+    return stats.representatives(rows, "vec_id", "x", centres, 30).select("cluster", "representative", r("gap").alias("gap"), "size")
+
+
+@register()
+def cluster_choice_representatives(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return stats.best_clusters(rows, "vec_id", "x", [2, 3, 4], 10).select("k", r("dbi", 4).alias("dbi"), "cluster", "representative", r("gap", 4).alias("gap"), "size")
+
+
 # --- axes, crosses, posterior ---
 
 
@@ -937,6 +957,81 @@ def window_ibs(spark, sf_dir):
     return kinship.local_ibs(fx.calls(spark, sf_dir), 200_000).select("chr", "start", "i", "j", r("k", 8).alias("k"), "n")
 
 
+_HITS = f"""s as (select chr, pos, count(*) as n, regr_r2(y, dosage) as r2, regr_sxx(y, dosage) as sxx from acalls join atrait on ordinal = sample_id group by chr, pos),
+t as (select chr, pos, n, r2 / (1 - r2) * (n - 2) as t2 from s where sxx > 0 and r2 < 1), h as (select chr, pos, {_t_p("t2", "n")} as pvalue from t),
+w as (select *, row_number() over (partition by chr order by pos) as k from h where pvalue < 0.2),
+walk as (with recursive x as (select chr, k, pos, pvalue, 1 as peak from w where k = 1
+  union all select w.chr, w.k, case when w.pos - x.pos >= 20000 or w.pvalue < x.pvalue then w.pos else x.pos end, case when w.pos - x.pos >= 20000 or w.pvalue < x.pvalue then w.pvalue else x.pvalue end,
+    case when w.pos - x.pos >= 20000 then x.peak + 1 else x.peak end from x join w on w.chr = x.chr and w.k = x.k + 1) select * from x),
+peaks as (select chr, arg_max(pos, k) as pos, arg_max(pvalue, k) as pvalue from walk group by chr, peak)"""
+
+
+def _peaks(spark, sf_dir):
+    calls = fx.array_calls(spark, sf_dir).join(F.broadcast(fx.array_trait(spark, sf_dir)), F.col("ordinal") == F.col("sample_id"))  # the sample axis
+    return joins.peaks(lm.with_p(lm.scan(calls)).where("pvalue < 0.2"), 20_000)
+
+
+@register("q as (select 1)," + _HITS + "select chr, pos, round(pvalue, 6) as pvalue from peaks")
+def scan_peaks(spark, sf_dir):
+    return _peaks(spark, sf_dir).select("chr", "pos", r("pvalue").alias("pvalue"))
+
+
+@register("q as (select 1)," + _HITS + "," + _RRM.format(c="acalls") + """select concat(p.chr, ':', p.pos) as region_id, a.sample_id as i, b.sample_id as j, round(avg(a.z * b.z), 6) + 0.0 as k from z a join z b on a.chr = b.chr and a.pos = b.pos
+join peaks p on p.chr = a.chr and a.pos between p.pos and p.pos + 15000 group by 1, 2, 3""")
+def peak_kinships(spark, sf_dir):
+    regions = joins.peak_regions(_peaks(spark, sf_dir), 15_000)
+    tiles = kinship.regional_tiles(fx.variants(spark, sf_dir), regions)
+    return kinship.tile_cells(tiles, ("region_id",)).select("region_id", "i", "j", r("k").alias("k"))
+
+
+# two stores, written and read: the second packed, of other samples in another order; kinships of those that both and the trait have
+@register("""q as (select cast(sample_id as varchar) as s, chr, pos, dosage from acalls where sample_id % 5 <> 1 and sample_id % 3 <> 0),
+a as (select 'first' as store, chr, pos, s, dosage from q where chr <= 5 union all select 'second', chr, pos, s, dosage from q where chr > 5)
+select x.store, x.s as i, y.s as j, round(avg(1 - abs(x.dosage - y.dosage) / 2.0::double), 8) + 0.0 as k from a x join a y on x.store = y.store and x.chr = y.chr and x.pos = y.pos group by 1, 2, 3""")
+def two_stores_matched(spark, sf_dir):
+    v, trait = fx.variants(spark, sf_dir), fx.array_trait(spark, sf_dir)
+    n = trait.count()
+    names, path = [str(i) for i in range(n)], scratch.folder(spark, "stores")
+    genotypes.write_store(v.where("chr <= 5"), names, f"{path}/first")
+    turned = [s for s in reversed(names) if int(s) % 3]
+    genotypes.write_packed(genotypes.subset(v.where("chr > 5"), names, turned), turned, f"{path}/second")
+    known = trait.where("ordinal % 5 <> 1").select(F.col("ordinal").cast("string").alias("sample_id"), "y")
+    first, second, samples = genotypes.aligned(genotypes.read_store(spark, f"{path}/first"), genotypes.read_store(spark, f"{path}/second"), known)
+    cells = [kinship.tile_cells(kinship.gram_tiles(x, "ibs")).withColumn("store", F.lit(name)) for name, x in (("first", first), ("second", second))]
+    ids = F.broadcast(samples.select("ordinal", "sample_id"))  # the sample axis
+    out = cells[0].unionByName(cells[1])
+    for side in ("i", "j"):
+        out = out.join(ids.withColumnsRenamed({"ordinal": side, "sample_id": f"{side}_id"}), side)
+    return out.select("store", F.col("i_id").alias("i"), F.col("j_id").alias("j"), r("k", 8).alias("k"))
+
+
+# slices of all gene models, written as text by gene, subset of origins and kind, and read back
+_SLICES = """m as (select concat('G', cast(vec_id // 25 as varchar)) as gene, label + 1 as chr, vec_id * 1000 + 1 as pos, case when vec_id % 4 < 3 then concat('rs', cast(vec_id as varchar)) else concat('rs_', cast(vec_id * 1000 + 1 as varchar)) end as rsid,
+  cast(vec_id % 8 as double) / 8 as weight, vec_id % 3 as o from embeddings union all select 'G0', 99, 5, 'rs_5', 0.0, 0),
+n as (select gene, 'EN' as subset, chr, pos, rsid, weight from m where o = 0 union all select gene, 'eQTL', chr, pos, rsid, weight from m where o = 1 union all select gene, 'both', chr, pos, rsid, weight from m where o < 2)"""
+
+
+def _slices(spark, sf_dir):
+    k = F.col("vec_id")
+    rows = fx.table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("G"), F.floor(k / 25).cast("string")).alias("gene"), (F.col("label") + 1).cast("int").alias("chr"), (k * 1000 + 1).cast("long").alias("pos"),
+        F.when(k % 4 < 3, F.concat(F.lit("rs"), k.cast("string"))).alias("rsid"), ((k % 8).cast("double") / 8).alias("weight"), F.get(F.array(F.lit("EN"), F.lit("eQTL"), F.lit("NULL")), (k % 3).cast("int")).alias("origin"))
+    absent = spark.createDataFrame([("G0", 99, 5, None, None, "EN")], rows.schema)
+    path = scratch.folder(spark, "slices")
+    return path, genotypes.write_slices(fx.variants(spark, sf_dir), rows.unionByName(absent), path, {"EN": ["EN"], "eQTL": ["eQTL"], "both": ["EN", "eQTL"]})
+
+
+@register("q as (select 1)," + _SLICES + """, g as (select chr, pos, string_agg(case dosage when 0 then 'A A' when 1 then 'A T' else 'T T' end, ' ' order by sample_id) as g from acalls group by chr, pos)
+select gene, subset, kind, case kind when 'tped' then concat_ws(' ', chr, rsid, '0', pos, g) when 'setid' then concat(gene, chr(9), rsid) else concat(rsid, chr(9), cast(weight as varchar)) end as value from n join g using (chr, pos), unnest(['tped', 'setid', 'weights']) as u(kind)""")
+def model_slices(spark, sf_dir):
+    return genotypes.read_slices(spark, _slices(spark, sf_dir)[0])
+
+
+@register("q as (select 1)," + _SLICES + "select gene, subset, count(*) as n_sites, count(*) filter (where chr <> 99) as n_found from n group by 1, 2")
+def model_manifest(spark, sf_dir):
+    return _slices(spark, sf_dir)[1]
+
+
 @register()
 def emmax_forward(spark, sf_dir):
     v = fx.variants(spark, sf_dir)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.alleles import MISSING, chromosome, import_minor_count, packed, to_iupac
 
@@ -95,6 +96,34 @@ def subset(variants: DataFrame, samples: list[str], chosen: list[str]) -> DataFr
     return variants.withColumn("g", F.transform(at, lambda i: F.get("g", i)))
 
 
+def aligned(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame], trait: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two stores (variants and samples each, packed or not) and a trait (sample_id and others),
+    brought to the samples that all three have: both stores' variants with g in a common
+    order, and samples with the trait (ordinal and the trait's columns).
+
+    The order is that of the first store.  A sample_id that repeats in a store counts by its
+    first ordinal; one that repeats in the trait keeps a row of each, with one ordinal; null
+    ids are no ids.  Only places go to the tasks, one row a store (the sample axis); genotypes
+    are permuted where they are scanned, so no variant is shuffled."""
+
+    def own(samples: DataFrame) -> DataFrame:
+        return samples.where("sample_id is not null").groupBy("sample_id").agg(F.min("ordinal").alias("ordinal"))
+
+    a, b = own(first[1]).withColumnRenamed("ordinal", "at_a"), own(second[1]).withColumnRenamed("ordinal", "at_b")
+    common = a.join(b, "sample_id").join(trait.select("sample_id").distinct(), "sample_id", "left_semi")
+    places = common.agg(F.array_sort(F.collect_list(F.struct("at_a", "at_b", "sample_id"))).alias("s"))
+
+    def permuted(store: tuple[DataFrame, DataFrame], at: str) -> DataFrame:
+        variants = store[0]
+        if "packed" in variants.columns:
+            variants = unpack(variants, store[1].count())
+        table = places.select(F.transform("s", lambda x: x[at]).alias("_at"))
+        return variants.join(F.broadcast(table)).withColumn("g", F.transform("_at", lambda i: F.get("g", i))).drop("_at")  # one row, of places
+
+    ordered = places.select(F.posexplode("s").alias("ordinal", "x")).select("ordinal", "x.sample_id")
+    return permuted(first, "at_a"), permuted(second, "at_b"), trait.drop("ordinal").join(ordered, "sample_id")
+
+
 def to_calls(variants: DataFrame, samples: DataFrame) -> DataFrame:
     """chr, pos, sample_id, dosage."""
     rows = variants.select("chr", "pos", F.posexplode("g").alias("ordinal", "dosage"))
@@ -132,10 +161,66 @@ def read_tped(spark: SparkSession, tped: str, tfam: str) -> tuple[DataFrame, Dat
     return rows.where("chr between 1 and 22 and pos > 0"), samples
 
 
+def _letters(x: Column) -> Column:
+    """The pair of letters of a call, by the row's ref and alt."""
+    pair = lambda a, b: F.concat_ws(" ", a, b)
+    return F.when(x.isNull(), F.lit("0 0")).when(x == 0, pair("ref", "ref")).when(x == 1, pair("ref", "alt")).otherwise(pair("alt", "alt"))
+
+
 def plink_lines(variants: DataFrame, gene: str) -> dict[str, DataFrame]:
     """Text lines of a gene's slice (columns chr, pos, rsid, ref, alt, weight, g of 0/1/2):
     tped, setid and weights.  0: ref ref, 1: ref alt, 2: alt alt, null: 0 0."""
-    pair = lambda x: F.when(x.isNull(), F.lit("0 0")).when(x == 0, F.concat_ws(" ", "ref", "ref")).when(x == 1, F.concat_ws(" ", "ref", "alt")).otherwise(F.concat_ws(" ", "alt", "alt"))
-    tped = F.concat_ws(" ", F.col("chr").cast("string"), "rsid", F.lit("0"), F.col("pos").cast("string"), F.array_join(F.transform("g", pair), " "))
+    tped = F.concat_ws(" ", F.col("chr").cast("string"), "rsid", F.lit("0"), F.col("pos").cast("string"), F.array_join(F.transform("g", _letters), " "))
     rows = variants.orderBy("chr", "pos")
     return {"tped": rows.select(tped.alias("value")), "setid": rows.select(F.concat_ws("\t", F.lit(gene), "rsid").alias("value")), "weights": rows.select(F.concat_ws("\t", "rsid", F.col("weight").cast("string")).alias("value"))}
+
+
+#: Parts of the text of a gene's slice.
+SLICE_KINDS = ("tped", "setid", "weights")
+
+
+def write_slices(variants: DataFrame, models: DataFrame, path: str, subsets: dict[str, list[str]] | None = None, parts: int | None = None) -> DataFrame:
+    """Slices of all gene models in one pass over a store: text folders
+    ``path/text/gene=<gene>/subset=<subset>/kind=<tped, setid or weights>``, and the manifest,
+    which is returned and stands in ``path/manifest``: gene, subset, n_sites (of the model),
+    n_found (written).
+
+    ``variants`` has chr, pos and g, of 0/1/2 (null: missing) or of letter pairs ("A G") that
+    are passed through; ``models`` gene, chr, pos and any of origin, rsid, ref, alt, weight
+    (nulls and absent columns: rs_<pos>, A, T, 0.0).  ``subsets`` names the origins of each
+    set of files, one site in as many sets as list its origin; without it there is one, all.
+    A site that a model lists twice is written twice.  Sites the store lacks are only counted.
+
+    Models meet the store by chr and pos; text lines are ranged by gene, subset, kind and position, so a
+    large gene spreads over tasks, and its files in order of their names are in order of
+    position.  The manifest counts the lines written, the store is not read again."""
+    plain = {"rsid": F.concat(F.lit("rs_"), F.col("pos").cast("string")), "ref": F.lit("A"), "alt": F.lit("T"), "weight": F.lit(0.0)}
+    own = models.withColumns({c: F.coalesce(c, d) if c in models.columns else d for c, d in plain.items()})
+    chosen = F.array(*[F.when(F.col("origin").isin(o), F.lit(n)) for n, o in subsets.items()]) if subsets else F.array(F.lit("all"))
+    own = own.select("gene", F.explode(F.array_compact(chosen)).alias("subset"), "chr", "pos", *plain)
+    letters = isinstance(variants.schema["g"].dataType.elementType, T.StringType)
+    pair = lambda x: F.coalesce(x, F.lit("0 0")) if letters else _letters(x)
+    tped = F.concat_ws(" ", F.col("chr").cast("string"), "rsid", F.lit("0"), F.col("pos").cast("string"), F.array_join(F.transform("g", pair), " "))
+    lines = {"tped": tped, "setid": F.concat_ws("\t", "gene", "rsid"), "weights": F.concat_ws("\t", "rsid", F.col("weight").cast("string"))}
+    found = variants.select("chr", "pos", "g").join(own, ["chr", "pos"])
+    rows = found.select("gene", "subset", "pos", "chr", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), lines[k].alias("value")) for k in SLICE_KINDS])).alias("x")).select("gene", "subset", "x.kind", "chr", "pos", "x.value")
+    order = ["gene", "subset", "kind", "chr", "pos", "value"]
+    ranged = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    ranged.select("gene", "subset", "kind", "value").write.partitionBy("gene", "subset", "kind").text(f"{path}/text")
+    written = read_slices(variants.sparkSession, path).where("kind = 'setid'").groupBy("gene", "subset").agg(F.count("*").alias("n_found"))
+    manifest = own.groupBy("gene", "subset").agg(F.count("*").alias("n_sites")).join(written, ["gene", "subset"], "left")
+    manifest.select("gene", "subset", "n_sites", F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found")).write.parquet(f"{path}/manifest")
+    return variants.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def read_slices(spark: SparkSession, path: str) -> DataFrame:
+    """gene, subset, kind, value: all lines that ``write_slices`` wrote."""
+    return spark.read.schema("value string, gene string, subset string, kind string").text(f"{path}/text").select("gene", "subset", "kind", "value")
+
+
+def write_tfam(samples: DataFrame, path: str, trait: DataFrame | None = None) -> None:
+    """The samples (ordinal, sample_id) as tfam lines in order, with a trait's value (sample_id,
+    value; null or none: -9)."""
+    own = samples if trait is None else samples.join(trait.select("sample_id", "value"), "sample_id", "left")
+    value = F.lit("-9") if trait is None else F.coalesce(F.col("value").cast("string"), F.lit("-9"))
+    own.orderBy("ordinal").select(F.concat_ws(" ", "sample_id", "sample_id", F.lit("0"), F.lit("0"), F.lit("0"), value).alias("value")).write.text(path)
