@@ -8,6 +8,11 @@ fastlmm    scan with a refitted variance ratio
 heritability   of each trait
 local      variance components of half-overlapping windows
 genes      kernel test of all gene models
+regions    mixed-model scan within the regions of a file
+burden     mixed-model scan of the burdens of rare variants of such regions
+stepwise   forward selection under the mixed model
+peaks      peaks of a scan's results, and the RRM matrix of the region behind each
+slices     plink text of all gene models, with a manifest
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import kernel_test, kinship, lm, mixed, variants
+from .operators import joins, kernel_test, kinship, lm, mixed, variants
 from .sources import genotypes, models, tables
 
 
@@ -54,6 +59,18 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         dense = kinship.tile_cells(kinship.rescaled_tiles(kinship.gram_tiles(v, args.kind)))
         a, b = samples.select(F.col("ordinal").alias("i"), F.col("sample_id").alias("x")), samples.select(F.col("ordinal").alias("j"), F.col("sample_id").alias("y"))
         return tables.write_kinship(dense.join(a, "i").join(b, "j").select(F.col("x").alias("i"), F.col("y").alias("j"), "k"), args.out)
+    if "packed" in v.columns and args.command in ("peaks", "slices"):
+        v = genotypes.unpack(v, samples.count())
+    if args.command == "peaks":
+        found = joins.peak_regions(joins.peaks(tables.read_results(spark, args.results, args.p), args.peak), args.width)
+        found.orderBy("chr", "start").write.csv(f"{args.out}/peaks", header=True)
+        cells = kinship.tile_cells(kinship.regional_tiles(v, found), ("region_id",))
+        return cells.orderBy("region_id", "i", "j").write.csv(f"{args.out}/kinships", header=True)
+    if args.command == "slices":
+        own = models.read_models(spark, args.models).withColumn("chr", F.regexp_replace("chr", "^chr", "").try_cast("int"))
+        genotypes.write_tfam(samples, f"{args.out}/tfam")
+        genotypes.write_slices(v, own, args.out)
+        return None
     k = _matrix(spark, args.kinship, samples) if getattr(args, "kinship", None) else None
     for name, y in _traits(spark, args, samples):
         out = f"{args.out}/{name}"
@@ -72,6 +89,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             mixed.heritability(trait, k).write.csv(out, header=True)
         elif args.command == "local":
             mixed.local_components(variants.in_tiling_windows(v, args.width), y, k, ["chr", "start"]).orderBy("chr", "start").write.csv(out, header=True)
+        elif args.command == "regions":
+            mixed.emmax_regions(v, tables.read_regions(spark, args.regions), y, k, args.p).orderBy("region_id", "chr", "pos").write.csv(out, header=True)
+        elif args.command == "burden":
+            mixed.burden_emmax(v, tables.read_regions(spark, args.regions), y, k, args.rare).orderBy("chr", "start", "region_id").write.csv(out, header=True)
+        elif args.command == "stepwise":
+            mixed.forward_mixed(v, y, k, args.rounds, args.p).orderBy("round").write.csv(out, header=True)
         elif args.command == "genes":
             sites = models.read_models(spark, args.models).withColumn("chr", F.regexp_replace("chr", "^chr", "").try_cast("int"))
             kernel_test.gene_p(v.join(sites.select("gene", "chr", "pos", "weight"), ["chr", "pos"]), y).orderBy("pvalue").write.csv(out, header=True)
@@ -80,7 +103,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="genoflux", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("import", "kinship", "lm", "emmax", "fastlmm", "heritability", "local", "genes"):
+    for name in ("import", "kinship", "lm", "emmax", "fastlmm", "heritability", "local", "genes", "regions", "burden", "stepwise", "peaks", "slices"):
         p = commands.add_parser(name)
         p.add_argument("--out", required=True, help="a new folder")
         if name == "import":
@@ -90,11 +113,27 @@ def parser() -> argparse.ArgumentParser:
         if name == "kinship":
             p.add_argument("--kind", choices=("ibs", "rrm"), default="rrm")
             continue
+        if name == "peaks":
+            p.add_argument("--results", required=True, help="of a scan")
+            p.add_argument("--p", type=float, required=True, help="a hit if p < this")
+            p.add_argument("--peak", type=int, required=True, help="hits nearer than this share a peak")
+            p.add_argument("--width", type=int, required=True, help="of the region behind a peak")
+            continue
+        if name == "slices":
+            p.add_argument("--models", required=True)
+            continue
         p.add_argument("--phenotypes", required=True)
         p.add_argument("--min-samples", type=int, default=100)
         if name not in ("lm", "genes"):
             p.add_argument("--kinship", required=True)
-        if name in ("lm", "emmax", "fastlmm"):
+        if name in ("regions", "burden"):
+            p.add_argument("--regions", required=True)
+        if name == "burden":
+            p.add_argument("--rare", type=float, required=True, help="largest minor frequency of a rare variant")
+        if name == "stepwise":
+            p.add_argument("--rounds", type=int, default=5)
+            p.add_argument("--p", type=float, default=1.0, help="of a variant that may enter")
+        if name in ("lm", "emmax", "fastlmm", "regions"):
             p.add_argument("--p", type=float, default=1000.0, help="kept if p <= this / number of variants")
         if name == "local":
             p.add_argument("--width", type=int, required=True)

@@ -34,3 +34,22 @@ def test_from_files_to_results(spark, tmp_path):
     call("genes", *common, "--models", mod, "--out", *at("genes"))
     genes = spark.read.csv(str(tmp_path / "genes" / "height"), header=True, inferSchema=True).collect()
     assert {r.gene: r.pvalue < 0.001 for r in genes} == {"g1": True, "g2": False}
+    (tmp_path / "r.tsv").write_text("r1\t1\t1901\t2301\nr2\t2\t101\t501\n")
+    call("regions", *common, "--kinship", kin, "--regions", *at("r.tsv"), "--out", *at("reg"))
+    found = spark.read.csv(str(tmp_path / "reg" / "height"), header=True, inferSchema=True).collect()
+    assert {r.region_id for r in found} == {"r1", "r2"}
+    assert sorted((r.chr, r.pos) for r in found) == [(1, 2001), (1, 2201), (2, 101), (2, 301), (2, 501)]
+    assert min(found, key=lambda r: r.pvalue).pos == 2001
+    call("burden", *common, "--kinship", kin, "--regions", *at("r.tsv"), "--rare", "0.5", "--out", *at("bur"))
+    assert {r.region_id for r in spark.read.csv(str(tmp_path / "bur" / "height"), header=True).collect()} <= {"r1", "r2"}
+    call("stepwise", *common, "--kinship", kin, "--rounds", "2", "--out", *at("step"))
+    rounds = spark.read.csv(str(tmp_path / "step" / "height"), header=True, inferSchema=True).orderBy("round").collect()
+    assert [r["round"] for r in rounds] == [1, 2] and rounds[0].pos == 2001
+    call("peaks", "--store", store, "--results", *at("lm/height"), "--p", "1e-6", "--peak", "500", "--width", "1000", "--out", *at("peaks"))
+    assert [r.region_id for r in spark.read.csv(str(tmp_path / "peaks" / "peaks"), header=True).collect()] == ["1:2001"]
+    cells = spark.read.csv(str(tmp_path / "peaks" / "kinships"), header=True, inferSchema=True)
+    z = (g[20:31:2] - g[20:31:2].mean(1, keepdims=True)) / g[20:31:2].std(1, ddof=1, keepdims=True)
+    assert cells.count() == 2500 and cells.where("i = 3 and j = 7").first().k == pytest.approx((z.T @ z)[3, 7] / 6, abs=1e-9)
+    call("slices", "--store", store, "--models", mod, "--out", *at("slices"))
+    lines = spark.read.text(str(tmp_path / "slices" / "text" / "gene=g1" / "subset=all" / "kind=weights")).collect()
+    assert sorted(r.value for r in lines) == ["rs1\t0.5", "rs2\t0.5"]
