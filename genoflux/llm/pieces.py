@@ -129,14 +129,18 @@ class PieceTable:
         if len(self.index) > self.most or self.points > self.most_points:
             self._clear()
         old = len(self.index)
-        numbers = [self._numbers(texts) for texts in groups]
-        if len(self.index) > old:
-            new = list(self.index)[old:]
-            self.points += sum(map(len, new))
-            counts, flat = self.encode(new)
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, flat])
-            self.starts = np.cumsum(self.counts) - self.counts
+        try:
+            numbers = [self._numbers(texts) for texts in groups]
+            if len(self.index) > old:
+                new = list(self.index)[old:]
+                self.points += sum(map(len, new))
+                counts, flat = self.encode(new)
+                self.counts = np.concatenate([self.counts, counts])
+                self.flat = np.concatenate([self.flat, flat])
+                self.starts = np.cumsum(self.counts) - self.counts
+        except BaseException:
+            self._clear()  # numbers without ids must not outlive an error
+            raise
         for where, sizes in numbers:
             counts = self.counts[where]
             ends = np.cumsum(counts)

@@ -22,6 +22,7 @@ import json
 import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,16 @@ class AddedTokens:
         return flat, np.add.reduceat(sizes, np.cumsum(n) - n) + n - 1
 
 
+@lru_cache(maxsize=1)
+def _piece_table(vocabulary: str, pattern: str) -> PieceTable:
+    """The table of a vocabulary (JSON).  A worker keeps the last one for its next tasks, so that
+    pieces of the corpus are encoded about once a worker, not once a task; its bounds
+    hold all the same."""
+    from tokenizers import Tokenizer
+
+    return PieceTable(pattern, LibraryPieces(Tokenizer.from_str(vocabulary)), 450_000)
+
+
 def _segments(docs, table: PieceTable, added: AddedTokens, part: int, end_id: int, most: int):
     """Rows of the table for documents in order: (doc_ids, texts) batches in."""
     names, counts, ids, held, seq = [], [], [], 0, 0
@@ -215,11 +226,8 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
 
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads cost memory
-        library = Tokenizer.from_str(held.value)
-        encode = LibraryPieces(library)
 
         def blocks():
             for batch in batches:
@@ -228,7 +236,7 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, path: str, end_id:
                 for a, b in slices(bounds, 1 << 20):
                     yield own[a:b], [raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in range(a, b)]
 
-        yield from _segments(blocks(), PieceTable(pattern, encode, 450_000), added, TaskContext.get().partitionId(), end_id, segment_tokens)
+        yield from _segments(blocks(), _piece_table(held.value, pattern), added, TaskContext.get().partitionId(), end_id, segment_tokens)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
