@@ -11,6 +11,9 @@ genes      kernel test of all gene models
 regions    mixed-model scan within the regions of a file
 burden     mixed-model scan of the burdens of rare variants of such regions
 stepwise   forward selection under the mixed model
+families   forward selection by linear models, with family means taken off the trait
+compounds  variance components of the compounds of a file
+permutation   p of each variant by permuted traits under the mixed model
 peaks      peaks of a scan's results, and the RRM matrix of the region behind each
 slices     plink text of all gene models, with a manifest
 """
@@ -40,11 +43,13 @@ def _matrix(spark, path: str, samples: DataFrame) -> np.ndarray:
     n = samples.count()
     i = samples.select(F.col("sample_id").alias("i"), F.col("ordinal").alias("a"))
     j = samples.select(F.col("sample_id").alias("j"), F.col("ordinal").alias("b"))
+    rows = tables.read_kinship(spark, path).join(i, "i").join(j, "j").groupBy("a").agg(F.collect_list("b").alias("b"), F.collect_list(F.struct("b", "k")).alias("x"))
+    rows = rows.select("a", F.transform("x", lambda s: s["b"]).alias("b"), F.transform("x", lambda s: s["k"]).alias("k"))
     out = np.full((n, n), np.nan)
     if n > kinship.MOST_SAMPLES:
         raise ValueError(f"{n} samples; dense matrices stop at {kinship.MOST_SAMPLES}")
-    for r in tables.read_kinship(spark, path).join(i, "i").join(j, "j").select("a", "b", "k").collect():
-        out[r["a"], r["b"]] = r["k"]
+    for r in rows.toLocalIterator():  # a row a sample
+        out[r["a"], r["b"]] = [np.nan if x is None else x for x in r["k"]]
     if np.isnan(out).any():
         raise ValueError("the matrix lacks samples of the store")
     return out
@@ -81,9 +86,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             found = found.join(variants.import_minor_counts(calls), ["chr", "pos"])
             tables.write_results(lm.bonferroni(found, args.p), out, int((~np.isnan(y)).sum()))
         elif args.command == "emmax":
-            tables.write_results(lm.bonferroni(mixed.emmax(v, y, k).cache(), args.p), out, int((~np.isnan(y)).sum()))
+            found = mixed.emmax(v, y, k).persist()  # counted, then filtered
+            tables.write_results(lm.bonferroni(found, args.p), out, int((~np.isnan(y)).sum()))
+            found.unpersist()
         elif args.command == "fastlmm":
-            lm.bonferroni(mixed.fastlmm(v, y, k).cache(), args.p).orderBy("chr", "pos").write.csv(out, header=True)
+            found = mixed.fastlmm(v, y, k, args.reml).persist()
+            lm.bonferroni(found, args.p).orderBy("chr", "pos").write.csv(out, header=True)
+            found.unpersist()
         elif args.command == "heritability":
             trait = spark.createDataFrame([(name, [None if np.isnan(t) else float(t) for t in y])], "trait string, y array<double>")
             mixed.heritability(trait, k).write.csv(out, header=True)
@@ -95,6 +104,17 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             mixed.burden_emmax(v, tables.read_regions(spark, args.regions), y, k, args.rare).orderBy("chr", "start", "region_id").write.csv(out, header=True)
         elif args.command == "stepwise":
             mixed.forward_mixed(v, y, k, args.rounds, args.p).orderBy("round").write.csv(out, header=True)
+        elif args.command == "compounds":
+            own = joins.in_compounds(v, tables.read_compounds(spark, args.compounds))
+            mixed.local_components(own, y, k, ["compound_id"]).orderBy("compound_id").write.csv(out, header=True)
+        elif args.command == "permutation":
+            mixed.permutation_p_mixed(v, y, k, args.rounds).orderBy("chr", "pos").write.csv(out, header=True)
+        elif args.command == "families":
+            trait = samples.join(spark.createDataFrame([(i, float(t)) for i, t in enumerate(y) if not np.isnan(t)], "ordinal int, y double"), "ordinal")
+            calls = v.select("chr", "pos", F.posexplode("g").alias("ordinal", "dosage")).where("dosage is not null")
+            own = trait.select(F.col("ordinal").alias("sample_id"), F.col("sample_id").alias("name"), "y")
+            found = lm.forward_families(calls.withColumnRenamed("ordinal", "sample_id"), own, args.rounds, "name", args.separator, args.p, args.maf)
+            found.orderBy("round").write.csv(out, header=True)
         elif args.command == "genes":
             sites = models.read_models(spark, args.models).withColumn("chr", F.regexp_replace("chr", "^chr", "").try_cast("int"))
             kernel_test.gene_p(v.join(sites.select("gene", "chr", "pos", "weight"), ["chr", "pos"]), y).orderBy("pvalue").write.csv(out, header=True)
@@ -103,7 +123,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="genoflux", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("import", "kinship", "lm", "emmax", "fastlmm", "heritability", "local", "genes", "regions", "burden", "stepwise", "peaks", "slices"):
+    for name in ("import", "kinship", "lm", "emmax", "fastlmm", "heritability", "local", "genes", "regions", "burden", "stepwise", "families", "compounds", "permutation", "peaks", "slices"):
         p = commands.add_parser(name)
         p.add_argument("--out", required=True, help="a new folder")
         if name == "import":
@@ -124,14 +144,23 @@ def parser() -> argparse.ArgumentParser:
             continue
         p.add_argument("--phenotypes", required=True)
         p.add_argument("--min-samples", type=int, default=100)
-        if name not in ("lm", "genes"):
+        if name not in ("lm", "genes", "families"):
             p.add_argument("--kinship", required=True)
         if name in ("regions", "burden"):
             p.add_argument("--regions", required=True)
         if name == "burden":
             p.add_argument("--rare", type=float, required=True, help="largest minor frequency of a rare variant")
+        if name in ("stepwise", "families", "permutation"):
+            p.add_argument("--rounds", type=int, default=1000 if name == "permutation" else 5)
+        if name == "fastlmm":
+            p.add_argument("--reml", action="store_true", help="restricted likelihood")
+        if name == "compounds":
+            p.add_argument("--compounds", required=True)
+        if name == "families":
+            p.add_argument("--separator", default="_", help="a family is what stands before it in a sample's name")
+            p.add_argument("--p", type=float, default=1000.0, help="a variant may enter if p <= this / number of variants")
+            p.add_argument("--maf", type=float, default=0.0)
         if name == "stepwise":
-            p.add_argument("--rounds", type=int, default=5)
             p.add_argument("--p", type=float, default=1.0, help="of a variant that may enter")
         if name in ("lm", "emmax", "fastlmm", "regions"):
             p.add_argument("--p", type=float, default=1000.0, help="kept if p <= this / number of variants")

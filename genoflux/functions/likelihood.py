@@ -56,7 +56,11 @@ def residual_spectrum(k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def reml(y: np.ndarray, x: np.ndarray, k: np.ndarray) -> Fit:
     """Restricted likelihood: grid of log delta, then refinement; bounds count too."""
-    values, vectors = residual_spectrum(k, x)
+    return reml_spectrum(y, *residual_spectrum(k, x))
+
+
+def reml_spectrum(y: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> Fit:
+    """``reml`` with the ``residual_spectrum`` made before."""
     eta2 = (vectors.T @ y) ** 2
     m = len(values)
 
@@ -192,12 +196,18 @@ def decorrelation(k: np.ndarray, delta: float) -> np.ndarray:
     return (vectors / np.sqrt(np.maximum(values + delta, 1e-12))).T
 
 
-def scan_ml(u_y: np.ndarray, u_one: np.ndarray, u_x: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """delta, log-likelihood and effect of each rotated variant (rows of u_x), with an
-    intercept, delta optimised for each.  Grid sums are matrix products."""
-    n, logs = len(u_y), _ml_grid()
+def scan_fits(u_y: np.ndarray, u_one: np.ndarray, u_x: np.ndarray, values: np.ndarray, outside: dict | None = None, restricted: bool = False) -> dict[str, np.ndarray]:
+    """delta, loglik, coef and t2 (of the coefficient) of each rotated variant (rows of u_x) with an
+    intercept, delta optimised for each.  Grid sums are matrix products.
+
+    ``outside``: n and the sums of products (xx, x1, xy of each variant; oo, oy, yy) that lie
+    outside the rotated space, where K has no variance.  ``restricted``: by restricted
+    likelihood, for the full rank alone."""
+    n, logs = outside["n"] if outside else len(u_y), _ml_grid()
+    m = n - 2 if restricted else n
+    size = (u_x * u_x).sum(1) * (u_one @ u_one) - (u_x @ u_one) ** 2
 
-    def logliks(logs_rows: np.ndarray | None):
+    def at(logs_rows: np.ndarray | None):
         if logs_rows is None:
             w = 1 / (values[:, None] + np.exp(logs)[None, :])  # n x grid
             xx, x1, xy = (u_x * u_x) @ w, (u_x * u_one) @ w, (u_x * u_y) @ w
@@ -206,14 +216,31 @@ def scan_ml(u_y: np.ndarray, u_one: np.ndarray, u_x: np.ndarray, values: np.ndar
             w = 1 / (values[None, :] + np.exp(logs_rows)[:, None])
             xx, x1, xy = (u_x * u_x * w).sum(1), (u_x * u_one * w).sum(1), (u_x * u_y * w).sum(1)
             oo, oy, yy, logdet = w @ (u_one * u_one), w @ (u_one * u_y), w @ (u_y * u_y), -np.log(w).sum(1)
+        if outside:
+            own = logs if logs_rows is None else logs_rows
+            inverse = np.exp(-own)
+            each = lambda v: v[:, None] * inverse if logs_rows is None else v * inverse
+            xx, x1, xy = xx + each(outside["xx"]), x1 + each(outside["x1"]), xy + each(outside["xy"])
+            oo, oy, yy = (u + outside[k] * inverse for u, k in ((oo, "oo"), (oy, "oy"), (yy, "yy")))
+            logdet = logdet + (n - len(values)) * own
         det = xx * oo - x1 * x1
-        safe = np.where(det > 1e-12, det, 1)
+        ok = det > 1e-12 * xx * oo
+        safe = np.where(ok, det, 1)
         bx, b1 = (oo * xy - x1 * oy) / safe, (xx * oy - x1 * xy) / safe
-        vg = np.maximum(yy - bx * xy - b1 * oy, 1e-300) / n
-        return np.where(det > 1e-12, -n / 2 * (math.log(2 * math.pi) + 1 + np.log(vg)) - 0.5 * logdet, -np.inf), bx
+        left = np.maximum(yy - bx * xy - b1 * oy, 1e-300)
+        value = -m / 2 * (math.log(2 * math.pi) + 1 + np.log(left / m)) - 0.5 * logdet
+        if restricted:
+            value = value + 0.5 * (np.log(np.maximum(size, 1e-300)).reshape(-1, *[1] * (value.ndim - 1)) - np.log(safe))
+        return np.where(ok, value, -np.inf), bx, bx * bx * safe / oo / left * (n - 2)
 
-    grid, _ = logliks(None)
+    grid = at(None)[0]
     i = grid.argmax(1)
-    a, b = logs[np.maximum(i - 1, 0)], logs[np.minimum(i + 1, len(logs) - 1)]
-    x, value = golden(lambda q: logliks(q)[0], a, b, 30)
-    return np.exp(x), value, logliks(x)[1]
+    x, value = golden(lambda q: at(q)[0], logs[np.maximum(i - 1, 0)], logs[np.minimum(i + 1, len(logs) - 1)], 30)
+    _, coef, t2 = at(x)
+    return {"delta": np.exp(x), "loglik": value, "coef": coef, "t2": t2}
+
+
+def scan_ml(u_y: np.ndarray, u_one: np.ndarray, u_x: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """delta, log-likelihood and effect of ``scan_fits``."""
+    found = scan_fits(u_y, u_one, u_x, values)
+    return found["delta"], found["loglik"], found["coef"]

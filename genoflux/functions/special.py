@@ -242,6 +242,11 @@ def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(np.where(x.isna() | (df <= 0), np.nan, chi2_sf(x.fillna(0), np.maximum(df, 1))))
 
 
+@F.pandas_udf(T.DoubleType())
+def fisher_z_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series(np.where(r.isna() | (n <= 3), np.nan, fisher_z_p(r.fillna(0).clip(-1, 1), np.maximum(n, 4))))
+
+
 @F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(np.where(f.isna() | (d2 <= 0), np.nan, f_sf(f.fillna(0), np.maximum(d1, 1), np.maximum(d2, 1))))

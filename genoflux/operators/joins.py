@@ -21,6 +21,15 @@ def in_regions(points: DataFrame, regions: DataFrame, width: int = BIN) -> DataF
     return rows.join(own, on).drop("bin", "r_bin", "r_chr")
 
 
+def in_compounds(points: DataFrame, compounds: DataFrame) -> DataFrame:
+    """``points`` (chr, pos and others) with compound_id, once for each compound (compound_id, chr,
+    start, end of its parts) that holds them, however many of its parts do.  Parts meet positions
+    alone."""
+    parts = compounds.select(F.col("compound_id").alias("region_id"), "chr", "start", "end")
+    inside = in_regions(points.select("chr", "pos").distinct(), parts).select(F.col("region_id").alias("compound_id"), "chr", "pos").distinct()
+    return inside.join(points, ["chr", "pos"])
+
+
 def gene_of_points(points: DataFrame, genes: DataFrame, width: int = BIN) -> DataFrame:
     """Each distinct (chr, pos) in a gene with one gene: the last in order of ``ord`` wins."""
     rows = in_regions(points.select("chr", "pos").distinct(), genes.withColumnRenamed("gene", "region_id"), width)

@@ -136,6 +136,14 @@ def relation(observed: DataFrame, predicted: DataFrame) -> DataFrame:
     return _pair_means(sites, [], "rrm").select(F.col("i").alias("obs_id"), F.col("j").alias("pred_id"), "k")
 
 
+def local_relation(observed: DataFrame, predicted: DataFrame, regions: DataFrame) -> DataFrame:
+    """``relation`` of each region: region_id, obs_id, pred_id, k."""
+    from .joins import in_regions
+
+    sites = _by_site(observed).join(_by_site(predicted, "b"), ["chr", "pos"])
+    return _pair_means(in_regions(sites, regions), ["region_id"], "rrm").select("region_id", F.col("i").alias("obs_id"), F.col("j").alias("pred_id"), "k")
+
+
 def local_rrm(calls: DataFrame, regions: DataFrame) -> DataFrame:
     """``rrm`` of each region: region_id, i, j, k."""
     from .joins import in_regions

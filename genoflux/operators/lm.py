@@ -40,8 +40,8 @@ def with_p(scanned: DataFrame) -> DataFrame:
 
 
 def bonferroni(scanned: DataFrame, threshold: float) -> DataFrame:
-    """Variants with p at most threshold over the number of variants."""
-    limit = scanned.agg((F.lit(threshold) / F.count("*")).alias("limit"))
+    """Variants with p at most threshold over the number of variants (none of none)."""
+    limit = scanned.agg(F.try_divide(F.lit(float(threshold)), F.count("*")).alias("limit"))
     return scanned.join(F.broadcast(limit)).where("pvalue <= limit").drop("limit")  # one row
 
 
@@ -201,25 +201,63 @@ def final_coefficients(calls: DataFrame, phenotypes: DataFrame, chosen: DataFram
     return calls.sparkSession.createDataFrame(out, "round int, chr int, pos long, n long, coef double, se double, pvalue double")
 
 
-def permutation_p(calls: DataFrame, phenotypes: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """chr, pos, p: share of permuted traits with a t2 at least the observed one.
+def forward_families(calls: DataFrame, phenotypes: DataFrame, rounds: int, id_: str = "sample_id", separator: str = "_", threshold: float | None = None, maf: float = 0.0) -> DataFrame:
+    """``forward`` with the trait freed of the mean of each sample's family, the part of ``id_`` before
+    the separator (the whole id where there is none).  ``threshold`` and ``maf``: the gate of
+    ``candidates``, of the freed trait."""
+    from .stats import centered_by_prefix
 
-    Samples' trait values are dealt anew by a hash order in each round; observed
-    and permuted scans share one aggregation."""
-    from pyspark.sql import Window
+    known = phenotypes.where("y is not null").select("sample_id", F.col(id_).cast("string").alias("_id"), "y")
+    own = centered_by_prefix(known, "_id", "y", separator).select("sample_id", F.col("centered").alias("y"))
+    return forward(calls, own, rounds, candidates(calls, own, threshold, maf) if threshold is not None else None)
 
-    known = phenotypes.where("y is not null").select("sample_id", "y")
-    tries = known.select("sample_id", "y", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("r"))
-    turn = Window.partitionBy("r").orderBy(F.when(F.col("r") == 0, F.col("sample_id")).otherwise(F.xxhash64(F.lit(seed), "r", "sample_id")), "sample_id")
-    place = Window.partitionBy("r").orderBy("sample_id")
-    dealt = tries.select("r", "y", F.row_number().over(turn).alias("k"))
-    owner = tries.select("r", "sample_id", F.row_number().over(place).alias("k"))
-    traits = owner.join(dealt, ["r", "k"]).select("sample_id", "r", "y")
-    rows = calls.where("dosage is not null").join(traits, "sample_id")
-    scanned = scan(rows, by=("chr", "pos", "r"))
-    real = scanned.where("r = 0").select(*SITE, F.col("t2").alias("real"))
-    null = scanned.where("r > 0").select(*SITE, "t2")
-    return real.join(null, SITE).groupBy(SITE).agg((F.count_if(F.col("t2") >= F.col("real")) / F.count("*")).alias("p"), F.count("*").alias("n_null"))
+
+def permutation_p(calls: DataFrame, phenotypes: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """chr, pos, p (share of permuted traits that explain at least as much as the observed one),
+    n_null (permutations that have a regression); a sample has one call of a variant.
+
+    Calls are shuffled once, to a row a variant, whatever the rounds; traits of all rounds are
+    a matrix over the sample axis (its length is checked), and a block of variants meets it
+    in three products."""
+    from .kinship import MOST_SAMPLES
+    from .stats import permutation
+
+    spark = calls.sparkSession
+    known = phenotypes.where("y is not null").select("sample_id", F.col("y").cast("double").alias("y")).orderBy("sample_id").limit(MOST_SAMPLES + 1)
+    rows = known.collect()
+    if len(rows) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples with a trait")
+    n, y = len(rows), np.array([r["y"] for r in rows])
+    y = y - y.mean() if n else y
+    held = spark.sparkContext.broadcast(np.stack([y, *(y[permutation(n, seed, r)] for r in range(1, rounds + 1))]))
+    places = spark.createDataFrame([(r["sample_id"], i) for i, r in enumerate(rows)], f"sample_id {known.schema['sample_id'].dataType.simpleString()}, _i int")
+    cells = calls.where("dosage is not null").join(F.broadcast(places), "sample_id")  # the sample axis, of a checked size
+    cells = cells.groupBy(SITE).agg(F.collect_list(F.struct("_i", F.col("dosage").cast("double").alias("x"))).alias("c"))
+
+    def run(batches):
+        traits = held.value
+        squares, width = traits * traits, traits.shape[1]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                own = batch.slice(start, 256)
+                at, x = own["at"], own["x"]
+                row = np.repeat(np.arange(own.num_rows), np.diff(at.offsets.to_numpy()))
+                place = (row, at.flatten().to_numpy())
+                g, has = np.zeros((own.num_rows, width)), np.zeros((own.num_rows, width))
+                g[place], has[place] = x.flatten().to_numpy(), 1
+                count, sx, sxx = (v.sum(1)[:, None] for v in (has, g, g * g))
+                sy, syy, sxy = has @ traits.T, has @ squares.T, g @ traits.T
+                vx, vy, both = sxx - sx * sx / count, syy - sy * sy / count, sxy - sx * sy / count
+                ok = (count > 2) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
+                r2 = both * both / np.where(ok, vx * vy, 1)
+                ok &= r2 < 1 - 1e-12
+                nulls = ok[:, 1:].sum(1)
+                keep = np.flatnonzero(ok[:, 0] & (nulls > 0))
+                p = ((r2[:, 1:] >= r2[:, :1]) & ok[:, 1:]).sum(1)[keep] / nulls[keep]
+                yield pa.RecordBatch.from_arrays([own["chr"].take(pa.array(keep)), own["pos"].take(pa.array(keep)), pa.array(p), pa.array(nulls[keep].astype(np.int64))], [*SITE, "p", "n_null"])
+
+    wide = cells.select(F.col("chr").cast("int").alias("chr"), F.col("pos").cast("long").alias("pos"), F.transform("c", lambda s: s["_i"]).alias("at"), F.transform("c", lambda s: s["x"]).alias("x"))
+    return wide.mapInArrow(run, "chr int, pos long, p double, n_null long")
 
 
 def stratified(rows: DataFrame, y: str, x: str, stratum: Column, least: int) -> DataFrame:

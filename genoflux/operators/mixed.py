@@ -138,29 +138,34 @@ def burden_emmax(variants: DataFrame, regions: DataFrame, y: np.ndarray, k: np.n
     return emmax(rows, y, k, by=("region_id", "chr", "start"))
 
 
-def fastlmm(variants: DataFrame, y: np.ndarray, k: np.ndarray) -> DataFrame:
-    """Scan that fits delta anew for each variant; likelihood ratio against the null model:
-    chr, pos, coef, delta, loglik, pvalue."""
+def fastlmm(variants: DataFrame, y: np.ndarray, k: np.ndarray, restricted: bool = False) -> DataFrame:
+    """Scan that fits delta anew for each variant: chr, pos, coef, delta, loglik, r2 (coef squared
+    times the variant's variance over the trait's), pvalue.
+
+    p is of the likelihood ratio against the null model.  ``restricted``: delta and loglik are
+    of the restricted likelihood, and p is of the coefficient's t with n - 2 degrees of
+    freedom, as restricted likelihoods of different fixed effects do not compare."""
     use, y, k = _aligned(y, k)
     values, vectors = L.descending(rescale(k))
     values = np.maximum(values, 0)
     one = vectors.T @ np.ones(len(y))
     u_y = vectors.T @ y
     null = L.ml(u_y, one[:, None], values).loglik
-    held = variants.sparkSession.sparkContext.broadcast((use, vectors, values, one, u_y, null))
+    held = variants.sparkSession.sparkContext.broadcast((use, vectors, values, one, u_y, null, y.var()))
 
     def run(batches):
-        use, vectors, values, one, u_y, null = held.value
+        use, vectors, values, one, u_y, null, spread = held.value
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 own = batch.slice(a, 512)
                 g, varies, _ = _batch(own, use)
                 keep = np.flatnonzero(varies)
-                delta, loglik, b = L.scan_ml(u_y, one, g[keep] @ vectors, values)
-                p = chi2_sf(np.maximum(2 * (loglik - null), 0), 1)
-                yield pa.RecordBatch.from_arrays([own["chr"].take(pa.array(keep)), own["pos"].take(pa.array(keep)), *(pa.array(np.asarray(x, float)) for x in (b, delta, loglik, p))], ["chr", "pos", "coef", "delta", "loglik", "pvalue"])
+                fit = L.scan_fits(u_y, one, g[keep] @ vectors, values, restricted=restricted)
+                p = t_two_sided(np.sqrt(fit["t2"]), len(u_y) - 2) if restricted else chi2_sf(np.maximum(2 * (fit["loglik"] - null), 0), 1)
+                r2 = fit["coef"] ** 2 * g[keep].var(1) / (spread or np.nan)
+                yield pa.RecordBatch.from_arrays([own["chr"].take(pa.array(keep)), own["pos"].take(pa.array(keep)), *(pa.array(np.asarray(x, float)) for x in (fit["coef"], fit["delta"], fit["loglik"], r2, p))], ["chr", "pos", "coef", "delta", "loglik", "r2", "pvalue"])
 
-    return variants.select("chr", "pos", calls_of(variants)).mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, pvalue double")
+    return variants.select("chr", "pos", calls_of(variants)).mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, r2 double, pvalue double")
 
 
 def _by_trait(traits: DataFrame, fit, names: list[str]) -> DataFrame:
@@ -218,9 +223,29 @@ def heritability_low_rank(traits: DataFrame, terms: np.ndarray) -> DataFrame:
     return _by_trait(traits, fit, ["delta", "vg", "ve", "h2", "loglik"])
 
 
-def compare_kinships(traits: DataFrame, k1: np.ndarray, k2: np.ndarray) -> DataFrame:
-    """trait, n, and h2 and loglik under each of two kinships (h2_1, loglik_1, h2_2, loglik_2)."""
-    one, two = (heritability(traits, k).select("trait", "n", F.col("h2").alias(f"h2_{i}"), F.col("loglik").alias(f"loglik_{i}")) for i, k in ((1, k1), (2, k2)))
+def heritability_restricted(traits: DataFrame, k: np.ndarray) -> DataFrame:
+    """trait, n, delta, vg, ve, h2, loglik by restricted likelihood; a task decomposes K again only
+    where another set of samples is known."""
+    if len(k) > MOST_SAMPLES:
+        raise ValueError(f"{len(k)} samples; dense matrices stop at {MOST_SAMPLES}")
+    held, last = traits.sparkSession.sparkContext.broadcast(k), {}
+
+    def fit(y, use):
+        key = use.tobytes()
+        if key not in last:
+            last.clear()
+            last[key] = L.residual_spectrum(rescale(held.value[np.ix_(use, use)]), np.ones((len(use), 1)))
+        found = L.reml_spectrum(y, *last[key])
+        return found.delta, found.vg, found.ve, found.h2, found.loglik
+
+    return _by_trait(traits, fit, ["delta", "vg", "ve", "h2", "loglik"])
+
+
+def compare_kinships(traits: DataFrame, k1: np.ndarray, k2: np.ndarray, restricted: bool = False) -> DataFrame:
+    """trait, n, and h2 and loglik under each of two kinships (h2_1, loglik_1, h2_2, loglik_2), by
+    maximum or by restricted likelihood."""
+    of = heritability_restricted if restricted else heritability
+    one, two = (of(traits, k).select("trait", "n", F.col("h2").alias(f"h2_{i}"), F.col("loglik").alias(f"loglik_{i}")) for i, k in ((1, k1), (2, k2)))
     return one.join(two.drop("n"), "trait")
 
 
@@ -499,30 +524,41 @@ def forward_regions(variants: DataFrame, regions: DataFrame, y: np.ndarray, k: n
     return rows.groupBy("region_id").applyInArrow(run, "region_id string, round int, chr int, pos long, adj_r2 double, pvalue double")
 
 
+def marker_terms(variants: DataFrame, sites: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Terms (a row a sample) of the kinship of a few variants (at most 64), standardised; those that
+    do not vary count for nothing.  No matrix between samples is formed."""
+    g = chosen_variants(variants, sites, np.arange(n))
+    sd = g.std(1, keepdims=True)
+    return ((g - g.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1)).T / np.sqrt(max(1, int((sd > 0).sum())))
+
+
 def low_rank_scan(variants: DataFrame, y: np.ndarray, terms: np.ndarray) -> DataFrame:
     """Scan with K = terms terms' of low rank: delta is fitted anew for each variant, and the
-    likelihood compared with the null model's: chr, pos, coef, delta, loglik, pvalue."""
+    likelihood compared with the null model's: chr, pos, coef, delta, loglik, pvalue.
+
+    Variants are turned into the terms' space by blocks; what lies outside enters by sums."""
     use = np.flatnonzero(~np.isnan(y))
     y, terms = y[use], terms[use]
-    basis = L.low_rank_basis(terms)
-    null = L.low_rank_ml(y, np.ones((len(y), 1)), basis=basis).loglik
-    held = variants.sparkSession.sparkContext.broadcast((use, basis, y, null))
+    u, values = L.low_rank_basis(terms)
+    null = L.low_rank_ml(y, np.ones((len(y), 1)), basis=(u, values)).loglik
+    held = variants.sparkSession.sparkContext.broadcast((use, u, values, y, null))
 
     def run(batches):
-        use, (u, values), y, null = held.value
+        use, u, values, y, null = held.value
+        u_one, u_y = u.sum(0), u.T @ y
+        known = {"n": len(y), "oo": len(y) - u_one @ u_one, "oy": y.sum() - u_one @ u_y, "yy": y @ y - u_y @ u_y}
         for batch in batches:
-            g, varies, _ = _batch(batch, use)
-            keep, rows = np.flatnonzero(varies), []
-            for i in keep.tolist():
-                x = np.column_stack([np.ones(len(y)), g[i]])
-                fit = L.low_rank_ml(y, x, basis=(u, values))
-                turned = x / fit.delta + u @ ((1 / (values + fit.delta) - 1 / fit.delta)[:, None] * (u.T @ x))
-                rows.append((np.linalg.lstsq(turned.T @ x, turned.T @ y, rcond=None)[0][1], fit.delta, fit.loglik))
-            coef, delta, loglik = np.array(rows, float).reshape(-1, 3).T
-            p = np.asarray(chi2_sf(np.maximum(2 * (loglik - null), 0), 1), float)
-            yield pa.RecordBatch.from_arrays([batch["chr"].take(pa.array(keep)), batch["pos"].take(pa.array(keep)), *(pa.array(v.copy()) for v in (coef, delta, loglik, p))], ["chr", "pos", "coef", "delta", "loglik", "pvalue"])
-
-    return variants.select("chr", "pos", "g").mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, pvalue double")
+            for a in range(0, batch.num_rows, 512):
+                own = batch.slice(a, 512)
+                g, varies, _ = _batch(own, use)
+                keep = np.flatnonzero(varies)
+                x = g[keep] - g[keep].mean(1, keepdims=True)  # the intercept takes the mean; differences keep their digits
+                u_x = x @ u
+                fit = L.scan_fits(u_y, u_one, u_x, values, known | {"xx": (x * x).sum(1) - (u_x * u_x).sum(1), "x1": x.sum(1) - u_x @ u_one, "xy": x @ y - u_x @ u_y})
+                p = np.asarray(chi2_sf(np.maximum(2 * (fit["loglik"] - null), 0), 1), float)
+                yield pa.RecordBatch.from_arrays([own["chr"].take(pa.array(keep)), own["pos"].take(pa.array(keep)), *(pa.array(v.copy()) for v in (fit["coef"], fit["delta"], fit["loglik"], p))], ["chr", "pos", "coef", "delta", "loglik", "pvalue"])
+
+    return variants.select("chr", "pos", calls_of(variants)).mapInArrow(run, "chr int, pos long, coef double, delta double, loglik double, pvalue double")
 
 
 def local_grid(sites: DataFrame, y: np.ndarray, k: np.ndarray, by: list[str], step: float = 0.1) -> DataFrame:

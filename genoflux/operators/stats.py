@@ -11,21 +11,42 @@ from pyspark.sql import functions as F
 from ..functions import special
 
 
-def running_before(counts: DataFrame, value: str, n: str, out: str, parts: int = 64) -> DataFrame:
-    """Adds the sum of ``n`` over all smaller values of a numeric column.
-
-    Rows are dealt into ranges by approximate quantiles; each range sums on its own behind
-    the sum of those before, so no task holds more than about a range."""
-    splits = sorted({float(v) for v in counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.002)})
-    part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col(value))) if splits else F.lit(0)
+def running_before(counts: DataFrame, value: str, n: str, out: str, rows: int = 500_000, least: int = 64) -> DataFrame:
+    """Adds the sum of ``n`` over all smaller values of a numeric column of distinct values.
+
+    Rows are dealt into ranges of about ``rows`` by approximate quantiles (``least`` ranges at
+    least); each range sums on its own behind the sum of those before, so no task holds more
+    than about a range."""
+    parts = max(least, -(-counts.count() // rows))
+    splits = sorted({float(v) for v in counts.approxQuantile(value, [i / parts for i in range(1, parts)], min(0.002, 0.2 / parts))})
+    smaller = lambda x: F.size(F.filter(x, lambda s: s < F.col(value)))
+    if not splits:
+        part = F.lit(0)
+    elif len(splits) <= 64:
+        part = smaller(F.array(*map(F.lit, splits)))
+    else:  # every 64th split first, then those between
+        every, coarse = F.array(*map(F.lit, splits)), smaller(F.array(*map(F.lit, splits[::64])))
+        part = F.when(coarse == 0, 0).otherwise((coarse - 1) * 64 + smaller(F.slice(every, F.greatest(coarse - 1, F.lit(0)) * 64 + 1, F.lit(64))))
     own = counts.withColumn("_part", F.coalesce(part, F.lit(0)))
-    sums = {r["_part"]: r["s"] for r in own.groupBy("_part").agg(F.sum(n).alias("s")).collect()}  # at most ``parts`` rows
-    offsets = [sum(v for k, v in sums.items() if k < i) for i in range(len(splits) + 1)]
+    sums = {r["_part"]: r["s"] for r in own.groupBy("_part").agg(F.sum(n).alias("s")).collect()}  # a row a range
+    offsets = np.concatenate([[0], np.cumsum([sums.get(i, 0) for i in range(len(splits))])]).astype(int).tolist()
     order = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     base = F.element_at(F.array(*[F.lit(v).cast("long") for v in offsets]), F.col("_part") + 1)
     return own.withColumn(out, base + F.coalesce(F.sum(n).over(order), F.lit(0))).drop("_part")
 
 
+def median(rows: DataFrame, value: str) -> DataFrame:
+    """n and the exact median of the known values (the mean of the two middle ones): counts of distinct
+    values by ranges, so no task holds them all.  No known value: n 0, median null."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    own = running_before(counts, "v", "c", "_b").join(F.broadcast(total))  # one row
+    holds = lambda i: (F.col("_b") <= i) & (i < F.col("_b") + F.col("c"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = own.agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median"))
+    return total.join(F.broadcast(middle))  # one row
+
+
 def ecdf(rows: DataFrame, value: str) -> DataFrame:
     """value and share (of known values at most this one) of each distinct value."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("_n"))
@@ -65,26 +86,40 @@ def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return _with_p(rows.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("r")))
 
 
+def correlation_tests(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """n, r, p (two-sided, by t) and p_z (one-sided, by Fisher's transform, for the size of r)."""
+    return pearson(pairs, x, y).withColumn("p_z", special.fisher_z_pvalue("r", F.col("n").cast("double")))
+
+
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
     """chi2 (Pearson), lr (likelihood ratio, empty cells counted as 0.5) and df of the
-    table of two columns; only values that occur make rows and columns."""
-    cells = rows.groupBy(a, b).agg(F.count("*").alias("o"))
-    by_a, by_b = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("rb"))
-    n = cells.agg(F.sum("o").alias("n"))
-    full = by_a.join(by_b).join(cells, [a, b], "left").join(n)
-    o, e = F.coalesce("o", F.lit(0)), F.col("ra") * F.col("rb") / F.col("n")
-    held = F.when(o == 0, 0.5).otherwise(o)
-    return full.agg(F.sum((o - e) * (o - e) / e).alias("chi2"), F.sum(2 * held * F.log(held / e)).alias("lr"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    table of two columns, over rows where both are known; only values that occur make rows and
+    columns.
+
+    Empty cells are never made: their expected counts sum to what the full ones leave of the
+    total, and the logarithms of all expected counts to sums over the margins."""
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = known.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
+    by_a, by_b = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("rb"))
+    margin = lambda t, c: t.agg(F.count("*").alias(f"n{c}"), F.sum(c).alias(f"s{c}"), F.sum(F.log(c)).alias(f"l{c}"))
+    one = margin(by_a, "ra").join(margin(by_b, "rb"))  # a row each
+    n = F.col("sra")
+    full = cells.join(by_a, "a").join(by_b, "b").join(F.broadcast(one.select("sra")))  # one row
+    o, e = F.col("o"), F.col("ra").cast("double") * F.col("rb") / n
+    t = full.agg(F.count("*").alias("c"), F.sum((o - e) * (o - e) / e).alias("chi"), F.sum(e).alias("e"), F.sum(2 * o * F.log(o / e)).alias("lr"), F.sum(F.log(e)).alias("le")).join(one)
+    empty = F.col("nra") * F.col("nrb") - F.col("c")
+    rest = F.col("nrb") * F.col("lra") + F.col("nra") * F.col("lrb") - F.col("nra") * F.col("nrb") * F.log(n) - F.col("le")
+    return t.select((F.col("chi") + F.when(empty > 0, n - F.col("e")).otherwise(0)).alias("chi2"), (F.col("lr") + F.when(empty > 0, empty * math.log(0.5) - rest).otherwise(0)).alias("lr"), ((F.col("nra") - 1) * (F.col("nrb") - 1)).alias("df"))
 
 
 def ks_normal(rows: DataFrame, value: str) -> DataFrame:
     """n, d, p: largest distance of the empirical to the fitted normal distribution, both
     sides of each step, and its p as if the normal were not fitted."""
-    own = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    moments = own.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum(F.col("v") * F.col("v") * F.col("c")).alias("ss"))
-    sd = F.sqrt((F.col("ss") - F.col("n") * F.col("mean") ** 2) / (F.col("n") - 1))
-    steps = running_before(own, "v", "c", "_b").withColumn("up", F.col("_b") + F.col("c")).join(moments)
-    tail = special.normal_tail((F.col("v") - F.col("mean")) / sd)
+    known = rows.where(F.col(value).isNotNull())
+    own = known.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    moments = known.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    steps = running_before(own, "v", "c", "_b").withColumn("up", F.col("_b") + F.col("c")).join(F.broadcast(moments))  # one row
+    tail = special.normal_tail((F.col("v") - F.col("mean")) / F.col("sd"))
     steps = steps.withColumn("cdf", 1 - tail)
     gap = F.greatest(F.abs(F.col("up") / F.col("n") - F.col("cdf")), F.abs((F.col("up") - F.col("c")) / F.col("n") - F.col("cdf")))
     return steps.groupBy("n").agg(F.max(gap).alias("d")).withColumn("p", special.ks_pvalue("d", "n"))

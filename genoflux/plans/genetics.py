@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -24,7 +25,7 @@ def register(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = f
         if sql is not None:
-            ORACLE_SQL[key] = f"with {fx.SQL.strip()}, {sql.strip()}" if sql.lstrip()[:2] == "q " else f"with {fx.SQL.strip()} {sql.strip()}"
+            ORACLE_SQL[key] = f"with {fx.SQL.strip()}, {sql.strip()}" if re.match(r"\w+ as \(", sql.lstrip()) else f"with {fx.SQL.strip()} {sql.strip()}"
         return f
 
     return enter
@@ -46,6 +47,11 @@ def _t_p(t2: str, n: str) -> str:
     return f"(case when {df} % 2 = 0 then 1 - {s} * {even} else 1 - 2 / pi() * (atan(sqrt({t2} / {df})) + {s} * sqrt({c2}) * {odd}) end)"
 
 
+def _chi1_p(h: str) -> str:
+    """SQL of P(chi-square of one degree > 2 h): that of the normal distribution, by the series of erf."""
+    return f"(case when {h} > 16 then 0 else 1 - exp(-({h})) * list_sum(list_transform(range(0, 120), lambda k: pow({h}, k + 0.5::double) / exp(lgamma(k + 1.5::double)))) end)"
+
+
 # --- scans, filters, allele statistics ---
 
 
@@ -330,6 +336,16 @@ def lm_forward_gated(spark, sf_dir):
     return found.select("round", "chr", "pos", "n", r("adj_r2", 5).alias("adj_r2"), r("pvalue").alias("pvalue"))
 
 
+# two rounds with the mean of each nation taken off the trait; a sample's id begins with its nation
+_FAMILY = "fam as (select sample_id, y - avg(y) over (partition by w) as y from pheno where y is not null), "
+
+
+@register(_FAMILY + ORACLE_SQL["lm_forward_two"][len(f"with {fx.SQL.strip()}, ") :].replace("join pheno", "join fam"))
+def lm_forward_families(spark, sf_dir):
+    own = fx.phenotypes(spark, sf_dir).withColumn("name", F.concat_ws("_", F.col("w").cast("int").cast("string"), F.col("sample_id").cast("string")))
+    return lm.forward_families(fx.calls(spark, sf_dir), own, 2, "name").select("round", "chr", "pos", "n", r("adj_r2", 5).alias("adj_r2"))
+
+
 @register()
 def lm_forward_coefficients(spark, sf_dir):
     calls, pheno = fx.calls(spark, sf_dir), fx.phenotypes(spark, sf_dir)
@@ -403,6 +419,19 @@ def relation_matrix(spark, sf_dir):
     return kinship.relation(rows.where("cc = 1").drop("cc"), rows.where("cc = 2").drop("cc")).select("obs_id", "pred_id", r("k").alias("k"))
 
 
+_IN_REGION = """o as (select region_id, c.* from calls c join pheno p using (sample_id) join regions g on g.chr = c.chr and c.pos between g."start" and g."end" where p.cc = 1),
+d as (select region_id, c.* from calls c join pheno p using (sample_id) join regions g on g.chr = c.chr and c.pos between g."start" and g."end" where p.cc = 2)"""
+_Z = "{z} as (select *, (dosage - avg(dosage) over (partition by region_id, chr, pos)) / stddev_samp(dosage) over (partition by region_id, chr, pos) as z from {t} where dosage is not null)"
+
+
+@register(f"""{_IN_REGION}, {_Z.format(z="oz", t="o")}, {_Z.format(z="dz", t="d")}
+select region_id, oz.sample_id as obs_id, dz.sample_id as pred_id, round(avg(oz.z * dz.z), 6) + 0.0 as k from oz join dz using (region_id, chr, pos) where isfinite(oz.z) and isfinite(dz.z) group by 1, 2, 3""")
+def relation_matrix_regions(spark, sf_dir):
+    rows = fx.calls(spark, sf_dir).join(fx.phenotypes(spark, sf_dir).select("sample_id", "cc"), "sample_id")
+    found = kinship.local_relation(rows.where("cc = 1").drop("cc"), rows.where("cc = 2").drop("cc"), fx.regions(spark, sf_dir))
+    return found.select("region_id", "obs_id", "pred_id", r("k").alias("k"))
+
+
 @register("q as (select 1)," + _RRM.format(c="calls") + """, k as (select a.sample_id as i, b.sample_id as j from z a join z b on a.chr = b.chr and a.pos = b.pos group by 1, 2)
 select cast(count(*) as bigint) as n_pairs, cast(count(*) filter (where not exists (select 1 from k t where t.i = k.j and t.j = k.i)) as bigint) as n_asymmetric from k""")
 def kinship_symmetry(spark, sf_dir):
@@ -428,6 +457,23 @@ def trait_corr_spearman(spark, sf_dir):
     return stats.spearman(fx.phenotypes(spark, sf_dir), "y", "w").select("n", r("r", 8).alias("r"), r("p").alias("p"))
 
 
+@register(f"""q as (select count(*) as n, corr(y, w) as r from pheno where y is not null and w is not null)
+select n, round(r, 8) + 0.0 as r, round({_R_P}, 6) + 0.0 as p, round({_chi1_p("pow(atanh(abs(r)), 2) * (n - 3) / 1.06::double / 2")} / 2, 6) + 0.0 as p_z from q""")
+def trait_corr_tests(spark, sf_dir):
+    return stats.correlation_tests(fx.phenotypes(spark, sf_dir), "y", "w").select("n", r("r", 8).alias("r"), r("p").alias("p"), r("p_z").alias("p_z"))
+
+
+@register("select count(o_totalprice) as n, round(median(cast(o_totalprice as double)), 6) + 0.0 as median from orders")
+def price_median(spark, sf_dir):
+    return stats.median(fx.table(spark, sf_dir, "orders"), "o_totalprice").select("n", r("median").alias("median"))
+
+
+@register("""select s_suppkey, round(s_acctbal / (select sum(s_acctbal) from supplier), 9) + 0.0 as balance, round(s_nationkey / (select cast(sum(s_nationkey) as double) from supplier), 9) + 0.0 as nation from supplier""")
+def normalized_columns(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    return stats.normalized_columns(rows, ["balance", "nation"]).select("s_suppkey", r("balance", 9).alias("balance"), r("nation", 9).alias("nation"))
+
+
 @register("select o_orderkey, cast(rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0::double as double) as rank from orders")
 def avg_ranks(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
@@ -699,6 +745,35 @@ def fastlmm_scan(spark, sf_dir):
     return mixed.fastlmm(v, _array_trait(spark, sf_dir), kinship.gram(v))
 
 
+# under an identity kinship delta does not matter, and the fits are those of least squares
+_OLS = """q as (select chr, pos, count(*) as n, regr_slope(y, dosage) as coef, regr_r2(y, dosage) as r2 from acalls join atrait on ordinal = sample_id group by chr, pos having var_pop(dosage) > 0)"""
+
+
+@register(f"""{_OLS} select chr, pos, round(coef, 4) + 0.0 as coef, round(r2, 6) + 0.0 as r2, round({_chi1_p("(-n * ln(1 - r2) / 2)")}, 6) + 0.0 as pvalue from q""")
+def fastlmm_identity(spark, sf_dir):
+    found = mixed.fastlmm(fx.variants(spark, sf_dir), _array_trait(spark, sf_dir), np.eye(_samples(spark, sf_dir)))
+    return found.select("chr", "pos", r("coef", 4).alias("coef"), r("r2").alias("r2"), r("pvalue").alias("pvalue"))
+
+
+@register(f"""{_OLS} select chr, pos, round(coef, 4) + 0.0 as coef, round(r2, 6) + 0.0 as r2, round({_t_p("(r2 / (1 - r2) * (n - 2))", "n")}, 6) + 0.0 as pvalue from q""")
+def fastlmm_reml_identity(spark, sf_dir):
+    found = mixed.fastlmm(fx.variants(spark, sf_dir), _array_trait(spark, sf_dir), np.eye(_samples(spark, sf_dir)), restricted=True)
+    return found.select("chr", "pos", r("coef", 4).alias("coef"), r("r2").alias("r2"), r("pvalue").alias("pvalue"))
+
+
+@register()
+def fastlmm_reml(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.fastlmm(v, _array_trait(spark, sf_dir), kinship.gram(v), restricted=True)
+
+
+def _marker_terms(spark, sf_dir):
+    """Terms of a kinship of some 30 variants, spread over the chromosomes."""
+    v = fx.variants(spark, sf_dir)
+    sites = [(s["chr"], s["pos"]) for s in simulate.evenly_spaced(v.select("chr", "pos"), 3).orderBy("chr", "pos").limit(64).collect()]
+    return mixed.marker_terms(v, sites, _samples(spark, sf_dir))
+
+
 def _label_traits(spark, sf_dir):
     """trait, y: the mean vector of each label."""
     traits = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("trait"), F.posexplode("embedding").alias("o", "x"))
@@ -712,8 +787,7 @@ def heritability(spark, sf_dir):
 
 @register()
 def heritability_low_rank(spark, sf_dir):
-    values, vectors = np.linalg.eigh(kinship.gram(fx.variants(spark, sf_dir)))
-    return mixed.heritability_low_rank(_label_traits(spark, sf_dir), vectors[:, -16:] * np.sqrt(np.maximum(values[-16:], 0)))
+    return mixed.heritability_low_rank(_label_traits(spark, sf_dir), _marker_terms(spark, sf_dir))
 
 
 @register()
@@ -722,6 +796,12 @@ def kinships_compared(spark, sf_dir):
     return mixed.compare_kinships(_label_traits(spark, sf_dir), kinship.gram(v), kinship.gram(v, "ibs"))
 
 
+@register()
+def kinships_compared_reml(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    return mixed.compare_kinships(_label_traits(spark, sf_dir), kinship.gram(v), kinship.gram(v, "ibs"), restricted=True)
+
+
 @register()
 def local_vc(spark, sf_dir):
     v = fx.variants(spark, sf_dir)
@@ -1040,9 +1120,7 @@ def emmax_forward(spark, sf_dir):
 
 @register()
 def low_rank_scan(spark, sf_dir):
-    v = fx.variants(spark, sf_dir)
-    values, vectors = np.linalg.eigh(kinship.gram(v))
-    return mixed.low_rank_scan(v, _array_trait(spark, sf_dir), vectors[:, -16:] * np.sqrt(np.maximum(values[-16:], 0)))
+    return mixed.low_rank_scan(fx.variants(spark, sf_dir), _array_trait(spark, sf_dir), _marker_terms(spark, sf_dir))
 
 
 @register()

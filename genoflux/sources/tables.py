@@ -42,6 +42,18 @@ def write_phenotypes(phenotypes: DataFrame, path: str) -> None:
     union_of_ids(phenotypes).orderBy("sample_id").withColumnRenamed("sample_id", "ID").write.csv(path, sep="\t", header=True, nullValue="NA")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and n (from 0) of the lines of a file, or of files in order of their paths, however they
+    are split: lines are counted within each split, and splits (a row each) follow each other by
+    their first byte."""
+    at = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s")]
+    rows = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("_k"))
+    sizes = rows.groupBy("_f", "_s").agg(F.count("*").alias("_c"))
+    before = sizes.select("_f", "_s", (F.sum("_c").over(Window.orderBy("_f", "_s")) - F.col("_c")).alias("_b"))
+    within = F.row_number().over(Window.partitionBy("_f", "_s").orderBy("_k")) - 1
+    return rows.withColumn("_r", within).join(before, ["_f", "_s"]).select("value", (F.col("_b") + F.col("_r")).alias("n"))
+
+
 def separator_of(first_line: str) -> str:
     """The one of comma, blank and tab that splits a line into most cells."""
     return max(",", " ", "\t", key=lambda s: len(first_line.split(s)))
@@ -52,8 +64,7 @@ def read_kinship(spark: SparkSession, path: str) -> DataFrame:
     first = spark.read.text(path).first()["value"]
     sep = separator_of(first)
     ids = [x for x in first.strip().split(sep) if x]
-    rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    rows = rows.withColumn("r", F.row_number().over(Window.orderBy("n")) - 2).where("r >= 0")  # a row a sample
+    rows = numbered_lines(spark, path).withColumn("r", (F.col("n") - 1).cast("int")).where("r >= 0")
     names = F.array(*map(F.lit, ids))
     cells = rows.select("r", F.posexplode(F.split(F.trim("value"), sep)).alias("c", "text"))
     return cells.select(F.get(names, F.col("r")).alias("i"), F.get(names, F.col("c")).alias("j"), number(F.col("text")).alias("k")).where("i is not null and j is not null")
@@ -82,6 +93,41 @@ def read_relation(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("obs_id", F.get(ids, F.col("p")).alias("pred_id"), number(F.col("text")).alias("k"))
 
 
+def write_relation(relation: DataFrame, path: str, whole: bool = True, region: tuple[int, int, int] | None = None) -> None:
+    """What ``read_relation`` reads: a comment that says whether the whole genome is meant, one with the
+    region (chr, start, end) if there is one, the ids of the predicted, then a line an observed
+    sample, by id.  Pairs without a value are NaN."""
+    ids = relation.select("pred_id").distinct()
+    cells = relation.select("obs_id").distinct().join(ids).join(relation, ["obs_id", "pred_id"], "left")  # every cell is written
+    text = F.coalesce(F.col("k").cast("string"), F.lit("NaN"))
+    per = cells.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("pred_id", text.alias("t")))).alias("x"))
+    body = per.select(F.lit(2).alias("o"), F.col("obs_id").cast("string").alias("i"), F.concat_ws(",", F.col("obs_id").cast("string"), F.transform("x", lambda s: s["t"])).alias("value"))
+    names = ids.agg(F.array_sort(F.collect_list("pred_id")).alias("x")).select(F.lit(1).alias("o"), F.lit("").alias("i"), F.concat_ws(",", F.lit("OBS_ID"), F.col("x").cast("array<string>")).alias("value"))
+    place = "#" + (f"Chr{region[0]}:{region[1]}:{region[2]};" if region else "")
+    head = relation.sparkSession.createDataFrame([(0, "0", f"#WG={str(whole).lower()}"), (0, "1", place)], "o int, i string, value string")
+    head.unionByName(names).unionByName(body).coalesce(1).sortWithinPartitions("o", "i").select("value").write.text(path)
+
+
+def paired_compounds(compounds: DataFrame) -> DataFrame:
+    """Candidate pairs among ``read_compounds``: compounds of exactly two parts on one chromosome;
+    of those with the same parts, the one with the smallest id: compound_id, chr, start_1, end_1,
+    start_2, end_2."""
+    at = lambda i, c: F.max(F.when(F.col("part") == i, F.col(c))).alias(f"{c}_{i}")
+    wide = compounds.groupBy("compound_id").agg(F.count("*").alias("n"), F.min("chr").alias("chr"), F.max("chr").alias("last"), *[at(i, c) for i in (1, 2) for c in ("start", "end")])
+    parts = ["chr", "start_1", "end_1", "start_2", "end_2"]
+    return wide.where("n = 2 and chr = last").groupBy(*parts).agg(F.min("compound_id").alias("compound_id")).select("compound_id", *parts)
+
+
+def read_crosses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Of tab-separated lines name, id, name, id, cross: founders (id, name) and crosses (one, other,
+    cross_id), a row for either order of the two."""
+    c = F.col("c")
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 5)
+    both = F.array(*[F.struct(c[i + 1].alias("id"), c[i].alias("name")) for i in (0, 2)])
+    turns = F.array(*[F.struct(c[i].alias("one"), c[4 - i].alias("other"), c[4].alias("cross_id")) for i in (1, 3)])
+    return rows.select(F.explode(both).alias("x")).select("x.*").distinct(), rows.select(F.explode(turns).alias("x")).select("x.*").distinct()
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """region_id, chr, start, end of tab-separated lines; # starts a comment."""
     c = F.col("c")
@@ -135,10 +181,7 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
     two founders, then a line each; tab-separated, a column a marker.
 
     Codes N, D, _, . and blanks are missing (null)."""
-    from pyspark.sql import Window
-
-    rows = spark.read.text(path).withColumn("k", F.monotonically_increasing_id())
-    rows = rows.withColumn("n", F.row_number().over(Window.orderBy("k")) - 1).select("n", F.split("value", "\t").alias("c"))  # a row a line of the cross
+    rows = numbered_lines(spark, path).select("n", F.split("value", "\t").alias("c"))
     name = F.col("c")[0]
     cells = rows.select("n", name.alias("line"), F.posexplode(F.slice("c", F.lit(2), F.size("c") - 1)).alias("m", "text"))
     chrs = cells.where("n = 1").select("m", chromosome(F.trim("text")).alias("chr"))
@@ -159,7 +202,9 @@ def read_founders(spark: SparkSession, path: str) -> DataFrame:
 def read_pedigree(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Relations of a tab-separated pedigree (fam, id, father, mother, sex, ..., siblings):
     people (id, sex, population), parents (id, parent, of the same sex), both (id, father,
-    mother), siblings (id, sibling)."""
+    mother), siblings (id, sibling), alike (id, siblings: those of the same sex in their order; a
+    male's first two, all of a female) where there are two or more, and sibling (id, sibling:
+    the last of those, or the only one)."""
     names = header(spark, path, "\t")
     rows = lines(spark, path, "\t").where(F.col("c")[0] != names[0])
     c = F.col("c")
@@ -167,8 +212,15 @@ def read_pedigree(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     known = people.select(F.col("id").alias("k"))
     both = people.join(known, people["father"] == F.col("k"), "left_semi").join(known, F.col("mother") == F.col("k"), "left_semi")
     parent = people.select("id", F.when(F.col("sex") == 1, F.col("father")).otherwise(F.col("mother")).alias("parent"))
-    sibs = people.where("sibs is not null").select("id", F.explode(F.split("sibs", r",\s*")).alias("sibling"))
+    listed = people.where("sibs is not null").select("id", "sex", F.posexplode(F.split("sibs", r",\s*")).alias("_i", "sibling"))
+    sibs = listed.select("id", "sibling")
+    sexes = people.select(F.col("id").alias("sibling"), F.col("sex").alias("_s"))
+    same = listed.join(sexes, "sibling").where("sex = _s and sex in (1, 2) and id <> sibling")
+    same = same.groupBy("id", "sex").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "sibling"))), lambda s: s["sibling"]).alias("_x"))
+    alike = same.select("id", F.when(F.col("sex") == 1, F.slice("_x", 1, 2)).otherwise(F.col("_x")).alias("siblings"))
     return {
+        "alike": alike.where(F.size("siblings") > 1),
+        "sibling": alike.select("id", F.element_at("siblings", -1).alias("sibling")),
         "people": people.select("id", "sex", "population"),
         "parents": parent.join(known, F.col("parent") == F.col("k"), "left_semi"),
         "both": both.select("id", "father", "mother"),
@@ -205,6 +257,20 @@ def parse_annotation(rows: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+#: The order of an annotation's fields in text.
+ANNOTATION_FIELDS = ("ref", "alt", "qual", "aa", "ac", "an", "af", "afr_af", "amr_af", "asn_af", "eur_af", "vt", "nac")
+
+
+def write_annotation(annotation: DataFrame, path: str) -> None:
+    """Tab-separated text, a line a variant by chr and pos: these two, the fields of
+    ``ANNOTATION_FIELDS`` (an unknown frequency is NaN), and 1:gene:strand:function, or * without a
+    gene."""
+    field = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("NaN" if n.endswith("af") else "*"))
+    gene = F.when(F.col("gene").isNotNull(), F.concat_ws(":", F.lit("1"), "gene", F.coalesce("strand", F.lit("*")), F.coalesce("function", F.lit("*")))).otherwise("*")
+    value = F.concat_ws("\t", F.col("chr").cast("string"), F.col("pos").cast("string"), *map(field, ANNOTATION_FIELDS), gene)
+    annotation.select("chr", "pos", value.alias("value")).orderBy("chr", "pos").select("value").write.text(path)
+
+
 def functional(annotation: DataFrame) -> DataFrame:
     """Adds functional: a coding change (a SNP whose function is known and not synonymous,
     or an indel or structural variant in a gene), or a non-coding element."""

@@ -53,3 +53,14 @@ def test_from_files_to_results(spark, tmp_path):
     call("slices", "--store", store, "--models", mod, "--out", *at("slices"))
     lines = spark.read.text(str(tmp_path / "slices" / "text" / "gene=g1" / "subset=all" / "kind=weights")).collect()
     assert sorted(r.value for r in lines) == ["rs1\t0.5", "rs2\t0.5"]
+    call("fastlmm", *common, "--kinship", kin, "--reml", "--out", *at("reml"))
+    best = spark.read.csv(str(tmp_path / "reml" / "height"), header=True, inferSchema=True).orderBy("pvalue").first()
+    assert best.pos == 2001 and 0 < best.r2 < 1
+    call("families", *common, "--rounds", "2", "--separator", "s", "--out", *at("fam"))
+    assert spark.read.csv(str(tmp_path / "fam" / "height"), header=True, inferSchema=True).where("round = 1").first().pos == 2001
+    (tmp_path / "c.tsv").write_text("c1\t1;1901;2301\t1;2101;2501\n")
+    call("compounds", *common, "--kinship", kin, "--compounds", *at("c.tsv"), "--out", *at("com"))
+    (row,) = spark.read.csv(str(tmp_path / "com" / "height"), header=True, inferSchema=True).collect()
+    assert (row.compound_id, row.n_variants) == ("c1", 3)
+    call("permutation", *common, "--kinship", kin, "--rounds", "50", "--out", *at("perm"))
+    assert spark.read.csv(str(tmp_path / "perm" / "height"), header=True, inferSchema=True).where("pos = 2001").first().p == 0

@@ -124,3 +124,56 @@ def test_letters_strict_and_not(spark):
     loose = {(r.pos, r.sample_id): r.dosage for r in variants.letters_to_dosage(letters).collect()}
     assert loose == {(5, "a"): 0, (5, "b"): 1, (5, "c"): 0, (6, "a"): 0, (6, "b"): 0, (6, "c"): 1}
     assert {r.pos for r in variants.letters_to_dosage(letters, True).collect()} == {5}
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    names = [f"s{i}" for i in range(40)]
+    k = [[i * 100 + j for j in range(40)] for i in range(40)]
+    path = tmp_path / "k.csv"
+    path.write_text(",".join(names) + "\n" + "".join(",".join(map(str, r)) + "\n" for r in k))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = tables.numbered_lines(spark, str(path)).orderBy("n").collect()
+        found = {(r.i, r.j): r.k for r in tables.read_kinship(spark, str(path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert [r.n for r in lines] == list(range(41)) and "\n".join(r.value for r in lines) + "\n" == path.read_text()
+    assert found == {(f"s{i}", f"s{j}"): float(i * 100 + j) for i in range(40) for j in range(40)}
+
+
+def test_relation_is_written_as_it_is_read(spark, tmp_path):
+    rows = [("o1", "p", 0.5), ("o1", "q", -1.0), ("o2", "p", 2.0)]
+    tables.write_relation(spark.createDataFrame(rows, "obs_id string, pred_id string, k double"), str(tmp_path / "r"), whole=False, region=(2, 5, 9))
+    (part,) = (tmp_path / "r").glob("part-*")
+    assert part.read_text().splitlines() == ["#WG=false", "#Chr2:5:9;", "OBS_ID,p,q", "o1,0.5,-1.0", "o2,2.0,NaN"]
+    back = tables.read_relation(spark, str(tmp_path / "r")).where("k is not null").collect()
+    assert sorted((r.obs_id, r.pred_id, r.k) for r in back) == rows
+
+
+def test_candidate_pairs_crosses_and_annotation_text(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("c1\t1;100;200\t1;250;350\nc0\t1;100;200\t1;250;350\nc2\t1;1;2\t2;1;2\nc3\t1;1;2\n")
+    pairs = tables.paired_compounds(tables.read_compounds(spark, str(tmp_path / "c.tsv"))).collect()
+    assert [tuple(r) for r in pairs] == [("c0", 1, 100, 200, 250, 350)]
+    (tmp_path / "x.tsv").write_text("Col\t6909\tBur\t5719\tX1\nCol\t6909\tCvi\t6911\tX2\n")
+    founders, crosses = tables.read_crosses(spark, str(tmp_path / "x.tsv"))
+    assert sorted((r.id, r.name) for r in founders.collect()) == [("5719", "Bur"), ("6909", "Col"), ("6911", "Cvi")]
+    assert sorted(map(tuple, crosses.collect())) == [("5719", "6909", "X1"), ("6909", "5719", "X1"), ("6909", "6911", "X2"), ("6911", "6909", "X2")]
+    names = ["CHROM", "POS", "REF", "ALT", "AA", "VT", "QUAL", "AC", "AN", "AF", "ASN_AF", "AMR_AF", "AFR_AF", "EUR_AF", "VA", "NAC"]
+    lines = ["2\t7\tA\tG\tA\tSNP\t9\t3\t10\t0.3\t0.1\t0.2\t0.25\t0.5\t1:g1:x:+:nonsynonymous\t", "1\t5\tC\tT\t\tINDEL\tx\t1\t8\t\t\t\t\t\t\tmiRNA"]
+    own = tables.parse_annotation(spark.createDataFrame([(x,) for x in lines], "value string"), names)
+    tables.write_annotation(own, str(tmp_path / "a"))
+    text = [x for p in sorted((tmp_path / "a").glob("part-*")) for x in p.read_text().splitlines()]
+    assert text == ["1\t5\tC\tT\t-1\t*\t1\t8\tNaN\tNaN\tNaN\tNaN\tNaN\tINDEL\tmiRNA\t*", "2\t7\tA\tG\t9\tA\t3\t10\t0.3\t0.25\t0.2\t0.1\t0.5\tSNP\t*\t1:g1:+:nonsynonymous"]
+
+
+def test_siblings_of_the_same_sex(spark, tmp_path):
+    head = "Fam\tId\tFa\tMo\tSex\tx\tPop\ty\tSib\n"
+    people = [("m1", 1, "m2, f1, m3, m4"), ("m2", 1, "f1, m1"), ("m3", 1, "0"), ("m4", 1, "0"), ("f1", 2, "f2, m1, f3, f4"), ("f2", 2, "f2, zz"), ("f3", 2, "0"), ("f4", 2, "0")]
+    (tmp_path / "p.tsv").write_text(head + "".join(f"f\t{i}\t0\t0\t{s}\t\tP\t\t{x}\n" for i, s, x in people))
+    ped = tables.read_pedigree(spark, str(tmp_path / "p.tsv"))
+    assert {r.id: r.siblings for r in ped["alike"].collect()} == {"m1": ["m2", "m3"], "f1": ["f2", "f3", "f4"]}
+    assert {r.id: r.sibling for r in ped["sibling"].collect()} == {"m1": "m3", "m2": "m1", "f1": "f4"}
