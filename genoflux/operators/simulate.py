@@ -35,10 +35,19 @@ def two_variant(calls: DataFrame, a: tuple[int, int], b: tuple[int, int], kind:
     return rows.select("sample_id", value.cast("double").alias("value"))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum that does not depend on the order of rows: parts of 2^-20 and what is left of them are
+    added up apart, each without rounding while sums of the first stay below 2^33."""
+    coarse = F.rint(x * float(1 << 20)) / float(1 << 20)
+    return F.sum(coarse) + F.sum(x - coarse)
+
+
 def additive(calls: DataFrame, effects: DataFrame) -> DataFrame:
-    """sample_id, value: sum of dosage times effect over variants with one; missing calls add nothing."""
+    """sample_id, value: sum of dosage times effect over variants with one; missing calls add nothing.
+
+    Effects of both signs may cancel to the last bit, so the sum is that of ``exact_sum``."""
     rows = calls.join(effects.select("chr", "pos", "effect"), ["chr", "pos"])
-    return rows.groupBy("sample_id").agg(F.sum(F.coalesce("dosage", F.lit(0.0)) * F.col("effect")).alias("value"))
+    return rows.groupBy("sample_id").agg(exact_sum(F.coalesce("dosage", F.lit(0.0)) * F.col("effect")).alias("value"))
 
 
 def two_origins(calls: DataFrame, effects: DataFrame, ratio: float) -> DataFrame:
