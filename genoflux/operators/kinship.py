@@ -13,11 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import folder
+
 #: Samples beyond which a dense matrix does not belong on a driver.
 MOST_SAMPLES = 10_000
 
 
-#: Pairs that a task forms at once.
+#: Pairs that a task forms at once, and distinct ones that it holds.
 PAIRS = 1 << 21
 
 
@@ -58,59 +60,178 @@ def _side(column: pa.Array, kind: str):
     return coded.dictionary.take(up), code[turn], x[turn], site[turn]
 
 
+def _stored(sites: DataFrame) -> DataFrame:
+    """The table, written to the shared folder, as it is read for its sizes and for its pairs."""
+    path = folder(sites.sparkSession, "sites")
+    sites.write.parquet(path)
+    return sites.sparkSession.read.schema(sites.schema).parquet(path)
+
+
+def _blocks(sites: DataFrame, by: list[str], pairs: int) -> tuple[list, int, int]:
+    """First samples of ranges of column a that cut the matrix of any value of ``by`` into blocks of
+    about ``pairs`` distinct cells; the number of slices of sites in which a block is added up; the
+    number of partitions.  Blocks have a row each here, samples stay where they are."""
+    two = "b" in sites.columns
+    formed = F.size("a") * (F.size("b") if two else (F.size("a") + 1) / 2)
+    per = sites.groupBy(*by).agg(F.sum(formed).alias("p")) if by else sites.agg(F.sum(formed).alias("p"))
+    most, every = (int(v or 0) for v in per.agg(F.max("p"), F.sum("p")).first())
+    if most <= pairs:
+        return [], 1, max(1, -(-every // (2 * pairs)))
+    samples = lambda c: sites.select(F.explode(f"{c}.sample_id").alias("s")).distinct()
+    left = samples("a").count()
+    cells = min(most, left * samples("b").count() if two else left * (left + 1) // 2)
+    n = min(left, -(-cells // pairs))
+    starts = samples("a").repartitionByRange(n, "s").groupBy(F.spark_partition_id()).agg(F.min("s").alias("s")).orderBy("s").collect() if n > 1 else []
+    return [r["s"] for r in starts[1:]], min(256, 1 + most // (4 * n * pairs)), -(-every // (2 * pairs))
+
+
+def _runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Bounds of runs of rows that agree in all columns."""
+    turns = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        turns[1:] |= c[1:] != c[:-1]
+    return np.append(np.append(0, np.flatnonzero(turns)), len(turns)) if len(turns) else np.zeros(1, np.int64)
+
+
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (``many`` of each), one after the other."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+
+
+def _list_of(values: pa.Array, many: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), values)
+
+
+def _cells(unit: pa.Table, kind: str, scale: float, two: bool, pairs: int):
+    """i, j, sum and number of the pairs of rows that ``_pair_means`` deals to one place."""
+    unit = unit.combine_chunks()
+
+    def flat(ids: str, values: str):
+        coded = pc.dictionary_encode(unit[ids].combine_chunks().flatten())
+        up = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(up), np.int64)
+        rank[up.to_numpy()] = np.arange(len(up))
+        code = rank[coded.indices.to_numpy()] if len(up) else np.zeros(0, np.int64)
+        return coded.dictionary.take(up), code, unit[values].combine_chunks().flatten().to_numpy(zero_copy_only=False), pc.list_value_length(unit[ids]).to_numpy().astype(np.int64)
+
+    left_ids, code, x, size = flat("ids", "x")
+    right_ids, r_code, r_x, r_size = flat("r_ids", "r_x") if two else (left_ids, code, x, size)
+    own = unit["m"].to_numpy().astype(np.int64)
+    left = _ranges(np.cumsum(size) - size, own)
+    ends = np.repeat(np.cumsum(r_size), own)
+    first = np.repeat(np.cumsum(r_size) - r_size, own) if two else left
+    many = ends - first
+    # left samples are few: numbered on their own, so that the block is small
+    some, row = np.unique(code[left], return_inverse=True)
+    n_cells, width = len(some) * len(right_ids), len(right_ids)
+    dense = n_cells <= 4 * pairs
+    sums, counts, keys = (np.zeros(n_cells), np.zeros(n_cells), None) if dense else ([], [], [])
+
+    def reduced():
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return [key], [np.bincount(at, np.concatenate(sums), len(key))], [np.bincount(at, np.concatenate(counts), len(key))]
+
+    total, a, held = np.cumsum(many), 0, 0
+    while a < len(left):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + pairs, "right")))
+        p, q = np.repeat(np.arange(a, b), many[a:b]), _ranges(first[a:b], many[a:b])
+        u = left[p]
+        if kind == "ibs":
+            apart = code[u] != r_code[q]
+            p, u, q = p[apart], u[apart], q[apart]
+            value, weight = 1 - np.abs(x[u] - r_x[q]) / scale, np.ones(len(p))
+        else:
+            # two calls of one sample at a site meet in both orders
+            weight = np.where((code[u] == r_code[q]) & (u != q), 2.0, 1.0) if not two else np.ones(len(p))
+            value = x[u] * r_x[q] * weight
+        key, a = row[p] * width + r_code[q], b
+        if dense:
+            sums += np.bincount(key, value, n_cells)
+            counts += np.bincount(key, weight, n_cells)
+            continue
+        keys, sums, counts = [*keys, key], [*sums, value], [*counts, weight]
+        held += len(key)
+        if held > 4 * pairs:
+            keys, sums, counts = reduced()
+            held = 0
+    if dense:
+        key = np.flatnonzero(counts)
+        s, n = sums[key], counts[key]
+    elif keys:
+        (key,), (s,), (n,) = reduced()
+    else:
+        key = s = n = np.zeros(0, np.int64)
+    for a in range(0, len(key), 1 << 16):
+        at = slice(a, a + (1 << 16))
+        yield left_ids.take(pa.array(some[key[at] // width])), right_ids.take(pa.array(key[at] % width)), pa.array(s[at].astype(float)), pa.array(n[at].astype(np.int64))
+
+
 def _pair_means(sites: DataFrame, by: list[str], kind: str, scale: float = 2.0, pairs: int = PAIRS) -> DataFrame:
     """by, i, j, k, n: mean over shared calls of 1 - |difference| / scale (``ibs``, i < j) or
     of the product of standardised calls (``rrm``; i <= j, or all i of column a with all j of
-    column b where there is one).
+    column b where there is one).  ``sites`` is read for its sizes first.
 
-    A site is one row, so no calls are joined; a task forms at most about ``pairs`` pairs at
-    once and adds them up by (by, i, j) before they are shuffled."""
+    No pair is shuffled, only calls: a site's row goes to each block of rows of the matrix (a range
+    of samples, see ``_blocks``) in which it has calls, with the calls that these meet.  A task
+    takes one block after the other, and holds the calls of one and its distinct pairs, about
+    ``pairs``.  Blocks of a matrix whose pairs meet often are added up in slices, whose sums meet
+    behind."""
     two = "b" in sites.columns
     keys = sites.select(*by).schema
     sample = sites.schema["a"].dataType.elementType["sample_id"].dataType.simpleString()
+    r_sample = sites.schema["b"].dataType.elementType["sample_id"].dataType.simpleString() if two else sample
+    starts, slices, parts = _blocks(sites, by, pairs)
+    place = [*by, "_block", "_slice"]
 
-    def run(batches):
+    def deal(batches):
+        edges = np.array(starts)
         for batch in batches:
-            left_ids, code, x, site = _side(batch["a"], kind)
-            right_ids, r_code, r_x, r_site = _side(batch["b"], kind) if two else (left_ids, code, x, site)
+            ids, code, x, site = _side(batch["a"], kind)
+            r_ids, r_code, r_x, r_site = _side(batch["b"], kind) if two else (ids, code, x, site)
             if not len(code) or not len(r_code):
                 continue
-            ends = np.searchsorted(r_site, np.arange(batch.num_rows), "right")
-            first = np.searchsorted(r_site, site, "left") if two else np.arange(len(code))
-            many = ends[site] - first
-            if by:
-                # the first row of each group stands for its key
-                _, row_of, group = np.unique(np.array([str(k) for k in zip(*(batch[c].to_pylist() for c in by), strict=True)]), return_index=True, return_inverse=True)
-            else:
-                row_of, group = np.zeros(1, np.int64), np.zeros(batch.num_rows, np.int64)
-            n_left, n_right = len(left_ids), len(right_ids)
-            total = np.cumsum(many)
-            a = 0
-            while a < len(code):
-                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + pairs, "right")))
-                own = many[a:b]
-                p = np.repeat(np.arange(a, b), own)
-                q = np.repeat(first[a:b] - np.cumsum(own) + own, own) + np.arange(len(p))
-                if kind == "ibs":
-                    apart = code[p] != r_code[q]
-                    p, q = p[apart], q[apart]
-                    value, weight = 1 - np.abs(x[p] - r_x[q]) / scale, np.ones(len(p))
-                else:
-                    # two calls of one sample at a site meet in both orders
-                    weight = np.where((code[p] == r_code[q]) & (p != q), 2.0, 1.0) if not two else np.ones(len(p))
-                    value = x[p] * r_x[q] * weight
-                key, at = np.unique((group[site[p]] * n_left + code[p]) * n_right + r_code[q], return_inverse=True)
+            block = np.searchsorted(edges, ids.to_numpy(zero_copy_only=False), "right")[code] if len(edges) else np.zeros(len(code), np.int64)
+            bounds = _runs_of(site, block)
+            at, own = bounds[:-1], np.diff(bounds)
+            first = np.searchsorted(r_site, site[at], "left") if two else at
+            many = np.searchsorted(r_site, site[at], "right") - first
+            some = many > 0
+            at, own, first, many = at[some], own[some], first[some], many[some]
+            total, a = np.cumsum(many), 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
+                rows, l, q = pa.array(site[at[a:b]]), _ranges(at[a:b], own[a:b]), _ranges(first[a:b], many[a:b])
+                met = [_list_of(r_ids.take(pa.array(r_code[q])), many[a:b]), _list_of(pa.array(r_x[q]), many[a:b])]
+                out = [*(batch[c].take(rows) for c in by), pa.array(block[at[a:b]].astype(np.int32)), batch["_slice"].take(rows), pa.array(own[a:b].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*out, *([_list_of(ids.take(pa.array(code[l])), own[a:b]), _list_of(pa.array(x[l]), own[a:b])] if two else []), *met], [*place, "m", "ids", "x", *(["r_ids", "r_x"] if two else [])])
                 a = b
-                if not len(key):
-                    continue
-                rows = pa.array(row_of[key // (n_left * n_right)])
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].take(rows) for c in by), left_ids.take(pa.array(key // n_right % n_left)), right_ids.take(pa.array(key % n_right)), pa.array(np.bincount(at, value, len(key))), pa.array(np.bincount(at, weight, len(key)).astype(np.int64))],
-                    [*by, "i", "j", "s", "n"],
-                )
+
+    def add(batches):
+        held, key = [], None
+
+        def done():
+            for cells in _cells(pa.Table.from_batches(held), kind, scale, two, pairs):
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(held[0][c][0], len(cells[0])) for c in by), *cells], [*by, "i", "j", "s", "n"])
+
+        for batch in batches:
+            bounds = _runs_of(*(batch[c].dictionary_encode(null_encoding="encode").indices.to_numpy() for c in place))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = tuple(batch[c][a].as_py() for c in place)
+                if held and own != key:
+                    yield from done()
+                    held = []
+                key = own
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from done()
 
     text = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
-    sums = sites.select(*by, *(["a", "b"] if two else ["a"])).mapInArrow(run, f"{text}i {sample}, j {sample}, s double, n long")
+    lists = f"ids array<{sample}>, x array<double>" + (f", r_ids array<{r_sample}>, r_x array<double>" if two else "")
+    own = sites.select(*by, F.pmod(F.xxhash64("chr", "pos"), F.lit(slices)).cast("int").alias("_slice"), *(["a", "b"] if two else ["a"]))
+    dealt = own.mapInArrow(deal, f"{text}_block int, _slice int, m int, {lists}")
+    sums = dealt.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(add, f"{text}i {sample}, j {r_sample}, s double, n long")
+    if slices == 1:
+        return sums.select(*by, "i", "j", (F.col("s") / F.col("n")).alias("k"), "n")
     return sums.groupBy(*by, "i", "j").agg((F.sum("s") / F.sum("n")).alias("k"), F.sum("n").alias("n"))
 
 
@@ -122,17 +243,17 @@ def _square(upper: DataFrame, by: list[str]) -> DataFrame:
 
 def ibs(calls: DataFrame, scale: float = 2.0) -> DataFrame:
     """i, j, k for i < j: mean of 1 - |difference| / scale over shared known calls; n."""
-    return _pair_means(_by_site(calls), [], "ibs", scale)
+    return _pair_means(_stored(_by_site(calls)), [], "ibs", scale)
 
 
 def rrm(calls: DataFrame) -> DataFrame:
     """i, j, k: mean product of standardised dosages over shared known calls."""
-    return _square(_pair_means(_by_site(calls), [], "rrm"), [])
+    return _square(_pair_means(_stored(_by_site(calls)), [], "rrm"), [])
 
 
 def relation(observed: DataFrame, predicted: DataFrame) -> DataFrame:
     """Rectangular form of ``rrm``: obs_id, pred_id, k over variants in both stores."""
-    sites = _by_site(observed).join(_by_site(predicted, "b"), ["chr", "pos"])
+    sites = _stored(_by_site(observed).join(_by_site(predicted, "b"), ["chr", "pos"]))
     return _pair_means(sites, [], "rrm").select(F.col("i").alias("obs_id"), F.col("j").alias("pred_id"), "k")
 
 
@@ -140,7 +261,7 @@ def local_relation(observed: DataFrame, predicted: DataFrame, regions: DataFrame
     """``relation`` of each region: region_id, obs_id, pred_id, k."""
     from .joins import in_regions
 
-    sites = _by_site(observed).join(_by_site(predicted, "b"), ["chr", "pos"])
+    sites = _stored(_by_site(observed).join(_by_site(predicted, "b"), ["chr", "pos"]))
     return _pair_means(in_regions(sites, regions), ["region_id"], "rrm").select("region_id", F.col("i").alias("obs_id"), F.col("j").alias("pred_id"), "k")
 
 
@@ -148,7 +269,7 @@ def local_rrm(calls: DataFrame, regions: DataFrame) -> DataFrame:
     """``rrm`` of each region: region_id, i, j, k."""
     from .joins import in_regions
 
-    return _square(_pair_means(in_regions(_by_site(calls), regions), ["region_id"], "rrm"), ["region_id"])
+    return _square(_pair_means(in_regions(_stored(_by_site(calls)), regions), ["region_id"], "rrm"), ["region_id"])
 
 
 def rescaled(kinship: DataFrame) -> DataFrame:
@@ -164,6 +285,20 @@ def asymmetries(kinship: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return kinship.join(mirror, ["i", "j"], "left").where(F.col("m").isNull() | (F.abs(F.col("k") - F.col("m")) > tolerance))
 
 
+def symmetry(kinship: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """n_pairs, n_asymmetric: entries, and those of ``asymmetries``, by one pass over a matrix that has
+    no entry twice.
+
+    An entry and its mirror are counted under one key, so where a task holds both a row is shuffled
+    for the two; no table is joined with itself."""
+    k, i, j = F.col("k"), F.col("i"), F.col("j")
+    cells = kinship.groupBy(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi")).agg(
+        F.count("*").alias("n"), F.count("k").alias("known"), F.count_if(i < j).alias("up"), F.count_if(i > j).alias("down"), F.min("k").alias("low"), F.max("k").alias("high"))
+    alone = (F.col("lo") != F.col("hi")) & ((F.col("up") == 0) | (F.col("down") == 0))
+    differs = alone | (F.col("known") < F.col("n")) | (F.col("high") - F.col("low") > tolerance)
+    return cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum(F.when(differs, F.col("n"))), F.lit(0)).alias("n_asymmetric"))
+
+
 class _Kernel:
     """Sums over the variants of a chunk (a row each, NaN: missing) for any two slices of samples."""
 
@@ -347,13 +482,7 @@ def rescale(k: np.ndarray) -> np.ndarray:
 
 
 def local_ibs(calls: DataFrame, width: int, scale: float = 2.0) -> DataFrame:
-    """``ibs`` of each half-overlapping tiling window: chr, start, i, j, k, n (i < j).
-
-    A window holds few sites, so pairs seldom meet again before the shuffle and nothing is
-    gained by forming them in tasks: calls are joined by window and site."""
+    """``ibs`` of each half-overlapping tiling window: chr, start, i, j, k, n (i < j)."""
     from .variants import in_tiling_windows
 
-    rows = in_tiling_windows(calls.where("dosage is not null"), width)
-    a = rows.select("chr", "start", "pos", F.col("sample_id").alias("i"), F.col("dosage").alias("a"))
-    b = rows.select("chr", "start", "pos", F.col("sample_id").alias("j"), F.col("dosage").alias("b"))
-    return a.join(b, ["chr", "start", "pos"]).where("i < j").groupBy("chr", "start", "i", "j").agg(F.avg(1 - F.abs(F.col("a") - F.col("b")) / scale).alias("k"), F.count("*").alias("n"))
+    return _pair_means(in_tiling_windows(_stored(_by_site(calls)), width), ["chr", "start"], "ibs", scale)
