@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,44 +217,53 @@ def permutation_p(calls: DataFrame, phenotypes: DataFrame, rounds: int, seed: in
     """chr, pos, p (share of permuted traits that explain at least as much as the observed one),
     n_null (permutations that have a regression); a sample has one call of a variant.
 
-    Calls are shuffled once, to a row a variant, whatever the rounds; traits of all rounds are
-    a matrix over the sample axis (its length is checked), and a block of variants meets it
-    in three products."""
-    from .kinship import MOST_SAMPLES
+    Calls are shuffled to a row a variant, whatever the rounds.  Samples are numbered in the order
+    of their ids by a sort over all tasks; what the driver holds of the sample axis is the trait, 8
+    bytes a sample, and a task that times the rounds.  A block of variants meets the traits of all
+    rounds in sums over its calls alone, so samples without a call cost nothing."""
+    from .scratch import cut
     from .stats import permutation
 
     spark = calls.sparkSession
-    known = phenotypes.where("y is not null").select("sample_id", F.col("y").cast("double").alias("y")).orderBy("sample_id").limit(MOST_SAMPLES + 1)
-    rows = known.collect()
-    if len(rows) > MOST_SAMPLES:
-        raise ValueError(f"more than {MOST_SAMPLES} samples with a trait")
-    n, y = len(rows), np.array([r["y"] for r in rows])
+    known = phenotypes.where("y is not null").select("sample_id", F.col("y").cast("double").alias("y")).orderBy("sample_id")
+    known = cut(known.select("sample_id", "y", F.monotonically_increasing_id().alias("_m")))
+    part, row = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = [(r["p"], r["n"]) for r in known.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()]  # a row a partition
+    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
+    n = before[-1]
+    first = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before[:-1], strict=True)], "_p long, _b long")
+    places = known.withColumn("_p", part).join(F.broadcast(first), "_p").select("sample_id", (F.col("_b") + row).cast("int").alias("_i"), "y")
+    column, y = places.select("_i", "y").toArrow(), np.zeros(n)
+    y[column["_i"].to_numpy()] = column["y"].to_numpy()
     y = y - y.mean() if n else y
-    held = spark.sparkContext.broadcast(np.stack([y, *(y[permutation(n, seed, r)] for r in range(1, rounds + 1))]))
-    places = spark.createDataFrame([(r["sample_id"], i) for i, r in enumerate(rows)], f"sample_id {known.schema['sample_id'].dataType.simpleString()}, _i int")
-    cells = calls.where("dosage is not null").join(F.broadcast(places), "sample_id")  # the sample axis, of a checked size
+    held = spark.sparkContext.broadcast(y)
+    cells = calls.where("dosage is not null").join(places.select("sample_id", "_i"), "sample_id")
     cells = cells.groupBy(SITE).agg(F.collect_list(F.struct("_i", F.col("dosage").cast("double").alias("x"))).alias("c"))
 
     def run(batches):
-        traits = held.value
-        squares, width = traits * traits, traits.shape[1]
+        y, traits = held.value, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                own = batch.slice(start, 256)
-                at, x = own["at"], own["x"]
-                row = np.repeat(np.arange(own.num_rows), np.diff(at.offsets.to_numpy()))
-                place = (row, at.flatten().to_numpy())
-                g, has = np.zeros((own.num_rows, width)), np.zeros((own.num_rows, width))
-                g[place], has[place] = x.flatten().to_numpy(), 1
-                count, sx, sxx = (v.sum(1)[:, None] for v in (has, g, g * g))
-                sy, syy, sxy = has @ traits.T, has @ squares.T, g @ traits.T
+            if traits is None:
+                traits = np.stack([y, *(y[permutation(len(y), seed, r)] for r in range(1, rounds + 1))])
+            ends = np.cumsum(pc.list_value_length(batch["at"]).to_numpy())
+            start = 0
+            while start < batch.num_rows:  # blocks of about 100,000 calls
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 100_000, "right")))
+                own = batch.slice(start, stop - start)
+                start = stop
+                size = pc.list_value_length(own["at"]).to_numpy()
+                heads, x = np.cumsum(size) - size, own["x"].flatten().to_numpy()
+                t = traits[:, own["at"].flatten().to_numpy()]
+                total = lambda v: np.add.reduceat(v, heads, axis=-1)
+                count, sx, sxx = size.astype(float), total(x), total(x * x)
+                sy, syy, sxy = total(t), total(t * t), total(t * x)
                 vx, vy, both = sxx - sx * sx / count, syy - sy * sy / count, sxy - sx * sy / count
                 ok = (count > 2) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
                 r2 = both * both / np.where(ok, vx * vy, 1)
                 ok &= r2 < 1 - 1e-12
-                nulls = ok[:, 1:].sum(1)
-                keep = np.flatnonzero(ok[:, 0] & (nulls > 0))
-                p = ((r2[:, 1:] >= r2[:, :1]) & ok[:, 1:]).sum(1)[keep] / nulls[keep]
+                nulls = ok[1:].sum(0)
+                keep = np.flatnonzero(ok[0] & (nulls > 0))
+                p = ((r2[1:] >= r2[:1]) & ok[1:]).sum(0)[keep] / nulls[keep]
                 yield pa.RecordBatch.from_arrays([own["chr"].take(pa.array(keep)), own["pos"].take(pa.array(keep)), pa.array(p), pa.array(nulls[keep].astype(np.int64))], [*SITE, "p", "n_null"])
 
     wide = cells.select(F.col("chr").cast("int").alias("chr"), F.col("pos").cast("long").alias("pos"), F.transform("c", lambda s: s["_i"]).alias("at"), F.transform("c", lambda s: s["x"]).alias("x"))
