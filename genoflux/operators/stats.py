@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,29 +159,80 @@ def empirical_p(observed: DataFrame, null: DataFrame, by: list[str], value: str,
     return rows.groupBy(by).agg((F.count_if(hit) / F.count("*")).alias("p"), F.count("*").alias("n_null"))
 
 
-def distance_correlation(rows: DataFrame, id_: str, x: str, y: str, block: int = 1024) -> DataFrame:
-    """Distance correlation of two array columns, from sums over pairs of rows.
+def distance_correlation(rows: DataFrame, id_: str, x: str, y: str, block: int = 2048) -> DataFrame:
+    """Distance correlation of two array columns, from sums over pairs of rows.  Rows of which a
+    value is unknown take no part; ``id_`` names the rows.
 
-    All pairs of rows are compared, so this is for the sample axis.  Rows are dealt into
-    blocks of about ``block``, and pairs of blocks to tasks; pairs of rows are summed
-    where they are made.  The doubly centred products reduce to three sums: mean(ab), mean(a) mean(b) and
+    All pairs of distinct rows are compared, equal ones as one with their number, so this is
+    quadratic, for the sample axis.  Rows are dealt into blocks of about ``block``; a task
+    holds one block and meets all rows as they stream in, a square of distances at a time.
+    The doubly centred products reduce to three sums: mean(ab), mean(a) mean(b) and
     the mean of products of row means."""
-
-    def gap(u: str, v: str) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(u, v, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-
-    blocks = -(-rows.count() // block) or 1
-    own, every = F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(own.alias("u"), every.alias("v"), F.col(id_).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    right = rows.select(every.alias("u"), own.alias("v"), F.col(id_).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    pairs = left.join(right, ["u", "v"]).select("i", gap("x1", "x2").alias("a"), gap("y1", "y2").alias("b"))
-    per = pairs.groupBy("i").agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") ** 2).alias("aa"), F.sum(F.col("b") ** 2).alias("bb"), F.count("*").alias("n"))
-    t = per.agg(F.count("*").alias("n"), F.avg("ma").alias("A"), F.avg("mb").alias("B"), F.sum("ab").alias("ab"), F.sum("aa").alias("aa"), F.sum("bb").alias("bb"), F.avg(F.col("ma") * F.col("mb")).alias("mab"), F.avg(F.col("ma") ** 2).alias("maa"), F.avg(F.col("mb") ** 2).alias("mbb"))
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).where(~F.exists(x, lambda v: v.isNull()) & ~F.exists(y, lambda v: v.isNull()))
+    own = known.groupBy(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    one = own.agg(F.count("*").alias("d"), F.sum("w").alias("n")).first()
+    blocks, total = -(-one["d"] // block) or 1, one["n"] or 0.0
+    left = own.select(F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int").alias("u"), F.lit(0).alias("side"), "x", "y", "w")
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("u"), F.lit(1).alias("side"), "x", "y", "w")
+    names = ["ab", "aa", "bb", "A", "B", "mab", "maa", "mbb"]
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if p.shape[1] == 1:
+            return np.abs(p - q.T)
+        s = np.zeros((len(p), len(q)))
+        for i in range(p.shape[1]):
+            s += (p[:, i, None] - q[None, :, i]) ** 2
+        return np.sqrt(s)
+
+    def run(batches):
+        unit, mine, sums = None, [], None
+
+        def done():
+            w = np.concatenate([m[2] for m in mine])
+            ra, rb = sums[0] / total, sums[1] / total
+            cells = [w @ sums[2], w @ sums[3], w @ sums[4], w @ ra, w @ rb, w @ (ra * rb), w @ (ra * ra), w @ (rb * rb)]
+            return pa.RecordBatch.from_arrays([pa.array([float(c)]) for c in cells], names)
+
+        for batch in batches:
+            us, sides = batch["u"].to_numpy(), batch["side"].to_numpy()
+            turns = [0, *(np.flatnonzero((us[1:] != us[:-1]) | (sides[1:] != sides[:-1])) + 1).tolist(), len(us)]
+            for first, last in zip(turns[:-1], turns[1:], strict=True):
+                if last == first:
+                    continue
+                rest = batch.slice(first, last - first)
+                p, q, w = matrix(rest["x"]), matrix(rest["y"]), rest["w"].to_numpy()
+                if us[first] != unit:
+                    if sums is not None:
+                        yield done()
+                    unit, mine, sums = us[first], [], None
+                if sides[first] == 0:
+                    mine.append((p, q, w))
+                    continue
+                if not mine:  # no row was dealt into this block
+                    continue
+                if sums is None:
+                    px, py = (np.concatenate([m[i] for m in mine]) for i in (0, 1))
+                    sums = np.zeros((5, len(px)))
+                for i in range(0, len(px), 128):
+                    for j in range(0, len(p), 1024):
+                        at, to = slice(i, i + 128), slice(j, j + 1024)
+                        a, b, v = gaps(px[at], p[to]), gaps(py[at], q[to]), w[to]
+                        sums[:, at] += np.stack([a @ v, b @ v, (a * b) @ v, (a * a) @ v, (b * b) @ v])
+        if sums is not None:
+            yield done()
+
+    both = left.unionByName(right).repartition(blocks, "u").sortWithinPartitions("u", "side")
+    parts = both.mapInArrow(run, ", ".join(f"{c} double" for c in names))
+    n = F.lit(float(total))
+    t = parts.agg(*[(F.sum(c) / n).alias(c) for c in names]).withColumns({c: F.col(c) / n for c in ("ab", "aa", "bb")})
 
     def cov(s: str, m: str, u: str, v: str) -> Column:
-        return F.col(s) / (F.col("n") * F.col("n")) - 2 * F.col(m) + F.col(u) * F.col(v)
+        return F.col(s) - 2 * F.col(m) + F.col(u) * F.col(v)
 
-    return t.select(F.col("n"), F.sqrt(cov("ab", "mab", "A", "B") / F.sqrt(cov("aa", "maa", "A", "A") * cov("bb", "mbb", "B", "B"))).alias("dcor"))
+    return t.select(F.lit(int(total)).cast("long").alias("n"), F.sqrt(cov("ab", "mab", "A", "B") / F.sqrt(cov("aa", "maa", "A", "A") * cov("bb", "mbb", "B", "B"))).alias("dcor"))
 
 
 def permutation(n: int, seed: int, round_: int) -> np.ndarray:
