@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .stats import running_before
 
 
@@ -155,8 +156,10 @@ def gene_scores(mutations: DataFrame, least: float, weight: float) -> DataFrame:
 def standings(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds standing: 1 + number of genes with a larger score (within ``by``).
 
-    The order is over the table of distinct scores."""
+    The order is over the table of distinct scores.  Without ``by`` that is read several times, so
+    scores are computed once, to the shared folder."""
     keys = by or []
+    scores = scores if keys else cut(scores)
     counts = scores.groupBy(*keys, "score").agg(F.count("*").alias("_n"))
     if keys:
         order = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
