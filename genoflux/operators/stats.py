@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .scratch import cut
 
 
 def running_before(counts: DataFrame, value: str, n: str, out: str, rows: int = 500_000, least: int = 64) -> DataFrame:
@@ -306,15 +307,33 @@ def best_clusters(rows: DataFrame, id_: str, features: str, ks: list[int], least
 def best_transform(rows: DataFrame, value: str) -> DataFrame:
     """``rows`` with transformed: of log, exp, sqrt, square and the value itself, the one
     closest to normal (smallest distance of ``ks_normal``); a shift makes values
-    positive where the smallest is not.  exp is of the standardised value."""
-    m = rows.agg(F.min(value).alias("lo"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).first()
+    positive where the smallest is not.  exp is of the standardised value.
+
+    No choice turns the order of values, so they are counted and ranked once and the distances of all
+    choices come from one pass over the ranks."""
+    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    n, mean = F.sum("c"), F.sum(F.col("v") * F.col("c")) / F.sum("c")
+    m = counts.agg(F.min("v").alias("lo"), mean.alias("mean"), n.alias("n")).first()
+    centred = m["mean"] or 0.0
+    sd = counts.agg(F.sqrt(F.sum((F.col("v") - centred) ** 2 * F.col("c")) / F.nullif(n - 1, F.lit(0))).alias("sd")).first()["sd"]
     shift = 0.0 if m["lo"] is None or m["lo"] > 0 else 1.0 - m["lo"]
-    v = F.col(value) + shift
-    z = (F.col(value) - (m["mean"] or 0.0)) / (m["sd"] or 1.0)
-    choices = {"none": F.col(value), "log": F.log(v), "exp": F.exp(z), "sqrt": F.sqrt(v), "square": v * v}
-    gaps = {k: ks_normal(rows.select(c.alias("_x")), "_x").first() for k, c in choices.items()}
-    best = min((k for k in choices if gaps[k] is not None and gaps[k]["d"] is not None), key=lambda k: gaps[k]["d"], default="none")
-    return rows.withColumn("transformed", choices[best]).withColumn("transform", F.lit(best))
+
+    def choices(c: str) -> dict[str, Column]:
+        v = F.col(c) + shift
+        return {"none": F.col(c), "log": F.log(v), "exp": F.exp((F.col(c) - centred) / (sd or 1.0)), "sqrt": F.sqrt(v), "square": v * v}
+
+    every = choices("v")
+    means = counts.agg(*[(F.sum(c * F.col("c")) / n).alias(k) for k, c in every.items()]).first()
+    spread = counts.agg(*[F.sqrt(F.sum((c - F.lit(means[k])) ** 2 * F.col("c")) / F.nullif(n - 1, F.lit(0))).alias(k) for k, c in every.items()]).first()
+    steps = running_before(counts, "v", "c", "_b")
+
+    def gap(k: str) -> Column:
+        cdf = 1 - special.normal_tail((every[k] - F.lit(means[k])) / F.lit(spread[k]))
+        return F.max(F.greatest(F.abs((F.col("_b") + F.col("c")) / F.lit(m["n"]) - cdf), F.abs(F.col("_b") / F.lit(m["n"]) - cdf)))
+
+    d = steps.agg(*[gap(k).alias(k) for k in every]).first().asDict() if m["n"] and all(spread) else {}
+    best = min((k for k in every if d.get(k) is not None), key=lambda k: d[k], default="none")
+    return rows.withColumn("transformed", choices(value)[best]).withColumn("transform", F.lit(best))
 
 
 def normalized_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
