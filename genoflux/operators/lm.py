@@ -110,8 +110,8 @@ def selected_model(calls: DataFrame, phenotypes: DataFrame, sites: DataFrame) ->
 
 
 def joint_scan(rows: DataFrame, held: list[str]) -> DataFrame:
-    """adj_r2 of the model of ``held`` columns and each variant's dosage together, and the p of the
-    variant in it: chr, pos, n, adj_r2, pvalue.  Variants that the others explain, and perfect fits, have no row.
+    """adj_r2 of the model of ``held`` columns and each variant's dosage together, and the squared t of the
+    variant in it: chr, pos, n, adj_r2, t2.  Variants that the others explain, and perfect fits, have no row.
 
     Sums of products are aggregated, a row a variant; the small systems are solved behind."""
     names = ["dosage", *held, "y"]
@@ -135,19 +135,21 @@ def joint_scan(rows: DataFrame, held: list[str]) -> DataFrame:
             ok &= rss > 1e-9 * yy
             adj = 1 - rss / np.where(ok, yy, 1) * (n - 1) / np.where(ok, n - k - 1, 1)
             keep = pa.array(np.flatnonzero(ok))
-            df = n[ok] - k - 1
-            p = t_two_sided(np.sqrt(cross[ok] ** 2 / free[ok] / (rss[ok] / df)), df)
-            yield pa.RecordBatch.from_arrays([batch["chr"].take(keep), batch["pos"].take(keep), batch["n"].take(keep), pa.array(adj[ok]), pa.array(np.asarray(p, float))], [*SITE, "n", "adj_r2", "pvalue"])
+            t2 = cross[ok] ** 2 / free[ok] / (rss[ok] / (n[ok] - k - 1))
+            yield pa.RecordBatch.from_arrays([batch["chr"].take(keep), batch["pos"].take(keep), batch["n"].take(keep), pa.array(adj[ok]), pa.array(t2)], [*SITE, "n", "adj_r2", "t2"])
 
-    return sums.mapInArrow(run, "chr int, pos long, n long, adj_r2 double, pvalue double")
+    return sums.mapInArrow(run, "chr int, pos long, n long, adj_r2 double, t2 double")
 
 
 def candidates(calls: DataFrame, phenotypes: DataFrame, threshold: float, maf: float = 0.0) -> DataFrame:
     """chr, pos of variants whose own p is at most ``threshold`` over the number of variants, and
-    whose folded frequency (of all calls) is at least ``maf``."""
+    whose folded frequency (of all calls) is at least ``maf``.
+
+    The scan, a row a variant, is computed once, to the shared folder: it is counted and compared."""
+    from .scratch import cut
     from .variants import frequencies
 
-    passed = bonferroni(with_p(scan(matched(calls, phenotypes))), threshold).select(*SITE)
+    passed = bonferroni(cut(with_p(scan(matched(calls, phenotypes)))), threshold).select(*SITE)
     return passed.join(frequencies(calls).where(F.col("maf") >= maf).select(*SITE), SITE, "left_semi") if maf > 0 else passed
 
 
@@ -155,15 +157,21 @@ def forward(calls: DataFrame, phenotypes: DataFrame, rounds: int, among: DataFra
     """Greedy selection by joint models: round, chr, pos, n, adj_r2 of the model of all chosen
     so far, pvalue of the round's variant in it.  A round compares, for each variant (of
     ``among``, if given: chr, pos), the joint fit with those chosen before, over samples whose
-    calls of all of them are known."""
-    rows, held, out = matched(calls, phenotypes), [], []
+    calls of all of them are known.
+
+    The calls of ``among`` are computed once, to the shared folder, for all rounds.  The p of the
+    variant chosen is the only one that is computed."""
+    from .scratch import cut
+
     if among is not None:
-        rows = rows.join(among, SITE, "left_semi")
+        calls = cut(calls.join(among, SITE, "left_semi"))
+    rows, held, out = matched(calls, phenotypes), [], []
     for r in range(1, rounds + 1):
         best = joint_scan(rows, held).orderBy(F.desc(F.round("adj_r2", 9)), *SITE).first()
         if best is None:
             break
-        out.append((r, int(best["chr"]), int(best["pos"]), int(best["n"]), float(best["adj_r2"]), float(best["pvalue"])))
+        p = t_two_sided(np.sqrt(best["t2"]), best["n"] - len(held) - 2)
+        out.append((r, int(best["chr"]), int(best["pos"]), int(best["n"]), float(best["adj_r2"]), float(p)))
         here = (F.col("chr") == best["chr"]) & (F.col("pos") == best["pos"])
         held.append(f"w{r}")
         own = calls.where(here & F.col("dosage").isNotNull()).select("sample_id", F.col("dosage").alias(held[-1]))
