@@ -193,7 +193,9 @@ def write_slices(variants: DataFrame, models: DataFrame, path: str, subsets: dic
 
     Models meet the store by chr and pos; text lines are ranged by gene, subset, kind and position, so a
     large gene spreads over tasks, and its files in order of their names are in order of
-    position.  The manifest counts the lines written, the store is not read again."""
+    position.  Files cost more than their bytes do, so there are as many tasks as a shuffle has
+    (``parts``), however short the text.  The manifest counts the lines where models meet the store; neither
+    files nor genotypes are read for it."""
     plain = {"rsid": F.concat(F.lit("rs_"), F.col("pos").cast("string")), "ref": F.lit("A"), "alt": F.lit("T"), "weight": F.lit(0.0)}
     own = models.withColumns({c: F.coalesce(c, d) if c in models.columns else d for c, d in plain.items()})
     chosen = F.array(*[F.when(F.col("origin").isin(o), F.lit(n)) for n, o in subsets.items()]) if subsets else F.array(F.lit("all"))
@@ -205,12 +207,14 @@ def write_slices(variants: DataFrame, models: DataFrame, path: str, subsets: dic
     found = variants.select("chr", "pos", "g").join(own, ["chr", "pos"])
     rows = found.select("gene", "subset", "pos", "chr", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), lines[k].alias("value")) for k in SLICE_KINDS])).alias("x")).select("gene", "subset", "x.kind", "chr", "pos", "x.value")
     order = ["gene", "subset", "kind", "chr", "pos", "value"]
-    ranged = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    spark = variants.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.select("gene", "subset", "kind", "value").write.partitionBy("gene", "subset", "kind").text(f"{path}/text")
-    written = read_slices(variants.sparkSession, path).where("kind = 'setid'").groupBy("gene", "subset").agg(F.count("*").alias("n_found"))
+    written = variants.select("chr", "pos").join(own, ["chr", "pos"]).groupBy("gene", "subset").agg(F.count("*").alias("n_found"))
     manifest = own.groupBy("gene", "subset").agg(F.count("*").alias("n_sites")).join(written, ["gene", "subset"], "left")
     manifest.select("gene", "subset", "n_sites", F.coalesce("n_found", F.lit(0).cast("long")).alias("n_found")).write.parquet(f"{path}/manifest")
-    return variants.sparkSession.read.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def read_slices(spark: SparkSession, path: str) -> DataFrame:
