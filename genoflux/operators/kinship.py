@@ -166,7 +166,7 @@ def _cells(unit: pa.Table, kind: str, scale: float, two: bool, pairs: int):
         yield left_ids.take(pa.array(some[key[at] // width])), right_ids.take(pa.array(key[at] % width)), pa.array(s[at].astype(float)), pa.array(n[at].astype(np.int64))
 
 
-def _pair_means(sites: DataFrame, by: list[str], kind: str, scale: float = 2.0, pairs: int = PAIRS) -> DataFrame:
+def _pair_means(sites: DataFrame, by: list[str], kind: str, scale: float = 2.0, pairs: int = PAIRS, then=None) -> DataFrame:
     """by, i, j, k, n: mean over shared calls of 1 - |difference| / scale (``ibs``, i < j) or
     of the product of standardised calls (``rrm``; i <= j, or all i of column a with all j of
     column b where there is one).  ``sites`` is read for its sizes first.
@@ -175,7 +175,8 @@ def _pair_means(sites: DataFrame, by: list[str], kind: str, scale: float = 2.0,
     of samples, see ``_blocks``) in which it has calls, with the calls that these meet.  A task
     takes one block after the other, and holds the calls of one and its distinct pairs, about
     ``pairs``.  Blocks of a matrix whose pairs meet often are added up in slices, whose sums meet
-    behind."""
+    behind.  ``then``: a function of Arrow batches of these rows and the schema of what it makes of
+    them, where only that is wanted; it runs in the tasks that have them."""
     two = "b" in sites.columns
     keys = sites.select(*by).schema
     sample = sites.schema["a"].dataType.elementType["sample_id"].dataType.simpleString()
@@ -229,10 +230,19 @@ def _pair_means(sites: DataFrame, by: list[str], kind: str, scale: float = 2.0,
     lists = f"ids array<{sample}>, x array<double>" + (f", r_ids array<{r_sample}>, r_x array<double>" if two else "")
     own = sites.select(*by, F.pmod(F.xxhash64("chr", "pos"), F.lit(slices)).cast("int").alias("_slice"), *(["a", "b"] if two else ["a"]))
     dealt = own.mapInArrow(deal, f"{text}_block int, _slice int, m int, {lists}")
-    sums = dealt.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(add, f"{text}i {sample}, j {r_sample}, s double, n long")
+
+    def means(batches):
+        for batch in add(batches):
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*by, "i", "j")), pc.divide(batch["s"], pc.cast(batch["n"], pa.float64())), batch["n"]], [*by, "i", "j", "k", "n"])
+
+    met = dealt.repartition(parts, *place).sortWithinPartitions(*place)
+    if then and slices == 1:
+        return met.mapInArrow(lambda batches: then[0](means(batches)), then[1])
+    sums = met.mapInArrow(add, f"{text}i {sample}, j {r_sample}, s double, n long")
     if slices == 1:
         return sums.select(*by, "i", "j", (F.col("s") / F.col("n")).alias("k"), "n")
-    return sums.groupBy(*by, "i", "j").agg((F.sum("s") / F.sum("n")).alias("k"), F.sum("n").alias("n"))
+    whole = sums.groupBy(*by, "i", "j").agg((F.sum("s") / F.sum("n")).alias("k"), F.sum("n").alias("n"))
+    return whole.mapInArrow(*then) if then else whole
 
 
 def _square(upper: DataFrame, by: list[str]) -> DataFrame:
@@ -285,18 +295,69 @@ def asymmetries(kinship: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return kinship.join(mirror, ["i", "j"], "left").where(F.col("m").isNull() | (F.abs(F.col("k") - F.col("m")) > tolerance))
 
 
+def _mirrored(batches):
+    """``_square`` of Arrow batches: an entry and its mirror are neighbours."""
+    for batch in batches:
+        i, j = batch["i"], batch["j"]
+        many = np.where(pc.equal(i, j).to_numpy(zero_copy_only=False), 1, 2)
+        row = pa.array(np.repeat(np.arange(len(many)), many))
+        low = np.zeros(len(row), bool)
+        low[np.cumsum(many)[many == 2] - 1] = True
+        low, i, j = pa.array(low), i.take(row), j.take(row)
+        yield pa.RecordBatch.from_arrays([pc.if_else(low, j, i), pc.if_else(low, i, j), batch["k"].take(row)], ["i", "j", "k"])
+
+
+def _settled(batches, tolerance: float):
+    """i, j, k of the entries that are neither on the diagonal nor beside their mirror.  Those that are
+    have one row a batch instead: their number n, and how many ``differ``."""
+    same = lambda a, b: pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        i, j, k = batch["i"], batch["j"], batch["k"].to_numpy(zero_copy_only=False)
+        own = same(i, j)
+        beside = same(i[:-1], j[1:]) & same(j[:-1], i[1:]) & ~own[:-1]
+        beside[1:] &= ~beside[:-1]
+        left = ~own
+        left[:-1] &= ~beside
+        left[1:] &= ~beside
+        with np.errstate(all="ignore"):
+            apart = ~(np.abs(k[:-1] - k[1:]) <= tolerance)  # nulls and NaN too
+        n, differ = own.sum() + 2 * beside.sum(), (own & ~np.isfinite(k)).sum() + 2 * (beside & apart).sum()
+        rows, some = int(left.sum()), pa.array(left)
+        ends = [pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array([int(v)], pa.int64())]) for v in (n, differ)]
+        yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([batch[c].filter(some), pa.nulls(1, batch[c].type)]) for c in ("i", "j", "k")), *ends], ["i", "j", "k", "n", "differ"])
+
+
+def _symmetry(rows: DataFrame, tolerance: float) -> DataFrame:
+    """n_pairs, n_asymmetric of what ``_settled`` gives: entries that are left are counted under one key
+    with their mirror."""
+    k, i, j, done = F.col("k"), F.col("i"), F.col("j"), F.col("done")
+    cells = rows.groupBy(F.col("n").isNotNull().alias("done"), F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi")).agg(
+        F.count("*").alias("rows"), F.count("k").alias("known"), F.count_if(i < j).alias("up"), F.count_if(i > j).alias("down"), F.min("k").alias("low"), F.max("k").alias("high"), F.sum("n").alias("n"), F.sum("differ").alias("differ"))
+    alone = (F.col("lo") != F.col("hi")) & ((F.col("up") == 0) | (F.col("down") == 0))
+    differs = alone | (F.col("known") < F.col("rows")) | (F.col("high") - F.col("low") > tolerance)
+    n, differ = F.when(done, F.col("n")).otherwise(F.col("rows")), F.when(done, F.col("differ")).when(differs, F.col("rows"))
+    return cells.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum(differ), F.lit(0)).alias("n_asymmetric"))
+
+
 def symmetry(kinship: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """n_pairs, n_asymmetric: entries, and those of ``asymmetries``, by one pass over a matrix that has
     no entry twice.
 
-    An entry and its mirror are counted under one key, so where a task holds both a row is shuffled
-    for the two; no table is joined with itself."""
-    k, i, j = F.col("k"), F.col("i"), F.col("j")
-    cells = kinship.groupBy(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi")).agg(
-        F.count("*").alias("n"), F.count("k").alias("known"), F.count_if(i < j).alias("up"), F.count_if(i > j).alias("down"), F.min("k").alias("low"), F.max("k").alias("high"))
-    alone = (F.col("lo") != F.col("hi")) & ((F.col("up") == 0) | (F.col("down") == 0))
-    differs = alone | (F.col("known") < F.col("n")) | (F.col("high") - F.col("low") > tolerance)
-    return cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum(F.when(differs, F.col("n"))), F.lit(0)).alias("n_asymmetric"))
+    Entries beside their mirror are decided where they stand; the others are shuffled, under one key with
+    their mirror.  No table is joined with itself."""
+    i, j = (kinship.schema[c].dataType.simpleString() for c in ("i", "j"))
+    rows = kinship.select("i", "j", F.col("k").cast("double").alias("k"))
+    return _symmetry(rows.mapInArrow(lambda batches: _settled(batches, tolerance), f"i {i}, j {j}, k double, n long, differ long"), tolerance)
+
+
+def rrm_symmetry(calls: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """``symmetry`` of ``rrm``, whose entries are formed, mirrored and compared in one task and never
+    leave it: what is shuffled are calls, and the sums of slices where there are some."""
+    sample = calls.schema["sample_id"].dataType.simpleString()
+    then = (lambda batches: _settled(_mirrored(batches), tolerance), f"i {sample}, j {sample}, k double, n long, differ long")
+    return _symmetry(_pair_means(_stored(_by_site(calls)), [], "rrm", then=then), tolerance)
 
 
 class _Kernel:

@@ -440,7 +440,7 @@ def relation_matrix_regions(spark, sf_dir):
 @register("q as (select 1)," + _RRM.format(c="calls") + """, k as (select a.sample_id as i, b.sample_id as j from z a join z b on a.chr = b.chr and a.pos = b.pos group by 1, 2)
 select cast(count(*) as bigint) as n_pairs, cast(count(*) filter (where not exists (select 1 from k t where t.i = k.j and t.j = k.i)) as bigint) as n_asymmetric from k""")
 def kinship_symmetry(spark, sf_dir):
-    return kinship.symmetry(kinship.rrm(fx.calls(spark, sf_dir)))
+    return kinship.rrm_symmetry(fx.calls(spark, sf_dir))
 
 
 # --- table statistics ---
