@@ -228,6 +228,8 @@ def _pair_means(sites: DataFrame, by: list[str], kind: str, scale: float = 2.0,
 
     text = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys)
     lists = f"ids array<{sample}>, x array<double>" + (f", r_ids array<{r_sample}>, r_x array<double>" if two else "")
+    if starts:  # sites are sent many times over: by as many tasks as take them, so that none has more to send than it can hold
+        sites = sites.repartition(parts, "chr", "pos")
     own = sites.select(*by, F.pmod(F.xxhash64("chr", "pos"), F.lit(slices)).cast("int").alias("_slice"), *(["a", "b"] if two else ["a"]))
     dealt = own.mapInArrow(deal, f"{text}_block int, _slice int, m int, {lists}")
 
